@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm import byte_bpe, quality, token_output, url_filter, warc
+from arcweave.llm import byte_bpe, fingerprints, line_dedup, quality, token_output, url_filter, warc
 from arcweave.llm.common import table, work_folder
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -18,6 +18,33 @@ END_ID = 2
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("row.doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_OP1 = """
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos,
+         unnest(string_split(coalesce(text, ''), chr(10))) AS line
+  FROM documents),
+windows AS (
+  SELECT *, lead(line, 1) OVER d AS l1, lead(line, 2) OVER d AS l2 FROM lines
+  WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+later AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY line, l1, l2 ORDER BY doc_id, pos) > 1 AS again
+  FROM windows WHERE l2 IS NOT NULL),
+covered AS (
+  SELECT DISTINCT doc_id, pos + k AS pos FROM later, range(3) t(k) WHERE again),
+marked AS (
+  SELECT l.doc_id, l.pos, l.line, c.pos IS NOT NULL AS gone
+  FROM lines l LEFT JOIN covered c ON l.doc_id = c.doc_id AND l.pos = c.pos)
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(sum(CAST(gone AS INTEGER)) AS INTEGER) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bradley-Terry scores of all documents, fitted on labels outside the held-out quarter."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -32,6 +59,26 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    both = fingerprints.edited(docs, fingerprints.fingerprints(docs))
+    canon = fingerprints.canonical(F.col("edited"))
+    both = both.withColumn("edited_digest", fingerprints.digest(canon))
+    equal = F.when(F.substring("fingerprint", 1, 32) == F.col("edited_digest"), fingerprints.canonical(F.col("text")) == canon).otherwise(False)
+    both = both.withColumn("equal", equal)
+    return both.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        F.when(F.col("equal"), F.col("fingerprint")).otherwise(F.col("edited_digest")).alias("edited_fingerprint"),
+        F.col("equal").cast("double").alias("near_edited"),
+        (F.col("fingerprint") == F.col("next_print")).cast("double").alias("near_next"),
+        "group_id",
+        "copies",
+    )
+
+
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """host and bad (quality 0 or toxic 1) of each page whose url names a labelled document: the number that ends its path."""
     named = pages.select(url_filter.host_of(F.col("url")).alias("host"), F.regexp_extract(url_filter.path_of(F.col("url")), r"/(\d{1,18})(?:\.html)?/?$", 1).alias("n"))
@@ -60,11 +107,15 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_fingerprints": op4_fingerprints,
     "op6_url_filter": op6_url_filter,
     "op8_warc": op8_warc,
     "op10_token_output": op10_token_output,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": ORACLE_OP1,
+}
