@@ -11,7 +11,9 @@ text. An empty table gives no rows. Other columns, whatever their names, play no
 
 from __future__ import annotations
 
+import gc
 import os
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -31,7 +33,6 @@ BLOOM_FPP = 0.01
 PLAIN = regex.compile(r"[\t\n\r -~¡-¨«-±´¶-¸»¿-ÿĀ-įĲ-ńŊ-ž]*")
 #: Entries of a worker's cache of blank-delimited chunks; it starts anew when full.
 CACHE_ENTRIES = 600_000
-WORDS_PER_CALL = 500
 #: Characters of text that are encoded together.
 GROUP_CHARS = 1 << 20
 #: Of ASCII, what PLAIN leaves out.
@@ -42,6 +43,18 @@ def is_plain(text: str) -> bool:
     return ODD_ASCII.search(text) is None if text.isascii() else PLAIN.fullmatch(text) is not None
 
 
+#: A full stop or comma between a letter or digit and a blank is a piece of its own, so it can stand apart: then most chunks
+#: are words, of which there are fewer than of words with their endings.
+ENDINGS = regex.compile(r"(?<=[\p{L}\p{N}])([.,])(?=[ \t\r\n]|\Z)")
+
+
+def byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Encodes texts as the tokenizers library does with one of its files, remembering the ids of chunks between blanks.
 
@@ -66,57 +79,55 @@ class WordEncoder:
         split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
         self.splits = None
         if steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed":
-            from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
-
             self.splits = regex.compile(split["pattern"]["Regex"])
-            self.model = Tokenizer.from_file(path)
-            self.model.encode_special_tokens = True
-            self.model.normalizer = None
-            self.model.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.model = Tokenizer.from_file(path).model
+            self.letters = byte_letters()
         self.chunks: dict[str, bytes] = {}
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids (little-endian) of words without blanks, by the library's model, many words to a call."""
-        ids: dict[str, bytes] = {}
-        for at in range(0, len(words), WORDS_PER_CALL):
-            some = words[at : at + WORDS_PER_CALL]
-            done = self.model.encode(" ".join(some), add_special_tokens=False)
-            flat = np.asarray(done.ids, "<u4").tobytes()
-            ends = 4 * np.searchsorted(np.asarray(done.word_ids, np.int64), np.arange(len(some)), side="right")
-            start = 0
-            for w, end in zip(some, ends.tolist()):
-                ids[w] = flat[start:end]
-                start = end
-        return ids
-
-    def _learn(self, new: list[str]) -> None:
+    def _word(self, word: str) -> bytes:
+        """Ids of one word by the library's model, which takes bytes as letters."""
+        known = self.chunks.get(word)
+        if known is None:
+            letters = word.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(letters)]
+            known = self.chunks[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return known
+
+    def _learn(self, new: set[str]) -> None:
         """Adds chunks to the cache. A chunk of letters alone is one word; others are split as the file says."""
-        plain = [c for c in new if c.isalpha()]
-        other = [c for c in new if not c.isalpha()]
-        pieces = list(map(self.splits.findall, other))
-        ids = self._words(list(set(chain(plain, *pieces))))
-        for c in plain:
-            self.chunks[c] = ids[c]
-        for c, ps in zip(other, pieces):
-            self.chunks[c] = b"".join(map(ids.__getitem__, ps))
+        for c in new:
+            if c.isalpha():
+                self._word(c)
+            else:
+                self.chunks[c] = b"".join(map(self._word, self.splits.findall(c)))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.lower().split() if self.splits is not None and is_plain(t) else None for t in texts]
-        flat = list(chain.from_iterable(c for c in split if c is not None))
-        ids = list(map(self.chunks.get, flat))
-        new = {c for c, x in zip(flat, ids) if x is None} if None in ids else set()
-        if new:
-            if len(self.chunks) + len(new) > CACHE_ENTRIES:
-                self.chunks.clear()
-            self._learn(list(new))
-            ids = [self.chunks[c] if x is None else x for c, x in zip(flat, ids)]
-        whole = lambda t: np.asarray(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        out, at = [], 0
-        for t, c in zip(texts, split):
-            out.append(whole(t) if c is None else b"".join(ids[at : at + len(c)]))
-            at += 0 if c is None else len(c)
-        return out
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here forms cycles, and the cache is long to walk through
+        try:
+            split = [ENDINGS.sub(r" \1", t.lower()).split() if self.splits is not None and is_plain(t) else None for t in texts]
+            flat = list(chain.from_iterable(c for c in split if c is not None))
+            ids = list(map(self.chunks.get, flat))
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            if gaps:
+                new = {flat[i] for i in gaps}
+                if len(self.chunks) + 2 * len(new) > CACHE_ENTRIES:
+                    self.chunks.clear()
+                self._learn(new)
+                for i in gaps:
+                    ids[i] = self.chunks[flat[i]]
+            out, at = [], 0
+            for t, c in zip(texts, split):
+                if c is None:
+                    out.append(np.asarray(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+                else:
+                    out.append(b"".join(ids[at : at + len(c)]))
+                    at += len(c)
+            return out
+        finally:
+            if collecting:
+                gc.enable()
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_many([text])[0], "<u4").tolist()
