@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that a Python worker gathers before it hands a batch back to the JVM.
@@ -50,6 +50,19 @@ def packed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Column) -> DataFrame:
+    """id, th (content hash) and text (null: empty) of every row, and more columns by name."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), *[c.alias(k) for k, c in more.items()])
+
+
+def same(left: DataFrame, right: DataFrame, how: str = "inner", **names: str) -> DataFrame:
+    """left joined to right on the document (id and content hash); a null id equals a null id."""
+    r = right.withColumnsRenamed({"id": "r_id", "th": "r_th"})
+    i, t = names.get("id", "id"), names.get("th", "th")
+    return left.join(r, F.col(i).eqNullSafe(F.col("r_id")) & (F.col(t) == F.col("r_th")), how).drop("r_id", "r_th")
+
+
 def arrow_rows(rows: Iterable[tuple], schema: pa.Schema, limit: int = OUT_BYTES) -> Iterator[pa.RecordBatch]:
     """Record batches of some ``limit`` bytes from tuples, sized by their strings and bytes."""
     held, size = [], 0

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import written
+from arcweave.llm.common import keyed, same, written
 
 #: Documents to a block of the order by id; only a block's first document takes part in the step over all blocks.
 BLOCK_ROWS = 4096
@@ -32,19 +32,6 @@ def digest(canon: Column) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(x), 16, "0") for x in lanes]))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, th (content hash) and text of every row."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-
-
-def same(left: DataFrame, right: DataFrame, how: str = "inner", **names: str) -> DataFrame:
-    """left joined to right on the document: right's id and th are renamed so that the join is null-safe."""
-    r = right.withColumnsRenamed({"id": "r_id", "th": "r_th"})
-    i, t = names.get("id", "id"), names.get("th", "th")
-    return left.join(r, F.col(i).eqNullSafe(F.col("r_id")) & (F.col(t) == F.col("r_th")), how).drop("r_id", "r_th")
-
-
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, th, n_chars and digest of every document (repeated rows once), written to the shared folder: small rows."""
     rows = keyed(docs, id_col, text_col).select("id", "th", F.length("text").cast("long").alias("n_chars"), digest(canonical(F.col("text"))).alias("digest"))

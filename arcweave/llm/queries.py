@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm import byte_bpe, fingerprints, line_dedup, quality, token_output, url_filter, warc
+from arcweave.llm import byte_bpe, fingerprints, line_dedup, quality, simhash, substring_dedup, token_output, url_filter, warc
 from arcweave.llm.common import table, work_folder
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -79,6 +79,37 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = substring_dedup.parse(table(spark, sf_dir, "documents"))
+    return parsed.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_OP5 = """
+WITH trimmed AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS x FROM documents),
+split AS (
+  SELECT doc_id, CASE WHEN x = '' THEN [] ELSE regexp_split_to_array(x, '[ \\t\\n\\x0B\\f\\r]+') END AS ws FROM trimmed),
+words AS (
+  SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM split),
+windows AS (
+  SELECT s.doc_id, p.pos, array_to_string(list_slice(s.ws, p.pos, p.pos + 12), ' ') AS win
+  FROM split s, LATERAL (SELECT unnest(range(1, len(s.ws) - 11)) AS pos) p),
+firsts AS (SELECT win, min(doc_id) AS first FROM windows GROUP BY win),
+late AS (SELECT w.doc_id, w.pos FROM windows w JOIN firsts f ON w.win = f.win WHERE f.first < w.doc_id),
+covered AS (SELECT DISTINCT doc_id, pos + k AS pos FROM late, range(13) t(k)),
+marked AS (
+  SELECT w.doc_id, w.pos, w.word, c.pos IS NOT NULL AS gone
+  FROM words w LEFT JOIN covered c ON w.doc_id = c.doc_id AND w.pos = c.pos),
+summed AS (
+  SELECT doc_id, count(*) AS n_words, sum(CAST(gone AS INTEGER)) AS n_removed,
+         string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n_words, 0) AS n_words, CAST(coalesce(s.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(s.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN summed s ON d.doc_id = s.doc_id
+"""
+
+
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """host and bad (quality 0 or toxic 1) of each page whose url names a labelled document: the number that ends its path."""
     named = pages.select(url_filter.host_of(F.col("url")).alias("host"), F.regexp_extract(url_filter.path_of(F.col("url")), r"/(\d{1,18})(?:\.html)?/?$", 1).alias("n"))
@@ -93,6 +124,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.clusters(table(spark, sf_dir, "documents"), shingle=3)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
@@ -111,11 +147,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_fingerprints": op4_fingerprints,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_url_filter": op6_url_filter,
+    "op7_simhash": op7_simhash,
     "op8_warc": op8_warc,
     "op10_token_output": op10_token_output,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": ORACLE_OP1,
+    "op5_substring_dedup": ORACLE_OP5,
 }
