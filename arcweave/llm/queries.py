@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm import byte_bpe, fingerprints, line_dedup, quality, simhash, substring_dedup, token_output, url_filter, warc
+from arcweave.llm import byte_bpe, decontaminate, fingerprints, line_dedup, quality, simhash, substring_dedup, token_output, url_filter, warc
 from arcweave.llm.common import table, work_folder
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -45,12 +45,20 @@ FROM marked GROUP BY doc_id
 """
 
 
+def held_out(doc_id: Column) -> Column:
+    """Whether a document belongs to the quarter that no model learns from."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def training_labels(labels: DataFrame) -> DataFrame:
+    return labels.where(~held_out(F.col("doc_id")))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bradley-Terry scores of all documents, fitted on labels outside the held-out quarter."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held = lambda c: F.coalesce(F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
-    model = quality.train(docs, labels.where(~held(F.col("doc_id"))))
-    scored = docs.select("doc_id", held(F.col("doc_id")).alias("held_out"), quality.score_column(model, F.col("text")).alias("score"))
+    model = quality.train(docs, training_labels(labels))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality.score_column(model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= model.cut).cast("int"))
 
 
@@ -134,6 +142,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per leaking document and benchmark item; documents that hold none have no row."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "ids")
     token_output.write_ids(table(spark, sf_dir, "documents"), folder, WORD_BPE, END_ID)
@@ -151,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_simhash": op7_simhash,
     "op8_warc": op8_warc,
+    "op9_decontaminate": op9_decontaminate,
     "op10_token_output": op10_token_output,
 }
 
