@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.llm.common import written
+
 #: Suffixes of two labels; any other host's suffix is its last label. A parameter of ``levels``.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
 #: Start of a level's prior when its outcomes show no spread: so many pages' worth of its parent's rate.
@@ -56,44 +58,45 @@ def levels(host: Column, two_label_suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXE
     }
 
 
+def strength(rows: DataFrame) -> float:
+    """k of a level's prior from its rows (n, bad, parent's mean m), by the method of moments: one row comes back."""
+    q = F.col("m") * (1 - F.col("m"))
+    ss, inside, scale = rows.agg(
+        F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("m"), 2)), F.sum(q), F.sum(F.col("n") * q)
+    ).first()
+    # E[ss] = sum q (1 + (n - 1) / (k + 1)), so 1 / (k + 1) = (ss - sum q) / (sum n q - sum q)
+    if ss is None or scale <= inside:
+        return FLAT_STRENGTH
+    r = (ss - inside) / (scale - inside)
+    return max(1 / min(r, 0.999) - 1, 0.01) if r > 1 / (FLAT_STRENGTH + 1) else FLAT_STRENGTH
+
+
 def reputation(outcomes: DataFrame) -> DataFrame:
     """Posterior bad rate of each labelled host. outcomes: host (string), bad (0 or 1), one row per labelled page.
 
-    Counts per host come first, so a host with very many pages is one row from there on. Each level's prior is
-    Beta(m * k, (1 - m) * k): m is the posterior mean of the level above (suffixes: the overall rate), k comes from the
-    spread of the level's rates around m by the method of moments. Returns h, d, s, n, the posterior's a and b at each
-    level: host a_h, b_h; domain a_d, b_d; suffix a_s, b_s.
+    Counts per host come first, so a host with very many pages is one row from there on; they and each level's posteriors
+    are written to the shared folder, which keeps the plans short. Each level's prior is Beta(m * k, (1 - m) * k): m is the
+    posterior mean of the level above (suffixes: the overall rate), k comes from the spread of the level's rates around m.
+    Returns h, d, s, n, the posterior's a and b at each level: host a_h, b_h; domain a_d, b_d; suffix a_s, b_s.
     """
     at = levels(F.col("host"))
     by_h = outcomes.where("bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("double")).alias("bad"))
     by_h = by_h.select(*[c.alias(k) for k, c in at.items()], "n", "bad").groupBy("h", "d", "s").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    by_h = written(by_h, "hosts")
     by_d = by_h.groupBy("d", "s").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     by_s = by_d.groupBy("s").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    whole = by_s.agg(((F.coalesce(F.sum("bad"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m"))
-
-    def shrunk(rows: DataFrame, parents: DataFrame, on: list[str], tag: str) -> DataFrame:
-        """rows with the posterior (a_tag, b_tag) under a prior around the parents' mean m."""
-        placed = rows.join(parents, on) if on else rows.join(F.broadcast(parents))
-        q = F.col("m") * (1 - F.col("m"))
-        spread = placed.agg(
-            F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("m"), 2)).alias("ss"),
-            F.sum(q).alias("inside"),
-            F.sum(F.col("n") * q).alias("scale"),
-        )
-        # E[ss] = sum q (1 + (n - 1) / (k + 1)), so 1 / (k + 1) = (ss - sum q) / (sum n q - sum q)
-        r = (F.col("ss") - F.col("inside")) / (F.col("scale") - F.col("inside"))
-        k = spread.select(
-            F.when((F.col("scale") > F.col("inside")) & (r > 1 / (FLAT_STRENGTH + 1)), F.greatest(1 / F.least(r, F.lit(0.999)) - 1, F.lit(0.01))).otherwise(F.lit(FLAT_STRENGTH)).alias("k")
-        )
-        out = placed.join(F.broadcast(k))  # one row
-        a, b = F.col("m") * F.col("k") + F.col("bad"), (1 - F.col("m")) * F.col("k") + F.col("n") - F.col("bad")
-        return out.withColumns({f"a_{tag}": a, f"b_{tag}": b}).drop("m", "k")
-
-    mean = lambda t: (F.col(f"a_{t}") / (F.col(f"a_{t}") + F.col(f"b_{t}"))).alias("m")
-    s = shrunk(by_s, whole, [], "s").drop("n", "bad")
-    d = shrunk(by_d, s.select("s", mean("s")), ["s"], "d").drop("n", "bad")
-    h = shrunk(by_h, d.select("d", "s", mean("d")), ["d", "s"], "h")
-    return h.join(d.select("d", "s", "a_d", "b_d"), ["d", "s"]).join(s.select("s", "a_s", "b_s"), "s")
+    n, bad = by_h.agg(F.sum("n"), F.sum("bad")).first()
+
+    def posterior(placed: DataFrame, tag: str) -> DataFrame:
+        """The rows with their posterior (a_tag, b_tag) and its mean m, under a prior around their parents' m."""
+        k = F.lit(strength(placed))
+        a, b = F.col("m") * k + F.col("bad"), (1 - F.col("m")) * k + F.col("n") - F.col("bad")
+        out = placed.withColumns({f"a_{tag}": a, f"b_{tag}": b}).withColumn("m", F.col(f"a_{tag}") / (F.col(f"a_{tag}") + F.col(f"b_{tag}")))
+        return written(out, f"posterior-{tag}")
+
+    s = posterior(by_s.withColumn("m", F.lit(((bad or 0.0) + 1) / ((n or 0) + 2))), "s").drop("n", "bad")
+    d = posterior(by_d.join(s, "s"), "d").drop("n", "bad")
+    return posterior(by_h.join(d, ["d", "s"]), "h").drop("m", "bad")
 
 
 def lower_bound(a: Column, b: Column, z: float = Z) -> Column:
