@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcweave.plans.components import components
+from arcweave.plans.shared import work_folder, written
+
+__all__ = ["arrow_rows", "components", "keyed", "packed", "same", "table", "work_folder", "written"]
+
 #: Bytes that a Python worker gathers before it hands a batch back to the JVM.
 OUT_BYTES = 4 << 20
 
@@ -18,29 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where that setting is absent and everything runs in one process (tests) a temporary folder stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="arcweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: lineage ends here and survives lost executors."""
-    path = work_folder(df.sparkSession, label)
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
 def packed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Columns ``id``, ``text`` (null: empty) and ``row``, the whole input row: no name of the input can clash."""
     return df.select(
@@ -74,40 +54,3 @@ def arrow_rows(rows: Iterable[tuple], schema: pa.Schema, limit: int = OUT_BYTES)
             held, size = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected ``edges`` (a, b): rows (node, root), root the smallest node reachable.
-
-    Alternates "large star" and "small star" steps: every node's neighbours are re-hung on the smallest one, until all
-    components are stars. A step is an aggregation (combined before the shuffle, so a node with very many links costs
-    little) and an equi-join that adaptive execution may split. Each round is written to the shared folder. Nodes
-    without links do not appear. Loops and repeated links are allowed, null ends are dropped.
-    """
-
-    def hung(links: DataFrame, small: bool) -> DataFrame:
-        # small star: from each node to its smaller neighbours; large star: over all neighbours, re-hanging the larger.
-        both = links if small else links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        out = both.join(least, "a")
-        if small:
-            return out.select(F.explode(F.array(F.struct(F.col("b").alias("x")), F.struct(F.col("a").alias("x")))).alias("s"), "m").select(
-                F.col("s.x").alias("a"), F.col("m").alias("b")
-            )
-        return out.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-
-    def tidy(links: DataFrame) -> DataFrame:
-        return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-
-    now = written(tidy(edges.select("a", "b")), "links")
-    before = None
-    for _ in range(max_rounds):
-        now = written(tidy(hung(tidy(hung(now, False)), True)), "links")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == before:
-            break
-        before = seen
-    else:
-        raise RuntimeError(f"components: not settled in {max_rounds} rounds")
-    stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())

@@ -18,6 +18,8 @@ TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "
 FLAT_STRENGTH = 1000.0
 #: A host is blocked if the lower bound of its bad rate (posterior mean less Z deviations) is above MAX_BAD.
 Z, MAX_BAD = 1.645, 0.35
+#: Tasks that share a host's pages in the join.
+SALTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -112,8 +114,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], i
     """id, host, path, rule, verdict and ``by`` (rule or reputation) of every page.
 
     Outcomes: host, bad. A host without labelled pages takes its domain's posterior, else its suffix's, else is allowed.
-    Verdicts are made once per distinct host (found by a combined aggregation) and joined to the pages by host, a join
-    that adaptive execution broadcasts if small and splits where one host holds very many pages.
+    Verdicts are made once per distinct host (found by a combined aggregation) and joined to the pages by host and salt, so
+    that a host of very many pages is no task of its own.
     """
     src = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rule, action = fitting_rule(F.col("host"), F.col("path"), rules)
@@ -126,7 +128,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], i
     hosts = src.select("host").distinct().withColumns(levels(F.col("host")))
     hosts = hosts.join(h_bad, "h", "left").join(d_bad, "d", "left").join(s_bad, "s", "left")
     method = F.when(F.coalesce("h_bad", "d_bad", "s_bad", F.lit(False)), "block").otherwise("allow")
-    out = src.join(hosts.select("host", method.alias("method")), "host")
+    # a host's pages are dealt to SALTS tasks by their id, its verdict is copied to all of them
+    salted = hosts.select("host", method.alias("method"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    out = src.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(salted, ["host", "salt"])
     return out.select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("action", "method").alias("verdict"), F.when(F.col("rule").isNotNull(), "rule").otherwise("reputation").alias("by")
     )
