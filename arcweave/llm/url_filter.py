@@ -16,6 +16,8 @@ from arcweave.llm.common import written
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
 #: Start of a level's prior when its outcomes show no spread: so many pages' worth of its parent's rate.
 FLAT_STRENGTH = 1000.0
+#: A prior is worth so many pages at least: one page alone never speaks against its host.
+MIN_STRENGTH = 4.0
 #: A host is blocked if the lower bound of its bad rate (posterior mean less Z deviations) is above MAX_BAD.
 Z, MAX_BAD = 1.645, 0.35
 #: Tasks that share a host's pages in the join.
@@ -70,7 +72,7 @@ def strength(rows: DataFrame) -> float:
     if ss is None or scale <= inside:
         return FLAT_STRENGTH
     r = (ss - inside) / (scale - inside)
-    return max(1 / min(r, 0.999) - 1, 0.01) if r > 1 / (FLAT_STRENGTH + 1) else FLAT_STRENGTH
+    return max(1 / min(r, 0.999) - 1, MIN_STRENGTH) if r > 1 / (FLAT_STRENGTH + 1) else FLAT_STRENGTH
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
