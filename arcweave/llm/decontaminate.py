@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.llm.common import written
+
 EDIT_SHARE = 0.1
 MIN_WORDS = 5
 TARGET_RECALL = 0.98
@@ -237,12 +239,13 @@ def finder(items: tuple[tuple[int, str], ...], share: float, target: float) -> F
     return Finder(items, share, target)
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, most: int = ITEM_CHARS) -> list[tuple[tuple[int, str], ...]]:
-    """The items in blocks of about ``most`` characters at most, each fetched by itself after its size was checked."""
-    rows = items.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def item_blocks(items: DataFrame, id_col: str, text_col: str, most: int = ITEM_CHARS) -> Iterator[tuple[tuple[tuple[int, str], ...], bool]]:
+    """(items, whether there are more blocks): blocks of about ``most`` characters at most, each fetched by itself."""
+    rows = items.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = 1 + 2 * (chars // most)
-    return [tuple(sorted((r.id, r.text) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect() if r.id is not None)) for b in range(n)]
+    n = 1 if chars <= most else 1 + 2 * (chars // most)
+    for b in range(n):
+        yield tuple(sorted((r.id, r.text) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect())), n > 1
 
 
 def findings_column(text: Column, items: tuple[tuple[int, str], ...], share: float, target: float) -> Column:
@@ -265,17 +268,22 @@ def findings_column(text: Column, items: tuple[tuple[int, str], ...], share: flo
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE, target: float = TARGET_RECALL) -> DataFrame:
-    """One row (id, item_id, start, length, distance) per document and item found in it. No shuffle of the texts."""
+    """One row (id, item_id, start, length, distance) per document and item found in it. No shuffle of the texts.
+
+    Items of more than one block are sought block by block, each pass written to the shared folder.
+    """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = None
-    for block in item_blocks(benchmark, item_id, item_text):
+    for block, more in item_blocks(benchmark, item_id, item_text):
         rows = src.select("id", F.explode(findings_column(F.col("text"), block, share, target)).alias("f")).select(F.col("id").alias(id_col), "f.*")
+        rows = written(rows, "leaks") if more else rows
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE, target: float = TARGET_RECALL) -> DataFrame:
-    """The documents, unchanged, that hold no item."""
-    for block in item_blocks(benchmark, item_id, item_text):
+    """The documents, unchanged, that hold no item. Items of more than one block are sought block by block."""
+    for block, more in item_blocks(benchmark, item_id, item_text):
         docs = docs.where(F.size(findings_column(F.coalesce(F.col(text_col), F.lit("")), block, share, target)) == 0)
+        docs = written(docs, "clean") if more else docs
     return docs

@@ -142,6 +142,83 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
 
 
+def level_sql(tag: str, rows: str) -> str:
+    """CTEs of one level of the reputation: rows (with n, bad and the parent's mean m) to its posterior a, b and mean."""
+    return f"""
+placed_{tag} AS (SELECT * FROM ({rows})),
+sums_{tag} AS (
+  SELECT sum(n * pow(bad / n - m, 2)) AS ss, sum(m * (1 - m)) AS inside, sum(n * m * (1 - m)) AS scale FROM placed_{tag}),
+k_{tag} AS (
+  SELECT CASE WHEN ss IS NULL OR scale <= inside OR (ss - inside) / (scale - inside) <= 1.0::DOUBLE / {url_filter.FLAT_STRENGTH + 1} THEN {url_filter.FLAT_STRENGTH}::DOUBLE
+              ELSE greatest(1 / least((ss - inside) / (scale - inside), 0.999::DOUBLE) - 1, {url_filter.MIN_STRENGTH}::DOUBLE) END AS k FROM sums_{tag}),
+beta_{tag} AS (SELECT p.* EXCLUDE (n, bad, m), m * k + bad AS a, (1 - m) * k + n - bad AS b FROM placed_{tag} p, k_{tag}),
+{tag} AS (
+  SELECT *, a / (a + b) AS m, a / (a + b) - {url_filter.Z}::DOUBLE * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) > {url_filter.MAX_BAD}::DOUBLE AS blocked FROM beta_{tag})"""
+
+
+ORACLE_OP6 = (
+    r"""
+WITH parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM parts),
+names AS (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS h FROM parts),
+levels AS (
+  SELECT host, h, string_split(h, '.') AS x, regexp_matches(h, '^[0-9]+([.][0-9]+){3}$|^\[') AS address,
+         array_to_string(list_slice(string_split(h, '.'), greatest(len(string_split(h, '.')) - 1, 1), len(string_split(h, '.'))), '.') AS last2,
+         array_to_string(list_slice(string_split(h, '.'), greatest(len(string_split(h, '.')) - 2, 1), len(string_split(h, '.'))), '.') AS last3
+  FROM names),
+placed AS (
+  SELECT host, h,
+         CASE WHEN address THEN h WHEN last2 IN (SUFFIXES) THEN last3 ELSE last2 END AS d,
+         CASE WHEN address THEN h WHEN last2 IN (SUFFIXES) THEN last2 ELSE x[len(x)] END AS s
+  FROM levels),
+marked AS (
+  SELECT doc_id AS id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+outcomes AS (
+  SELECT host, bad FROM parts JOIN marked ON TRY_CAST(nullif(regexp_extract(path, '/([0-9]{1,18})(?:[.]html)?/?$', 1), '') AS BIGINT) = id WHERE host <> ''),
+by_h AS (SELECT h, d, s, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM outcomes JOIN placed USING (host) GROUP BY 1, 2, 3),
+by_d AS (SELECT d, s, sum(n) AS n, sum(bad) AS bad FROM by_h GROUP BY 1, 2),
+by_s AS (SELECT s, sum(n) AS n, sum(bad) AS bad FROM by_d GROUP BY 1),
+overall AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM by_h),""".replace("SUFFIXES", ", ".join(f"'{x}'" for x in url_filter.TWO_LABEL_SUFFIXES))
+    + ",".join(
+        [
+            level_sql("ps", "SELECT s, n, bad, m FROM by_s, overall"),
+            level_sql("pd", "SELECT d, by_d.s, by_d.n, by_d.bad, ps.m FROM by_d JOIN ps ON by_d.s = ps.s"),
+            level_sql("ph", "SELECT h, by_h.d, by_h.s, by_h.n, by_h.bad, pd.m FROM by_h JOIN pd ON by_h.d = pd.d AND by_h.s = pd.s"),
+        ]
+    )
+    + """
+SELECT page_id, r.host, path, rule,
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN coalesce(ph.blocked, pd.blocked, ps.blocked, false) THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled r JOIN placed p ON r.host = p.host LEFT JOIN ph ON p.h = ph.h LEFT JOIN pd ON p.d = pd.d LEFT JOIN ps ON p.s = ps.s
+"""
+)
+
+ORACLE_OP8 = """
+WITH given AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+owned AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS owner FROM given),
+bits AS (
+  SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((CAST('0x' || substr(hex, 5 * CAST(k // 4 AS INTEGER) + 1, 5) AS INTEGER) >> (15 - 5 * CAST(k % 4 AS INTEGER))) & 31), 1), '' ORDER BY k) AS digest
+  FROM given, range(32) t(k) GROUP BY page_id)
+SELECT o.page_id, CAST(strlen(o.html) AS BIGINT) AS payload_bytes, b.digest AS payload_digest,
+       CASE WHEN o.page_id < o.owner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN o.page_id < o.owner THEN o.owner END AS refers_to, true AS digest_ok
+FROM owned o JOIN bits b ON o.page_id = b.page_id
+"""
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per leaking document and benchmark item; documents that hold none have no row."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -171,4 +248,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_line_dedup": ORACLE_OP1,
     "op5_substring_dedup": ORACLE_OP5,
+    "op6_url_filter": ORACLE_OP6,
+    "op8_warc": ORACLE_OP8,
 }
