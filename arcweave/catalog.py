@@ -13,7 +13,6 @@ from arcweave.operators import products, setops
 from arcweave.operators.matrices import Matrix
 from arcweave.operators.vectors import Vec
 from arcweave.plans import closure, graphs, levels, social, voting
-from arcweave.plans.shared import written
 from arcweave.sources import derive, random_graphs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,7 +106,7 @@ def few_players(spark, sf, n: int = 12) -> Matrix:
     v = derive.approvals(spark, sf)
     first = v.vertices().below(n)
     few = v.restrict_rows(first)
-    return few.like(written(few.cells, "few"), rows=written(first.df.select(F.col("key").alias("id")), "players"))
+    return few.like(few.cells, rows=first.df.select(F.col("key").alias("id"))).stored()
 
 
 @query(
@@ -550,8 +549,7 @@ def betweenness(spark, sf):
 
 def trade_flow(spark, sf) -> tuple[Matrix, Matrix, Matrix]:
     """Capacities, flow and residual from nation 0 to nation 7."""
-    capacity = derive.nation_trade(spark, sf)
-    capacity = capacity.like(written(capacity.cells, "capacity"))
+    capacity = derive.nation_trade(spark, sf).stored()
     return (capacity, *graphs.maximum_flow(capacity, 0, 7))
 
 

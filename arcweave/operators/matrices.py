@@ -16,6 +16,7 @@ from arcweave.functions.paths import arcs_of
 from arcweave.operators import setops
 from arcweave.operators.setops import CELL
 from arcweave.operators.vectors import Vec
+from arcweave.plans.shared import written
 
 Op = Callable[[Column, Column], Column]
 
@@ -25,6 +26,7 @@ class Matrix:
     cells: DataFrame
     rows: DataFrame
     algebra: Algebra = UNIT
+    kept: bool = False
 
     @staticmethod
     def of(cells: DataFrame, algebra: Algebra = UNIT, rows: DataFrame | None = None) -> Matrix:
@@ -37,7 +39,13 @@ class Matrix:
         return Matrix(cells, rows, algebra)
 
     def like(self, cells: DataFrame, algebra: Algebra | None = None, rows: DataFrame | None = None) -> Matrix:
-        return replace(self, cells=cells.select("src", "dst", "val"), algebra=algebra or self.algebra, rows=self.rows if rows is None else rows)
+        return replace(self, cells=cells.select("src", "dst", "val"), algebra=algebra or self.algebra, rows=self.rows if rows is None else rows, kept=False)
+
+    def stored(self) -> Matrix:
+        """The same matrix as tables in the shared folder, for loops that read it in every round; once is enough."""
+        if self.kept:
+            return self
+        return replace(self, cells=written(self.cells, "cells"), rows=written(self.rows, "rows"), kept=True)
 
     @property
     def spark(self) -> SparkSession:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,7 @@ def per_root(g: Matrix, mult=products.first_vector_label) -> DataFrame:
     On graphs whose arcs go both ways this is a search from the least vertex of each component, run for all components at
     once. On others the result depends on the order of the roots by definition, and they are taken one by one.
     """
+    g = g.stored()
     turned = g.cells.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     if g.cells.join(turned, ["src", "dst"], "left_anti").isEmpty():
         root = written(weak_components(g), "roots")
@@ -76,6 +79,7 @@ def is_weak_bipartition(g: Matrix, side: DataFrame) -> bool:
 
 def bipartition(g: Matrix) -> DataFrame | None:
     """(key, side), or None if the graph has none."""
+    g = g.stored()
     side = written(sides(g), "sides")
     return side if is_weak_bipartition(g, side) else None
 
@@ -108,7 +112,8 @@ def inner_arcs(g: Matrix, keys: Vec) -> Vec:
 def _flip(m: Matrix, rest: Matrix, arcs: DataFrame) -> tuple[Matrix, Matrix]:
     """Arcs change places between matching and rest; arcs: (src, dst), both ways."""
     moved = Matrix(arcs.select("src", "dst", F.lit(True).alias("val")), m.rows, UNIT)
-    return m.like(written(m.symmetric_difference(moved).cells, "matching"), rows=m.rows), rest.like(written(rest.symmetric_difference(moved).cells, "rest"), rows=m.rows)
+    flipped = [written(x.symmetric_difference(moved).cells, "flipped") for x in (m, rest)]
+    return replace(m, cells=flipped[0], kept=True), replace(rest, cells=flipped[1], kept=True)
 
 
 def _arcs_of_paths(paths: DataFrame) -> DataFrame:
@@ -133,13 +138,13 @@ def augmenting_path(m: Matrix, rest: Matrix) -> DataFrame | None:
 
 def maximum_matching(g: Matrix) -> tuple[Matrix, Matrix]:
     """(matching, the other arcs), one augmenting path per round."""
-    g = g.units()
+    g = g.units().stored()
 
     def step(state):
         path = augmenting_path(*state)
         return None if path is None else _flip(*state, _arcs_of_paths(path))
 
-    return levels.improve((g.emptied(), g), step)
+    return levels.improve((g.emptied().stored(), g), step)
 
 
 def augmenting_paths(m: Matrix, rest: Matrix) -> DataFrame:
@@ -157,13 +162,13 @@ def augmenting_paths(m: Matrix, rest: Matrix) -> DataFrame:
 
 def maximum_matching_by_phases(g: Matrix) -> tuple[Matrix, Matrix]:
     """(matching, the other arcs), all disjoint shortest augmenting paths per round: few rounds. For bipartite graphs."""
-    g = g.units()
+    g = g.units().stored()
 
     def step(state):
         paths = written(augmenting_paths(*state), "paths")
         return None if paths.isEmpty() else _flip(*state, _arcs_of_paths(paths))
 
-    return levels.improve((g.emptied(), g), step)
+    return levels.improve((g.emptied().stored(), g), step)
 
 
 # --- vertex covers
@@ -178,6 +183,7 @@ def alternating_reachable(m: Matrix, rest: Matrix, within: Vec) -> Vec:
 
 def minimum_vertex_cover(g: Matrix) -> DataFrame | None:
     """(key): a least set of vertices that touches every arc of a bipartite graph; None for other graphs."""
+    g = g.stored()
     side = bipartition(g)
     if side is None:
         return None
@@ -233,6 +239,7 @@ def maximum_flow(capacity: Matrix, source: int, sink: int) -> tuple[Matrix, Matr
     """
     if source == sink:
         raise ValueError("source and sink are the same vertex")
+    capacity = capacity.stored()
 
     def step(residual):
         found = augmenting_flow_path(residual, source, sink)
@@ -242,7 +249,7 @@ def maximum_flow(capacity: Matrix, source: int, sink: int) -> tuple[Matrix, Matr
         arcs = residual.spark.createDataFrame(pa.table({"src": path[:-1], "dst": path[1:]})).withColumn("val", F.lit(width).cast(capacity.algebra.kind))
         along = residual.like(arcs)
         changed = residual.minus(along).plus(along.transposed(), drop_zeros=True)
-        return residual.like(written(changed.cells, "residual"), rows=capacity.rows)
+        return replace(capacity, cells=written(changed.cells, "residual"), kept=True)
 
     residual = levels.improve(capacity.without_zeros(), step)
     flow = capacity.cells.join(residual.cells.withColumnRenamed("val", "left"), ["src", "dst"], "left").withColumn("val", F.col("val") - F.coalesce("left", F.lit(0)))

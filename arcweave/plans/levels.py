@@ -47,7 +47,7 @@ def steps(start: Vec, graphs: Matrix | list[Matrix], mults: Step | list[Step] =
     candidates (column key; default: the rows of the first graph). With a target (column key) the loop ends at the first
     level that meets it.
     """
-    gs = _as_list(graphs, 1)
+    gs = [g.stored() for g in _as_list(graphs, 1)]
     ms = _as_list(mults, len(gs))
     within = gs[0].rows.select(F.col("id").alias("key")) if candidates is None and gs else candidates
     current = written(start.df.select("key", "val"), "level")
@@ -97,7 +97,7 @@ def forest(start: Vec, graphs, target: Vec | None = None, first: DataFrame | Non
 
     ``first`` holds arcs (vertex, pred) that lead into the start from before it (level 0, kept in the forest).
     """
-    gs = _as_list(graphs, 1)
+    gs = [g.stored() for g in _as_list(graphs, 1)]
     within = gs[0].rows.select(F.col("id").alias("key")) if candidates is None else candidates
     goal = None if target is None else target.df.select("key")
     current = written(start.df.select("key"), "level")

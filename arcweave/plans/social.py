@@ -30,6 +30,7 @@ def clustering_candidate(g: Matrix) -> DataFrame:
 
 def is_clustered(g: Matrix) -> bool:
     """No negative arc within a component of positive arcs."""
+    g = g.stored()
     c = written(clustering_candidate(g), "clusters")
     ends = negative(g).cells.join(c.select(F.col("id").alias("src"), F.col("cluster").alias("a")), "src").join(c.select(F.col("id").alias("dst"), F.col("cluster").alias("b")), "dst")
     return ends.where("a = b").isEmpty()
@@ -70,6 +71,7 @@ def betweenness(g: Matrix, closed_walks: bool = True) -> DataFrame:
     Pairs with v = w count if v lies on a cycle, unless closed_walks is off. Shares of one pair have one denominator, so they
     are summed per denominator first; fractions with different denominators meet in one task per vertex.
     """
+    g = g.stored()
     d = written(geodesics(g), "geodesics")
     first = d.select(F.col("src").alias("v"), F.col("dst").alias("t"), F.col("len").alias("d1"), F.col("cnt").alias("c1"))
     last = d.select(F.col("src").alias("t"), F.col("dst").alias("w"), F.col("len").alias("d2"), F.col("cnt").alias("c2"))

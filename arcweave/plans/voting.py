@@ -60,6 +60,7 @@ def minimal_removal(v: Matrix, alternative: int) -> DataFrame:
     All sets are judged in one plan: the votes left to an alternative are counted on the mask of its approvers, one row
     per alternative.
     """
+    v = v.stored()
     bound = at_least(v, alternative).first().val
     mask = F.sum(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("src").cast("int")))
     approvers = v.cells.groupBy("dst").agg(mask.alias("approvers"))
