@@ -88,7 +88,8 @@ class WordEncoder:
         """Ids of one word by the library's model, which takes bytes as letters."""
         known = self.chunks.get(word)
         if known is None:
-            letters = word.encode().decode("latin-1").translate(self.letters)
+            # printable ASCII stands for itself in the byte-level alphabet, and a word holds nothing else of ASCII
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
             ids = [t.id for t in self.model.tokenize(letters)]
             known = self.chunks[word] = struct.pack(f"<{len(ids)}I", *ids)
         return known
@@ -173,7 +174,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, id
     rows = dealt.mapInArrow(run, f"doc_id {id_type.simpleString()}, part int, seq long, n_tokens long, ids array<int>")
     (
         rows.write.format("orc")
-        .option("compression", "zstd")
+        .option("compression", "snappy")
         .option("orc.stripe.size", STRIPE_BYTES)
         .option("orc.row.index.stride", ROW_INDEX_STRIDE)
         .option("orc.create.index", "true")
