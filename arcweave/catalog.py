@@ -577,3 +577,180 @@ def balance(spark, sf):
 def random_graph_count(spark, sf):
     n = derive.nations(spark, sf).count()
     return random_graphs.random_graph(spark, n, 0.25, seed=5).cells.agg(F.count("*").alias("n"))
+
+
+# --- further operators
+
+
+@query(
+    f"""WITH RECURSIVE {TRADE},
+hops(src, dst, len) AS (SELECT src, dst, 1 FROM trade UNION SELECT hops.src, trade.dst, len + 1 FROM hops JOIN trade ON hops.dst = trade.src WHERE len < 25),
+far AS (SELECT src, dst, min(len) AS len FROM hops GROUP BY 1, 2),
+walks(src, dst, len) AS (
+  SELECT src, dst, 1 FROM trade
+  UNION ALL SELECT walks.src, trade.dst, walks.len + 1 FROM walks JOIN trade ON walks.dst = trade.src JOIN far ON far.src = walks.src AND far.dst = trade.dst AND far.len = walks.len + 1)
+SELECT src, dst, len, count(*) AS cnt FROM walks GROUP BY 1, 2, 3"""
+)
+def geodesics(spark, sf):
+    return closure.geodesics(derive.nation_trade(spark, sf)).select("src", "dst", "len", F.col("cnt").cast("bigint").alias("cnt"))
+
+
+@query(
+    f"""WITH RECURSIVE {TRADE}, pairs AS (SELECT src, dst FROM trade UNION SELECT dst, src FROM trade),
+reach(src, dst) AS (SELECT id, id FROM ids UNION SELECT reach.src, pairs.dst FROM reach JOIN pairs ON reach.dst = pairs.src)
+SELECT src, dst, true AS val FROM reach"""
+)
+def symmetric_star_closure(spark, sf):
+    return cells(closure.symmetric_star_closure(derive.nation_trade(spark, sf).booleans()))
+
+
+@query(
+    f"""WITH RECURSIVE {SIGNED}, walk(src, dst, sign) AS (
+  SELECT src, dst, CASE WHEN val = '+' THEN 1 ELSE -1 END FROM signed
+  UNION SELECT walk.src, signed.dst, sign * CASE WHEN signed.val = '+' THEN 1 ELSE -1 END FROM walk JOIN signed ON walk.dst = signed.src)
+SELECT src, dst, CASE WHEN count(*) = 2 THEN '+-' WHEN min(sign) = 1 THEN '++' ELSE '--' END AS val FROM walk GROUP BY 1, 2"""
+)
+def closure_balanced(spark, sf):
+    """Signs of all walks between two nations."""
+    return cells(closure.closure(derive.signed_trade(spark, sf).map(alg.sign_to_balanced, alg.BALANCED)))
+
+
+@query(
+    f"""WITH RECURSIVE {SIGNED}, walk(src, dst, negatives) AS (
+  SELECT src, dst, CASE WHEN val = '+' THEN 0 ELSE 1 END FROM signed
+  UNION SELECT walk.src, signed.dst, least(2, negatives + CASE WHEN signed.val = '+' THEN 0 ELSE 1 END) FROM walk JOIN signed ON walk.dst = signed.src)
+SELECT src, dst, CASE WHEN bool_or(negatives = 0) AND bool_or(negatives = 1) THEN 'a' WHEN bool_or(negatives = 0) THEN 'p' WHEN bool_or(negatives = 1) THEN 'n' ELSE 'q' END AS val
+FROM walk GROUP BY 1, 2"""
+)
+def closure_clustered(spark, sf):
+    """Whether walks between two nations have no, one or only more negative arcs."""
+    return cells(closure.closure(derive.signed_trade(spark, sf).map(alg.sign_to_clustered, alg.CLUSTERED)))
+
+
+@query(f"WITH {TRADE} SELECT a.src, b.dst, max(least(a.val, b.val)) AS val FROM trade a JOIN trade b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY 1, 2 HAVING max(least(a.val, b.val)) > 40000")
+def filter_matrix(spark, sf):
+    m = derive.nation_trade(spark, sf, alg.widest())
+    two = products.mat_mat(m, m)
+    return cells(two.drop(two.identity()).filter(lambda v: v > 40000))
+
+
+@query(f"WITH {TRADE} SELECT t.src, t.dst, true AS val FROM trade t JOIN trade u ON t.src = u.dst AND t.dst = u.src")
+def common_arcs(spark, sf):
+    m = derive.nation_trade(spark, sf)
+    return cells(m.common_arcs(m.transposed()))
+
+
+@query(f"WITH {TRADE} SELECT id, (SELECT sum(val)::BIGINT FROM trade WHERE src = id) AS val FROM ids")
+def per_vertex_sum(spark, sf):
+    return derive.nation_trade(spark, sf).per_vertex(F.sum("val"))
+
+
+@query(f"WITH {SUPPLY} SELECT src, dst, val FROM supply WHERE src IN (SELECT src FROM supply GROUP BY src HAVING count(*) % 2 = 0)")
+def filter_adjacencies(spark, sf):
+    return cells(derive.supply(spark, sf).filter_rows(F.count("*") % 2 == 0))
+
+
+@query(f"WITH {TRADE} SELECT src, dst, sum(val)::BIGINT AS val FROM (SELECT src, dst, val FROM trade UNION ALL SELECT id, id, 1 FROM ids) GROUP BY 1, 2")
+def with_identity(spark, sf):
+    return cells(closure.with_identity(derive.nation_trade(spark, sf)))
+
+
+@query(f"WITH {TRADE} SELECT src, dst, CASE WHEN src = 3 AND dst = 4 THEN -1 ELSE val END AS val FROM trade UNION SELECT 3, 4, -1")
+def put_cell(spark, sf):
+    return cells(derive.nation_trade(spark, sf).put(3, 4, F.lit(-1).cast("bigint")).put(99, 1, F.lit(5).cast("bigint")))
+
+
+@query(f"WITH {TWO} SELECT key, CASE WHEN b.val IS NULL THEN a.val * 100 + a.val WHEN a.val IS NULL THEN b.val ELSE a.val * 100 + (b.val * 100 + a.val) END AS val FROM a FULL JOIN b USING (key)")
+def union_op_of_many(spark, sf):
+    a, b = two_vectors(spark, sf)
+    return setops.union_many([a.df, b.df, a.df], lambda x, y: x * 100 + y)
+
+
+@query(f"WITH {TWO} SELECT key, concat_ws(' ', a.val, b.val) AS vals FROM a FULL JOIN b USING (key)")
+def union_lists(spark, sf):
+    a, b = two_vectors(spark, sf)
+    both = setops.union_lists([v.map(lambda x: F.array(x)).df for v in (a, b)])
+    return both.select("key", F.array_join(F.col("val").cast("array<string>"), " ").alias("vals"))
+
+
+@query(f"WITH {TWO} SELECT key, CASE WHEN b.val IS NULL THEN a.val WHEN a.val IS NULL THEN b.val ELSE a.val - b.val END AS val FROM a FULL JOIN b USING (key) WHERE a.val IS NULL OR b.val IS NULL OR a.val > b.val")
+def sym_diff_op(spark, sf):
+    a, b = two_vectors(spark, sf)
+    return setops.symmetric_difference_with(a.df, b.df, lambda x, y: F.when(x > y, x - y))
+
+
+@query(f"WITH {TWO} SELECT string_agg(key || '=' || val, ',' ORDER BY key) AS val FROM a WHERE key < 40")
+def ordered_fold(spark, sf):
+    """A right fold: the lowest key is merged last and stands in front."""
+    a, _ = two_vectors(spark, sf)
+    entry = lambda k, v, rest: F.concat(k.cast("string"), F.lit("="), v.cast("string"), F.when(rest == "", "").otherwise(F.concat(F.lit(","), rest)))
+    return a.below(40).fold(entry, F.lit(""))
+
+
+@query(f"WITH {TWO} SELECT key, val FROM a WHERE key <> 3 AND key <> 7 UNION ALL SELECT 7, 0")
+def insert_delete(spark, sf):
+    return two_vectors(spark, sf)[0].delete(3).insert(7, F.lit(0)).df
+
+
+@query(f"WITH {TWO} SELECT key, greatest(val, 0) AS val FROM a WHERE val = (SELECT max(val) FROM a)")
+def restrict_to_greatest(spark, sf):
+    return two_vectors(spark, sf)[0].restrict_to_greatest().df
+
+
+CHAINS = "chains AS (SELECT p_size AS id, list(p_partkey ORDER BY p_partkey) AS path FROM part WHERE p_partkey < 400 GROUP BY 1)"
+
+
+@query(
+    f"""WITH {CHAINS}
+SELECT id, len(path) AS n, array_to_string(list_reverse(path), '->') AS reversed, len(path) - 1 AS arcs, path[1] AS first_src, path[2] AS first_dst FROM chains"""
+)
+def path_functions(spark, sf):
+    """Paths of parts of one size: lengths count vertices."""
+    parts = derive.table(spark, sf, "part").where("p_partkey < 400").groupBy(F.col("p_size").alias("id")).agg(F.array_sort(F.collect_list("p_partkey")).alias("path"))
+    p, arcs = F.col("path"), paths.arcs_of(F.col("path"))
+    first = F.get(arcs, F.lit(0))
+    return parts.select(
+        "id", paths.n_vertices(p).cast("bigint").alias("n"), paths.show_path(paths.reverse_path(p)).alias("reversed"), F.size(arcs).cast("bigint").alias("arcs"),
+        F.coalesce(first["src"], F.get(p, F.lit(0))).alias("first_src"), first["dst"].alias("first_dst"),
+    )
+
+
+@query(f"WITH {CHAINS} SELECT id, array_to_string(list_slice(path, 1, 3), ' ') AS vertices, CASE WHEN len(path) >= 3 THEN 'x y' WHEN len(path) = 2 THEN 'x' ELSE '' END AS labels FROM chains")
+def labelled_paths(spark, sf):
+    parts = derive.table(spark, sf, "part").where("p_partkey < 400").groupBy(F.col("p_size").alias("id")).agg(F.array_sort(F.collect_list("p_partkey")).alias("path"))
+    later = F.slice("path", F.lit(2), F.lit(2))
+    steps = F.transform(later, lambda v, i: F.struct(F.when(i == 0, "x").otherwise("y").alias("label"), v.alias("vertex")))
+    back = paths.reverse_labelled(paths.reverse_labelled(paths.labelled_from(F.get("path", F.lit(0)), steps)))
+    there = parts.select("id", paths.from_interleaved(paths.interleaved(back)).alias("p"))
+    return there.select("id", F.array_join(paths.vertices_of(F.col("p")).cast("array<string>"), " ").alias("vertices"), F.array_join(paths.labels_of(F.col("p")), " ").alias("labels"))
+
+
+@query("SELECT CAST(bit_count(range) AS INTEGER) AS size, count(*) AS n FROM range(4096) WHERE bit_count(range) >= 3 GROUP BY 1")
+def subset_sizes(spark, sf):
+    return voting.subsets(few_players(spark, sf), 3).groupBy("size").agg(F.count("*").alias("n"))
+
+
+@query(
+    "SELECT range AS key, range * 5 AS fivefold, range * range * range AS cube, CASE WHEN range % 3 = 0 THEN 'Min' WHEN range % 3 = 1 THEN CAST(range AS VARCHAR) ELSE 'Max' END AS shown FROM range(30)"
+)
+def scalar_functions(spark, sf):
+    """Multiples, powers and text of labels."""
+    k = F.col("id")
+    t = F.when(k % 3 == 0, alg.TROPICAL.one()).when(k % 3 == 1, alg.finite(k)).otherwise(alg.TROPICAL.zero())
+    return spark.range(30).select(k.alias("key"), alg.NUMBER.multiple(5, k).alias("fivefold"), alg.NUMBER.power(k, 3).alias("cube"), alg.show_tropical(t).alias("shown"))
+
+
+@query(f"WITH {TRADE} SELECT id, coalesce((SELECT string_agg(dst || ':' || val, ' ' ORDER BY dst) FROM trade WHERE src = id), '') AS line FROM ids")
+def show_rows(spark, sf):
+    return derive.nation_trade(spark, sf).show_rows()
+
+
+@query()
+def regular_closure(spark, sf):
+    """Regular expressions of all walks among three nations."""
+    m = derive.nation_trade(spark, sf)
+    few = m.vertices().below(3)
+    m = m.restrict_rows(few).restrict_columns(few)
+    m = m.like(m.cells, rows=few.df.select(F.col("key").alias("id")))
+    named = m.map_with_keys(lambda s, d, v: alg.letter(F.concat(F.lit("n"), s.cast("string"), F.lit("n"), d.cast("string"))), alg.REGULAR)
+    return closure.closure(named).cells.select("src", "dst", alg.show_regular(F.col("val")).alias("val"))
