@@ -491,7 +491,14 @@ def cover_size(spark, sf):
     return graphs.minimum_vertex_cover(derive.thin_supply(spark, sf)).agg(F.count("*").alias("size"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {THIN}, turns AS (SELECT src, dst, row_number() OVER (ORDER BY dst, src) AS i FROM thin),
+greedy(i, cover) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL SELECT turns.i, CASE WHEN list_contains(cover, src) OR list_contains(cover, dst) THEN cover ELSE list_append(list_append(cover, src), dst) END
+  FROM greedy JOIN turns ON turns.i = greedy.i + 1)
+SELECT unnest(cover) AS key FROM greedy WHERE i = (SELECT count(*) FROM turns)"""
+)
 def approximate_cover(spark, sf):
     return graphs.approximate_vertex_cover(derive.thin_supply(spark, sf))
 
@@ -702,7 +709,7 @@ CHAINS = "chains AS (SELECT p_size AS id, list(p_partkey ORDER BY p_partkey) AS
 
 @query(
     f"""WITH {CHAINS}
-SELECT id, len(path) AS n, array_to_string(list_reverse(path), '->') AS reversed, len(path) - 1 AS arcs, path[1] AS first_src, path[2] AS first_dst FROM chains"""
+SELECT id, len(path) AS n, array_to_string(list_reverse(path), '->') AS reversed, len(path) - 1 AS arcs, path[1] AS first_src, coalesce(path[2], -1) AS first_dst FROM chains"""
 )
 def path_functions(spark, sf):
     """Paths of parts of one size: lengths count vertices."""
@@ -711,7 +718,7 @@ def path_functions(spark, sf):
     first = F.get(arcs, F.lit(0))
     return parts.select(
         "id", paths.n_vertices(p).cast("bigint").alias("n"), paths.show_path(paths.reverse_path(p)).alias("reversed"), F.size(arcs).cast("bigint").alias("arcs"),
-        F.coalesce(first["src"], F.get(p, F.lit(0))).alias("first_src"), first["dst"].alias("first_dst"),
+        F.coalesce(first["src"], F.get(p, F.lit(0))).alias("first_src"), F.coalesce(first["dst"], F.lit(-1)).alias("first_dst"),
     )
 
 
@@ -747,9 +754,9 @@ def show_rows(spark, sf):
 
 @query()
 def regular_closure(spark, sf):
-    """Regular expressions of all walks among three nations."""
+    """Regular expressions of all walks among six nations."""
     m = derive.nation_trade(spark, sf)
-    few = m.vertices().below(3)
+    few = m.vertices().below(6)
     m = m.restrict_rows(few).restrict_columns(few)
     m = m.like(m.cells, rows=few.df.select(F.col("key").alias("id")))
     named = m.map_with_keys(lambda s, d, v: alg.letter(F.concat(F.lit("n"), s.cast("string"), F.lit("n"), d.cast("string"))), alg.REGULAR)
