@@ -72,3 +72,8 @@ def read_edges(spark: SparkSession, path: str, fmt: str = "parquet", algebra: Al
 
 def write_edges(m: Matrix, path: str, fmt: str = "parquet") -> None:
     m.cells.write.format(fmt).save(path)
+
+
+def domain(spark: SparkSession, values: Iterable[str]) -> DataFrame:
+    """A table val of all values of a finite algebra, for example of BALANCED_CODES."""
+    return spark.createDataFrame([(v,) for v in values], "val string")
