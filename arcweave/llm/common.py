@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from arcweave.plans.components import components
 from arcweave.plans.shared import work_folder, written
 
-__all__ = ["arrow_rows", "components", "keyed", "packed", "same", "table", "work_folder", "written"]
+__all__ = ["arrow_rows", "components", "keyed", "one_per_root", "packed", "same", "table", "work_folder", "written"]
 
 #: Bytes that a Python worker gathers before it hands a batch back to the JVM.
 OUT_BYTES = 4 << 20
@@ -43,6 +43,22 @@ def same(left: DataFrame, right: DataFrame, how: str = "inner", **names: str) ->
     return left.join(r, F.col(i).eqNullSafe(F.col("r_id")) & (F.col(t) == F.col("r_th")), how).drop("r_id", "r_th")
 
 
+def one_per_root(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, whole rows, with one document for each root in found (id, th, root): the one with the smallest id (null before
+    all), then content hash.
+
+    Of rows that repeat that document's id and text one stays. The kept keys are joined to the texts by document, one
+    shuffle of the texts unless adaptive execution can broadcast the keys.
+    """
+    kept = found.groupBy("root").agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", "k.th")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = keyed(docs, id_col, text_col, row=row).drop("text")
+    out = same(rows, kept, "left_semi")
+    if not found.groupBy(F.struct("id", "th")).count().where("count > 1").isEmpty():
+        out = out.groupBy(F.struct("id", "th")).agg(F.first("row").alias("row"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def arrow_rows(rows: Iterable[tuple], schema: pa.Schema, limit: int = OUT_BYTES) -> Iterator[pa.RecordBatch]:
     """Record batches of some ``limit`` bytes from tuples, sized by their strings and bytes."""
     held, size = [], 0

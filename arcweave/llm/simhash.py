@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import components, keyed, same, written
+from arcweave.llm.common import components, keyed, one_per_root, written
 
 MAX_BITS = 3
 SEED = 42
@@ -113,9 +113,10 @@ def links(prints: DataFrame, dense: int = DENSE) -> DataFrame:
 
 
 def clusters(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, th (content hash), fp and component_id of every row.
+    """id, th (content hash), fp, root and component_id of every row.
 
-    Texts are read once, where they lie; from there on only ids and fingerprints move.
+    root, a fingerprint, tells components apart; component_id, the smallest id, only names them: null ids give no name, and
+    an id that several texts bear may name several components. Texts are read once, where they lie; from there on only ids and fingerprints move.
     """
     texts = keyed(docs, id_col, text_col)
     rows = written(texts.select("id", "th", fingerprint_column(F.col("text"), shingle).alias("fp")), "simhash")
@@ -124,20 +125,9 @@ def clusters(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: st
     named = firsts.join(groups, firsts.fp == groups.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = written(named, "roots")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("id", "th", "fp", "component_id")
+    return rows.join(named.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "fp").select("id", "th", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, whole rows, with one document of each component: the one with the smallest id (then content hash).
-
-    Of rows that repeat that document's id and text one stays. The kept keys are joined to the texts by document, one
-    shuffle of the texts unless adaptive execution can broadcast the keys.
-    """
-    found = written(clusters(docs, shingle, id_col, text_col), "clusters")
-    kept = found.groupBy("component_id").agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", "k.th")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = keyed(docs, id_col, text_col, row=row).drop("text")
-    out = same(rows, kept, "left_semi")
-    if not found.groupBy(F.struct("id", "th")).count().where("count > 1").isEmpty():
-        out = out.groupBy(F.struct("id", "th")).agg(F.first("row").alias("row"))
-    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    """docs, whole rows, with one document of each component: see ``one_per_root``."""
+    return one_per_root(docs, written(clusters(docs, shingle, id_col, text_col), "clusters"), id_col, text_col)

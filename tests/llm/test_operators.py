@@ -281,6 +281,14 @@ def test_simhash(spark, corpus, size):
     assert simhash.clusters(documents(spark, []), 3).count() == 0
 
 
+def test_one_of_each_keeps_unlinked_texts_that_share_an_id(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 40) for _ in range(4))
+    docs = spark.createDataFrame([(None, a), (None, b), (7, c), (7, d), (8, c)], "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(docs, 5).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(None, a), (None, b), (7, c), (7, d)]))
+
+
 @pytest.mark.parametrize("dense", [0, 4, 256])
 def test_multi_index_finds_every_link(spark, dense):
     rng = random.Random(3)
