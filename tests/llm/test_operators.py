@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from arcweave.llm import byte_bpe, decontaminate, fingerprints, line_dedup, quality, queries, simhash, substring_dedup, token_output, url_filter, warc
+from arcweave.llm import byte_bpe, decontaminate, fingerprints, line_dedup, near_copies, quality, queries, simhash, substring_dedup, token_output, url_filter, warc
 from arcweave.llm.common import components, work_folder
 
 SF = "/root/testdata/sf0.001"
@@ -305,6 +305,38 @@ def test_multi_index_finds_every_link(spark, dense):
     assert got == {(a, b) for a, b in itertools.combinations(prints, 2) if (a ^ b).bit_count() <= 3}
 
 
+def jaccard_groups(rows, size):
+    """(id, text) -> number of each row's group, by all pairs."""
+    sets, root = [set(simhash.shingle_hashes(t or "", size).tolist()) for _, t in rows], list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if len(sets[a] & sets[b]) >= near_copies.SIMILAR * len(sets[a] | sets[b]):
+            root = [root[a] if x == root[b] else x for x in root]
+    return root
+
+
+def test_near_copies(spark, corpus):
+    """Near copies of similarity 0.7 to 1, chains of them, and sets that share buckets with several groups."""
+    rng, rows = random.Random(13), list(corpus)
+    for k in range(8):
+        words = prose(rng, 300).split()
+        for j in range(10):
+            for _ in range(1 if k < 4 else rng.randrange(1, 9)):
+                words[rng.randrange(300)] = "new" + str(rng.randrange(10**6))
+            rows.append((1000 + 20 * k + j, " ".join(words)))  # each an edit of the one before
+    rows += [(None, prose(rng, 40)), (None, prose(rng, 40))]
+    docs = documents(spark, rows)
+    want = {}
+    for (i, t), g in zip(rows, jaccard_groups(rows, 5)):
+        want.setdefault(g, set()).add(str((i, t)))
+    kept = near_copies.one_of_each(docs, 5)
+    assert kept.columns == docs.columns
+    kept = [str((r.doc_id, r.text)) for r in kept.collect()]
+    assert len(kept) == len(want) and all(len(g.intersection(kept)) == 1 for g in want.values())
+    old = simhash.one_of_each(docs, 5).count()
+    assert old > len(kept)  # what three bits of 64 leave
+    assert near_copies.one_of_each(documents(spark, []), 5).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 140)] + [(None, 3), (7, 7)]
