@@ -10,7 +10,8 @@ document if some stretch of the text is within floor(L * EDIT_SHARE) insertions,
    random bit of (j, character) says so. Strings at a small edit distance end up at a small Hamming distance.
 3. Bit sampling. A table hashes some sampled positions of the string that one of several walks makes; so many tables are
    drawn that the target recall is reached, measured on items edited at random up to the limit. Windows that meet an item
-   in any table are candidates.
+   in any table are candidates. Of a class of lengths whose recall stays below the target with ``MAX_TABLES`` tables (long
+   items), all windows are candidates.
 4. Candidates are verified by their exact edit distance.
 
 Items shorter than ``MIN_WORDS`` words are ordinary phrases and are not sought. Null and empty texts hold nothing. Repeated
@@ -124,7 +125,10 @@ class Tables:
         found = np.maximum.accumulate(hit, axis=0).mean(axis=1)  # recall of the first 1, 2, ... tables
         enough = np.flatnonzero(found >= target)
         self.recall = float(found[enough[0]] if len(enough) else found[-1])
-        self.tables = int(enough[0]) + 1 if len(enough) else MAX_TABLES
+        self.exact = not len(enough)
+        if self.exact:
+            return
+        self.tables = int(enough[0]) + 1
         self.walk = Walks(shortest, self.tables, SEED)
         keys = embed(self.walk, [s for _, s in items])
         self.order = np.argsort(keys, axis=1, kind="stable")
@@ -191,6 +195,7 @@ class Finder:
         if self.automaton is None:
             return [[] for _ in texts]
         windows: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
+        stretches: list[tuple[int, int, int, int, int]] = []
         for d, text in enumerate(texts):
             hits: dict[tuple[int, int], list[int]] = defaultdict(list)
             for end, (size, where) in self.automaton.iter(text):
@@ -201,8 +206,14 @@ class Finder:
                     n = len(self.tables[k].items[item][1])
                     begin.sort()
                     for a, b in zip(begin, begin[1:]):
-                        if b - a <= allowed(n, self.share):
+                        if b - a > allowed(n, self.share):
+                            continue
+                        if not self.tables[k].exact:
                             windows[k] |= {(d, max(0, a), n), (d, max(0, b), n)}
+                        elif stretches and stretches[-1][:3] == (d, k, item) and stretches[-1][4] == a:
+                            stretches[-1] = (*stretches[-1][:4], b)  # starts that follow each other closely are one stretch
+                        else:
+                            stretches.append((d, k, item, a, b))
         held = sorted({d for ws in windows.values() for d, _, _ in ws})
         begins = dict(zip(held, np.cumsum([0] + [len(texts[d]) for d in held]).tolist()))
         codes = codes_of("".join(texts[d] for d in held)) if held else None
@@ -214,16 +225,19 @@ class Finder:
                 lengths = np.array([min(n, len(texts[d]) - s) for d, s, n in some], np.int64)
                 for w, item in sorted(self.tables[k].candidates(codes, starts, lengths)):
                     d, s, _ = some[w]
-                    self._verify(self.tables[k].items[item], texts[d], s, found[d])
+                    self._verify(self.tables[k].items[item], texts[d], s, s, found[d])
+        for d, k, item, a, b in stretches:
+            self._verify(self.tables[k].items[item], texts[d], max(0, a), max(0, b), found[d])
         return [[(i, *f) for i, f in sorted(x.items())] for x in found]
 
-    def _verify(self, item: tuple[int, str], text: str, start: int, found: dict) -> None:
+    def _verify(self, item: tuple[int, str], text: str, start: int, last: int, found: dict) -> None:
+        """Keeps the nearest stretch of text that starts about ``start`` to ``last``."""
         i, s = item
         if found.get(i, (0, 0, 1))[2] == 0:
             return
         most = allowed(len(s), self.share)
         lo = max(0, start - 2 * most)
-        part = text[lo : start + len(s) + 2 * most]
+        part = text[lo : last + len(s) + 2 * most]
         at = part.find(s)
         if at >= 0:
             found[i] = (lo + at, len(s), 0)

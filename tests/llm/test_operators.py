@@ -432,6 +432,23 @@ def test_decontamination(spark):
     assert decontaminate.leaks(documents(spark, []), bench).count() == 0
 
 
+def test_long_items_edited_to_the_limit():
+    """Lengths at which the tables alone miss many."""
+    rng, gen = random.Random(14), np.random.default_rng(15)
+    items = [(k, decontaminate.normal(prose(rng, 3 * n))[:n].strip()) for k, n in enumerate([1_000, 1_600, 2_600, 4_000])]
+    texts, want = [], []
+    for i, s in items:
+        for _ in range(5):
+            texts.append(decontaminate.normal(prose(rng, 60) + " " + decontaminate.edited(s, len(s) // 10, gen) + " " + prose(rng, 60)))
+            want.append(i)
+    texts.append(decontaminate.normal(prose(rng, 3000)))
+    found = decontaminate.Finder(tuple(items), 0.1, 0.98).find(texts)
+    assert [[f[0] for f in x] for x in found] == [[i] for i in want] + [[]]
+    for x, text in zip(found[:2], texts):
+        (i, start, length, distance), item = x[0], items[x[0][0]][1]
+        assert edit_distance(item, text[start : start + length]) == distance <= len(item) // 10
+
+
 def test_items_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (200,))
     rng = random.Random(9)
