@@ -1,10 +1,12 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an indexed reference.
+"""Substring dedup by window hashes against an indexed reference.
 
 Words are maximal runs of anything but ASCII white space. A window is ``WINDOW`` consecutive words of one document. The
-reference is every document with a smaller id; a document is parsed greedily into factors, maximal stretches whose windows
-all occur in one such document (the smallest holding them), and single words. Where a factor ends, the windows across its
-boundary are looked up by themselves, so a repeat that spans two factors is found too. The words of all factors are
-removed.
+reference is every document with a smaller id: a window that one of them holds too is removed, with all of its words. A
+repeat that spans several passages is found, as each of its windows is looked up by itself.
+
+This is not relative Lempel-Ziv: there is no greedy parse, no longest match and no factor of a single word. The column
+``factors`` is only a report of neighbouring removed windows with one least reference id. Its stretches may overlap, need
+not be the longest, and decide nothing.
 
 The reference index is dealt into blocks by window hash, the documents into tiles by document hash. A window's anchor is the
 least hash among its 5-word grams, so equal windows have equal anchors, and a text has about one anchor per five words:
@@ -12,7 +14,7 @@ least hash among its 5-word grams, so equal windows have equal anchors, and a te
 1. each tile sends its distinct anchors to the blocks, which answer with those that other tiles hold too;
 2. each tile sends the distinct windows around such anchors (96-bit hash, least id) to the blocks, which answer with the
    ones that a document with a smaller id holds elsewhere;
-3. each tile parses its documents with these answers and its own windows.
+3. each tile cuts its documents with these answers and its own windows.
 
 What is sent is distinct per tile, so a passage that very many documents share is one entry per tile, and each block and
 tile is of bounded size. The texts are shuffled once. All steps are one plan of shuffles and are recomputed from their
@@ -170,7 +172,8 @@ def answers(values: np.ndarray, tiles: np.ndarray) -> pa.Table:
 def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed, kept (the words left, joined by one space) and factors (start, length, ref) of every row.
 
-    start and length count words; ref is the smallest id of a document that holds all windows of the factor.
+    start and length count words; ref is, for each window of the stretch, the smallest id of a document that holds it.
+    Stretches may overlap: see above.
     """
     texts = keyed(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), "text", F.xxhash64("id", "th").alias("at"))
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -239,7 +242,7 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         np.add.at(edge, spots, 1)
         np.add.at(edge, spots + WINDOW, -1)
         gone = np.cumsum(edge)[:-1] > 0
-        # factors: neighbouring windows with one reference document
+        # stretches of neighbouring windows with one least reference
         new = np.concatenate([[True], (np.diff(spots) != 1) | (refs[1:] != refs[:-1]) | (t.owner[spots[1:]] != t.owner[spots[:-1]])]) if len(spots) else np.empty(0, bool)
         heads = np.flatnonzero(new)
         begins = np.concatenate([[0], np.cumsum(t.counts)])
