@@ -15,7 +15,7 @@ document if some stretch of the text is within floor(L * EDIT_SHARE) insertions,
 4. Candidates are verified by their exact edit distance.
 
 Items shorter than ``MIN_WORDS`` words are ordinary phrases and are not sought. Null and empty texts hold nothing. Repeated
-rows and repeated items give repeated findings. Null ids are kept as they are. Without items, or documents, nothing is
+rows and repeated items give repeated findings. Ids, of items of any type, are carried through unchanged, null ones too. Without items, or documents, nothing is
 found. Other columns, whatever their names, pass through the stage form.
 """
 
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arcweave.llm.common import written
 
@@ -253,13 +254,18 @@ def finder(items: tuple[tuple[int, str], ...], share: float, target: float) -> F
     return Finder(items, share, target)
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, most: int = ITEM_CHARS) -> Iterator[tuple[tuple[tuple[int, str], ...], bool]]:
-    """(items, whether there are more blocks): blocks of about ``most`` characters at most, each fetched by itself."""
-    rows = items.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
+def item_blocks(items: DataFrame, id_col: str, text_col: str, most: int = ITEM_CHARS) -> Iterator[tuple[tuple[tuple[int, str], ...], list, bool]]:
+    """(items, ids, whether there are more blocks): blocks of about ``most`` characters at most, each fetched by itself.
+
+    Inside a block items are numbered; ids has the item's own id, of any type or null, at its number.
+    """
+    rows = items.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 if chars <= most else 1 + 2 * (chars // most)
+    order = [F.col("id").asc_nulls_first(), "text"]
     for b in range(n):
-        yield tuple(sorted((r.id, r.text) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect())), n > 1
+        block = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).orderBy(*order).collect()
+        yield tuple((k, r.text) for k, r in enumerate(block)), [r.id for r in block], n > 1
 
 
 def findings_column(text: Column, items: tuple[tuple[int, str], ...], share: float, target: float) -> Column:
@@ -287,9 +293,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Items of more than one block are sought block by block, each pass written to the shared folder.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = T.StructType([T.StructField("k", T.LongType()), T.StructField("item_id", benchmark.schema[item_id].dataType)])
     out = None
-    for block, more in item_blocks(benchmark, item_id, item_text):
-        rows = src.select("id", F.explode(findings_column(F.col("text"), block, share, target)).alias("f")).select(F.col("id").alias(id_col), "f.*")
+    for block, ids, more in item_blocks(benchmark, item_id, item_text):
+        names = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(ids)), kind))
+        rows = src.select("id", F.explode(findings_column(F.col("text"), block, share, target)).alias("f"))
+        rows = rows.join(names, F.col("f.item_id") == F.col("k")).select(F.col("id").alias(id_col), "item_id", "f.start", "f.length", "f.distance")
         rows = written(rows, "leaks") if more else rows
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -297,7 +306,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE, target: float = TARGET_RECALL) -> DataFrame:
     """The documents, unchanged, that hold no item. Items of more than one block are sought block by block."""
-    for block, more in item_blocks(benchmark, item_id, item_text):
+    for block, _, more in item_blocks(benchmark, item_id, item_text):
         docs = docs.where(F.size(findings_column(F.coalesce(F.col(text_col), F.lit("")), block, share, target)) == 0)
         docs = written(docs, "clean") if more else docs
     return docs

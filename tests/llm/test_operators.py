@@ -449,6 +449,16 @@ def test_long_items_edited_to_the_limit():
         assert edit_distance(item, text[start : start + length]) == distance <= len(item) // 10
 
 
+def test_item_ids_of_any_kind(spark):
+    rng = random.Random(16)
+    items = [(None, prose(rng, 12)), (None, prose(rng, 12)), ("x/7", prose(rng, 12)), ("8", prose(rng, 12))]
+    docs = documents(spark, [(k, prose(rng, 5) + " " + s) for k, (_, s) in enumerate(items)] + [(9, prose(rng, 50))])
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = decontaminate.leaks(docs, bench).collect()
+    assert sorted((r.doc_id, str(r.item_id)) for r in got) == [(k, str(i)) for k, (i, _) in enumerate(items)]
+    assert [r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()] == [9]
+
+
 def test_items_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (200,))
     rng = random.Random(9)
