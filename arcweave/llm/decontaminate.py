@@ -14,7 +14,8 @@ document if some stretch of the text is within floor(L * EDIT_SHARE) insertions,
    items), all windows are candidates.
 4. Candidates are verified by their exact edit distance.
 
-Items shorter than ``MIN_WORDS`` words are ordinary phrases and are not sought. Null and empty texts hold nothing. Repeated
+Items of under ``MIN_WORDS`` words and under ``MIN_CHARS`` characters are ordinary phrases and are not sought; characters
+count for scripts without blanks. Null and empty texts hold nothing. Repeated
 rows and repeated items give repeated findings. Ids, of items of any type, are carried through unchanged, null ones too. Without items, or documents, nothing is
 found. Other columns, whatever their names, pass through the stage form.
 """
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 from arcweave.llm.common import written
 
 EDIT_SHARE = 0.1
-MIN_WORDS = 5
+MIN_WORDS, MIN_CHARS = 5, 20
 TARGET_RECALL = 0.98
 #: Positions in a table's sample, tables that share a walk, and the most tables; they are added up to the target recall.
 SAMPLE, SHARING, MAX_TABLES, SEED = 8, 12, 960, 11
@@ -174,7 +175,7 @@ class Finder:
         import ahocorasick
 
         self.share = share
-        items = [(i, s) for i, s in ((i, normal(t)) for i, t in items) if len(s.split()) >= MIN_WORDS]
+        items = [(i, s) for i, s in ((i, normal(t)) for i, t in items) if len(s.split()) >= MIN_WORDS or len(s) >= MIN_CHARS]
         classes: dict[int, list[tuple[int, str]]] = defaultdict(list)
         for i, s in items:
             classes[int(np.log(len(s)) / np.log(1.3))].append((i, s))

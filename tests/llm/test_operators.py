@@ -459,6 +459,15 @@ def test_item_ids_of_any_kind(spark):
     assert [r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()] == [9]
 
 
+def test_items_in_a_script_without_blanks():
+    rng = random.Random(17)
+    hanzi = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    items = [(0, hanzi(20)), (1, hanzi(120)), (2, "two words")]
+    texts = [hanzi(50) + s + hanzi(50) for _, s in items]
+    found = decontaminate.Finder(tuple(items), 0.1, 0.98).find(texts)
+    assert [[f[0] for f in x] for x in found] == [[0], [1], []]
+
+
 def test_items_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (200,))
     rng = random.Random(9)
