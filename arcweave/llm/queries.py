@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.llm import byte_bpe, decontaminate, fingerprints, line_dedup, quality, simhash, substring_dedup, token_output, url_filter, warc
-from arcweave.llm.common import table, work_folder
+from arcweave.llm.common import table, work_folder, written
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -227,9 +227,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "ids")
     token_output.write_ids(table(spark, sf_dir, "documents"), folder, WORD_BPE, END_ID)
-    ids = token_output.read_ids(spark, folder)
-    sums = token_output.id_bytes(ids).select("part", "seq", F.crc32("token_bytes").alias("ids_crc32"))
-    return token_output.offsets(ids).join(sums, ["part", "seq"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    sums = written(token_output.checksums(token_output.read_ids(spark, folder)), "sums")
+    return token_output.offsets(sums).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -14,13 +14,13 @@ from __future__ import annotations
 import gc
 import os
 import struct
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,24 +28,19 @@ from pyspark.sql import functions as F
 STRIPE_BYTES = 8 << 20
 ROW_INDEX_STRIDE = 1000
 BLOOM_FPP = 0.01
-#: Texts of these characters alone take the word cache: for them lower case is one character each, composed letters stay
-#: as they are, and the classes of letters, digits and spaces are the same in every Unicode version.
-PLAIN = regex.compile(r"[\t\n\r -~¡-¨«-±´¶-¸»¿-ÿĀ-įĲ-ńŊ-ž]*")
-#: Entries of a worker's cache of blank-delimited chunks; it starts anew when full.
-CACHE_ENTRIES = 600_000
-#: Characters of text that are encoded together.
-GROUP_CHARS = 1 << 20
-#: Of ASCII, what PLAIN leaves out.
-ODD_ASCII = regex.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
-
-
-def is_plain(text: str) -> bool:
-    return ODD_ASCII.search(text) is None if text.isascii() else PLAIN.fullmatch(text) is not None
-
-
+#: The complement of characters for which lower case is one character each, composed letters stay as they are, and the
+#: classes of letters, digits and spaces are the same in every Unicode version. A text without these can be encoded chunk
+#: by chunk; any other goes through the library whole.
+ODD = "[^\\t\\n\\r -~¡-¨«-±´¶-¸»¿-ÿĀ-įĲ-ńŊ-ž]"
 #: A full stop or comma between a letter or digit and a blank is a piece of its own, so it can stand apart: then most chunks
 #: are words, of which there are fewer than of words with their endings.
-ENDINGS = regex.compile(r"(?<=[\p{L}\p{N}])([.,])(?=[ \t\r\n]|\Z)")
+ENDINGS = r"([\p{L}\p{N}])([.,])([ \t\r\n]|\z)", r"\1 \2\3"
+#: Entries of a worker's cache of blank-delimited chunks.
+CACHE_ENTRIES = 600_000
+#: Bytes of text that are encoded together.
+GROUP_BYTES = 16 << 20
+#: Bytes of text to a range, and so to a file, unless the session asks for more shuffle partitions.
+RANGE_BYTES = 256 << 20
 
 
 def byte_letters() -> dict[int, int]:
@@ -56,10 +51,12 @@ def byte_letters() -> dict[int, int]:
 
 
 class WordEncoder:
-    """Encodes texts as the tokenizers library does with one of its files, remembering the ids of chunks between blanks.
+    """Encodes texts as the tokenizers library does with one of its files, each distinct chunk between blanks once.
 
-    Only where the file's normaliser and pre-splitting cannot look across a blank (``PLAIN`` texts under the known
-    settings) the cache is used; any other text goes through the library whole.
+    The library's own call takes made-up words at some 1,500 CPU seconds a GB, and most of a text repeats a few words. So
+    a group of texts is split at blanks, the library encodes the distinct chunks that are not yet known, and the ids are
+    gathered by chunk. That is only done where the file's normaliser and pre-splitting cannot look across a blank
+    (no ``ODD`` character, no added token's string, the known settings); any other text goes through the library whole.
     """
 
     def __init__(self, path: str):
@@ -70,68 +67,85 @@ class WordEncoder:
         # one thread: the tasks of an executor already share its cores
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.whole.no_padding()
-        self.whole.no_truncation()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-        self.splits = None
-        if steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed":
-            self.splits = regex.compile(split["pattern"]["Regex"])
-            self.model = Tokenizer.from_file(path).model
-            self.letters = byte_letters()
-        self.chunks: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        """Ids of one word by the library's model, which takes bytes as letters."""
-        known = self.chunks.get(word)
-        if known is None:
-            # printable ASCII stands for itself in the byte-level alphabet, and a word holds nothing else of ASCII
-            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(letters)]
-            known = self.chunks[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return known
-
-    def _learn(self, new: set[str]) -> None:
-        """Adds chunks to the cache. A chunk of letters alone is one word; others are split as the file says."""
-        for c in new:
+        self.by_chunk = steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed"
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.model, self.letters = self.whole.model, byte_letters()
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learned(self, chunks: list[str]) -> list[bytes]:
+        """The ids of new chunks. One of letters alone is one piece, for the library's model as it is; others are split."""
+        out, split = [], [c for c in chunks if not c.isalpha()]
+        whole = iter(self._whole(split))
+        for c in chunks:
             if c.isalpha():
-                self._word(c)
+                ids = [t.id for t in self.model.tokenize(c if c.isascii() else c.encode().decode("latin-1").translate(self.letters))]
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
             else:
-                self.chunks[c] = b"".join(map(self._word, self.splits.findall(c)))
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+                out.append(next(whole))
+        return out
+
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks. The cache has two halves: as the newer one fills, the older one is let go."""
+        out = list(map(self.newer.get, chunks))
+        gaps = [i for i, x in enumerate(out) if x is None]
+        if gaps:
+            for i in gaps:
+                out[i] = self.older.get(chunks[i])
+            new = [i for i in gaps if out[i] is None]
+            for i, x in zip(new, self._learned([chunks[i] for i in new])):
+                out[i] = x
+            if len(self.newer) + len(gaps) > CACHE_ENTRIES // 2:
+                self.newer, self.older = {}, self.newer
+            self.newer.update((chunks[i], out[i]) for i in gaps)
+        return out
+
+    def encode_column(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """The ids of each text, and ``end`` behind them, as little-endian unsigned 32-bit integers; texts: no nulls."""
         collecting = gc.isenabled()
         gc.disable()  # nothing here forms cycles, and the cache is long to walk through
         try:
-            split = [ENDINGS.sub(r" \1", t.lower()).split() if self.splits is not None and is_plain(t) else None for t in texts]
-            flat = list(chain.from_iterable(c for c in split if c is not None))
-            ids = list(map(self.chunks.get, flat))
-            gaps = [i for i, x in enumerate(ids) if x is None]
-            if gaps:
-                new = {flat[i] for i in gaps}
-                if len(self.chunks) + 2 * len(new) > CACHE_ENTRIES:
-                    self.chunks.clear()
-                self._learn(new)
-                for i in gaps:
-                    ids[i] = self.chunks[flat[i]]
-            out, at = [], 0
-            for t, c in zip(texts, split):
-                if c is None:
-                    out.append(np.asarray(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-                else:
-                    out.append(b"".join(ids[at : at + len(c)]))
-                    at += len(c)
-            return out
+            odd = pc.match_substring_regex(texts, ODD) if self.by_chunk else pa.array([True] * len(texts), pa.bool_())
+            for t in self.added:
+                odd = pc.or_(odd, pc.match_substring(texts, t))
+            plain = pc.utf8_lower(pc.replace_substring_regex(pc.if_else(odd, "", texts), *ENDINGS))
+            split = pc.ascii_split_whitespace(plain)
+            flat = split.flatten().dictionary_encode()
+            known = [*self._ids_of(flat.dictionary.to_numpy(zero_copy_only=False).tolist()), end]
+            # behind the last chunk of each text comes the end; the chunks' ids are copied into one buffer, in order
+            bounds = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+            chunks = pa.array(np.insert(flat.indices.to_numpy(), bounds[1:], len(known) - 1))
+            ids = pa.array(known, pa.binary()).take(chunks)
+            ends = np.frombuffer(ids.buffers()[1], np.int32)[: len(chunks) + 1][bounds + np.arange(len(texts) + 1)]
+            out = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends.tobytes()), ids.buffers()[2]])
+            apart = odd.to_numpy(zero_copy_only=False)
+            if not apart.any():
+                return out
+            whole = pa.array([x + end for x in self._whole(texts.filter(odd).to_pylist())], pa.binary())
+            return pc.replace_with_mask(out, odd, whole)
         finally:
             if collecting:
                 gc.enable()
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_many([text])[0], "<u4").tolist()
+        return np.frombuffer(self.encode_column(pa.array([text]))[0].as_py(), "<u4").tolist()
+
+
+def groups(texts: pa.Array, size: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, count) of neighbouring texts of some ``size`` bytes, one at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    k = 0
+    while k < len(texts):
+        upto = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + size, "right")))
+        yield k, upto - k
+        k = upto
 
 
 @lru_cache(maxsize=2)
@@ -146,28 +160,22 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, id
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = src.schema["doc_id"].dataType
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = src.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     dealt = src.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seq = encoder(tokenizer_file), TaskContext.get().partitionId(), 0
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            k = 0
-            while k < batch.num_rows:
-                start, texts, size = k, [], 0
-                while k < batch.num_rows and size < GROUP_CHARS:
-                    texts.append(batch.column(1)[k].as_py())
-                    size += len(texts[-1])
-                    k += 1
-                held = [x + end for x in enc.encode_many(texts)]
-                lens = np.fromiter(map(len, held), np.int64, len(held)) // 4
-                bounds = pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32())
-                ids = pa.ListArray.from_arrays(bounds, pa.array(np.frombuffer(b"".join(held), "<u4").astype(np.int32)))
-                rows = np.arange(seq, seq + len(held))
-                seq += len(held)
+            for start, count in groups(batch.column(1)):
+                held = enc.encode_column(batch.column(1).slice(start, count), end)
+                bounds = np.frombuffer(held.buffers()[1], np.int32)[: count + 1] // 4
+                ids = pa.Array.from_buffers(pa.int32(), int(bounds[-1]), [None, held.buffers()[2]])
+                rows = np.arange(seq, seq + count)
+                seq += count
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, k - start), pa.array(np.full(len(held), part, np.int32)), pa.array(rows), pa.array(lens), ids],
+                    [batch.column(0).slice(start, count), pa.array(np.full(count, part, np.int32)), pa.array(rows), pa.array(np.diff(bounds).astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), ids)],
                     names=["doc_id", "part", "seq", "n_tokens", "ids"],
                 )
 
@@ -189,30 +197,29 @@ def read_ids(spark: SparkSession, folder: str, id_type: str = "long") -> DataFra
     return spark.read.schema(f"doc_id {id_type}, part int, seq long, n_tokens long, ids array<int>").orc(folder)
 
 
-def offsets(ids: DataFrame) -> DataFrame:
-    """doc_id, part, seq, n_tokens and ``start``, the number of ids in all rows before, in file order.
+def offsets(rows: DataFrame) -> DataFrame:
+    """rows (part, seq, n_tokens and any more columns) with ``start``, the number of ids in all rows before, in file order.
 
-    Sums of each range first, then a running sum over the ranges (one row each, and there are no more ranges than the
-    files' shuffle partitions), then one within each range. Only lengths are read and shuffled.
+    Sums of each range first, then a running sum over the ranges (one row each, and a range is RANGE_BYTES of text or
+    so), then one within each range.
     """
-    rows = ids.select("doc_id", "part", "seq", "n_tokens")
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
-    return rows.withColumn("inside", inside).join(before, "part").select("doc_id", "part", "seq", "n_tokens", (F.col("before") + F.col("inside")).alias("start"))
+    return rows.withColumn("inside", inside).join(before, "part").select(*rows.columns, (F.col("before") + F.col("inside")).alias("start"))
 
 
-def id_bytes(ids: DataFrame) -> DataFrame:
-    """part, seq and ``token_bytes``: the ids as little-endian unsigned 32-bit integers."""
+def checksums(ids: DataFrame) -> DataFrame:
+    """doc_id, part, seq, n_tokens (counted) and ``ids_crc32``, the unsigned CRC-32 of the ids as little-endian unsigned
+    32-bit integers: one pass over the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            flat, at = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"), lists.value_lengths().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(at) * 4
-            raw = flat.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([raw[e - 4 * n : e] for n, e in zip(at, ends)], pa.binary())], names=["part", "seq", "token_bytes"]
-            )
-
-    return ids.select("part", "seq", "ids").mapInArrow(run, "part int, seq long, token_bytes binary")
+            lists = batch.column(3)
+            lens = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            raw, ends = memoryview(lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()), np.cumsum(lens) * 4
+            sums = np.fromiter((zlib.crc32(raw[e - 4 * n : e]) for n, e in zip(lens.tolist(), ends.tolist())), np.int64, len(lens))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lens), pa.array(sums)], names=["doc_id", "part", "seq", "n_tokens", "ids_crc32"])
+
+    id_type = ids.schema["doc_id"].dataType.simpleString()
+    return ids.select("doc_id", "part", "seq", "ids").mapInArrow(run, f"doc_id {id_type}, part int, seq long, n_tokens long, ids_crc32 long")
