@@ -323,6 +323,14 @@ def test_near_copies(spark, corpus):
             for _ in range(1 if k < 4 else rng.randrange(1, 9)):
                 words[rng.randrange(300)] = "new" + str(rng.randrange(10**6))
             rows.append((1000 + 20 * k + j, " ".join(words)))  # each an edit of the one before
+    for k in range(3):  # one family of edits, ends cut off and ends put on, around no common text
+        words = prose(rng, 150).split()
+        for j in range(24):
+            own = list(words)
+            for _ in range(rng.randrange(1, 8)):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randrange(3)] = ["new" + str(rng.randrange(10**6))] * rng.randrange(2)
+            rows.append((2000 + 30 * k + j, " ".join(own[: rng.choice((150, 150, 125, 118))]) + rng.choice(("", "", " " + prose(rng, 15)))))
     rows += [(None, prose(rng, 40)), (None, prose(rng, 40))]
     docs = documents(spark, rows)
     want = {}
@@ -480,39 +488,82 @@ def test_items_in_several_passes(spark, monkeypatch):
 # --- 10 token output
 
 
-def test_token_output(spark, corpus):
+def library_ids(text):
+    """What the library itself gives, as the file has it."""
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(queries.WORD_BPE)
-    t.encode_special_tokens = True
+    return library_ids.__dict__.setdefault("t", Tokenizer.from_file(queries.WORD_BPE)).encode(text or "", add_special_tokens=False).ids
+
+
+def test_token_output(spark, corpus):
+    rows = [*corpus, (170, "a <|endoftext|> b"), (171, "<|startoftext|>x<|endoftext|>")]
     folder = work_folder(spark, "ids-test")
-    token_output.write_ids(documents(spark, corpus), folder, queries.WORD_BPE, 2)
+    token_output.write_ids(documents(spark, rows), folder, queries.WORD_BPE, 2)
     ids = token_output.read_ids(spark, folder)
-    back = token_output.offsets(ids).join(ids.select("part", "seq", "ids"), ["part", "seq"]).join(token_output.id_bytes(ids), ["part", "seq"])
-    got = back.orderBy("start").collect()
-    order = sorted(corpus, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    got = token_output.offsets(token_output.checksums(ids)).join(ids.select("part", "seq", "ids"), ["part", "seq"]).orderBy("start").collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
     at = 0
     assert len(got) == len(order)
     for r, (i, text) in zip(got, order):
-        want = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        want = [*library_ids(text), 2]
         assert (r.doc_id, r.start, r.n_tokens, r.ids) == (i, at, len(want), want)
-        assert zlib.crc32(bytes(r.token_bytes)) == zlib.crc32(struct.pack(f"<{len(want)}I", *want))
+        assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(want)}I", *want))
         at += len(want)
     assert ids.where("doc_id = 120").count() == 1
+    assert [i for r in got if r.doc_id == 170 for i in r.ids] == [320, 49407, 321, 2]
     empty = work_folder(spark, "ids-test")
     token_output.write_ids(documents(spark, []), empty, queries.WORD_BPE, 2)
-    assert token_output.offsets(token_output.read_ids(spark, empty)).count() == 0
+    assert token_output.offsets(token_output.checksums(token_output.read_ids(spark, empty))).count() == 0
+
+
+def test_token_files_have_stripes_indexes_and_blooms(spark):
+    """A look-up by id reads a small part of the file, and the file's own footer lists a Bloom filter for doc_id."""
+    from pyarrow import orc
+
+    rng = random.Random(18)
+    docs = spark.createDataFrame([(2 * k, prose(rng, 40)) for k in range(12_000)], "doc_id long, text string").coalesce(1)
+    folder = work_folder(spark, "ids-test")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        token_output.write_ids(docs, folder, queries.WORD_BPE, 2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    ids = token_output.read_ids(spark, folder)
+    path = ids.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+    f = orc.ORCFile(path)
+    assert f.nrows == 12_000 and f.row_index_stride == token_output.ROW_INDEX_STRIDE
+
+    def rows_read(df):
+        plan = df._jdf.queryExecution().executedPlan()
+        assert df.collect() is not None
+        found, todo = [], [plan]
+        while todo:
+            p = todo.pop()
+            if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+                todo.append(p.executedPlan())
+            if p.getClass().getSimpleName() == "FileSourceScanExec":
+                found.append(p.metrics().apply("numOutputRows").value())
+            for k in range(p.children().size()):
+                todo.append(p.children().apply(k))
+        return sum(found)
+
+    assert rows_read(ids.select("doc_id", "n_tokens")) == 12_000
+    assert rows_read(ids.where("doc_id = 5000").select("doc_id", "n_tokens")) <= 2 * token_output.ROW_INDEX_STRIDE
+    # an odd id is within the ranges of the row index: the Bloom filter alone can rule its rows out
+    assert rows_read(ids.where("doc_id = 5001").select("doc_id", "n_tokens")) < token_output.ROW_INDEX_STRIDE
 
 
 def test_word_cache_against_the_library(monkeypatch):
-    from tokenizers import Tokenizer
+    import pyarrow as pa
 
     monkeypatch.setattr(token_output, "CACHE_ENTRIES", 50)
-    t, e, rng = Tokenizer.from_file(queries.WORD_BPE), token_output.WordEncoder(queries.WORD_BPE), random.Random(10)
-    t.encode_special_tokens = True
-    parts = ["the", "Erth", "É", "ß", "'s", "'", "1", "½", ".", ",", "...", "!!", " ", "  ", "\n", "\t", "\u00a0", "\x1c", "Σ", "İ", "漢", "e\u0301", "<|endoftext|>"]
-    texts = ["".join(rng.choice(parts) for _ in range(60)) for _ in range(150)]
-    assert [e.encode(x) for x in texts] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    e, rng = token_output.WordEncoder(queries.WORD_BPE), random.Random(10)
+    parts = ["the", "Erth", "É", "ß", "'s", "'", "1", "½", ".", ",", "...", "!!", " ", "  ", "\n", "\t", "\u00a0", "\x1c", "Σ", "İ", "漢", "e\u0301", "<|endoftext|>", "<|", "a.", "b, "]
+    for k in range(30):
+        few = parts if k % 2 else parts[:16] + parts[23:]
+        texts = ["".join(rng.choice(few) for _ in range(60)) for _ in range(10)] + [""]
+        got = e.encode_column(pa.array(texts))
+        assert [list(struct.unpack(f"<{len(x.as_py()) // 4}I", x.as_py())) for x in got] == [library_ids(x) for x in texts]
 
 
 # --- the contracts of the queries

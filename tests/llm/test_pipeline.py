@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from arcweave.llm import byte_bpe, decontaminate, quality, queries
-from tests.llm.test_operators import brute_components, brute_fingerprint
+from tests.llm.test_operators import jaccard_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,19 +33,21 @@ def test_stages(spark, docs):
             if seen.setdefault(tuple(lines[k : k + 3]), (r["doc_id"], k)) != (r["doc_id"], k):
                 gone |= {k, k + 1, k + 2}
         r["text"] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
-    # 3: the smallest id of each component stays
-    prints = [(r["doc_id"], brute_fingerprint(r["text"], corpus_pipeline.SHINGLE)) for r in rows]
-    rows = [r for r, c in zip(rows, brute_components(prints)) if r["doc_id"] == c]
-    # 4: documents that hold an item go (exact ones here)
-    items = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    exact = [r for r in rows if not any(i in decontaminate.normal(r["text"]) for i in items)]
+    # 3: the smallest id of each group of near copies stays
+    group = jaccard_groups([(r["doc_id"], r["text"]) for r in rows], corpus_pipeline.SHINGLE)
+    least = {}
+    for r, g in zip(rows, group):
+        least.setdefault(g, r)
+    rows = list(least.values())
+    # 4: documents that hold an item go
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    finder = decontaminate.Finder(tuple((k, i.text) for k, i in enumerate(items)), decontaminate.EDIT_SHARE, decontaminate.TARGET_RECALL)
+    exact = [r for r in rows if not any(decontaminate.normal(i.text) in decontaminate.normal(r["text"]) for i in items)]
+    rows = [r for r in exact if not finder.find([decontaminate.normal(r["text"])])[0]]
     # 5: ids
     enc = byte_bpe.encoding(queries.BYTE_RANKS, public_tokenizers.PATTERN)
     got = {r.doc_id: list(struct.unpack(f"<{r.n_tokens}I", r.ids)) for r in corpus_pipeline.run(spark, SF).collect()}
-    assert set(got) <= {r["doc_id"] for r in exact} and len(got) >= len(exact) - 2
-    for r in exact:
-        if r["doc_id"] in got:
-            assert got[r["doc_id"]] == enc.encode_ordinary(r["text"])
+    assert got == {r["doc_id"]: enc.encode_ordinary(r["text"]) for r in rows}
 
 
 def test_stages_keep_columns_and_take_anything(spark, docs):
