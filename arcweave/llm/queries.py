@@ -119,7 +119,8 @@ FROM documents d LEFT JOIN summed s ON d.doc_id = s.doc_id
 
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """host and bad (quality 0 or toxic 1) of each page whose url names a labelled document: the number that ends its path."""
+    """host and bad (quality 0 or toxic 1) of each labelled page: the number that ends its path is the id of the document
+    whose text the page shows, which is what labels mark. Of repeated labels of one document the worst counts."""
     named = pages.select(url_filter.host_of(F.col("url")).alias("host"), F.regexp_extract(url_filter.path_of(F.col("url")), r"/(\d{1,18})(?:\.html)?/?$", 1).alias("n"))
     marked = labels.select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad")).where("bad is not null")
     marked = marked.groupBy("id").agg(F.max("bad").alias("bad"))
@@ -129,7 +130,7 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     judged = url_filter.judge(pages, page_outcomes(pages, table(spark, sf_dir, "labels")), URL_RULES)
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("bad_bound", 6).alias("bad_bound"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,11 +150,11 @@ placed_{tag} AS (SELECT * FROM ({rows})),
 sums_{tag} AS (
   SELECT sum(n * pow(bad / n - m, 2)) AS ss, sum(m * (1 - m)) AS inside, sum(n * m * (1 - m)) AS scale FROM placed_{tag}),
 k_{tag} AS (
-  SELECT CASE WHEN ss IS NULL OR scale <= inside OR (ss - inside) / (scale - inside) <= 1.0::DOUBLE / {url_filter.FLAT_STRENGTH + 1} THEN {url_filter.FLAT_STRENGTH}::DOUBLE
+  SELECT CASE WHEN ss IS NULL OR scale <= inside OR (ss - inside) / (scale - inside) <= 1.0::DOUBLE / {url_filter.MAX_STRENGTH + 1} THEN {url_filter.MAX_STRENGTH}::DOUBLE
               ELSE greatest(1 / least((ss - inside) / (scale - inside), 0.999::DOUBLE) - 1, {url_filter.MIN_STRENGTH}::DOUBLE) END AS k FROM sums_{tag}),
 beta_{tag} AS (SELECT p.* EXCLUDE (n, bad, m), m * k + bad AS a, (1 - m) * k + n - bad AS b FROM placed_{tag} p, k_{tag}),
 {tag} AS (
-  SELECT *, a / (a + b) AS m, a / (a + b) - {url_filter.Z}::DOUBLE * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) > {url_filter.MAX_BAD}::DOUBLE AS blocked FROM beta_{tag})"""
+  SELECT *, a / (a + b) AS m, a / (a + b) - {url_filter.Z}::DOUBLE * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) AS bound FROM beta_{tag})"""
 
 
 ORACLE_OP6 = (
@@ -199,7 +200,8 @@ overall AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m
     + """
 SELECT page_id, r.host, path, rule,
        CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN coalesce(ph.blocked, pd.blocked, ps.blocked, false) THEN 'block' ELSE 'allow' END AS verdict
+            WHEN coalesce(ph.bound, pd.bound, ps.bound) > (SELECT m FROM overall) THEN 'block' ELSE 'allow' END AS verdict,
+       round(coalesce(ph.bound, pd.bound, ps.bound), 6) AS bad_bound
 FROM ruled r JOIN placed p ON r.host = p.host LEFT JOIN ph ON p.h = ph.h LEFT JOIN pd ON p.d = pd.d LEFT JOIN ps ON p.s = ps.s
 """
 )
