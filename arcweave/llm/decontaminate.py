@@ -14,8 +14,8 @@ document if some stretch of the text is within floor(L * EDIT_SHARE) insertions,
    items), all windows are candidates.
 4. Candidates are verified by their exact edit distance.
 
-Items of under ``MIN_WORDS`` words and under ``MIN_CHARS`` characters are ordinary phrases and are not sought; characters
-count for scripts without blanks. Null and empty texts hold nothing. Repeated
+Items of under ``MIN_CHARS`` characters are sought as they are, as whole words (in scripts without blanks anywhere). Null
+and empty texts hold nothing, and null and empty items are held by nothing. Repeated
 rows and repeated items give repeated findings. Ids, of items of any type, are carried through unchanged, null ones too. Without items, or documents, nothing is
 found. Other columns, whatever their names, pass through the stage form.
 """
@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from arcweave.llm.common import written
 
 EDIT_SHARE = 0.1
-MIN_WORDS, MIN_CHARS = 5, 20
+MIN_CHARS = 20
 TARGET_RECALL = 0.98
 #: Positions in a table's sample, tables that share a walk, and the most tables; they are added up to the target recall.
 SAMPLE, SHARING, MAX_TABLES, SEED = 8, 12, 960, 11
@@ -168,6 +168,12 @@ def closest(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def whole_word(text: str, start: int, end: int) -> bool:
+    """Whether a stretch does not begin or end inside a word; letters from U+3000 on are words of their own."""
+    inside = lambda a, b: a.isalnum() and b.isalnum() and max(a, b) < "\u3000"
+    return not (start and inside(text[start - 1], text[start])) and not (end < len(text) and inside(text[end - 1], text[end]))
+
+
 class Finder:
     """Items, the automaton of their pieces and the tables of each class of lengths."""
 
@@ -175,7 +181,18 @@ class Finder:
         import ahocorasick
 
         self.share = share
-        items = [(i, s) for i, s in ((i, normal(t)) for i, t in items) if len(s.split()) >= MIN_WORDS or len(s) >= MIN_CHARS]
+        items = [(i, s) for i, s in ((i, normal(t)) for i, t in items) if s]
+        self.short: ahocorasick.Automaton | None = None
+        brief: dict[str, list[int]] = defaultdict(list)
+        for i, s in items:
+            if len(s) < MIN_CHARS:
+                brief[s].append(i)
+        if brief:
+            self.short = ahocorasick.Automaton()
+            for s, ids in brief.items():
+                self.short.add_word(s, (s, tuple(ids)))
+            self.short.make_automaton()
+        items = [(i, s) for i, s in items if len(s) >= MIN_CHARS]
         classes: dict[int, list[tuple[int, str]]] = defaultdict(list)
         for i, s in items:
             classes[int(np.log(len(s)) / np.log(1.3))].append((i, s))
@@ -194,8 +211,15 @@ class Finder:
     def find(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each normalised text its findings (item id, start, length, distance), one per item: the nearest."""
         found: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+        if self.short is not None:
+            for d, text in enumerate(texts):
+                for end, (s, ids) in self.short.iter(text):
+                    start = end + 1 - len(s)
+                    if whole_word(text, start, end + 1):
+                        for i in ids:
+                            found[d].setdefault(i, (start, len(s), 0))
         if self.automaton is None:
-            return [[] for _ in texts]
+            return [[(i, *f) for i, f in sorted(x.items())] for x in found]
         windows: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
         stretches: list[tuple[int, int, int, int, int]] = []
         for d, text in enumerate(texts):

@@ -223,6 +223,7 @@ def test_reputation(spark):
     assert mean(rep["bad.a.com"]) > 0.9 and mean(rep["good.a.com"]) < 0.1
     assert mean(rep["good.a.com"]) < mean(rep["new.a.com"]) < mean(rep["bad.a.com"])
     assert {r.h for r in url_filter.blocked_hosts(out).collect()} == {"bad.a.com"}
+    # without the method all would be allowed
     pages = spark.createDataFrame([(1, "http://bad.a.com/"), (2, "http://good.a.com/"), (3, "http://other.org/")], "page_id long, url string")
     assert {r.page_id: r.verdict for r in url_filter.judge(pages, out, []).collect()} == {1: "block", 2: "allow", 3: "allow"}
 
@@ -431,7 +432,7 @@ def test_decontamination(spark):
         item, body = decontaminate.normal(by_id[r.item_id]), decontaminate.normal(text[r.doc_id])
         assert edit_distance(item, body[r.start : r.start + r.length]) == r.distance <= len(item) // 10
     assert len(found & want) >= 0.98 * len(want)
-    assert {(d, i) for d, i in found if d is not None and d < 1000} <= {(d, i) for d, i in found} and not {d for d, _ in found if d is not None and d >= 1000}
+    assert found <= want | {(None, 0)}  # nothing else: every other document and item is prose of its own
     assert (None, 0) in found
     kept = decontaminate.without_leaks(frame, bench)
     assert kept.columns == frame.columns
@@ -473,7 +474,17 @@ def test_items_in_a_script_without_blanks():
     items = [(0, hanzi(20)), (1, hanzi(120)), (2, "two words")]
     texts = [hanzi(50) + s + hanzi(50) for _, s in items]
     found = decontaminate.Finder(tuple(items), 0.1, 0.98).find(texts)
-    assert [[f[0] for f in x] for x in found] == [[0], [1], []]
+    assert [[f[0] for f in x] for x in found] == [[0], [1], [2]]
+
+
+def test_short_items(spark):
+    """Whole words only, of one to four words; null and empty items are held by nothing."""
+    items = [(1, "Erth"), (None, "tion  sea"), (3, "漢字"), (4, "a b c d"), (5, None), (6, " "), (1, "Erth")]
+    docs = [(0, "the ERTH."), (1, "merth erths"), (2, "a tion\nSEA b"), (3, "x漢字y"), (4, "a b c d e"), (5, ""), (6, None), (7, "za b c d")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(documents(spark, docs), bench).collect()
+    assert sorted((r.doc_id, str(r.item_id), r.distance) for r in got) == [(0, "1", 0), (0, "1", 0), (2, "None", 0), (3, "3", 0), (4, "4", 0)]
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(documents(spark, docs), bench).collect()) == [1, 5, 6, 7]
 
 
 def test_items_in_several_passes(spark, monkeypatch):
