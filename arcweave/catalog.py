@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcweave.functions import algebra as alg
@@ -13,7 +15,8 @@ from arcweave.operators import products, setops
 from arcweave.operators.matrices import Matrix
 from arcweave.operators.vectors import Vec
 from arcweave.plans import closure, graphs, levels, social, voting
-from arcweave.sources import derive, random_graphs
+from arcweave.plans.shared import work_folder
+from arcweave.sources import build, derive, random_graphs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -170,17 +173,17 @@ def min_pred(spark, sf):
     return products.least_predecessor(m.vertices(), m).df
 
 
-@query(f"WITH {SUPPLY} SELECT dst AS key, string_agg(src || ':' || val, ' ' ORDER BY src) AS arcs FROM supply WHERE src < 20 GROUP BY 1")
+@query(f"WITH {SUPPLY} SELECT dst AS key, string_agg(src || ':' || val, ' ' ORDER BY src) AS arcs FROM supply GROUP BY 1")
 def collect_arcs(spark, sf):
     m = derive.supply(spark, sf)
-    got = products.collected_arcs(m.vertices().below(20), m).df
+    got = products.collected_arcs(m.vertices(), m).df
     return got.select("key", F.array_join(F.transform("val", lambda a: F.concat(a["src"].cast("string"), F.lit(":"), a["val"].cast("string"))), " ").alias("arcs"))
 
 
-@query(f"WITH {SUPPLY} SELECT dst AS key, count(*) AS val FROM supply WHERE src < 50 GROUP BY 1")
+@query(f"WITH {SUPPLY} SELECT dst AS key, count(*) AS val FROM supply GROUP BY 1")
 def count_pred(spark, sf):
     m = derive.supply(spark, sf)
-    return products.predecessor_count(m.vertices().below(50), m).df
+    return products.predecessor_count(m.vertices(), m).df
 
 
 @query(f"WITH {EVENTS} SELECT a.src, b.dst, sum(a.val * b.val)::BIGINT AS val FROM moves a JOIN moves b ON a.dst = b.src GROUP BY 1, 2")
@@ -255,16 +258,14 @@ def identity_matrix(spark, sf):
     return cells(derive.nation_trade(spark, sf).identity())
 
 
-# --- sets and vectors: quantities per part of the first and of the last suppliers
+# --- sets and vectors: quantities per part and per order, whose keys overlap
 
-TWO = f"""{SUPPLY}, a AS (SELECT dst AS key, sum(val)::BIGINT AS val FROM supply WHERE src < 30 GROUP BY 1),
-b AS (SELECT dst AS key, sum(val)::BIGINT AS val FROM supply WHERE src >= 20 AND src < 60 GROUP BY 1)"""
+TWO = """a AS (SELECT l_partkey AS key, CAST(sum(l_quantity) AS BIGINT) AS val FROM lineitem GROUP BY 1),
+b AS (SELECT l_orderkey AS key, CAST(sum(l_quantity) AS BIGINT) AS val FROM lineitem GROUP BY 1)"""
 
 
 def two_vectors(spark, sf) -> tuple[Vec, Vec]:
-    m = derive.supply(spark, sf)
-    ones = lambda lo, hi: Vec(m.rows.where((F.col("id") >= lo) & (F.col("id") < hi)).select(F.col("id").alias("key"), F.lit(1).cast("bigint").alias("val")), alg.NUMBER)
-    return products.vec_mat(ones(0, 30), m), products.vec_mat(ones(20, 60), m)
+    return derive.quantities(spark, sf, "l_partkey"), derive.quantities(spark, sf, "l_orderkey")
 
 
 @query(f"WITH {TWO} SELECT key, coalesce(a.val, b.val) AS val FROM a FULL JOIN b USING (key)")
@@ -480,13 +481,23 @@ def bipartition(spark, sf):
     return graphs.bipartition(derive.thin_supply(spark, sf))
 
 
-@query()
+# a greedy matching is at most a maximum one, the smaller side at least; where both meet, the size is proved, else null
+GREEDY = f"""{THIN}, turns AS (SELECT src, dst, row_number() OVER (ORDER BY dst, src) AS i FROM thin),
+greedy(i, cover) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL SELECT turns.i, CASE WHEN list_contains(cover, src) OR list_contains(cover, dst) THEN cover ELSE list_append(list_append(cover, src), dst) END
+  FROM greedy JOIN turns ON turns.i = greedy.i + 1),
+bounds AS (
+  SELECT (SELECT max(len(cover)) // 2 FROM greedy) AS low, least(count(DISTINCT src), count(DISTINCT dst)) AS high FROM half)"""
+
+
+@query(f"WITH RECURSIVE {GREEDY} SELECT CASE WHEN low = high THEN high END AS size FROM bounds")
 def matching_size(spark, sf):
     m, _ = graphs.maximum_matching_by_phases(derive.thin_supply(spark, sf))
     return m.cells.agg((F.count("*") / 2).cast("bigint").alias("size"))
 
 
-@query()
+@query(f"WITH RECURSIVE {GREEDY} SELECT CASE WHEN low = high THEN high END AS size FROM bounds")
 def cover_size(spark, sf):
     return graphs.minimum_vertex_cover(derive.thin_supply(spark, sf)).agg(F.count("*").alias("size"))
 
@@ -553,23 +564,31 @@ def betweenness(spark, sf):
 
 # --- flows
 
+# every set of event types that holds the first one and not the last, with what leaves it
+CUTS = f"""{EVENTS}, n AS (SELECT count(*) AS n FROM names), sides AS (SELECT range AS mask, n FROM n, range(1 << 16) WHERE range < (1 << CAST(n AS INTEGER)) AND range % 2 = 1 AND range < (1 << CAST(n - 1 AS INTEGER))),
+cuts AS (
+  SELECT mask, bit_count(mask) AS size, sum(val) FILTER ((mask >> CAST(src AS INTEGER)) % 2 = 1 AND (mask >> CAST(dst AS INTEGER)) % 2 = 0) AS capacity FROM sides, moves GROUP BY 1)"""
 
-def trade_flow(spark, sf) -> tuple[Matrix, Matrix, Matrix]:
-    """Capacities, flow and residual from nation 0 to nation 7."""
-    capacity = derive.nation_trade(spark, sf).stored()
-    return (capacity, *graphs.maximum_flow(capacity, 0, 7))
 
+def event_flow(spark, sf) -> tuple[Matrix, Matrix, Matrix, int]:
+    """Capacities (how often one event type follows another), flow and residual from the first type to the last."""
+    capacity = derive.transitions(spark, sf).stored()
+    last = capacity.n_rows() - 1
+    return (capacity, *graphs.maximum_flow(capacity, 0, last), last)
 
-@query()
+
+@query(f"WITH {CUTS} SELECT CAST(min(capacity) AS BIGINT) AS val FROM cuts")
 def flow_value(spark, sf):
-    _, flow, _ = trade_flow(spark, sf)
+    """A maximum flow is worth the least cut, which the SQL finds among all cuts."""
+    _, flow, _, _ = event_flow(spark, sf)
     return graphs.balance(flow).where("key = 0").select("val")
 
 
-@query()
+@query(f"WITH {CUTS} SELECT CAST(capacity AS BIGINT) AS val, CAST(size AS BIGINT) AS side FROM cuts WHERE capacity = (SELECT min(capacity) FROM cuts) ORDER BY size LIMIT 1")
 def cut_capacity(spark, sf):
-    capacity, _, residual = trade_flow(spark, sf)
-    return graphs.cut_capacity(capacity, graphs.minimum_cut(residual, 0))
+    capacity, _, residual, _ = event_flow(spark, sf)
+    side = graphs.minimum_cut(residual, 0)
+    return graphs.cut_capacity(capacity, side).select("val", F.lit(side.count()).cast("bigint").alias("side"))
 
 
 @query(f"WITH {TRADE} SELECT key, sum(val)::BIGINT AS val FROM (SELECT src AS key, val FROM trade UNION ALL SELECT dst, -val FROM trade) GROUP BY 1")
@@ -686,12 +705,11 @@ def sym_diff_op(spark, sf):
     return setops.symmetric_difference_with(a.df, b.df, lambda x, y: F.when(x > y, x - y))
 
 
-@query(f"WITH {TWO} SELECT string_agg(key || '=' || val, ',' ORDER BY key) AS val FROM a WHERE key < 40")
+@query(f"WITH {TWO} SELECT list_reduce(list_prepend(0::BIGINT, list(key + val ORDER BY key DESC)), lambda rest, x: (rest * 31 + x) % 1000003) AS val FROM a")
 def ordered_fold(spark, sf):
-    """A right fold: the lowest key is merged last and stands in front."""
+    """A right fold whose result depends on the order: the lowest key is merged last."""
     a, _ = two_vectors(spark, sf)
-    entry = lambda k, v, rest: F.concat(k.cast("string"), F.lit("="), v.cast("string"), F.when(rest == "", "").otherwise(F.concat(F.lit(","), rest)))
-    return a.below(40).fold(entry, F.lit(""))
+    return a.fold(lambda k, v, rest: (rest * 31 + k + v) % 1000003, F.lit(0).cast("bigint"))
 
 
 @query(f"WITH {TWO} SELECT key, val FROM a WHERE key <> 3 AND key <> 7 UNION ALL SELECT 7, 0")
@@ -704,7 +722,7 @@ def restrict_to_greatest(spark, sf):
     return two_vectors(spark, sf)[0].restrict_to_greatest().df
 
 
-CHAINS = "chains AS (SELECT p_size AS id, list(p_partkey ORDER BY p_partkey) AS path FROM part WHERE p_partkey < 400 GROUP BY 1)"
+CHAINS = "chains AS (SELECT l_orderkey AS id, list(l_partkey ORDER BY l_linenumber, l_partkey) AS path FROM lineitem GROUP BY 1)"
 
 
 @query(
@@ -712,8 +730,8 @@ CHAINS = "chains AS (SELECT p_size AS id, list(p_partkey ORDER BY p_partkey) AS
 SELECT id, len(path) AS n, array_to_string(list_reverse(path), '->') AS reversed, len(path) - 1 AS arcs, path[1] AS first_src, coalesce(path[2], -1) AS first_dst FROM chains"""
 )
 def path_functions(spark, sf):
-    """Paths of parts of one size: lengths count vertices."""
-    parts = derive.table(spark, sf, "part").where("p_partkey < 400").groupBy(F.col("p_size").alias("id")).agg(F.array_sort(F.collect_list("p_partkey")).alias("path"))
+    """Paths of the parts of each order: lengths count vertices."""
+    parts = derive.order_paths(spark, sf)
     p, arcs = F.col("path"), paths.arcs_of(F.col("path"))
     first = F.get(arcs, F.lit(0))
     return parts.select(
@@ -724,7 +742,7 @@ def path_functions(spark, sf):
 
 @query(f"WITH {CHAINS} SELECT id, array_to_string(list_slice(path, 1, 3), ' ') AS vertices, CASE WHEN len(path) >= 3 THEN 'x y' WHEN len(path) = 2 THEN 'x' ELSE '' END AS labels FROM chains")
 def labelled_paths(spark, sf):
-    parts = derive.table(spark, sf, "part").where("p_partkey < 400").groupBy(F.col("p_size").alias("id")).agg(F.array_sort(F.collect_list("p_partkey")).alias("path"))
+    parts = derive.order_paths(spark, sf)
     later = F.slice("path", F.lit(2), F.lit(2))
     steps = F.transform(later, lambda v, i: F.struct(F.when(i == 0, "x").otherwise("y").alias("label"), v.alias("vertex")))
     back = paths.reverse_labelled(paths.reverse_labelled(paths.labelled_from(F.get("path", F.lit(0)), steps)))
@@ -752,12 +770,318 @@ def show_rows(spark, sf):
     return derive.nation_trade(spark, sf).show_rows()
 
 
-@query()
+@query(
+    f"""WITH {EVENTS}, w1 AS (SELECT src, dst FROM moves), w2 AS (SELECT a.src, b.dst FROM w1 a JOIN w1 b ON a.dst = b.src)
+SELECT src, dst, count(*) AS walks, 0::BIGINT AS others FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2) GROUP BY 1, 2"""
+)
 def regular_closure(spark, sf):
-    """Regular expressions of all walks among six nations."""
+    """Regular expressions of all walks among the event types, held against all sequences of one and two arcs: how many
+    walks between two types the expression matches, and how many sequences that are no such walk. A letter is an arc."""
+    m = derive.transitions(spark, sf).stored()
+    name = lambda s, d: F.char(F.lit(97) + 5 * s + d)
+    closed = closure.closure(m.map_with_keys(lambda s, d, v: alg.letter(name(s, d)), alg.REGULAR)).cells
+    closed = closed.select("src", "dst", F.concat(F.lit("^(?:"), F.regexp_replace(F.regexp_replace(alg.show_regular(F.col("val")), "⊕", "|"), "⊛", ""), F.lit(")$")).alias("e"))
+    one = m.cells.select(F.col("src").alias("first"), F.col("dst").alias("last"), name(F.col("src"), F.col("dst")).alias("w"), F.lit(True).alias("walk"))
+    next_ = one.select(F.col("first").alias("via"), F.col("last").alias("to"), F.col("w").alias("v"))
+    # all pairs of arcs, walks or not: the graph has as many vertices as there are event types
+    two = one.join(next_).select("first", F.col("to").alias("last"), F.concat("w", "v").alias("w"), (F.col("last") == F.col("via")).alias("walk"))
+    found = closed.join(one.unionByName(two)).where(F.rlike("w", "e"))
+    right = F.col("walk") & (F.col("first") == F.col("src")) & (F.col("last") == F.col("dst"))
+    return found.groupBy("src", "dst").agg(F.count_if(right).alias("walks"), F.count_if(~right).alias("others"))
+
+
+# --- sources
+
+
+@query("SELECT * FROM (VALUES (0, 1, 5), (0, 2, 7), (2, 0, 1), (2, 2, 4)) t(src, dst, val)")
+def from_rows(spark, sf):
+    return cells(build.from_rows(spark, [[(1, 5), (2, 7)], [], [(0, 1), (2, 4)]], alg.NUMBER))
+
+
+@query("SELECT * FROM (VALUES (0, '1:5 2:7'), (1, ''), (2, '0:1')) t(id, line)")
+def from_mat(spark, sf):
+    """A checked matrix and mappings give the same rows."""
+    a = build.from_mat(spark, [(0, [(1, 5), (2, 7)]), (1, []), (2, [(0, 1)])], alg.NUMBER, validate=True).validated()
+    b = build.from_mappings(spark, [{2: 7, 1: 5}, {}, {0: 1}], alg.NUMBER)
+    return a.union(b).show_rows()
+
+
+@query("SELECT DISTINCT l_orderkey AS src, l_partkey AS dst, true AS val FROM lineitem")
+def adjacency_column(spark, sf):
+    """A graph from an array of successors per row: the parts of each order."""
+    orders = derive.order_paths(spark, sf).select("id", F.array_distinct("path").alias("parts"))
+    return cells(build.from_adjacency_column(orders, "id", F.col("parts")))
+
+
+@query("SELECT * FROM (VALUES (0, 1, true), (0, 2, true), (2, 0, true)) t(src, dst, val)")
+def matrix_column(spark, sf):
+    """One row with an array of arrays, and lists of Python, are the same graph."""
+    one = spark.createDataFrame([([[1, 2], [], [0]],)], "m array<array<bigint>>")
+    return cells(build.from_matrix_column(one, F.col("m")).keep(build.from_adjacencies(spark, [[1, 2], [], [0]])))
+
+
+@query(f"WITH {SUPPLY} SELECT src, dst, val FROM supply")
+def edges_round_trip(spark, sf):
+    """Written as a table and read back."""
+    folder = work_folder(spark, "edges")
+    build.write_edges(derive.supply(spark, sf), folder)
+    return cells(build.read_edges(spark, folder, algebra=alg.NUMBER, val="val"))
+
+
+@query("SELECT * FROM (VALUES ('first', 3, 1), ('last', 3, 2), ('one', 3, 1), ('keys', 0, 9), ('keys', 1, 9)) t(made, key, val)")
+def vector_sources(spark, sf):
+    pairs = [(3, 1), (3, 2)]
+    made = {
+        "first": Vec.of(spark, pairs, alg.NUMBER), "last": Vec.of(spark, pairs, alg.NUMBER, "last"), "one": Vec.unit(spark, 3, alg.NUMBER),
+        "keys": Vec.first_keys(spark, 2, F.lit(9), alg.NUMBER),
+    }
+    return reduce(DataFrame.unionByName, [v.df.select(F.lit(k).alias("made"), "key", "val") for k, v in made.items()])
+
+
+@query("SELECT (SELECT CAST(floor(count(*) * count(*) * 0.3) AS BIGINT) FROM nation) AS relation, (SELECT CAST(floor(count(*) * 0.5) AS BIGINT) FROM customer) AS diagonal, (SELECT CAST(floor(count(*) * (count(*) - 1) // 2 * 0.4) AS BIGINT) FROM nation) AS triangle")
+def random_shapes(spark, sf):
+    """Exact numbers of cells of a random relation, diagonal and strict triangle, all where they belong."""
+    n, c = derive.nations(spark, sf).count(), derive.table(spark, sf, "customer").count()
+    size = lambda m, where: m.cells.where(where).distinct().agg(F.count("*").alias("n")).first().n
+    found = (
+        size(random_graphs.random_relation(spark, n, n, 0.3, seed=2), "val"),
+        size(random_graphs.random_diagonal(spark, c, 0.5, seed=3), "src = dst"),
+        size(random_graphs.random_triangle(spark, n, 0.4, seed=4, strict=True), "src > dst"),
+    )
+    return spark.createDataFrame([found], "relation bigint, diagonal bigint, triangle bigint")
+
+
+# --- vectors and matrices, further
+
+
+@query(f"WITH {TWO} SELECT b.key, b.val FROM b JOIN a USING (key)")
+def keep_right(spark, sf):
+    a, b = two_vectors(spark, sf)
+    return setops.keep_right(a.df, b.df)
+
+
+@query(f"WITH {TRADE} SELECT t.src, t.dst, u.val FROM trade t JOIN trade u ON t.src = u.dst AND t.dst = u.src")
+def keep_other(spark, sf):
+    """The turned cells at the places that are filled both ways."""
+    m = derive.nation_trade(spark, sf)
+    return cells(m.keep_other(m.transposed()))
+
+
+@query(f"WITH {TWO} SELECT key, key * 1000 + a.val - b.val AS val FROM a JOIN b USING (key)")
+def intersect_with_key(spark, sf):
+    a, b = two_vectors(spark, sf)
+    return setops.intersect_with_key(a.df, b.df, lambda k, x, y: k * 1000 + x - y)
+
+
+@query(f"WITH {TWO} SELECT key, val // 2 AS val, key % 7 AS rest FROM a WHERE val % 2 = 0 AND key % 7 > 0")
+def map_maybe(spark, sf):
+    """Labels of an even value and of keys that seven does not divide."""
+    a, _ = two_vectors(spark, sf)
+    half = a.map_maybe(lambda v: F.when(v % 2 == 0, F.expr("val div 2")))
+    rest = a.map_maybe_with_key(lambda k, v: F.when(k % 7 > 0, k % 7))
+    return setops.intersect(half.df, rest.df, lambda x, y: F.struct(x.alias("x"), y.alias("y"))).select("key", F.col("val.x").alias("val"), F.col("val.y").alias("rest"))
+
+
+@query(f"WITH {TWO} SELECT (SELECT min(key) FROM a) AS low, (SELECT max(key) FROM a) AS high, (SELECT min(key) FROM a) AS some, (SELECT count(*) FROM b WHERE val = (SELECT max(val) FROM b)) AS top, (SELECT count(*) FROM range(5000) WHERE range NOT IN (SELECT key FROM b)) AS gaps, CAST(0 AS BIGINT) AS absent, (SELECT count(*) FROM a) AS pairs")
+def vector_reading(spark, sf):
+    a, b = two_vectors(spark, sf)
+    one = a.bounds()
+    for df in (
+        a.some().select(F.col("key").alias("some")), b.greatest_keys().agg(F.count("*").alias("top")), b.full_rows(5000).agg(F.count_if(F.col("val").isNull()).alias("gaps")),
+        a.at_or_zero(-1).select(F.col("val").alias("absent")), a.with_keys().df.where("val.key = key").agg(F.count("*").alias("pairs")),
+    ):
+        one = one.join(df)  # one row each
+    return one
+
+
+@query(f"WITH {TWO} SELECT list_reduce(list_prepend(1::BIGINT, list((val % 10 + 1) ORDER BY key)), lambda x, y: (x * y) % 1009) AS val FROM a")
+def vector_product(spark, sf):
+    """A product of all labels under numbers modulo a prime."""
+    a, _ = two_vectors(spark, sf)
+    modular = replace(alg.NUMBER, times=lambda x, y: (x * y) % 1009)
+    return Vec(a.map(lambda v: v % 10 + 1).df, modular).product()
+
+
+@query(f"WITH {TRADE}, turned AS (SELECT dst AS src, src AS dst, val FROM trade) SELECT coalesce(a.src, b.src) AS src, coalesce(a.dst, b.dst) AS dst, CASE WHEN a.val IS NULL THEN b.val WHEN b.val IS NULL THEN a.val ELSE a.val - b.val END AS val FROM trade a FULL JOIN turned b ON a.src = b.src AND a.dst = b.dst")
+def symmetric_with(spark, sf):
+    return cells(derive.nation_trade(spark, sf).symmetric_with(lambda x, y: x - y))
+
+
+@query(f"WITH {SUPPLY} SELECT (SELECT count(*) FROM part) AS rows, (SELECT count(*) FROM supply) AS arcs, (SELECT count(DISTINCT dst) FROM supply) AS filled")
+def transposed_of_width(spark, sf):
+    m = derive.supply(spark, sf).transposed_of_width(derive.table(spark, sf, "part").count())
+    return m.rows.agg(F.count("*").alias("rows")).join(m.cells.agg(F.count("*").alias("arcs"), F.countDistinct("src").alias("filled")))  # one row each
+
+
+@query(f"WITH {TRADE}, put AS (SELECT 3 AS src, 4 AS dst, -1 AS val UNION ALL SELECT 5, 6, -2 UNION ALL SELECT 6, 5, -2), one AS (SELECT id AS src, id AS dst, 1 AS val FROM ids WHERE id % 5 = 0) SELECT src, dst, sum(val)::BIGINT AS val FROM (SELECT * FROM put UNION ALL SELECT src, dst, val FROM trade WHERE (src, dst) NOT IN (SELECT (src, dst) FROM put) UNION ALL SELECT * FROM one) GROUP BY 1, 2")
+def put_edges(spark, sf):
+    """An arc and an edge put in, and a partial identity added."""
+    m = derive.nation_trade(spark, sf)
+    edited = m.add_arc(3, 4, F.lit(-1)).add_edge(5, 6, F.lit(-2))
+    return cells(edited.plus(m.partial_identity(m.vertices().filter_with_key(lambda k, v: k % 5 == 0))))
+
+
+@query(f"WITH {SUPPLY} SELECT dst AS key, 2 * val AS val FROM supply WHERE src = 7")
+def successors(spark, sf):
+    return derive.supply(spark, sf).successors(7, lambda v: 2 * v).df
+
+
+@query(f"WITH {SUPPLY} SELECT src, dst, val - min(val) OVER (PARTITION BY src) AS val FROM supply")
+def map_rows(spark, sf):
+    """Each row as a whole: labels less the row's least."""
+    least = F.min("val").over(Window.partitionBy("src"))
+    return cells(derive.supply(spark, sf).map_rows(lambda c: c.select("src", "dst", (F.col("val") - least).alias("val"))))
+
+
+@query("SELECT true AS below, false AS above, true AS same, true AS empty, false AS other, true AS held, false AS lacking")
+def matrix_tests(spark, sf):
+    """Natural order, equality, emptiness and membership."""
+    m = derive.nation_trade(spark, sf).booleans().stored()
+    part = m.restrict_rows(m.vertices().filter_with_key(lambda k, v: k % 3 == 0))
+    answers = (part.at_most(m), m.at_most(part), m.equals(m.union(part)), m.emptied().is_empty(), m.is_empty(), m.vertices().contains(3), m.vertices().contains(-3))
+    return spark.createDataFrame([answers], "below boolean, above boolean, same boolean, empty boolean, other boolean, held boolean, lacking boolean")
+
+
+# --- algebras as labels of products
+
+
+@query(f"WITH {SUPPLY} SELECT dst AS key, sum((src % 7) * val)::BIGINT AS total, count(*) AS n FROM supply GROUP BY 1")
+def zipped_labels(spark, sf):
+    two = alg.zip_list(alg.NUMBER, 2)
+    m = derive.supply(spark, sf).map(lambda v: F.array(v, F.lit(1).cast("bigint")), two)
+    found = products.vec_mat(m.vertices().map_with_key(lambda k, v: F.array(k % 7, F.lit(1).cast("bigint")), two), m)
+    return found.df.select("key", F.get("val", F.lit(0)).alias("total"), F.get("val", F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SUPPLY} SELECT dst AS key, sum((src % 7) * val)::BIGINT AS plain, sum((src % 3) * val)::BIGINT AS other FROM supply GROUP BY 1")
+def function_labels(spark, sf):
+    """Functions on a domain of two points."""
+    both = alg.over_domain(alg.NUMBER, ["plain", "other"])
+    point = lambda x, y: F.create_map(F.lit("plain"), x, F.lit("other"), y)
+    m = derive.supply(spark, sf).map(lambda v: point(v, v), both)
+    found = products.vec_mat(m.vertices().map_with_key(lambda k, v: point(k % 7, k % 3), both), m)
+    return found.df.select("key", F.col("val")["plain"].alias("plain"), F.col("val")["other"].alias("other"))
+
+
+@query(f"WITH {SUPPLY} SELECT dst AS key, arg_min(val, src) FILTER (val % 2 = 0) AS val FROM supply GROUP BY 1")
+def first_labels(spark, sf):
+    """The even label of the lowest source that has one, else null."""
+    g = alg.first("bigint")
+    m = derive.supply(spark, sf).map(lambda v: F.when(v % 2 == 0, v), g)
+    return products.vec_mat(m.vertices().constant(F.lit(1).cast("bigint"), g), m).df
+
+
+@query(f"WITH {SUPPLY}, d AS (SELECT dst, min(src % 3) AS len FROM supply GROUP BY 1) SELECT supply.dst AS key, len + 1 AS len, count(*) AS cnt FROM supply JOIN d ON supply.dst = d.dst AND src % 3 = len GROUP BY 1, 2")
+def geodesic_labels(spark, sf):
+    """Least lengths and their counts, over one arc from suppliers at different distances."""
+    at = lambda n: F.struct(alg.finite(n).alias("len"), alg.finite(F.lit(1)).alias("cnt"))
+    m = derive.supply(spark, sf).map(lambda v: at(F.lit(1)), alg.GEODESIC)
+    found = products.vec_mat(m.vertices().map_with_key(lambda k, v: at(k % 3), alg.GEODESIC), m)
+    return found.df.select("key", alg.weight_of(F.col("val.len")).alias("len"), alg.weight_of(F.col("val.cnt")).alias("cnt"))
+
+
+@query(f"WITH {SUPPLY} SELECT dst AS key, CAST(min(src) AS VARCHAR) AS path, arg_min(val, src) AS width FROM supply GROUP BY 1")
+def bottleneck_step(spark, sf):
+    """Paths with their least capacity, one step on."""
+    m = derive.supply(spark, sf)
+    start = m.vertices().constant(F.struct(paths.empty_path().alias("path"), F.lit(None).cast("bigint").alias("width")), alg.widest())
+    return products.extended_bottleneck(start, m).df.select("key", F.array_join(F.col("val.path").cast("array<string>"), " ").alias("path"), F.col("val.width").alias("width"))
+
+
+@query(f"WITH {TRADE} SELECT b.dst AS key, string_agg(a.src || '-' || b.src, ' ' ORDER BY b.src, a.src) AS paths FROM trade a JOIN trade b ON a.dst = b.src GROUP BY 1")
+def all_paths(spark, sf):
+    """All walks of two arcs, by their last and then their first source."""
     m = derive.nation_trade(spark, sf)
-    few = m.vertices().below(6)
-    m = m.restrict_rows(few).restrict_columns(few)
-    m = m.like(m.cells, rows=few.df.select(F.col("key").alias("id")))
-    named = m.map_with_keys(lambda s, d, v: alg.letter(F.concat(F.lit("n"), s.cast("string"), F.lit("n"), d.cast("string"))), alg.REGULAR)
-    return closure.closure(named).cells.select("src", "dst", alg.show_regular(F.col("val")).alias("val"))
+    start = m.vertices().constant(F.array(paths.empty_path()), alg.free("array<bigint>"))
+    found = products.extended_paths(products.extended_paths(start, m), m)
+    return found.df.select("key", F.array_join(F.transform("val", lambda p: F.array_join(p.cast("array<string>"), "-")), " ").alias("paths"))
+
+
+@query("SELECT range AS key, CASE WHEN range = 0 THEN 'Min' ELSE CAST(range - 1 AS VARCHAR) END AS low, greatest(range - 1, 0) AS weight, CASE WHEN range = 0 THEN '3' ELSE CAST(range + 2 AS VARCHAR) END AS plus, CASE WHEN range = 0 THEN 'Min' ELSE CAST(3 * (range - 1) AS VARCHAR) END AS times, range * 6 AS product, range + 6 AS total, range % 2 = 1 AS one FROM range(20)")
+def scalar_conversions(spark, sf):
+    """Tropical numbers from and to numbers, their sums and products as numbers, and folds of labels."""
+    k = F.col("id")
+    low, three = alg.finite_or_low(k - 1), alg.finite(F.lit(3))
+    return spark.range(20).select(
+        k.alias("key"), alg.show_tropical(low).alias("low"), alg.weight_or_zero(low).alias("weight"), alg.show_tropical(alg.add_tropical(low, three)).alias("plus"),
+        alg.show_tropical(alg.multiply_tropical(low, three)).alias("times"), alg.NUMBER.product_of([k, F.lit(2).cast("bigint"), F.lit(3).cast("bigint")]).alias("product"),
+        alg.NUMBER.sum_of([k, F.lit(2).cast("bigint"), F.lit(4).cast("bigint")]).alias("total"), (~alg.NUMBER.is_not_one(k % 2)).alias("one"),
+    )
+
+
+@query(f"WITH {CHAINS} SELECT id, '-1->' || array_to_string(path, '->') AS stepped, len(path) + 1 AS n, array_to_string(list_filter(path, lambda x, i: i % 2 = 1), ' ') AS evens, array_to_string(list_filter(path, lambda x, i: i % 2 = 0), ' ') AS odds, path[1] AS start, CAST(len(path) AS INTEGER) AS steps, len(path) AS third FROM chains")
+def path_steps(spark, sf):
+    """Steps to either side, labelled paths taken apart and put together, and every second vertex."""
+    p = F.col("path")
+    grown = paths.labelled_step_left(F.lit(-1).cast("bigint"), F.lit("l"), paths.labelled_step_right(paths.initial(F.get(p, F.lit(0))), F.lit("r"), F.lit(-2).cast("bigint")))
+    steps = F.transform(F.slice(p, F.lit(2), F.size(p)), lambda v: F.struct(F.lit("x").alias("label"), v.alias("vertex")))
+    apart = paths.start_and_steps(paths.labelled_from(F.get(p, F.lit(0)), steps))
+    pairs = F.transform(p, lambda v, i: F.struct(i.alias("key"), F.size(p).cast("bigint").alias("val")))
+    return derive.order_paths(spark, sf).select(
+        "id", paths.show_path(paths.step_left(F.lit(-1).cast("bigint"), p)).alias("stepped"), F.size(paths.step_right(p, F.lit(-2).cast("bigint"))).cast("bigint").alias("n"),
+        F.array_join(paths.evens(p).cast("array<string>"), " ").alias("evens"), F.array_join(paths.odds(p).cast("array<string>"), " ").alias("odds"),
+        apart["start"].alias("start"), (F.size(apart["steps"]) + paths.n_labelled(grown) - 2).alias("steps"), paths.lookup(pairs, F.lit(0)).alias("third"),
+    )
+
+
+# --- loops, further
+
+
+@query(
+    f"""WITH RECURSIVE {TRADE}, walk(key, level) AS (
+  SELECT CAST(0 AS BIGINT), 0 UNION SELECT back.src, level + 1 FROM walk JOIN trade ON walk.key = trade.src JOIN trade back ON back.dst = trade.dst WHERE level < 25)
+SELECT min(level) AS level, key FROM walk GROUP BY key"""
+)
+def two_graph_levels(spark, sf):
+    """A step passes along an arc and then back along another: a list of graphs."""
+    m = derive.nation_trade(spark, sf)
+    return levels.distance(origin(spark), [m, m.transposed()])
+
+
+@query(
+    f"""WITH RECURSIVE {TRADE}, walk(key, level) AS (
+  SELECT id, 0 FROM ids WHERE id < 3 UNION SELECT trade.dst, level + 1 FROM walk JOIN trade ON walk.key = trade.src WHERE level < 25),
+lvl AS (SELECT key, min(level) AS level FROM walk GROUP BY key),
+step AS (SELECT b.key, min(a.key) AS pred FROM lvl a JOIN trade ON a.key = trade.src JOIN lvl b ON b.key = trade.dst AND b.level = a.level + 1 GROUP BY 1),
+path(key, spot, trail) AS (
+  SELECT key, key, CAST(key AS VARCHAR) FROM lvl WHERE key >= 15 AND level = (SELECT min(level) FROM lvl WHERE key >= 15)
+  UNION ALL SELECT path.key, step.pred, step.pred || ' ' || trail FROM path JOIN step ON path.spot = step.key)
+SELECT key AS path_id, trail AS path FROM path WHERE spot < 3"""
+)
+def paths_by_strategy(spark, sf):
+    """Shortest paths picked by a strategy of the caller's choice, here least predecessors."""
+    m = derive.nation_trade(spark, sf)
+    found = levels.paths_by(levels.least_paths, origin(spark, 0, 1, 2), m.vertices().filter_with_key(lambda k, v: k >= 15), m)
+    return found.select("path_id", F.array_join(F.col("path").cast("array<string>"), " ").alias("path"))
+
+
+@query(
+    f"""WITH RECURSIVE {THIN}, label(key, root) AS (SELECT DISTINCT src, src FROM thin UNION SELECT thin.dst, root FROM label JOIN thin ON label.key = thin.src WHERE thin.dst > root),
+roots AS (SELECT key, min(root) AS root FROM label GROUP BY key)
+SELECT root, count(*) FILTER ((key + root) % 2 = 0) AS near, count(*) FILTER ((key + root) % 2 = 1) AS far FROM roots GROUP BY 1"""
+)
+def componentwise(spark, sf):
+    """A function applied to each component: how many vertices lie on even and on odd levels of its search."""
+    found = graphs.componentwise(derive.thin_supply(spark, sf), lambda start, g, within: levels.distance(start, g, within))
+    return found.groupBy("root").agg(F.count_if(F.col("level") % 2 == 0).alias("near"), F.count_if(F.col("level") % 2 == 1).alias("far"))
+
+
+@query(f"WITH {EVENTS}, {least_walks('moves')} SELECT src, dst, val FROM w6")
+def closure_by_pivots(spark, sf):
+    """The same closure with a step of the caller's: one row is passed through at a time."""
+    def through(m: Matrix, k: int) -> Matrix:
+        into, out = m.cells.where(F.col("dst") == k), m.cells.where(F.col("src") == k)
+        return m.plus(products.mat_mat(m.like(into), m.like(out)))
+
+    m = derive.transitions(spark, sf)
+    return cells(closure.pivot_closure(m.like(m.cells, alg.LEAST), through))
+
+
+@query(
+    f"""WITH RECURSIVE {TRADE}, pairs AS (SELECT src, dst FROM trade UNION SELECT dst, src FROM trade),
+odd(root, key, parity) AS (SELECT id, id, 0 FROM ids UNION SELECT root, pairs.dst, 1 - parity FROM odd JOIN pairs ON odd.key = pairs.src)
+SELECT NOT EXISTS (SELECT 1 FROM odd WHERE root = key AND parity = 1) AS by_closure, NOT EXISTS (SELECT 1 FROM odd WHERE root = key AND parity = 1) AS by_even_walks"""
+)
+def bipartite_by_walks(spark, sf):
+    g = derive.nation_trade(spark, sf).units().symmetric()
+    return spark.createDataFrame([(graphs.is_bipartite_by_closure(g), graphs.is_bipartite_by_even_walks(g))], "by_closure boolean, by_even_walks boolean")

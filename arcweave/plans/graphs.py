@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,30 +34,39 @@ def component_count(g: Matrix) -> DataFrame:
 
 
 def per_root(g: Matrix, mult=products.first_vector_label) -> DataFrame:
-    """(root, level, key): for the least vertex not yet reached, the levels from it along arcs, again and again.
+    """(root, level, key): for the least vertex not yet reached, the levels from it along arcs, again and again."""
+    found = componentwise(g, lambda start, graph, within: levels.steps(start, graph, mult, candidates=within).select("key", "level"))
+    return found.select("root", "level", "key")
 
-    On graphs whose arcs go both ways this is a search from the least vertex of each component, run for all components at
-    once. On others the result depends on the order of the roots by definition, and they are taken one by one.
+
+def componentwise(g: Matrix, f: Callable[[Vec, Matrix, DataFrame | None], DataFrame]) -> DataFrame:
+    """root and the columns of f: f(start, graph, candidates) applied to each component, from its least vertex.
+
+    f returns rows with a column key, the vertex a row speaks of; what it returns counts as the component. On graphs whose
+    arcs go both ways f gets the least vertices of all components at once, and its rows are dealt to components by key. On
+    others what a root reaches depends on the order of the roots by definition; they are taken one by one, each among the
+    vertices left.
     """
     g = g.stored()
     turned = g.cells.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     if g.cells.join(turned, ["src", "dst"], "left_anti").isEmpty():
         root = written(weak_components(g), "roots")
         start = Vec(root.where("id = root").select(F.col("id").alias("key"), F.lit(True).alias("val")))
-        return levels.steps(start, g, mult).join(root, F.col("key") == F.col("id")).select("root", "level", "key")
+        found = f(start, g, None)
+        return found.join(root, F.col("key") == F.col("id")).select("root", *found.columns)
     left, out = written(g.rows.select(F.col("id").alias("key")), "left"), []
     while True:
         least = left.agg(F.min("key")).first()[0]
         if least is None:
             break
         start = Vec(left.where(F.col("key") == least).withColumn("val", F.lit(True)))
-        found = levels.steps(start, g, mult, candidates=left)
-        out.append(written(found.select(F.lit(least).alias("root"), "level", "key"), "found"))
+        found = f(start, g, left)
+        out.append(written(found.select(F.lit(least).alias("root"), *found.columns), "found"))
         left = written(left.join(out[-1], "key", "left_anti"), "left")
-    empty = g.spark.createDataFrame([], "root bigint, level int, key bigint")
-    for part in out:
-        empty = empty.unionByName(part)
-    return empty
+    if not out:  # no vertices: f of nothing has the columns
+        none = Vec(left.withColumn("val", F.lit(True)))
+        out.append(f(none, g, left).select(F.lit(None).cast("bigint").alias("root"), "*"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def collections(g: Matrix) -> DataFrame:

@@ -225,6 +225,28 @@ def prune(found: DataFrame, target: DataFrame, share_start: bool = False, share_
     return needed.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(choose, schema)
 
 
+Strategy = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def least_paths(found: DataFrame, target: DataFrame) -> DataFrame:
+    """path_id, path: for each target of the first level that meets them (its id is the path's) the path of least
+    predecessors; such paths may share vertices. For forests of one graph: a join per level, nothing in one task."""
+    goal = target.select(F.col("key").alias("vertex"))
+    best = written(found.where("pred is not null").groupBy("level", "vertex").agg(F.min("pred").alias("pred")), "least")
+    hit = found.join(goal, "vertex", "left_semi").select("level", "vertex").distinct()
+    meets = hit.agg(F.min("level")).first()[0]
+    paths = hit.where(F.col("level") == F.lit(meets)).select(F.col("vertex").alias("path_id"), F.col("vertex").alias("at"), F.array("vertex").alias("path"))
+    for d in range(meets or 0, 0, -1):
+        step = best.where(F.col("level") == d).select(F.col("vertex").alias("at"), "pred")
+        paths = paths.join(step, "at").select("path_id", F.col("pred").alias("at"), F.concat(F.array("pred"), "path").alias("path"))
+    return paths.select("path_id", "path")
+
+
+def paths_by(strategy: Strategy, start: Vec, target: Vec, graphs, first: DataFrame | None = None) -> DataFrame:
+    """Shortest paths from start to target as a strategy picks them from the predecessor forest: strategy(forest, target)."""
+    return strategy(forest(start, graphs, target, first), target.df)
+
+
 def disjoint_paths(start: Vec, target: Vec, graphs, share_start: bool = False, share_end: bool = False, first: DataFrame | None = None) -> DataFrame:
     """Shortest paths from start to target that are disjoint (up to their ends, if so asked)."""
-    return prune(forest(start, graphs, target, first), target.df, share_start, share_end)
+    return paths_by(lambda f, t: prune(f, t, share_start, share_end), start, target, graphs, first)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arcweave.functions.algebra import NUMBER, UNIT, Algebra
 from arcweave.operators.matrices import Matrix
+from arcweave.operators.vectors import Vec
 
 #: Arcs kept per nation, and the scale of shares.
 PER_NATION, SHARE = 3, 1_000_000
@@ -34,6 +35,19 @@ def supply(spark: SparkSession, sf_dir: str) -> Matrix:
     return Matrix.of(lines.agg(F.sum("l_quantity").cast("bigint").alias("val")), NUMBER, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")))
 
 
+def quantities(spark: SparkSession, sf_dir: str, column: str) -> Vec:
+    """Keys of a column of all lines, with the quantity of each."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col(column).cast("bigint").alias("key"))
+    return Vec(lines.agg(F.sum("l_quantity").cast("bigint").alias("val")), NUMBER)
+
+
+def order_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, path: the parts of each order by line, a path of vertices."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"))
+    found = lines.agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
+    return found.select("id", F.transform("lines", lambda x: x["l_partkey"].cast("bigint")).alias("path"))
+
+
 def thin_supply(spark: SparkSession, sf_dir: str) -> Matrix:
     """Suppliers (2k) and parts (2k + 1) joined both ways where a line has the quantity 50. Rows: ends of arcs."""
     lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") == 50).select((2 * F.col("l_suppkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst")).distinct()

@@ -242,3 +242,47 @@ def test_streamed_edges(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert cells(edges.version(spark, str(tmp_path / "out"), 1, A.NUMBER)) == {(0, 1): 10, (1, 0): 1}
+
+
+# --- laws of closures on random matrices, strategies, components
+
+
+@pytest.mark.parametrize("algebra", [A.BOOL, A.TROPICAL, A.pair(A.BOOL, A.TROPICAL)], ids=lambda a: a.name)
+def test_closure_laws(spark, algebra):
+    """The star is one plus a·star and one plus star·a, and the least solution x of x = b + a·x is star·b."""
+    def labels(seed):
+        m = random_graphs.random_graph(spark, 6, 0.3, (1, 9), seed)
+        one = {"bool": lambda v: v % 2 == 0, "tropical": A.finite}
+        made = {**one, "(bool, tropical)": lambda v: F.struct((v % 2 == 0).alias("_1"), A.finite(v).alias("_2"))}
+        return m.map(made[algebra.name], algebra).stored()
+
+    a, b = labels(1), labels(2)
+    star = closure.star_closure(a).stored()
+    for two in (products.mat_mat(a, star), products.mat_mat(star, a)):
+        assert two.plus(a.identity()).without_zeros().equals(star)
+    x = products.mat_mat(star, b).stored()
+    assert b.plus(products.mat_mat(a, x)).without_zeros().equals(x.without_zeros())
+    # from below: the rounds from b on stay under x and end there
+    y = b
+    for _ in range(6):
+        y = b.plus(products.mat_mat(a, y)).stored()
+        assert y.at_most(x)
+    assert y.without_zeros().equals(x.without_zeros())
+
+
+def test_componentwise_on_directed_graphs(spark):
+    """Roots are taken in order, each among the vertices left."""
+    cells = spark.createDataFrame([(2, 0, True), (0, 1, True), (3, 2, True), (3, 4, True)], "src bigint, dst bigint, val boolean")
+    g = Matrix.of(cells, A.UNIT, spark.range(6))
+    got = graphs.componentwise(g, lambda start, m, within: levels.distance(start, m, within).withColumn("seen", F.lit("x")))
+    assert {(r.root, r.level, r.key, r.seen) for r in got.collect()} == {(0, 0, 0, "x"), (0, 1, 1, "x"), (2, 0, 2, "x"), (3, 0, 3, "x"), (3, 1, 4, "x"), (5, 0, 5, "x")}
+    none = Matrix.of(cells.limit(0), A.UNIT, spark.range(0))
+    assert graphs.componentwise(none, lambda s, m, w: levels.distance(s, m, w)).columns == ["root", "level", "key"]
+
+
+def test_random_draw_is_exact(spark):
+    """The filtered draw has the cells that sorting all would give."""
+    cells = spark.range(2000).select(F.col("id").alias("src"), (F.col("id") % 7).alias("dst"))
+    for density in (0.0, 0.001, 0.3, 0.999, 1.0):
+        want = {tuple(r) for r in cells.orderBy(F.xxhash64(F.lit(4), "src", "dst"), "src", "dst").limit(int(2000 * density)).collect()}
+        assert {tuple(r) for r in random_graphs._drawn(cells, 2000, density, 4).collect()} == want
