@@ -2,8 +2,7 @@
 
 Built of DataFrame functions alone. Canonical: Unicode compatibility composition (NFKC), full case folding, NFKC again,
 runs of white space as one space, none at the ends. The digest is two chained 64-bit xxhashes, 32 hex digits. Within
-equal digests the canonical bytes are compared; should they differ, texts after the first (in byte order) get a number
-behind the digest, so that equal fingerprints always mean equal canonical texts.
+equal digests the canonical bytes are compared; should they differ, each gets their SHA-256 behind the digest, so that equal fingerprints always mean equal canonical texts.
 
 Null text counts as empty; empty texts are equal to each other. Rows that repeat an id and its text count as one document
 wherever documents are ordered. A null id sorts first. An empty table gives no rows. Other columns, whatever their
@@ -17,8 +16,8 @@ from pyspark.sql import functions as F
 
 from arcweave.llm.common import keyed, same, written
 
-#: Documents to a block of the order by id; only a block's first document takes part in the step over all blocks.
-BLOCK_ROWS = 4096
+#: Documents to a range of the order by id, unless the session asks for more shuffle partitions.
+RANGE_ROWS = 1 << 20
 
 
 def canonical(text: Column) -> Column:
@@ -39,44 +38,54 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def collisions(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """id, th and variant (1, 2, ...) of documents whose digest stands for more than one canonical text.
+    """The digests that stand for more than one canonical text: none, unless the hash fails.
 
     Canonical bytes of the documents that share a digest are compared through their least and greatest, combined before
     the shuffle, so that a bucket with very many copies sends one row per task.
     """
     shared = found.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1").select("digest")
-    members = same(texts, found.join(shared, "digest").select("id", "th", "digest")).select("id", "th", "digest", canonical(F.col("text")).alias("canon"))
-    split = members.groupBy("digest").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi")).where("lo <> hi").select("digest")
-    odd = members.join(split, "digest").select("digest", "canon", "id", "th")
-    return odd.select("id", "th", F.dense_rank().over(Window.partitionBy("digest").orderBy("canon")).alias("variant")).distinct()
+    members = same(texts, found.join(shared, "digest").select("id", "th", "digest")).select("digest", canonical(F.col("text")).alias("canon"))
+    return members.groupBy("digest").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi")).where("lo <> hi").select("digest")
+
+
+def told_apart(rows: DataFrame, canon: Column, digest_col: str, odd: DataFrame, name: str) -> DataFrame:
+    """rows with a fingerprint ``name``: the digest, and behind one of the odd digests a SHA-256 of the canonical bytes."""
+    marked = rows.join(odd.select(F.col("digest").alias(digest_col), F.lit(True).alias("odd")), digest_col, "left")
+    return marked.withColumn(name, F.when(F.col("odd"), F.concat(digest_col, F.lit(":"), F.sha2(canon, 256))).otherwise(F.col(digest_col))).drop("odd")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, th, n_chars, fingerprint, group_id (the smallest id of an equal document) and copies, of each document.
+    """id, th, n_chars, digest and fingerprint of each document, written to the shared folder: small rows."""
+    found, texts = digests(docs, id_col, text_col), keyed(docs, id_col, text_col)
+    odd = written(collisions(texts, found), "odd")
+    if odd.isEmpty():
+        return found.withColumn("fingerprint", F.col("digest"))
+    few = found.join(odd, "digest", "left_semi").select("id", "th")
+    named = told_apart(same(texts, few).withColumn("canon", canonical(F.col("text"))).withColumn("digest", digest(F.col("canon"))), F.col("canon"), "digest", odd, "fingerprint")
+    named = named.select("id", "th", F.col("fingerprint").alias("own")).distinct()
+    return written(same(found, named, "left").withColumn("fingerprint", F.coalesce("own", "digest")).drop("own"), "fingerprints")
 
-    Written to the shared folder: small rows.
-    """
-    found = digests(docs, id_col, text_col)
-    odd = collisions(keyed(docs, id_col, text_col), found)
-    named = same(found, odd, "left").select("id", "th", "n_chars", F.concat("digest", F.when(F.col("variant") > 1, F.concat(F.lit(":"), F.col("variant"))).otherwise("")).alias("fingerprint"))
-    groups = named.groupBy("fingerprint").agg(F.min("id").alias("group_id"), F.count("*").alias("copies"))
-    return written(named.join(groups, "fingerprint"), "fingerprints")
+
+def groups(prints: DataFrame) -> DataFrame:
+    """fingerprint, group_id (the smallest id) and copies, a row for each class of equal documents."""
+    return prints.groupBy("fingerprint").agg(F.min("id").alias("group_id"), F.count("*").alias("copies"))
 
 
 def successors(prints: DataFrame) -> DataFrame:
     """prints with nid, nth and next_print: the next document by ascending id (after the last: the first).
 
-    Blocks of ids are ordered one by one; the step over all blocks sees one row of each.
+    Documents are dealt by ranges of (id, hash), whatever the span of the ids, and written once, so that a range keeps
+    its number; ranges are ordered one by one, and the step over all ranges sees the first document of each.
     """
-    lo, hi, n = prints.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    width = max(1, ((hi - lo + 1) * BLOCK_ROWS) // n) if lo is not None else 1
-    rows = prints.withColumn("block", F.coalesce(F.floor((F.col("id") - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(-1)))
+    order = [F.col("id").asc_nulls_first(), F.col("th")]
+    n = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() // RANGE_ROWS))
+    rows = written(prints.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "ranges")
     me = F.struct(F.col("id").alias("nid"), F.col("th").alias("nth"), F.col("fingerprint").alias("next_print"))
-    inside = F.lead(me).over(Window.partitionBy("block").orderBy(F.col("id").asc_nulls_first(), "th"))
-    firsts = rows.groupBy("block").agg(F.min(me).alias("first"))
-    order = Window.orderBy("block")
-    firsts = firsts.select("block", F.coalesce(F.lead("first").over(order), F.min("first").over(order)).alias("after"))
-    out = rows.withColumn("inside", inside).join(firsts, "block").withColumn("n", F.coalesce("inside", "after"))
+    inside = F.lead(me).over(Window.partitionBy("range").orderBy(*order))
+    firsts = rows.groupBy("range").agg(F.min(me).alias("first"))
+    by = Window.orderBy("range")
+    firsts = firsts.select("range", F.coalesce(F.lead("first").over(by), F.first("first").over(by)).alias("after"))
+    out = rows.withColumn("inside", inside).join(firsts, "range").withColumn("n", F.coalesce("inside", "after"))
     return out.select(*prints.columns, "n.nid", "n.nth", "n.next_print")
 
 
@@ -89,6 +98,6 @@ def edited(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_col:
     texts = keyed(docs, id_col, text_col)
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     after = successors(prints)
-    heads = same(after, texts, id="nid", th="nth").select("id", "th", "n_chars", "fingerprint", "group_id", "copies", "next_print", F.substring("text", F.lit(1), quarter).alias("head"))
+    heads = same(after, texts, id="nid", th="nth").select("id", "th", "n_chars", "digest", "fingerprint", "next_print", F.substring("text", F.lit(1), quarter).alias("head"))
     both = same(texts, heads)
     return both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - quarter).cast("int")), F.col("head")))

@@ -72,18 +72,18 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = fingerprints.edited(docs, fingerprints.fingerprints(docs))
     canon = fingerprints.canonical(F.col("edited"))
     both = both.withColumn("edited_digest", fingerprints.digest(canon))
-    equal = F.when(F.substring("fingerprint", 1, 32) == F.col("edited_digest"), fingerprints.canonical(F.col("text")) == canon).otherwise(False)
+    # equal digests alone take a second look at the bytes, which tells texts of one digest apart
+    equal = F.when(F.col("digest") == F.col("edited_digest"), fingerprints.canonical(F.col("text")) == canon).otherwise(False)
     both = both.withColumn("equal", equal)
+    other = F.when(F.col("digest") == F.col("edited_digest"), F.concat("edited_digest", F.lit(":"), F.sha2(canon, 256))).otherwise(F.col("edited_digest"))
     return both.select(
         F.col("id").alias("doc_id"),
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         "fingerprint",
-        F.when(F.col("equal"), F.col("fingerprint")).otherwise(F.col("edited_digest")).alias("edited_fingerprint"),
+        F.when(F.col("equal"), F.col("fingerprint")).otherwise(other).alias("edited_fingerprint"),
         F.col("equal").cast("double").alias("near_edited"),
         (F.col("fingerprint") == F.col("next_print")).cast("double").alias("near_next"),
-        "group_id",
-        "copies",
     )
 
 
