@@ -107,14 +107,15 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Writes every page into ``folder`` (a URI that all executors reach) and returns the manifest (path, n_records).
 
     Of pages with equal payloads the one with the largest id is a response record, the others are revisits of it. The
-    largest id of each payload comes from a combined aggregation over (SHA-1, length); only ids and digests are shuffled
+    largest id of each payload comes from a combined aggregation over (SHA-256, length), as payloads of one SHA-1 can be
+    made; only ids and digests are shuffled
     for that, the html once, by id. A task writes its file under a name of its own and renames it when it is whole.
     """
     src = pages.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(url_col).alias("url"),
         F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"),
-    ).withColumns({"d": F.sha1("payload"), "n": F.length("payload")})
+    ).withColumns({"d": F.sha2("payload", 256), "n": F.length("payload")})
     keyed = src.select("id", "d", "n")
     owners = keyed.groupBy("d", "n").agg(F.max("id").alias("owner"), F.count("*").alias("copies"))
     revisits = keyed.join(owners.where("copies > 1"), ["d", "n"]).where("id < owner").distinct().drop("copies")
@@ -183,7 +184,21 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     )
 
 
+def verified(records: DataFrame) -> DataFrame:
+    """records without their payloads; a revisit's digest_ok also takes a sound response with its id, digest and length.
+
+    The records are written first, small rows, so that the archives are read once.
+    """
+    rows = written(records.drop("payload"), "records")
+    sound = rows.where("record_type = 'response' and digest_ok").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes", F.lit(True).alias("found")).distinct()
+    again = rows.where("record_type = 'revisit'").join(sound, ["refers_to", "payload_digest", "payload_bytes"], "left")
+    again = again.withColumn("digest_ok", F.col("digest_ok") & F.coalesce("found", F.lit(False))).select(*rows.columns)
+    return rows.where("record_type <> 'revisit'").unionByName(again)
+
+
 def round_trip(pages: DataFrame, **cols) -> DataFrame:
-    """Writes the pages to a fresh shared folder and reads the archives back."""
+    """Writes the pages to a fresh shared folder and reads the archives back, revisits verified. A record whose digest
+    does not fit is an error."""
     folder = work_folder(pages.sparkSession, "warc")
-    return read_archives(write_archives(pages, folder, **cols), folder)
+    out = verified(read_archives(write_archives(pages, folder, **cols), folder))
+    return out.withColumn("digest_ok", F.when(F.col("digest_ok"), True).otherwise(F.raise_error(F.lit("a WARC record does not fit its digest")).cast("boolean")))
