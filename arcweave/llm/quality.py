@@ -4,7 +4,8 @@ A document labelled 1 is preferred to one labelled 0. The model is a weight vect
 is the logistic function of w (f(x) - f(y)). Scores are then placed so that the chosen quantile of the labelled scores,
 the share of rejected ones, lies at the cut 0.7.
 
-Null text counts as empty and gets a score like any text. Null labels and labelled ids without a document are ignored.
+Null text counts as empty and gets a score like any text. Null labels and labelled ids without a document are ignored; of
+contradicting labels of one id 1 counts.
 Repeated rows get equal scores. An empty table gives no rows. If only one class is labelled, all documents score the
 cut itself and are kept.
 """
@@ -106,7 +107,9 @@ def labelled_features(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_RO
 
     # broadcast: fit_rows rows of two numbers at most
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id")
-    rows = some.select("id", "y", vectors("text").alias("x")).dropDuplicates(["id"]).orderBy("id").collect()
+    # of rows that repeat an id the one of the least content hash, so that a fit can be repeated
+    one = some.groupBy("id").agg(F.first("y").alias("y"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = one.select("id", "y", vectors("text").alias("x")).orderBy("id").collect()
     width = len(features(""))
     return np.array([r.x for r in rows], float).reshape(-1, width), np.array([r.y for r in rows], int)
 

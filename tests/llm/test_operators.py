@@ -141,9 +141,11 @@ def test_fingerprints(spark, corpus):
         r, after = got[i, t], rows[(k + 1) % len(rows)][1]
         q = len(t) // 4
         assert r.edited == t[: len(t) - q] + after[:q] and r.n_chars == len(t)
-        assert r.fingerprint[:16] == f"{xxhash.xxh64_intdigest(canonical(t).encode(), 42):016x}"
+        lane = xxhash.xxh64_intdigest(b"second lane", 42)  # the second lane starts from the hash of its name
+        assert r.fingerprint == f"{xxhash.xxh64_intdigest(canonical(t).encode(), 42):016x}{xxhash.xxh64_intdigest(canonical(t).encode(), lane):016x}"
         assert (r.fingerprint == r.next_print) == (canonical(t) == canonical(after))
-        assert r.group_id == first[canonical(t)]
+    classes = {r.group_id for r in fingerprints.groups(prints).collect()}
+    assert classes == set(first.values()) | {None} or classes == set(first.values())
     assert fingerprints.fingerprints(documents(spark, [])).count() == 0
 
 
@@ -152,8 +154,19 @@ def test_fingerprint_collisions(spark):
     rows = [(1, "a"), (2, "b"), (3, "A"), (4, "c")]
     texts = fingerprints.keyed(documents(spark, rows))
     forged = texts.select("id", "th", F.when(F.col("id") < 4, "same").otherwise("other").alias("digest"))
-    got = {r.id: r.variant for r in fingerprints.collisions(texts, forged).collect()}
-    assert got == {1: 1, 2: 2, 3: 1}
+    odd = fingerprints.collisions(texts, forged)
+    assert [r.digest for r in odd.collect()] == ["same"]
+    rows = texts.withColumn("canon", fingerprints.canonical(F.col("text"))).join(forged.select("id", "digest"), "id")
+    got = {r.id: r.fp for r in fingerprints.told_apart(rows, F.col("canon"), "digest", odd, "fp").collect()}
+    assert got[1] == got[3] != got[2] and got[4] == "other" and got[1].startswith("same:")
+
+
+@pytest.mark.parametrize("ids", [[-(2**62), 7, 2**62 + 5], [0, 5, 9 * 10**18], [*range(10_000), 2**62], [None, 3]], ids=["wide", "one far", "outlier", "null"])
+def test_successors_of_any_ids(spark, ids):
+    prints = spark.createDataFrame([(i, k, f"p{i}") for k, i in enumerate(ids)], "id long, th long, fingerprint string")
+    got = {r.id: r.nid for r in fingerprints.successors(prints).collect()}
+    order = sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert got == dict(zip(order, order[1:] + order[:1]))
 
 
 # --- 5 substring dedup
@@ -374,6 +387,10 @@ def test_warc(spark):
         want.append(str((i, len(raw), warc.payload_digest(raw), "revisit" if again else "response", owner if again else None, None if again else raw)))
     assert sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload))) for r in got) == sorted(want)
     assert all(r.digest_ok for r in got)
+    records = warc.read_archives(warc.write_archives(df, folder + "-2"), folder + "-2")
+    assert all(r.digest_ok for r in warc.verified(records).collect())
+    lost = records.where("not (page_id = 6 or page_id = 2)")  # 2 is what 1 revisits
+    assert {r.page_id for r in warc.verified(lost).where("not digest_ok").collect()} == {1}
     empty = work_folder(spark, "warc-test")
     assert warc.read_archives(warc.write_archives(df.limit(0), empty), empty).count() == 0
 
