@@ -1,33 +1,45 @@
-"""Substring dedup by window hashes against an indexed reference.
+"""Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
 
 Words are maximal runs of anything but ASCII white space. A window is ``WINDOW`` consecutive words of one document. The
-reference is every document with a smaller id: a window that one of them holds too is removed, with all of its words. A
-repeat that spans several passages is found, as each of its windows is looked up by itself.
-
-This is not relative Lempel-Ziv: there is no greedy parse, no longest match and no factor of a single word. The column
-``factors`` is only a report of neighbouring removed windows with one least reference id. Its stretches may overlap, need
-not be the longest, and decide nothing.
-
-The reference index is dealt into blocks by window hash, the documents into tiles by document hash. A window's anchor is the
-least hash among its 5-word grams, so equal windows have equal anchors, and a text has about one anchor per five words:
-
-1. each tile sends its distinct anchors to the blocks, which answer with those that other tiles hold too;
-2. each tile sends the distinct windows around such anchors (96-bit hash, least id) to the blocks, which answer with the
-   ones that a document with a smaller id holds elsewhere;
-3. each tile cuts its documents with these answers and its own windows.
-
-What is sent is distinct per tile, so a passage that very many documents share is one entry per tile, and each block and
-tile is of bounded size. The texts are shuffled once. All steps are one plan of shuffles and are recomputed from their
-inputs if an executor is lost.
+reference of a document is every document with a smaller id: a window that one of them holds too is removed, with all of
+its words.
+
+Documents are dealt into tiles by their hash; each tile is also a block of the reference, with an index of its windows. A
+block parses what it is asked greedily, from left to right: the first window that a smaller document of the block holds,
+compared word by word, is extended as far as the two texts agree. That is a factor; factors have ``WINDOW`` words at least,
+what lies between them are single words. At a factor's end the windows that cross it are looked up in turn, so the next
+factor may begin up to ``WINDOW`` - 1 words before that end. Removed words are those of factors, nothing else. The
+reference of a factor is the least document of the block that holds its first window, which need not be the one with the
+longest match; the words covered are the same.
+
+Asking all blocks for all texts would grow with the square of the input, so hashes say which blocks to ask for what. A
+window's anchor is the least hash among its 5-word grams: equal windows have equal anchors, and a text has about one anchor
+per five words:
+
+1. each tile sends its distinct anchors to index parts dealt by hash, which answer with those that other tiles hold too;
+2. each tile sends the distinct windows around such anchors (96-bit hash, least id) to index parts, which answer with the
+   tile that holds the least document of each window found earlier elsewhere;
+3. each tile sends the stretches of such windows, words and all, to that reference block; a window goes out once per tile;
+4. the blocks parse the stretches and answer with the factors;
+5. each tile cuts its documents by the factors; a window that repeats one inside a factor, word by word, is cut with it.
+
+Hashes of windows are built from the BLAKE2 digests of their words, not from letters, and only choose what is compared: no
+word goes without a comparison of words. A window could be missed only if another one with the same 96 bits stood in a
+smaller document.
+
+What is sent is distinct per tile, so a passage that very many documents share goes out once per tile. A block that holds
+the first document of a very large group of copies gets one such passage of each tile in one task. The texts are shuffled
+once. All steps are one plan of shuffles and are recomputed from their inputs if an executor is lost; the order of a tile's
+documents is that of id and text, whatever the order of arrival.
 
 Null text counts as empty (no words). A null id counts as smaller than all others. Rows that repeat an id do not repeat
-each other (their ids are equal) and each gets its result. Ids are integers. An empty table gives no rows. Other columns,
-whatever their names, play no part.
+each other (their ids are equal) and each gets its result; equal rows lie in one tile. Ids are integers. An empty table
+gives no rows. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import chain, compress
 
 import numpy as np
@@ -38,64 +50,46 @@ from pyspark.sql import functions as F
 from arcweave.llm.common import keyed
 
 WINDOW, GRAM = 13, 5
-#: Characters of text in a tile, and of the texts whose windows one block of the index covers.
+#: Characters of text in a tile, and of the texts whose windows one part of the index covers.
 TILE_CHARS, BLOCK_CHARS = 4 << 20, 16 << 20
-#: Words that are hashed together.
-SEGMENT = 32_768
-NULL_ID = np.iinfo(np.int64).min
+NULL_ID, NO_ID = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+#: A window as it is asked: hash, second hash, least id; and as it is answered: the tile to ask.
 ENTRY = np.dtype([("h", "<u8"), ("g", "<u4"), ("d", "<i8")])
+ANSWER = np.dtype([("h", "<u8"), ("g", "<u4"), ("tile", "<u4")])
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    """The finishing steps of a well-known 64-bit hash: spreads every bit over all."""
+    """The finishing steps of MurmurHash3 for 64 bits: spreads every bit over all."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return h ^ (h >> np.uint64(33))
 
 
-class Lane:
-    """A polynomial hash over bytes modulo 2**64: the hash of any stretch of a buffer comes from two prefix sums."""
-
-    def __init__(self, seed: int):
-        self.letters = np.random.default_rng(seed).integers(0, 2**64, 256, dtype=np.uint64)
-        self.base = int(self.letters[0] | np.uint64(1)) | 5
-        self.powers = self.inverse = np.ones(1, np.uint64)
-
-    def _reach(self, n: int) -> None:
-        if len(self.powers) <= n:
-            for name, b in (("powers", self.base), ("inverse", pow(self.base, -1, 2**64))):
-                steps = np.full(max(n, 1 << 18) + 1, b, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps))
+def coded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word (equal for equal words only), and two 64-bit hashes per number."""
+    column = pa.array(words, pa.large_binary()).dictionary_encode()
+    digests = b"".join(blake2b(w, digest_size=16).digest() for w in column.dictionary.to_pylist())
+    return column.indices.to_numpy(zero_copy_only=False), np.frombuffer(digests, "<u8").reshape(-1, 2)
 
-    def prefix(self, raw: np.ndarray) -> np.ndarray:
-        self._reach(len(raw))
-        out = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(self.letters[raw] * self.powers[: len(raw)], out=out[1:])
-        return out
 
-    def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return _mix((prefix[ends] - prefix[starts]) * self.inverse[starts])
+def grams(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, by their first word, from the hashes of the words.
 
-
-LANES = Lane(101), Lane(202)
-
-
-def gram_hashes(words: list[bytes], wanted: list[tuple[int, int]]) -> list[np.ndarray]:
-    """For each (size, lane) the hashes of all runs of ``size`` words, by their first word."""
-    most = max(size for size, _ in wanted)
-    out: list[list[np.ndarray]] = [[] for _ in wanted]
-    for at in range(0, len(words), SEGMENT):
-        some = words[at : at + SEGMENT + most - 1]
-        ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        raw = np.frombuffer(b" ".join(some), np.uint8)
-        prefix = {lane: LANES[lane].prefix(raw) for lane in {lane for _, lane in wanted}}
-        for k, (size, lane) in enumerate(wanted):
-            n = min(SEGMENT, len(some) - size + 1)
-            if n > 0:
-                out[k].append(LANES[lane].spans(prefix[lane], starts[:n], ends[size - 1 : size - 1 + n]))
-    return [np.concatenate(x) if x else np.empty(0, np.uint64) for x in out]
+    Runs of 1, 2, 4, ... words are hashed in pairs; a run of any size is put together from these.
+    """
+    n, out, at, have = len(h) - size + 1, None, 0, 1
+    if n <= 0:
+        return h[:0]
+    while True:
+        if size & have:
+            part = h[at : at + n]
+            out = part if out is None else _mix(out * ODD + part)
+            at += have
+        if 2 * have > size:
+            return out
+        h = _mix(h[:-have] * ODD + h[have:])
+        have *= 2
 
 
 def least_of(h: np.ndarray, width: int) -> np.ndarray:
@@ -109,23 +103,33 @@ def least_of(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Tile:
-    """Documents of one tile in the order of their ids, as one list of words."""
+    """Documents of one tile in the order of their ids (then texts), as one list of words."""
 
     def __init__(self, docs: pa.Table):
         ids = docs["id"].combine_chunks().cast(pa.int64())
         keys = ids.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-        self.order = np.argsort(keys, kind="stable")
+        texts = [(x or "").encode("utf-8", "replace") for x in docs["text"].to_pylist()]
+        self.order = np.array(sorted(range(len(texts)), key=lambda k: (keys[k], texts[k])), np.int64)
         self.ids = keys[self.order]
-        texts = docs["text"]
-        split = [(texts[int(i)].as_py() or "").encode("utf-8", "replace").split() for i in self.order]
+        split = [texts[k].split() for k in self.order]
         self.counts = np.fromiter(map(len, split), np.int64, len(split))
+        self.begins = np.concatenate([[0], np.cumsum(self.counts)])
         self.words: list[bytes] = list(chain.from_iterable(split))
-        owner = np.repeat(np.arange(len(split)), self.counts)
+        self.owner = np.repeat(np.arange(len(split)), self.counts)
         n = max(0, len(self.words) - WINDOW + 1)
-        self.owner, self.valid = owner, owner[:n] == owner[len(owner) - n :]
+        self.valid = self.owner[:n] == self.owner[len(self.owner) - n :]
+
+    def windows(self, codes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes of all windows, the second one of 32 bits."""
+        return grams(hashes[codes, 0], WINDOW), grams(hashes[codes, 1], WINDOW).astype(np.uint32)
 
-    def anchors(self, h: np.ndarray) -> np.ndarray:
-        return least_of(h, WINDOW - GRAM + 1)
+    def anchors(self, codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        return least_of(grams(hashes[codes, 0], GRAM), WINDOW - GRAM + 1)
+
+
+def heads_of(n: int, *new: np.ndarray) -> np.ndarray:
+    """Starts of the stretches of n entries in which none of the conditions (of n - 1 each) holds between neighbours."""
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce(new)])) if n else np.empty(0, np.int64)
 
 
 def runs(h: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -142,7 +146,7 @@ def by_hash(h: np.ndarray, g: np.ndarray) -> np.ndarray:
     return order
 
 
-def dealt(key: str, values: np.ndarray, hashes: np.ndarray, blocks: int, tile: int) -> pa.Table:
+def dealt(values: np.ndarray, hashes: np.ndarray, blocks: int, tile: int) -> pa.Table:
     """One row (block, tile, bytes of its values) for each block that has any."""
     to = ((hashes >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
     order = np.argsort(to, kind="stable")
@@ -169,11 +173,56 @@ def answers(values: np.ndarray, tiles: np.ndarray) -> pa.Table:
     return pa.table({"tile": pa.array(tiles[at], pa.int64()), "data": pa.array([values[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
 
+def agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """How many leading entries agree."""
+    n, step, at = min(len(a), len(b)), 64, 0
+    while at < n:
+        differ = a[at : min(n, at + step)] != b[at : min(n, at + step)]
+        if differ.any():
+            return at + int(differ.argmax())
+        at, step = at + step, 2 * step
+    return n
+
+
+def factors_in(block: Tile, phrases: list[bytes], before: list[int]) -> list[list[tuple[int, int, int]]]:
+    """Greedy parse of each phrase against the block's documents with ids less than ``before``: its factors of ``WINDOW``
+    words or more as (first word, words, id of the reference)."""
+    split = [p.split(b" ") for p in phrases]
+    codes, hashes = coded(list(chain(block.words, chain.from_iterable(split))))
+    own, asked = codes[: len(block.words)], codes[len(block.words) :]
+    inside = np.flatnonzero(block.valid)
+    h = grams(hashes[own, 0], WINDOW)[inside]
+    order = np.argsort(h, kind="stable")  # equal hashes stay in the order of ids
+    h, spots = h[order], inside[order]
+    wanted = grams(hashes[asked, 0], WINDOW)
+    low = np.searchsorted(h, wanted)
+    out, begin = [], 0
+    for words, limit in zip(split, before):
+        found, at, end = [], begin, begin + len(words)
+        while at + WINDOW <= end:
+            k, n = int(low[at]), 0
+            while k < len(h) and h[k] == wanted[at]:
+                spot = int(spots[k])
+                doc = block.owner[spot]
+                if block.ids[doc] >= limit:
+                    break
+                n = agreeing(asked[at:end], own[spot : block.begins[doc + 1]])
+                if n >= WINDOW:
+                    found.append((at - begin, n, int(block.ids[doc])))
+                    break
+                k += 1
+            # after a factor come the windows that cross its end
+            at += n - WINDOW + 1 if n >= WINDOW else 1
+        out.append(found)
+        begin = end
+    return out
+
+
 def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed, kept (the words left, joined by one space) and factors (start, length, ref) of every row.
 
-    start and length count words; ref is, for each window of the stretch, the smallest id of a document that holds it.
-    Stretches may overlap: see above.
+    start and length count words; ref is the id of the document that the factor was compared with. Factors that meet in a
+    document and have one reference are shown as one; with different references they may overlap.
     """
     texts = keyed(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), "text", F.xxhash64("id", "th").alias("at"))
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -182,9 +231,8 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def ask_anchors(key: tuple, rows: pa.Table) -> pa.Table:
         t = Tile(rows)
-        (h,) = gram_hashes(t.words, [(GRAM, 0)])
-        mine = np.unique(t.anchors(h)[t.valid]) if len(t.valid) else np.empty(0, np.uint64)
-        return dealt("anchor", mine, mine, blocks, key[0].as_py())
+        mine = np.unique(t.anchors(*coded(t.words))[t.valid])
+        return dealt(mine, mine, blocks, key[0].as_py())
 
     def shared_anchors(rows: pa.Table) -> pa.Table:
         a, tile = gathered(rows, "<u8")
@@ -197,69 +245,127 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def ask_windows(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
         known = np.sort(gathered(told, "<u8")[0])
         if not len(known) or not rows.num_rows:
-            return dealt("window", np.empty(0, ENTRY), np.empty(0, np.uint64), blocks, 0)
+            return dealt(np.empty(0, ENTRY), np.empty(0, np.uint64), blocks, 0)
         t = Tile(rows)
-        a, h, g = gram_hashes(t.words, [(GRAM, 0), (WINDOW, 0), (WINDOW, 1)])
-        m = t.anchors(a)
+        codes, hashes = coded(t.words)
+        m = t.anchors(codes, hashes)
         near = np.flatnonzero(t.valid & (known[np.minimum(np.searchsorted(known, m), len(known) - 1)] == m))
-        h, g, d = h[near], g[near].astype(np.uint32), t.ids[t.owner[near]]
+        h, g = (x[near] for x in t.windows(codes, hashes))
+        d = t.ids[t.owner[near]]
         order = by_hash(h, g)
         h, g, d = h[order], g[order], d[order]
         first = runs(h, g)  # stable, and the tile is in the order of ids: the first is the least id
         out = np.empty(len(first), ENTRY)
         out["h"], out["g"], out["d"] = h[first], g[first], d[first]
-        return dealt("window", out, out["h"], blocks, key[0].as_py())
+        return dealt(out, out["h"], blocks, key[0].as_py())
 
     def earlier_windows(rows: pa.Table) -> pa.Table:
         e, tile = gathered(rows, ENTRY)
-        order = by_hash(e["h"], e["g"])
+        order = np.lexsort((tile, e["d"], e["g"], e["h"]))
         e, tile = e[order], tile[order]
         at = runs(e["h"], e["g"])
-        least = np.repeat(np.minimum.reduceat(e["d"], at), np.diff([*at, len(e)])) if len(e) else e["d"]
-        late = least < e["d"]
-        out = e[late]
-        out["d"] = least[late]
+        first = np.repeat(at, np.diff([*at, len(e)])) if len(e) else np.empty(0, np.int64)
+        late = e["d"][first] < e["d"]
+        out = np.empty(int(late.sum()), ANSWER)
+        out["h"], out["g"], out["tile"] = e["h"][late], e["g"][late], tile[first[late]]
         return answers(out, tile[late])
 
-    def cut(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
-        t = Tile(rows)
-        h, g = gram_hashes(t.words, [(WINDOW, 0), (WINDOW, 1)])
+    def ask_blocks(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
+        t, here = Tile(rows), key[0].as_py()
         inside = np.flatnonzero(t.valid)
-        g = g.astype(np.uint32)
-        # the tile's own windows and the answers, sorted together: the least id of each window
-        e, _ = gathered(told, ENTRY)
-        all_h, all_g = np.concatenate([h[inside], e["h"]]), np.concatenate([g[inside], e["g"]])
+        h, g = (x[inside] for x in t.windows(*coded(t.words)))
         own = t.ids[t.owner[inside]]
-        all_d = np.concatenate([own, e["d"]])
+        # the tile's own windows and the answers, sorted together: who holds each window before, and the first that repeats it
+        e, _ = gathered(told, ANSWER)
+        all_h, all_g = np.concatenate([h, e["h"]]), np.concatenate([g, e["g"]])
         order = by_hash(all_h, all_g)
         at = runs(all_h[order], all_g[order])
-        least = np.empty(len(order), np.int64)
+        size = np.diff([*at, len(order)])
+        least = np.concatenate([own, np.full(len(e), NO_ID)])[order]
+        holder = np.concatenate([np.full(len(own), -1), e["tile"].astype(np.int64)])[order]
         if len(order):
-            least[order] = np.repeat(np.minimum.reduceat(all_d[order], at), np.diff([*at, len(order)]))
-        late = least[: len(inside)] < own
-        spots, refs = inside[late], least[: len(inside)][late]
+            least, holder = np.repeat(np.minimum.reduceat(least, at), size), np.repeat(np.maximum.reduceat(holder, at), size)
+        mine = np.flatnonzero(order < len(own))
+        spot = order[mine]
+        late = (holder[mine] >= 0) | (least[mine] < own[spot])
+        mine, spot = mine[late], spot[late]
+        once = runs(all_h[spot], all_g[spot])
+        mine, spot = mine[once], spot[once]
+        place = np.argsort(spot)
+        to, spots = np.where(holder[mine] < 0, here, holder[mine])[place], inside[spot[place]]
+        docs_of = t.owner[spots]
+        heads = heads_of(len(spots), np.diff(spots) != 1, np.diff(docs_of) != 0, np.diff(to) != 0)
+        ends = np.append(heads[1:], len(spots))[: len(heads)] - 1
+        phrases = [b" ".join(t.words[a : b + WINDOW]) for a, b in zip(spots[heads].tolist(), spots[ends].tolist())]
+        return pa.table(
+            {
+                "to": pa.array(to[heads], pa.int64()),
+                "tile": pa.array(np.full(len(heads), here), pa.int64()),
+                "start": pa.array(spots[heads], pa.int64()),
+                "d": pa.array(t.ids[docs_of[heads]], pa.int64()),
+                "words": pa.array(phrases, pa.binary()),
+            }
+        )
+
+    def factor(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        found = []
+        if asked.num_rows:
+            lists = factors_in(Tile(rows), asked["words"].to_pylist(), asked["d"].to_pylist())
+            for tile, start, some in zip(asked["tile"].to_pylist(), asked["start"].to_pylist(), lists):
+                found += [(tile, start + at, n, ref) for at, n, ref in some]
+        columns = list(zip(*found)) or [[]] * 4
+        return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("tile", "start", "n", "ref"), columns)})
+
+    def cut(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
+        t = Tile(rows)
+        start, n, ref = (told[k].to_numpy() for k in ("start", "n", "ref"))
+        spots, refs = np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(start):
+            codes, hashes = coded(t.words)
+            inside = np.flatnonzero(t.valid)
+            h = grams(hashes[codes, 0], WINDOW)
+            # windows inside factors, by hash, then those that repeat one of them word by word
+            many = n - WINDOW + 1
+            first = np.repeat(start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            order = np.lexsort((first, h[first]))
+            first, by = first[order], np.repeat(ref, many)[order]
+            known = h[first]
+            left = inside
+            at = np.searchsorted(known, h[left])
+            hit_spots, hit_refs = [], []
+            while len(left):
+                on = at < len(known)
+                on[on] = known[at[on]] == h[left[on]]
+                left, at = left[on], at[on]
+                hit = first[at] <= left
+                for k in range(WINDOW):
+                    hit &= codes[first[at] + k] == codes[left + k]
+                hit_spots.append(left[hit])
+                hit_refs.append(by[at[hit]])
+                left, at = left[~hit], at[~hit] + 1
+            spots, refs = np.concatenate(hit_spots), np.concatenate(hit_refs)
+            order = np.argsort(spots)
+            spots, refs = spots[order], refs[order]
         edge = np.zeros(len(t.words) + 1, np.int64)
-        np.add.at(edge, spots, 1)
-        np.add.at(edge, spots + WINDOW, -1)
+        edge[spots] += 1
+        edge[spots + WINDOW] -= 1
         gone = np.cumsum(edge)[:-1] > 0
-        # stretches of neighbouring windows with one least reference
-        new = np.concatenate([[True], (np.diff(spots) != 1) | (refs[1:] != refs[:-1]) | (t.owner[spots[1:]] != t.owner[spots[:-1]])]) if len(spots) else np.empty(0, bool)
-        heads = np.flatnonzero(new)
-        begins = np.concatenate([[0], np.cumsum(t.counts)])
-        owners = t.owner[spots[heads]] if len(heads) else np.empty(0, np.int64)
-        factor = pa.StructArray.from_arrays(
+        # neighbouring windows with one reference are one stretch
+        heads = heads_of(len(spots), np.diff(spots) != 1, np.diff(refs) != 0, np.diff(t.owner[spots]) != 0)
+        owners = t.owner[spots[heads]]
+        stretch = pa.StructArray.from_arrays(
             [
-                pa.array(spots[heads] - begins[owners], pa.int32()),
-                pa.array(np.diff([*heads, len(spots)]) + WINDOW - 1, pa.int32()),
+                pa.array(spots[heads] - t.begins[owners], pa.int32()),
+                pa.array(np.diff([*heads, len(spots)])[: len(heads)] + WINDOW - 1, pa.int32()),
                 pa.array(refs[heads], pa.int64(), mask=refs[heads] == NULL_ID),
             ],
             names=["start", "length", "ref"],
         )
-        per_doc = np.bincount(owners, minlength=len(t.counts)) if len(t.counts) else np.empty(0, np.int64)
-        factors = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_doc)]), pa.int32()), factor)
-        removed = np.bincount(t.owner[gone], minlength=len(t.counts)) if len(t.counts) else np.empty(0, np.int64)
+        per_doc = np.bincount(owners, minlength=len(t.counts))[: len(t.counts)]
+        factors = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_doc)]), pa.int32()), stretch)
+        removed = np.bincount(t.owner[gone], minlength=len(t.counts))[: len(t.counts)]
         kept = []
-        for k, (a, b) in enumerate(zip(begins.tolist(), begins[1:].tolist())):
+        for k, (a, b) in enumerate(zip(t.begins.tolist(), t.begins[1:].tolist())):
             some = t.words[a:b]
             kept.append(b" ".join(compress(some, (~gone[a:b]).tolist()) if removed[k] else some))
         text = pa.array(kept, pa.binary()).cast(pa.string())
@@ -270,6 +376,8 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     shared = tiles.groupBy("tile").applyInArrow(ask_anchors, asked).groupBy("block").applyInArrow(shared_anchors, answer)
     windows = tiles.groupBy("tile").cogroup(shared.groupBy("tile")).applyInArrow(ask_windows, asked)
     earlier = windows.groupBy("block").applyInArrow(earlier_windows, answer)
-    return tiles.groupBy("tile").cogroup(earlier.groupBy("tile")).applyInArrow(
+    phrases = tiles.groupBy("tile").cogroup(earlier.groupBy("tile")).applyInArrow(ask_blocks, "to long, tile long, start long, d long, words binary")
+    factors = phrases.groupBy("to").cogroup(tiles.groupBy("tile")).applyInArrow(factor, "tile long, start long, n long, ref long")
+    return tiles.groupBy("tile").cogroup(factors.groupBy("tile")).applyInArrow(
         cut, "id long, n_words long, n_removed long, kept string, factors array<struct<start:int,length:int,ref:long>>"
     )

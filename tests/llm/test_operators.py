@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -189,10 +190,10 @@ def removed_words(rows, n=13):
     return sorted(out)
 
 
-@pytest.mark.parametrize("tile,block,segment", [(4 << 20, 16 << 20, 32_768), (2_000, 3_000, 40)])
-def test_substring_dedup(spark, corpus, monkeypatch, tile, block, segment):
-    """The small sizes deal the same documents to many tiles and blocks, and hash them in many segments."""
-    for name, x in (("TILE_CHARS", tile), ("BLOCK_CHARS", block), ("SEGMENT", segment)):
+@pytest.mark.parametrize("tile,block", [(4 << 20, 16 << 20), (2_000, 3_000)])
+def test_substring_dedup(spark, corpus, monkeypatch, tile, block):
+    """The small sizes deal the same documents to many tiles and blocks."""
+    for name, x in (("TILE_CHARS", tile), ("BLOCK_CHARS", block)):
         monkeypatch.setattr(substring_dedup, name, x)
     got = substring_dedup.parse(documents(spark, corpus)).collect()
     assert sorted(str((r.id, r.n_words, r.n_removed, r.kept)) for r in got) == removed_words(corpus)
@@ -202,6 +203,51 @@ def test_substring_dedup(spark, corpus, monkeypatch, tile, block, segment):
     assert substring_dedup.parse(documents(spark, [])).count() == 0
 
 
+def thue_morse(n, flip):
+    return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("tile", [4 << 20, 500])
+def test_substring_dedup_of_texts_built_to_collide(spark, monkeypatch, tile):
+    """Complementary Thue-Morse words have equal polynomial hashes modulo 2**64 for every odd base."""
+    monkeypatch.setattr(substring_dedup, "TILE_CHARS", tile)
+    rest = " ".join(f"w{k}" for k in range(12))
+    for n in (1024, 2048):
+        rows = [(1, f"{thue_morse(n, 0)} {rest}"), (2, f"{thue_morse(n, 1)} {rest}"), (3, f"x {thue_morse(n, 1)} {rest}")]
+        got = {r.id: r.n_removed for r in substring_dedup.parse(documents(spark, rows)).collect()}
+        assert got == {1: 0, 2: 0, 3: 13}
+
+
+def test_equal_hashes_are_compared_by_words(monkeypatch):
+    """With hashes that say nothing every window meets every other, and only words decide."""
+    code = substring_dedup.coded
+    monkeypatch.setattr(substring_dedup, "coded", lambda words: (code(words)[0], np.zeros_like(code(words)[1])))
+    shared, other = [f"s{k}" for k in range(20)], [f"o{k}" for k in range(20)]
+    block = substring_dedup.Tile(pa.table({"id": [1, 2, 9], "text": [" ".join(other), " ".join(["x", *shared]), " ".join(shared)]}))
+    phrase = " ".join(["y", *shared[3:], *other[:15]]).encode()
+    found = substring_dedup.factors_in(block, [phrase, phrase, phrase], [9, 2, 1])
+    assert found == [[(1, 17, 2), (18, 15, 1)], [(18, 15, 1)], []]
+
+
+def test_greedy_factors_and_windows_across_their_ends():
+    """The first factor takes as many words as agree; the next begins among the windows that cross its end."""
+    a, b = [f"a{k}" for k in range(20)], [f"b{k}" for k in range(20)]
+    block = substring_dedup.Tile(pa.table({"id": [1, 2, 3], "text": [" ".join(a), " ".join(a[10:] + b), " ".join(b)]}))
+    (found,) = substring_dedup.factors_in(block, [" ".join(a + b).encode()], [4])
+    assert found == [(0, 20, 1), (10, 30, 2)]
+    rng = random.Random(5)
+    for _ in range(200):
+        docs = [[rng.choice("uv") for _ in range(rng.randrange(60))] for _ in range(4)]
+        phrase, limit = [rng.choice("uv") for _ in range(rng.randrange(1, 60))], rng.randrange(1, 6)
+        if rng.random() < 0.8:
+            phrase[10:10] = docs[0][5:45] + docs[1][:30]
+        block = substring_dedup.Tile(pa.table({"id": [1, 2, 3, 4], "text": [" ".join(d) for d in docs]}))
+        (found,) = substring_dedup.factors_in(block, [" ".join(phrase).encode()], [limit])
+        held = {tuple(d[k : k + 13]) for i, d in enumerate(docs, 1) if i < limit for k in range(len(d) - 12)}
+        want = {k for k in range(len(phrase) - 12) if tuple(phrase[k : k + 13]) in held}
+        assert {k for at, n, _ in found for k in range(at, at + n - 12)} == want
+
+
 # --- 6 URL filter
 
 
