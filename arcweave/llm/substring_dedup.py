@@ -66,11 +66,20 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def coded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each word (equal for equal words only), and two 64-bit hashes per number."""
+def coded(words: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """A number for each word (equal for equal words only), and the words by number."""
     column = pa.array(words, pa.large_binary()).dictionary_encode()
-    digests = b"".join(blake2b(w, digest_size=16).digest() for w in column.dictionary.to_pylist())
-    return column.indices.to_numpy(zero_copy_only=False), np.frombuffer(digests, "<u8").reshape(-1, 2)
+    return column.indices.to_numpy(zero_copy_only=False), column.dictionary
+
+
+def digests(dictionary: pa.Array) -> np.ndarray:
+    """Two 64-bit hashes of each word, the same in all tiles."""
+    return np.frombuffer(b"".join([blake2b(w, digest_size=16).digest() for w in dictionary.to_pylist()]), "<u8").reshape(-1, 2)
+
+
+def local(codes: np.ndarray) -> np.ndarray:
+    """Hashes of windows that hold within one numbering of words, where equal ones are compared by words anyway."""
+    return grams(_mix((codes.astype(np.uint64) + np.uint64(1)) * ODD), WINDOW)
 
 
 def grams(h: np.ndarray, size: int) -> np.ndarray:
@@ -119,6 +128,11 @@ class Tile:
         n = max(0, len(self.words) - WINDOW + 1)
         self.valid = self.owner[:n] == self.owner[len(self.owner) - n :]
 
+    def hashed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the words and hashes by code."""
+        codes, dictionary = coded(self.words)
+        return codes, digests(dictionary)
+
     def windows(self, codes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Both hashes of all windows, the second one of 32 bits."""
         return grams(hashes[codes, 0], WINDOW), grams(hashes[codes, 1], WINDOW).astype(np.uint32)
@@ -137,15 +151,26 @@ def runs(h: np.ndarray, g: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])) if len(h) else np.empty(0, np.int64)
 
 
-def by_hash(h: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """A stable order that brings equal (h, g) together; g matters only where equal h differ in it."""
-    order = np.argsort(h, kind="stable")
-    hs, gs = h[order], g[order]
-    if np.any((hs[1:] == hs[:-1]) & (gs[1:] != gs[:-1])):
-        order = np.lexsort((g, h))
+def by_hash(h: np.ndarray, g: np.ndarray | None = None) -> np.ndarray:
+    """A stable order by h and, where h is equal, g: a plain sort of h whose ties are then put in order."""
+    order = np.argsort(h)
+    hs = h[order]
+    again = hs[1:] == hs[:-1]
+    tie = np.concatenate([[False], again]) | np.concatenate([again, [False]]) if len(h) else np.empty(0, bool)
+    some = order[tie]
+    order[tie] = some[np.lexsort((some, h[some]) if g is None else (some, g[some], h[some]))]
     return order
 
 
+def places(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted value is, or would be, in the sorted known ones. Looking them up in their own order spares the
+    jumps through memory."""
+    out = np.empty(len(wanted), np.int64)
+    order = np.argsort(wanted)
+    out[order] = np.searchsorted(known, wanted[order])
+    return out
+
+
 def dealt(values: np.ndarray, hashes: np.ndarray, blocks: int, tile: int) -> pa.Table:
     """One row (block, tile, bytes of its values) for each block that has any."""
     to = ((hashes >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
@@ -188,14 +213,14 @@ def factors_in(block: Tile, phrases: list[bytes], before: list[int]) -> list[lis
     """Greedy parse of each phrase against the block's documents with ids less than ``before``: its factors of ``WINDOW``
     words or more as (first word, words, id of the reference)."""
     split = [p.split(b" ") for p in phrases]
-    codes, hashes = coded(list(chain(block.words, chain.from_iterable(split))))
+    codes, _ = coded(list(chain(block.words, chain.from_iterable(split))))
     own, asked = codes[: len(block.words)], codes[len(block.words) :]
     inside = np.flatnonzero(block.valid)
-    h = grams(hashes[own, 0], WINDOW)[inside]
-    order = np.argsort(h, kind="stable")  # equal hashes stay in the order of ids
+    h = local(own)[inside]
+    order = by_hash(h)  # equal hashes stay in the order of ids
     h, spots = h[order], inside[order]
-    wanted = grams(hashes[asked, 0], WINDOW)
-    low = np.searchsorted(h, wanted)
+    wanted = local(asked)
+    low = places(h, wanted)
     out, begin = [], 0
     for words, limit in zip(split, before):
         found, at, end = [], begin, begin + len(words)
@@ -231,7 +256,7 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def ask_anchors(key: tuple, rows: pa.Table) -> pa.Table:
         t = Tile(rows)
-        mine = np.unique(t.anchors(*coded(t.words))[t.valid])
+        mine = np.unique(t.anchors(*t.hashed())[t.valid])
         return dealt(mine, mine, blocks, key[0].as_py())
 
     def shared_anchors(rows: pa.Table) -> pa.Table:
@@ -247,9 +272,9 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         if not len(known) or not rows.num_rows:
             return dealt(np.empty(0, ENTRY), np.empty(0, np.uint64), blocks, 0)
         t = Tile(rows)
-        codes, hashes = coded(t.words)
+        codes, hashes = t.hashed()
         m = t.anchors(codes, hashes)
-        near = np.flatnonzero(t.valid & (known[np.minimum(np.searchsorted(known, m), len(known) - 1)] == m))
+        near = np.flatnonzero(t.valid & (known[np.minimum(places(known, m), len(known) - 1)] == m))
         h, g = (x[near] for x in t.windows(codes, hashes))
         d = t.ids[t.owner[near]]
         order = by_hash(h, g)
@@ -273,7 +298,7 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def ask_blocks(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
         t, here = Tile(rows), key[0].as_py()
         inside = np.flatnonzero(t.valid)
-        h, g = (x[inside] for x in t.windows(*coded(t.words)))
+        h, g = (x[inside] for x in t.windows(*t.hashed()))
         own = t.ids[t.owner[inside]]
         # the tile's own windows and the answers, sorted together: who holds each window before, and the first that repeats it
         e, _ = gathered(told, ANSWER)
@@ -321,17 +346,19 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         start, n, ref = (told[k].to_numpy() for k in ("start", "n", "ref"))
         spots, refs = np.empty(0, np.int64), np.empty(0, np.int64)
         if len(start):
-            codes, hashes = coded(t.words)
+            codes, _ = coded(t.words)
             inside = np.flatnonzero(t.valid)
-            h = grams(hashes[codes, 0], WINDOW)
+            h = local(codes)
             # windows inside factors, by hash, then those that repeat one of them word by word
             many = n - WINDOW + 1
             first = np.repeat(start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            order = np.lexsort((first, h[first]))
+            order = np.argsort(first)
             first, by = first[order], np.repeat(ref, many)[order]
+            order = by_hash(h[first])
+            first, by = first[order], by[order]
             known = h[first]
             left = inside
-            at = np.searchsorted(known, h[left])
+            at = places(known, h[left])
             hit_spots, hit_refs = [], []
             while len(left):
                 on = at < len(known)
