@@ -23,9 +23,9 @@ per five words:
 4. the blocks parse the stretches and answer with the factors;
 5. each tile cuts its documents by the factors; a window that repeats one inside a factor, word by word, is cut with it.
 
-Hashes of windows are built from the BLAKE2 digests of their words, not from letters, and only choose what is compared: no
-word goes without a comparison of words. A window could be missed only if another one with the same 96 bits stood in a
-smaller document.
+Hashes of windows are built from 128-bit xxhash digests of their words, with a seed drawn for each plan, and only choose
+what is compared: no word goes without a comparison of words. A window could be missed only if another one with the same 96
+bits stood in a smaller document.
 
 What is sent is distinct per tile, so a passage that very many documents share goes out once per tile. A block that holds
 the first document of a very large group of copies gets one such passage of each tile in one task. The texts are shuffled
@@ -39,13 +39,14 @@ gives no rows. Other columns, whatever their names, play no part.
 
 from __future__ import annotations
 
-from hashlib import blake2b
 from itertools import chain, compress
+from secrets import randbits
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from arcweave.llm.common import keyed
 
@@ -72,9 +73,9 @@ def coded(words: list[bytes]) -> tuple[np.ndarray, pa.Array]:
     return column.indices.to_numpy(zero_copy_only=False), column.dictionary
 
 
-def digests(dictionary: pa.Array) -> np.ndarray:
+def digests(dictionary: pa.Array, seed: int) -> np.ndarray:
     """Two 64-bit hashes of each word, the same in all tiles."""
-    return np.frombuffer(b"".join([blake2b(w, digest_size=16).digest() for w in dictionary.to_pylist()]), "<u8").reshape(-1, 2)
+    return np.frombuffer(b"".join([xxh3_128_digest(w, seed) for w in dictionary.to_pylist()]), "<u8").reshape(-1, 2)
 
 
 def local(codes: np.ndarray) -> np.ndarray:
@@ -128,10 +129,10 @@ class Tile:
         n = max(0, len(self.words) - WINDOW + 1)
         self.valid = self.owner[:n] == self.owner[len(self.owner) - n :]
 
-    def hashed(self) -> tuple[np.ndarray, np.ndarray]:
+    def hashed(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the words and hashes by code."""
         codes, dictionary = coded(self.words)
-        return codes, digests(dictionary)
+        return codes, digests(dictionary, seed)
 
     def windows(self, codes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Both hashes of all windows, the second one of 32 bits."""
@@ -252,11 +253,12 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts = keyed(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), "text", F.xxhash64("id", "th").alias("at"))
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     n_tiles, blocks = 1 + chars // TILE_CHARS, 1 + chars // BLOCK_CHARS
+    seed = randbits(64)
     tiles = texts.select("id", "text", F.pmod("at", F.lit(n_tiles)).alias("tile"))
 
     def ask_anchors(key: tuple, rows: pa.Table) -> pa.Table:
         t = Tile(rows)
-        mine = np.unique(t.anchors(*t.hashed())[t.valid])
+        mine = np.unique(t.anchors(*t.hashed(seed))[t.valid])
         return dealt(mine, mine, blocks, key[0].as_py())
 
     def shared_anchors(rows: pa.Table) -> pa.Table:
@@ -272,7 +274,7 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         if not len(known) or not rows.num_rows:
             return dealt(np.empty(0, ENTRY), np.empty(0, np.uint64), blocks, 0)
         t = Tile(rows)
-        codes, hashes = t.hashed()
+        codes, hashes = t.hashed(seed)
         m = t.anchors(codes, hashes)
         near = np.flatnonzero(t.valid & (known[np.minimum(places(known, m), len(known) - 1)] == m))
         h, g = (x[near] for x in t.windows(codes, hashes))
@@ -298,7 +300,7 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def ask_blocks(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
         t, here = Tile(rows), key[0].as_py()
         inside = np.flatnonzero(t.valid)
-        h, g = (x[inside] for x in t.windows(*t.hashed()))
+        h, g = (x[inside] for x in t.windows(*t.hashed(seed)))
         own = t.ids[t.owner[inside]]
         # the tile's own windows and the answers, sorted together: who holds each window before, and the first that repeats it
         e, _ = gathered(told, ANSWER)
