@@ -23,8 +23,8 @@ per five words:
 4. the blocks parse the stretches and answer with the factors;
 5. each tile cuts its documents by the factors; a window that repeats one inside a factor, word by word, is cut with it.
 
-Hashes of windows are built from 128-bit xxhash digests of their words, with a seed drawn for each plan, and only choose
-what is compared: no word goes without a comparison of words. A window could be missed only if another one with the same 96
+Hashes of windows are built from two hashes of their words with keys drawn for each plan, and only choose what is compared:
+no word goes without a comparison of words. A window could be missed only if another one with the same 96
 bits stood in a smaller document.
 
 What is sent is distinct per tile, so a passage that very many documents share goes out once per tile. A block that holds
@@ -39,7 +39,6 @@ gives no rows. Other columns, whatever their names, play no part.
 
 from __future__ import annotations
 
-from itertools import chain, compress
 from secrets import randbits
 
 import numpy as np
@@ -58,6 +57,8 @@ NULL_ID, NO_ID = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 ENTRY = np.dtype([("h", "<u8"), ("g", "<u4"), ("d", "<i8")])
 ANSWER = np.dtype([("h", "<u8"), ("g", "<u4"), ("tile", "<u4")])
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: ASCII white space by byte, and the 32-bit pieces of a word that have keys.
+BLANK, PIECES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32]), 16
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -67,15 +68,60 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def coded(words: list[bytes]) -> tuple[np.ndarray, pa.Array]:
-    """A number for each word (equal for equal words only), and the words by number."""
-    column = pa.array(words, pa.large_binary()).dictionary_encode()
-    return column.indices.to_numpy(zero_copy_only=False), column.dictionary
-
-
-def digests(dictionary: pa.Array, seed: int) -> np.ndarray:
-    """Two 64-bit hashes of each word, the same in all tiles."""
-    return np.frombuffer(b"".join([xxh3_128_digest(w, seed) for w in dictionary.to_pylist()]), "<u8").reshape(-1, 2)
+class Words:
+    """The words of texts joined into one text that ends in white space. ``norm`` has one blank after each word."""
+
+    def __init__(self, data: bytes):
+        raw = np.frombuffer(data, np.uint8)
+        blank = BLANK[raw]
+        keep = ~blank
+        keep[1:] |= ~blank[:-1]
+        self.ends_before = np.flatnonzero(keep & blank)  # where words end in ``data``
+        self.norm = np.append(raw[keep], np.zeros(8, np.uint8))  # what reads past the last word finds nothing
+        self.ends = np.flatnonzero(BLANK[self.norm])
+        self.norm[self.ends] = 32
+        self.starts = np.concatenate([[0], self.ends[:-1] + 1]) if len(self.ends) else self.ends
+        self.sizes = self.ends - self.starts
+
+    def codes(self) -> np.ndarray:
+        """A number for each word, equal for equal words only."""
+        cuts = np.concatenate([[0], self.ends + 1]).astype(np.int64)
+        column = pa.Array.from_buffers(pa.large_binary(), len(self.ends), [None, pa.py_buffer(cuts), pa.py_buffer(self.norm)])
+        return column.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+
+    def phrase(self, a: int, b: int) -> bytes:
+        """Words a to b - 1, with a blank between them."""
+        return self.norm[self.starts[a] : self.ends[b - 1]].tobytes()
+
+    def hashes(self, seed: int, count: int) -> list[np.ndarray]:
+        """``count`` 64-bit hashes of each word, the same in all tiles.
+
+        Multilinear hashing: the sum of a word's 32-bit pieces and its length, each times a key of 64 bits drawn from the
+        seed. Any two words meet with a chance of 2**-32 at most per hash, whatever they are. Longer words than ``PIECES``
+        have room for are hashed by xxhash.
+        """
+        keys = np.random.Generator(np.random.PCG64(seed)).integers(0, 2**64, (2, PIECES + 1), np.uint64)[:count]
+        out = [self.sizes.astype(np.uint64) * k[PIECES] for k in keys]
+        at8 = np.ndarray((max(0, len(self.norm) - 7),), "<u8", self.norm, strides=(1,))
+        some, sizes, starts = slice(None), self.sizes, self.starts
+        for piece in range(0, PIECES, 2):
+            v = at8[starts + 4 * piece]
+            rest = sizes - 4 * piece
+            v &= np.where(rest < 8, (np.uint64(1) << (8 * np.minimum(rest, 7)).astype(np.uint64)) - np.uint64(1), ~np.uint64(0))
+            low, high = v & np.uint64(0xFFFFFFFF), v >> np.uint64(32)
+            for h, k in zip(out, keys):
+                h[some] += low * k[piece] + high * k[piece + 1]
+            on = np.flatnonzero(rest > 8)
+            some = on if piece == 0 else some[on]
+            sizes, starts = sizes[on], starts[on]
+            if not len(on):
+                break
+        out = [_mix(h) for h in out]
+        for w in some[sizes > 4 * PIECES] if len(sizes) else ():
+            digest = np.frombuffer(xxh3_128_digest(self.phrase(w, w + 1), seed), "<u8")
+            for h, d in zip(out, digest):
+                h[w] = d
+        return out
 
 
 def local(codes: np.ndarray) -> np.ndarray:
@@ -112,34 +158,40 @@ def least_of(h: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-class Tile:
+class Tile(Words):
     """Documents of one tile in the order of their ids (then texts), as one list of words."""
 
     def __init__(self, docs: pa.Table):
-        ids = docs["id"].combine_chunks().cast(pa.int64())
-        keys = ids.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-        texts = [(x or "").encode("utf-8", "replace") for x in docs["text"].to_pylist()]
+        keys = docs["id"].combine_chunks().cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+        texts = [x or b"" for x in docs["text"].cast(pa.large_binary()).to_pylist()]
         self.order = np.array(sorted(range(len(texts)), key=lambda k: (keys[k], texts[k])), np.int64)
         self.ids = keys[self.order]
-        split = [texts[k].split() for k in self.order]
-        self.counts = np.fromiter(map(len, split), np.int64, len(split))
-        self.begins = np.concatenate([[0], np.cumsum(self.counts)])
-        self.words: list[bytes] = list(chain.from_iterable(split))
-        self.owner = np.repeat(np.arange(len(split)), self.counts)
-        n = max(0, len(self.words) - WINDOW + 1)
+        texts = [texts[k] for k in self.order]
+        super().__init__(b" ".join([*texts, b""]))
+        ends = np.cumsum([len(x) + 1 for x in texts]) - 1
+        self.begins = np.concatenate([[0], np.searchsorted(self.ends_before, ends, "right")]).astype(np.int64)
+        self.counts = np.diff(self.begins)
+        self.owner = np.repeat(np.arange(len(texts)), self.counts)
+        n = max(0, len(self.ends) - WINDOW + 1)
         self.valid = self.owner[:n] == self.owner[len(self.owner) - n :]
 
-    def hashed(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the words and hashes by code."""
-        codes, dictionary = coded(self.words)
-        return codes, digests(dictionary, seed)
-
-    def windows(self, codes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Both hashes of all windows, the second one of 32 bits."""
-        return grams(hashes[codes, 0], WINDOW), grams(hashes[codes, 1], WINDOW).astype(np.uint32)
+        h, g = self.hashes(seed, 2)
+        return grams(h, WINDOW), grams(g, WINDOW).astype(np.uint32)
+
+    def anchors(self, seed: int) -> np.ndarray:
+        return least_of(grams(self.hashes(seed, 1)[0], GRAM), WINDOW - GRAM + 1)
 
-    def anchors(self, codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        return least_of(grams(hashes[codes, 0], GRAM), WINDOW - GRAM + 1)
+    def without(self, gone: np.ndarray) -> pa.Array:
+        """The documents' words that are not gone, joined by one blank."""
+        left = self.norm[: len(self.norm) - 8][np.repeat(~gone, self.sizes + 1)]
+        cuts = np.concatenate([[0], np.cumsum(np.where(gone, 0, self.sizes + 1))])[self.begins]
+        filled = np.diff(cuts) > 0
+        inner = np.ones(len(left), bool)
+        inner[cuts[1:][filled] - 1] = False  # the blank after a document's last word
+        cuts = (cuts - np.concatenate([[0], np.cumsum(filled)])).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(filled), [None, pa.py_buffer(cuts), pa.py_buffer(left[inner])])
 
 
 def heads_of(n: int, *new: np.ndarray) -> np.ndarray:
@@ -213,9 +265,8 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> int:
 def factors_in(block: Tile, phrases: list[bytes], before: list[int]) -> list[list[tuple[int, int, int]]]:
     """Greedy parse of each phrase against the block's documents with ids less than ``before``: its factors of ``WINDOW``
     words or more as (first word, words, id of the reference)."""
-    split = [p.split(b" ") for p in phrases]
-    codes, _ = coded(list(chain(block.words, chain.from_iterable(split))))
-    own, asked = codes[: len(block.words)], codes[len(block.words) :]
+    codes = Words(b" ".join([block.norm[: len(block.norm) - 8].tobytes(), *phrases, b""])).codes()
+    own, asked = codes[: len(block.ends)], codes[len(block.ends) :]
     inside = np.flatnonzero(block.valid)
     h = local(own)[inside]
     order = by_hash(h)  # equal hashes stay in the order of ids
@@ -223,8 +274,8 @@ def factors_in(block: Tile, phrases: list[bytes], before: list[int]) -> list[lis
     wanted = local(asked)
     low = places(h, wanted)
     out, begin = [], 0
-    for words, limit in zip(split, before):
-        found, at, end = [], begin, begin + len(words)
+    for phrase, limit in zip(phrases, before):
+        found, at, end = [], begin, begin + phrase.count(b" ") + 1
         while at + WINDOW <= end:
             k, n = int(low[at]), 0
             while k < len(h) and h[k] == wanted[at]:
@@ -258,7 +309,8 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def ask_anchors(key: tuple, rows: pa.Table) -> pa.Table:
         t = Tile(rows)
-        mine = np.unique(t.anchors(*t.hashed(seed))[t.valid])
+        mine = np.sort(t.anchors(seed)[t.valid])
+        mine = mine[heads_of(len(mine), mine[1:] != mine[:-1])]
         return dealt(mine, mine, blocks, key[0].as_py())
 
     def shared_anchors(rows: pa.Table) -> pa.Table:
@@ -274,10 +326,9 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         if not len(known) or not rows.num_rows:
             return dealt(np.empty(0, ENTRY), np.empty(0, np.uint64), blocks, 0)
         t = Tile(rows)
-        codes, hashes = t.hashed(seed)
-        m = t.anchors(codes, hashes)
+        m = t.anchors(seed)
         near = np.flatnonzero(t.valid & (known[np.minimum(places(known, m), len(known) - 1)] == m))
-        h, g = (x[near] for x in t.windows(codes, hashes))
+        h, g = (x[near] for x in t.windows(seed))
         d = t.ids[t.owner[near]]
         order = by_hash(h, g)
         h, g, d = h[order], g[order], d[order]
@@ -300,7 +351,7 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def ask_blocks(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
         t, here = Tile(rows), key[0].as_py()
         inside = np.flatnonzero(t.valid)
-        h, g = (x[inside] for x in t.windows(*t.hashed(seed)))
+        h, g = (x[inside] for x in t.windows(seed))
         own = t.ids[t.owner[inside]]
         # the tile's own windows and the answers, sorted together: who holds each window before, and the first that repeats it
         e, _ = gathered(told, ANSWER)
@@ -323,7 +374,7 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         docs_of = t.owner[spots]
         heads = heads_of(len(spots), np.diff(spots) != 1, np.diff(docs_of) != 0, np.diff(to) != 0)
         ends = np.append(heads[1:], len(spots))[: len(heads)] - 1
-        phrases = [b" ".join(t.words[a : b + WINDOW]) for a, b in zip(spots[heads].tolist(), spots[ends].tolist())]
+        phrases = [t.phrase(a, b + WINDOW) for a, b in zip(spots[heads].tolist(), spots[ends].tolist())]
         return pa.table(
             {
                 "to": pa.array(to[heads], pa.int64()),
@@ -348,7 +399,7 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         start, n, ref = (told[k].to_numpy() for k in ("start", "n", "ref"))
         spots, refs = np.empty(0, np.int64), np.empty(0, np.int64)
         if len(start):
-            codes, _ = coded(t.words)
+            codes = t.codes()
             inside = np.flatnonzero(t.valid)
             h = local(codes)
             # windows inside factors, by hash, then those that repeat one of them word by word
@@ -375,7 +426,7 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             spots, refs = np.concatenate(hit_spots), np.concatenate(hit_refs)
             order = np.argsort(spots)
             spots, refs = spots[order], refs[order]
-        edge = np.zeros(len(t.words) + 1, np.int64)
+        edge = np.zeros(len(t.ends) + 1, np.int64)
         edge[spots] += 1
         edge[spots + WINDOW] -= 1
         gone = np.cumsum(edge)[:-1] > 0
@@ -393,11 +444,7 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         per_doc = np.bincount(owners, minlength=len(t.counts))[: len(t.counts)]
         factors = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_doc)]), pa.int32()), stretch)
         removed = np.bincount(t.owner[gone], minlength=len(t.counts))[: len(t.counts)]
-        kept = []
-        for k, (a, b) in enumerate(zip(t.begins.tolist(), t.begins[1:].tolist())):
-            some = t.words[a:b]
-            kept.append(b" ".join(compress(some, (~gone[a:b]).tolist()) if removed[k] else some))
-        text = pa.array(kept, pa.binary()).cast(pa.string())
+        text = t.without(gone).cast(pa.string())
         ids = rows["id"].combine_chunks().take(pa.array(t.order))
         return pa.table({"id": ids, "n_words": pa.array(t.counts), "n_removed": pa.array(removed.astype(np.int64)), "kept": text, "factors": factors})
 
