@@ -2,7 +2,8 @@
 
 A document labelled 1 is preferred to one labelled 0. The model is a weight vector w; the chance that x is preferred to y
 is the logistic function of w (f(x) - f(y)). Scores are then placed so that the chosen quantile of the labelled scores,
-the share of rejected ones, lies at the cut 0.7.
+the share of rejected ones, lies at the cut 0.7. The weights are fitted on a bounded sample; that quantile and the spread
+of scores are those of all labelled documents.
 
 Null text counts as empty and gets a score like any text. Null labels and labelled ids without a document are ignored; of
 contradicting labels of one id 1 counts.
@@ -13,19 +14,24 @@ cut itself and are kept.
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.plans.shared import written
+
 #: At most so many labelled documents are fitted, those with the smallest hash of their id (24 bytes each for the join,
 #: some 400 bytes each of features on the driver).
 FIT_ROWS = 20_000
 #: Preference pairs drawn from them for one fit, and its quadratic penalty.
 PAIRS, L2, SEED = 120_000, 1e-3, 7
 CUT = 0.7
+#: Ranks that the quantile of all labelled documents tells apart.
+RANK_STEPS = 100_000
 
 MARKS = b"!?|$%#&*.,;:@/<>{}=_-'\""
 
@@ -67,7 +73,10 @@ class Model:
         return np.clip((x - self.mean) / self.scale, -6, 6) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = (self.raw(x) - self.at) / self.spread + np.log(self.cut / (1 - self.cut))
+        return self.placed(self.raw(x))
+
+    def placed(self, raw: np.ndarray) -> np.ndarray:
+        z = (raw - self.at) / self.spread + np.log(self.cut / (1 - self.cut))
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -96,10 +105,15 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, l2: float = L2, seed:
     return Model(mean, scale, w, float(at), float(max(s.std() / 2, 1e-6)), cut)
 
 
+def marks(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """id, y: one label of each labelled id."""
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    return marked.groupBy("id").agg(F.max("y").alias("y"))
+
+
 def labelled_features(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of a bounded sample of labelled documents, on the driver."""
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    few = marked.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    few = marks(labels, id_col, label_col).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
 
     @F.arrow_udf("array<double>")
     def vectors(texts: pa.Array) -> pa.Array:
@@ -114,8 +128,49 @@ def labelled_features(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_RO
     return np.array([r.x for r in rows], float).reshape(-1, width), np.array([r.y for r in rows], int)
 
 
+def ranked(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **kw) -> tuple[Model, DataFrame]:
+    """The model, and (id, raw) of every document: what the weights make of it, before scores are placed.
+
+    Raw values are written once; their quantile over all labelled documents is a mergeable sketch, exact up to
+    ``RANK_STEPS`` rows and within one in ``RANK_STEPS`` of the ranks beyond.
+    """
+    model = fit(*labelled_features(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, **kw))
+
+    @F.arrow_udf("double")
+    def raw(texts: pa.Array) -> pa.Array:
+        return pa.array(in_parts(model.raw, texts), pa.float64())
+
+    values = written(docs.select(F.col(id_col).alias("id"), raw(F.col(text_col)).alias("raw")), "quality")
+    known = values.join(marks(labels, id_col, label_col), "id").select("raw", "y")
+    n, rejected, spread = known.agg(F.count("*"), F.sum(1 - F.col("y")), F.stddev_pop("raw")).first()
+    if n and 0 < rejected < n:
+        # half way between the highest of the rejected share and the lowest above it
+        low, high = known.agg(F.percentile_approx("raw", F.array(F.lit((rejected - 0.5) / n), F.lit((rejected + 0.5) / n)), RANK_STEPS)).first()[0]
+        model = replace(model, at=(low + high) / 2, spread=max(spread / 2, 1e-6))
+    return model, values
+
+
 def train(docs: DataFrame, labels: DataFrame, **kw) -> Model:
-    return fit(*labelled_features(docs, labels, **kw))
+    return ranked(docs, labels, **kw)[0]
+
+
+def in_parts(of: Callable[[np.ndarray], np.ndarray], texts: pa.Array) -> np.ndarray:
+    """A function of features for all texts, a few hundred at a time."""
+    out = np.empty(len(texts))
+    for at in range(0, len(texts), 256):
+        part = texts.slice(at, 256)
+        out[at : at + len(part)] = of(np.stack([features(t.as_py() or "") for t in part]))
+    return out
+
+
+def placed(model: Model, raw: Column) -> Column:
+    """Scores from raw values."""
+
+    @F.arrow_udf("double")
+    def scores(values: pa.Array) -> pa.Array:
+        return pa.array(model.placed(values.to_numpy(zero_copy_only=False)), pa.float64())
+
+    return scores(raw)
 
 
 def score_column(model: Model, text: Column) -> Column:
@@ -123,11 +178,7 @@ def score_column(model: Model, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        out = np.empty(len(texts))
-        for at in range(0, len(texts), 256):
-            part = texts.slice(at, 256)
-            out[at : at + len(part)] = model.score(np.stack([features(t.as_py() or "") for t in part]))
-        return pa.array(out, pa.float64())
+        return pa.array(in_parts(model.score, texts), pa.float64())
 
     return scored(text)
 

@@ -57,8 +57,8 @@ def training_labels(labels: DataFrame) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bradley-Terry scores of all documents, fitted on labels outside the held-out quarter."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality.train(docs, training_labels(labels))
-    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality.score_column(model, F.col("text")).alias("score"))
+    model, raw = quality.ranked(docs, training_labels(labels))
+    scored = raw.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), quality.placed(model, F.col("raw")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= model.cut).cast("int"))
 
 

@@ -100,6 +100,24 @@ def test_quality_edges(spark, corpus):
     assert ((m.score(x) >= 0.7) == (x[:, 0] > 0)).mean() > 0.97
 
 
+def test_threshold_covers_all_labelled_rows(spark):
+    """A fit on 40 rows; the cut lies where the share of rejected labels of all rows ends, ids repeated and null included."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdefgh \n!?12"), rng.integers(20, 200))) for _ in range(600)]
+    docs = spark.createDataFrame([(None if i % 50 == 0 else i - i % 3 // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(len(t) > 60)) for i, t in enumerate(texts)], "doc_id long, quality int")
+    model, raw = quality.ranked(docs, labels, fit_rows=40)
+    rows = raw.join(labels, raw.id == labels.doc_id).toPandas()
+    rejected = int((rows.quality == 0).sum())
+    ordered = np.sort(rows.raw.to_numpy())
+    assert 0 < rejected < len(rows) and raw.count() == len(texts)
+    assert model.at == pytest.approx((ordered[rejected - 1] + ordered[rejected]) / 2, abs=1e-12)
+    assert model.spread == pytest.approx(rows.raw.std(ddof=0) / 2)
+    placed = raw.select(quality.placed(model, F.col("raw")).alias("s")).toPandas().s
+    whole = docs.select(quality.score_column(model, F.col("text")).alias("s")).toPandas().s
+    assert np.allclose(np.sort(placed), np.sort(whole))
+
+
 # --- 3 byte-level BPE
 
 
