@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm import byte_bpe, decontaminate, fingerprints, line_dedup, quality, simhash, substring_dedup, token_output, url_filter, warc
+from arcweave.llm import byte_bpe, centroid_clustering, decontaminate, fill_in_middle, fingerprints, line_dedup, quality, simhash, source_mix, substring_dedup, token_output, url_filter, warc
 from arcweave.llm.common import table, work_folder, written
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -233,6 +234,75 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.offsets(sums).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+#: The weights of op11's sources, in order and repeating.
+SOURCE_WEIGHTS = [5, 2, 1]
+
+
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources at 5, 2, 1 (repeating) of all words, at most three copies of a document."""
+    done = source_mix.mix(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS, 3)
+    return done.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("rate", 9).alias("rate"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines; all texts are cut, half of them with the suffix in front."""
+    done = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), "7:", 100, 50)
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+ORACLE_OP12 = r"""
+WITH given AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS x FROM documents),
+drawn AS (
+  SELECT doc_id, t, x, CAST(len(x) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(x) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(x) + 1) AS b,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS r, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS s FROM given),
+formed AS (
+  SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r >= 100 THEN 'plain' WHEN s < 50 THEN 'spm' ELSE 'psm' END AS form,
+         coalesce(array_to_string(list_slice(x, 1, least(a, b)), ''), '') AS p, coalesce(array_to_string(list_slice(x, least(a, b) + 1, greatest(a, b)), ''), '') AS m,
+         coalesce(array_to_string(list_slice(x, greatest(a, b) + 1, n), ''), '') AS e FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || e || '<M>' || m ELSE '<S>' || e || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM formed
+"""
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters after ten rounds."""
+    found = centroid_clustering.cluster(table(spark, sf_dir, "embeddings"), 8, 10, "3:")
+    at = lambda values, kind: F.get(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"), F.col("cluster"))
+    per = found.inertia if max(found.inertia, default=0) < centroid_clustering.LONG else [None] * len(found.inertia)
+    whole = sum(found.inertia) if sum(found.inertia) < centroid_clustering.LONG else None
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in found.centroids]
+    return found.assigned("vec_id").select(
+        "vec_id", "cluster", "distance", at(per, "bigint").alias("cluster_inertia"), F.lit(whole).cast("bigint").alias("inertia"), at(digests, "string").alias("centroid_sha256")
+    )
+
+
+def lloyd_sql(rounds: int = 10, k: int = 8) -> str:
+    """A CTE for each round's assignment and each round's centroids; whole numbers throughout."""
+    near = lambda r: f"""a{r} AS MATERIALIZED (
+  SELECT id, vec_id, v, best.k AS k, best.d AS d FROM (
+    SELECT id, any_value(vec_id) AS vec_id, any_value(v) AS v,
+           min(struct_pack(d := CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), k := k)) AS best
+    FROM kept, c{r} GROUP BY id))"""
+    move = lambda r: f"""s{r} AS (SELECT k, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY k, i),
+m{r} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{r} GROUP BY k),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} ON c{r}.k = m{r}.k)"""
+    steps = ",\n".join(f"{near(r)},\n{move(r)}" for r in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS INTEGER) AS k, v AS c FROM kept QUALIFY k < {k}),
+{steps},
+{near(rounds)}
+SELECT vec_id, a.k AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.k = c.k"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
@@ -244,6 +314,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_output": op10_token_output,
+    "op11_source_mix": op11_source_mix,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 ORACLES: dict[str, str] = {
@@ -251,4 +324,6 @@ ORACLES: dict[str, str] = {
     "op5_substring_dedup": ORACLE_OP5,
     "op6_url_filter": ORACLE_OP6,
     "op8_warc": ORACLE_OP8,
+    "op12_fill_in_middle": ORACLE_OP12,
+    "op13_centroid_clustering": lloyd_sql(),
 }
