@@ -138,44 +138,47 @@ def extra_copies(groups: DataFrame) -> DataFrame:
 
 def copies(rows: DataFrame, rates: DataFrame, limit: int) -> DataFrame:
     """rows (id, key, source, size, h) with rate, base (whole copies), frac (of UNIT), part, rank (within key, size and part;
-    null where nothing is to be rounded) and copies; rates: (key, size, n, rate)."""
+    null for size 0) and copies; rates: (key, size, n, rate)."""
     scaled = F.least(F.round(F.col("rate") * UNIT).cast("long"), F.lit(limit * UNIT))
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / PART)).cast("long")
-    plan = rates.select("key", "size", "rate", F.floor(scaled / UNIT).alias("base"), F.when(F.col("size") > 0, scaled % UNIT).otherwise(0).alias("frac"), parts.alias("parts"))
+    plan = rates.select("key", "size", "rate", F.floor(scaled / UNIT).alias("base"), (scaled % UNIT).alias("frac"), parts.alias("parts"))
     at = rows.join(plan, ["key", "size"]).withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts"))).drop("parts")
-    rounded = at.where("frac > 0")
-    extra = extra_copies(rounded.groupBy("key", "size", "part", "frac").agg(F.count("*").alias("n")))
-    ranked = rounded.withColumn("rank", F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("h", "id")))
+    filled = at.where("size > 0")
+    extra = extra_copies(filled.groupBy("key", "size", "part", "frac").agg(F.count("*").alias("n")))
+    ranked = filled.withColumn("rank", F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("h", "id")))
     ranked = ranked.join(extra, ["key", "size", "part"]).withColumn("copies", F.col("base") + (F.col("rank") <= F.col("extra")).cast("long")).drop("extra")
-    return ranked.unionByName(at.where("frac = 0").withColumns({"rank": F.lit(None).cast("int"), "copies": F.col("base")}))
+    return ranked.unionByName(at.where("size = 0").withColumns({"rank": F.lit(None).cast("int"), "copies": F.col("base")}))
 
 
-def settled(given: DataFrame, goals: dict[str, float]) -> DataFrame:
+def settled(given: DataFrame, goals: dict[str, float], limit: int) -> DataFrame:
     """The copies, changed by one for documents that settle what a source's words still differ from its target.
 
-    What is off is about half the longest document at most, so few documents are needed whatever the corpus: by falling
-    size, as many as fit take (or lose) a copy. That choice runs on counts by size, a row for each size up to what is off.
+    What is off is about half the longest document at most, so few documents are needed whatever the corpus: as many as fit
+    take (or lose) a copy, first those that stay next to their rate, then others between 0 and the limit, both by falling
+    size. That choice runs on counts by size, two rows for each size up to what is off.
     """
     taken = given.groupBy("key").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()
     off = _column(given.sparkSession, "off", {r.key: round(goals[r.key] - r.taken) for r in taken}, pa.int64()).where("off <> 0")
-    # whoever has its lesser number of copies can take one, whoever has the greater can lose one
-    can = F.col("rank").isNotNull() & (F.col("copies") == F.col("base") + (F.col("off") < 0).cast("long")) & (F.col("size") <= F.abs("off"))
-    open_ = given.join(off, "key").where(can)
-    alike = written(open_.groupBy("key", "size", "part", "off").agg(F.count("*").alias("n")), "alike")
+    more = F.col("off") > 0
+    can = F.when(more, F.col("copies") < limit).otherwise(F.col("copies") > 0) & F.col("rank").isNotNull() & (F.col("size") <= F.abs("off"))
+    near = F.when(more, (F.col("copies") == F.col("base")) & (F.col("frac") > 0)).otherwise(F.col("copies") > F.col("base"))
+    open_ = given.join(off, "key").where(can).withColumn("near", near)
+    alike = written(open_.groupBy("key", "near", "size", "part", "off").agg(F.count("*").alias("n")), "alike")
 
     def fit(pdf):
-        pdf = pdf.sort_values("size", ascending=False)
+        pdf = pdf.sort_values(["near", "size"], ascending=False)
         rest, takes = abs(int(pdf.off.iloc[0])), []
         for size, n in zip(pdf["size"], pdf["n"]):
             takes.append(min(int(n), rest // int(size)))
             rest -= takes[-1] * int(size)
-        return pdf[["key", "size"]].assign(take=takes)
-
-    take = alike.groupBy("key", "size", "off").agg(F.sum("n").alias("n")).groupBy("key").applyInPandas(fit, "key string, size long, take long").where("take > 0")
-    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("key", "size").orderBy("part").rowsBetween(*ABOVE)), F.lit(0))
-    got = alike.join(take, ["key", "size"]).withColumn("got", F.least("n", F.col("take") - earlier)).where("got > 0").select("key", "size", "part", "got")
-    turn = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("rank"))
-    chosen = open_.join(written(got, "got"), ["key", "size", "part"]).withColumn("turn", turn).where("turn <= got")
+        return pdf[["key", "near", "size"]].assign(take=takes)
+
+    group = ["key", "near", "size"]
+    take = alike.groupBy(*group, "off").agg(F.sum("n").alias("n")).groupBy("key").applyInPandas(fit, "key string, near boolean, size long, take long").where("take > 0")
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy("part").rowsBetween(*ABOVE)), F.lit(0))
+    got = alike.join(take, group).withColumn("got", F.least("n", F.col("take") - earlier)).where("got > 0").select(*group, "part", "got")
+    turn = F.row_number().over(Window.partitionBy(*group, "part").orderBy("rank"))
+    chosen = open_.join(written(got, "got"), [*group, "part"]).withColumn("turn", turn).where("turn <= got")
     change = chosen.select("key", "size", "part", "rank", F.signum("off").cast("long").alias("change"))
     out = given.join(change, ["key", "size", "part", "rank"], "left")
     return out.withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("change")
@@ -192,6 +195,6 @@ def mix(docs: DataFrame, weights: list[float], limit: int = 3, id_col: str = "do
     tilts(sizes, duals, limit)
     found = sizes.join(_column(spark, "tilt", {k: d.tilt * d.scale for k, d in duals.items()}, pa.float64()), "key", "left")
     rates = found.select("key", "size", "n", rate(F.col("tilt"), F.col("size"), limit).alias("rate"))
-    given = settled(written(copies(rows, rates, limit), "copies"), goals)
+    given = settled(written(copies(rows, rates, limit), "copies"), goals, limit)
     out = given.join(_column(spark, "source_size", {r.key: r.words for r in totals}, pa.int64()), "key").join(_column(spark, "target", goals, pa.float64()), "key")
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
