@@ -19,35 +19,30 @@ WINDOW = 3
 
 
 def window_keys(lines: Column, width: int = WINDOW) -> Column:
-    """Array of (pos, k1, k2): two 64-bit hashes of each window's line hashes, one in order and one in reverse."""
-    hashes = F.transform(lines, lambda x: F.xxhash64(x))
+    """Array of (pos, k): the SHA-256 of each window's lines, joined by the line break that none of them holds, so that
+    different windows are told apart whatever their lines are made of."""
 
-    def keys(h: Column) -> Column:
-        at = F.when(F.size(h) >= width, F.sequence(F.lit(0), F.size(h) - width)).otherwise(F.array().cast("array<int>"))
-        part = lambda i, k: F.get(h, i + k)
-        return F.transform(
-            at,
-            lambda i: F.struct(
-                i.alias("pos"), F.xxhash64(*[part(i, k) for k in range(width)]).alias("k1"), F.xxhash64(F.lit(1), *[part(i, k) for k in reversed(range(width))]).alias("k2")
-            ),
-        )
+    def keys(x: Column) -> Column:
+        at = F.when(F.size(x) >= width, F.sequence(F.lit(0), F.size(x) - width)).otherwise(F.array().cast("array<int>"))
+        digest = lambda i: F.unhex(F.sha2(F.array_join(F.slice(x, i + 1, width), "\n").cast("binary"), 256))
+        return F.transform(at, lambda i: F.struct(i.alias("pos"), digest(i).alias("k")))
 
-    # the hashes are made once: a one-element array is transformed, so that they are bound to a name
-    return F.get(F.transform(F.array(hashes), keys), F.lit(0))
+    # the lines are made once: a one-element array is transformed, so that they are bound to a name
+    return F.get(F.transform(F.array(lines), keys), F.lit(0))
 
 
 def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
     """id, th (content hash) and ``starts``, the positions of repeated windows, of the documents that have any.
 
-    One shuffle of (window hash, id, position) for the first occurrences, counted and combined before it; a second, of the
+    One shuffle of (window digest, id, position) for the first occurrences, counted and combined before it; a second, of the
     same small rows, brings them back to their windows. A window that very many documents hold is one row per task in the
     first and may be split in the second.
     """
     src = packed(docs, id_col, text_col).select("id", F.xxhash64("text").alias("th"), window_keys(F.split("text", "\n", -1), width).alias("w"))
-    spots = src.select("id", "th", F.explode("w").alias("w")).select("id", "th", "w.pos", "w.k1", "w.k2")
+    spots = src.select("id", "th", F.explode("w").alias("w")).select("id", "th", "w.pos", "w.k")
     spot = F.struct("id", "th", "pos")
-    firsts = spots.groupBy("k1", "k2").agg(F.min(spot).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = spots.join(firsts, ["k1", "k2"]).where(~spot.eqNullSafe(F.col("first")))
+    firsts = spots.groupBy("k").agg(F.min(spot).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = spots.join(firsts, "k").where(~spot.eqNullSafe(F.col("first")))
     return later.groupBy("id", "th").agg(F.collect_set("pos").alias("starts"))
 
 
