@@ -1,7 +1,8 @@
 """Byte-level BPE with the tiktoken library and a local rank file.
 
 Rows with null text count as empty text: no ids, empty bytes. Repeated rows give repeated results, a null id stays
-null, an empty table gives an empty result, other columns (whatever their names) play no part.
+null, an empty table gives an empty result, other columns (whatever their names) play no part. Texts of any length and
+content are encoded, long runs of blanks included.
 """
 
 from __future__ import annotations
@@ -20,9 +21,13 @@ from arcweave.llm.common import arrow_rows
 
 #: Texts longer than this many characters are split before they are encoded.
 CHUNK_CHARS = 16_384
-#: A safe boundary: no match of the pre-splitting pattern holds a space or line break after a letter, digit or "_",
-#: so a match ends here and the next one starts here, whatever surrounds them.
-SAFE = re.compile(r"(?<=\w)(?=[ \t\r\n])")
+#: What \s of the library's regular expressions matches.
+BLANK = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A safe boundary: no match of the pre-splitting pattern holds a blank after another character, so a match ends here and
+#: the next one starts here, whatever surrounds them.
+SAFE = re.compile(f"(?<=[^{BLANK}])(?=[{BLANK}])")
+#: Runs of blanks that do not go through the library's regular expression, whose stack overflows on long ones.
+LONG_RUN = re.compile(f"[{BLANK}]{{1000,}}")
 
 
 @lru_cache(maxsize=4)
@@ -48,10 +53,21 @@ def safe_chunks(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
 
 
 def encode_text(text: str, rank_file: str, pattern: str) -> list[int]:
+    r"""The ids of a text. ``pattern`` ends in ``\s+(?!\S)|\s+`` and matches no blank after another character elsewhere.
+
+    So a run of blanks in front of another character is one match up to its last blank, which stays with what follows, and
+    at the end of the text one match as a whole. Long runs are taken out by this rule and encoded as the pieces they are.
+    """
     enc = encoding(rank_file, pattern)
     if len(text) <= CHUNK_CHARS:
         return enc.encode_ordinary(text)
-    return [i for piece in safe_chunks(text) for i in enc.encode_ordinary(piece)]
+    ids, start = [], 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += [i for piece in safe_chunks(text[start : run.start()]) for i in enc.encode_ordinary(piece)]
+        ids += enc._encode_single_piece(text[run.start() : end])
+        start = end
+    return ids + [i for piece in safe_chunks(text[start:]) for i in enc.encode_ordinary(piece)]
 
 
 def encode_decode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

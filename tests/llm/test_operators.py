@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -76,6 +77,30 @@ def test_line_dedup(spark, corpus):
     assert line_dedup.dedup_lines(documents(spark, []), "doc_id").count() == 0
 
 
+def colliding_lines(seed=42):
+    """Two printable lines of 64 characters with one XXH64: a lane's second word makes up for a change of its first."""
+    p1, p2, full = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
+    turned = lambda v: ((v << 31) | (v >> 33)) & full
+    lane = lambda word: turned((seed + p1 + p2 + word * p2) & full) * p1 & full
+    rng = random.Random(0)
+    line = bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(64))
+    a, b = int.from_bytes(line[:8], "little"), int.from_bytes(line[32:40], "little")
+    while True:
+        first = bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+        second = (b + (lane(a) - lane(int.from_bytes(first, "little"))) * pow(p2, -1, 1 << 64)) & full
+        second = second.to_bytes(8, "little")
+        if all(32 <= c < 127 for c in second):
+            return line.decode(), (first + line[8:32] + second + line[40:]).decode()
+
+
+def test_line_dedup_of_lines_built_to_collide(spark):
+    x, y = colliding_lines()
+    assert x != y and xxhash.xxh64_intdigest(x, 42) == xxhash.xxh64_intdigest(y, 42)
+    rows = [(1, f"{x}\nsecond\nthird"), (2, f"{y}\nsecond\nthird"), (3, f"{x}\nsecond\nthird\nfourth"), (4, f"second\n{x}\nthird")]
+    got = {r.row.doc_id: (r.n_removed, r.kept) for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (0, rows[1][1]), 3: (3, "fourth"), 4: (0, rows[3][1])}
+
+
 # --- 2 quality
 
 
@@ -138,6 +163,40 @@ def test_safe_chunks():
         assert [i for p in cut for i in enc.encode_ordinary(p)] == enc.encode_ordinary(t)
 
 
+#: Each match of the pattern by itself, found by another engine (with the Unicode properties, and possessive runs).
+MATCHES = regex.compile(public_tokenizers.PATTERN.replace("|\\s+(?!\\S)|\\s+", f"|[{byte_bpe.BLANK}]+(?![^{byte_bpe.BLANK}])|[{byte_bpe.BLANK}]+").replace("[^\\s", f"[^{byte_bpe.BLANK}"))
+
+
+def long_blanks(n):
+    rng = random.Random(9)
+    yield from (" " * n, "\n" * n, "\t " * n, "word" + " " * n, "word" + " " * n + "word", "\u3000" * n + "!", "!" + "\n " * n + "'s", "\x85" * n + "\x1c" + " " * n + "1")
+    yield "".join(rng.choice([" ", "\n", "\t", "\u00a0"]) for _ in range(n)) + "end " + " " * n + " x" + "\r\n" * n
+
+
+def test_byte_bpe_of_long_blanks():
+    """Match by match, where the library's own expression still copes and where it does not."""
+    enc = byte_bpe.encoding(queries.BYTE_RANKS, public_tokenizers.PATTERN)
+    for n in (999, 1000, 1001, 17_000):
+        for t in long_blanks(n):
+            assert byte_bpe.encode_text(t, queries.BYTE_RANKS, public_tokenizers.PATTERN) == enc.encode_ordinary(t)
+    for t in long_blanks(1_100_000):
+        got = byte_bpe.encode_text(t, queries.BYTE_RANKS, public_tokenizers.PATTERN)
+        assert enc.decode_bytes(got) == t.encode()
+    t = "good " + " " * 2_000_000 + "word"
+    want = [i for m in MATCHES.finditer(t) for i in enc._encode_single_piece(m.group())]
+    assert byte_bpe.encode_text(t, queries.BYTE_RANKS, public_tokenizers.PATTERN) == want
+
+
+def test_tables_with_long_blanks(spark, tmp_path):
+    """One such text fails no table: byte-level BPE, and the word tokenizer's files."""
+    rows = [(1, "a good row"), (2, " " * 1_100_000), (3, "x" + "\t\n" * 600_000 + "y"), (4, "\u3000" * 300_000)]
+    got = byte_bpe.encode_decode(documents(spark, rows), queries.BYTE_RANKS, public_tokenizers.PATTERN).collect()
+    assert {r.doc_id: bytes(r.decoded).decode() for r in got} == dict(rows)
+    token_output.write_ids(documents(spark, rows), f"file://{tmp_path}/ids", queries.WORD_BPE, queries.END_ID)
+    counts = {r.doc_id: r.n_tokens for r in token_output.checksums(token_output.read_ids(spark, f"file://{tmp_path}/ids")).collect()}
+    assert counts[2] == counts[4] == 1 and counts[3] == 3
+
+
 # --- 4 fingerprints
 
 
