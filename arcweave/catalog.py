@@ -42,6 +42,8 @@ votes AS (SELECT alternative AS key, count(*) AS val FROM approvals GROUP BY 1)"
 SUPPLY = "supply AS (SELECT l_suppkey AS src, l_partkey AS dst, CAST(sum(l_quantity) AS BIGINT) AS val FROM lineitem GROUP BY 1, 2)"
 THIN = """half AS (SELECT DISTINCT 2 * l_suppkey AS src, 2 * l_partkey + 1 AS dst FROM lineitem WHERE l_quantity = 50),
 thin AS (SELECT src, dst FROM half UNION ALL SELECT dst, src FROM half)"""
+HALF = """half AS (SELECT DISTINCT 2 * l_suppkey AS src, 2 * l_partkey + 1 AS dst FROM lineitem),
+joined AS (SELECT src, dst FROM half UNION ALL SELECT dst, src FROM half)"""
 TRADE = """counts AS (
   SELECT CAST(c_nationkey AS BIGINT) AS n1, CAST(s_nationkey AS BIGINT) AS n2, count(*) AS n
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
@@ -73,6 +75,14 @@ def least_walks(base: str, rounds: int = 6) -> str:
     return ",\n".join(parts)
 
 
+def least_labels(base: str, rounds: int = 8) -> str:
+    """CTEs l0 ... and roots(key, root): least vertices that walks of up to ``rounds`` arcs reach."""
+    parts = [f"l0 AS MATERIALIZED (SELECT DISTINCT src AS key, src AS root FROM {base})"]
+    for k in range(rounds):
+        parts.append(f"l{k + 1} AS MATERIALIZED (SELECT key, min(root) AS root FROM (SELECT * FROM l{k} UNION ALL SELECT dst, root FROM l{k} JOIN {base} ON key = src) GROUP BY 1)")
+    return ",\n".join([*parts, f"roots AS (SELECT key, root FROM l{rounds})"])
+
+
 LEVELS = """walk(key, level) AS (
   SELECT CAST(0 AS BIGINT), 0 UNION SELECT trade.dst, level + 1 FROM walk JOIN trade ON walk.key = trade.src WHERE level < 25),
 lvl AS (SELECT key, min(level) AS level FROM walk GROUP BY key)"""
@@ -419,11 +429,30 @@ def predecessor_forest(spark, sf):
     return found.where("pred is not null").select("level", "vertex", "pred")
 
 
-@query()
+REGION_SUPPLIERS = "ours AS (SELECT s_suppkey, n_regionkey AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+
+
+@query(
+    f"""WITH {REGION_SUPPLIERS}
+SELECT (SELECT least(count(*) FILTER (region = 0), count(*) FILTER (region = 1)) FROM ours) AS paths, CAST(3 AS INTEGER) AS vertices, true AS valid, true AS disjoint, true AS maximal"""
+)
 def disjoint_paths(spark, sf):
-    m = derive.nation_trade(spark, sf)
-    found = levels.disjoint_paths(origin(spark, 0, 1, 2), m.vertices().filter_with_key(lambda k, v: k >= 15), m)
-    return found.select("path_id", F.array_join(F.col("path").cast("array<string>"), " ").alias("path"))
+    """Shortest paths from the suppliers of one region over parts to those of another, no vertex on two of them: their number
+    (no larger one is possible), and whether they are paths of the graph, disjoint, and leave no further one."""
+    g = derive.supply_graph(spark, sf).stored()
+    start, target = derive.suppliers_of(spark, sf, 0), derive.suppliers_of(spark, sf, 1)
+    found = levels.disjoint_paths(start, target, g)
+    steps = found.select("path_id", F.explode(F.zip_with(F.expr("slice(path, 1, size(path) - 1)"), F.expr("slice(path, 2, size(path) - 1)"), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))).alias("s")).select("s.src", "s.dst")
+    strays = steps.join(g.cells, ["src", "dst"], "left_anti").agg(F.count("*").alias("strays"))
+    ends = found.select(F.get("path", F.lit(0)).alias("key")).join(start.df, "key", "left_anti").unionByName(found.select(F.element_at("path", -1).alias("key")).join(target.df, "key", "left_anti"))
+    used = found.select(F.explode("path").alias("key"))
+    shared = used.groupBy("key").count().agg(F.count_if(F.col("count") > 1).alias("shared"))
+    # one more path of two arcs without the used vertices
+    free = g.drop_vertices(used)
+    more = products.reached(products.reached(start.drop(Vec(used)), free), free).keep(target).df.agg(F.count("*").alias("more"))
+    sums = found.agg(F.count("*").alias("paths"), F.max(F.size("path")).alias("vertices"), (F.min(F.size("path")) == F.max(F.size("path"))).alias("even"))
+    one = sums.join(strays).join(ends.agg(F.count("*").alias("wrong"))).join(shared).join(more)  # one row each
+    return one.select("paths", "vertices", F.expr("strays = 0 and wrong = 0 and even").alias("valid"), F.expr("shared = 0").alias("disjoint"), F.expr("more = 0").alias("maximal"))
 
 
 @query("SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_size) AS root FROM part")
@@ -473,33 +502,34 @@ def bipartite_flag(spark, sf):
 
 
 @query(
-    f"""WITH RECURSIVE {THIN}, label(key, root) AS (SELECT DISTINCT src, src FROM thin UNION SELECT thin.dst, root FROM label JOIN thin ON label.key = thin.src WHERE thin.dst > root),
-roots AS (SELECT key, min(root) AS root FROM label GROUP BY key)
+    f"""WITH {HALF}, {least_labels('joined')}
 SELECT key, CAST((key + root) % 2 AS INTEGER) AS side FROM roots"""
 )
 def bipartition(spark, sf):
-    return graphs.bipartition(derive.thin_supply(spark, sf))
+    return graphs.bipartition(derive.supply_graph(spark, sf))
 
 
-# a greedy matching is at most a maximum one, the smaller side at least; where both meet, the size is proved, else null
-GREEDY = f"""{THIN}, turns AS (SELECT src, dst, row_number() OVER (ORDER BY dst, src) AS i FROM thin),
-greedy(i, cover) AS (
-  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
-  UNION ALL SELECT turns.i, CASE WHEN list_contains(cover, src) OR list_contains(cover, dst) THEN cover ELSE list_append(list_append(cover, src), dst) END
-  FROM greedy JOIN turns ON turns.i = greedy.i + 1),
-bounds AS (
-  SELECT (SELECT max(len(cover)) // 2 FROM greedy) AS low, least(count(DISTINCT src), count(DISTINCT dst)) AS high FROM half)"""
+NEXT_PARTS = """behind AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem),
+steps AS (SELECT DISTINCT src, dst FROM behind WHERE dst IS NOT NULL)"""
 
 
-@query(f"WITH RECURSIVE {GREEDY} SELECT CASE WHEN low = high THEN high END AS size FROM bounds")
+# no matching is larger than the smaller side, so one of that size is proved to be a maximum, and with it the cover
+@query(f"WITH {NEXT_PARTS} SELECT least(count(DISTINCT src), count(DISTINCT dst)) AS size, CAST(0 AS BIGINT) AS twice FROM steps")
 def matching_size(spark, sf):
-    m, _ = graphs.maximum_matching_by_phases(derive.thin_supply(spark, sf))
-    return m.cells.agg((F.count("*") / 2).cast("bigint").alias("size"))
+    """Parts matched to the parts behind them, by phases of longer and longer alternating paths; twice: vertices matched twice."""
+    g = derive.successions(spark, sf).stored()
+    m, _ = graphs.maximum_matching_by_phases(g, g.rows.where("id % 2 = 0").toDF("key"))
+    twice = m.cells.groupBy("src").count().agg(F.count_if(F.col("count") > 1).alias("twice"))
+    return m.keep(g).cells.agg((F.count("*") / 2).cast("bigint").alias("size")).join(twice)  # one row each
 
 
-@query(f"WITH RECURSIVE {GREEDY} SELECT CASE WHEN low = high THEN high END AS size FROM bounds")
+@query(f"WITH {NEXT_PARTS} SELECT least(count(DISTINCT src), count(DISTINCT dst)) AS size, CAST(0 AS BIGINT) AS uncovered FROM steps")
 def cover_size(spark, sf):
-    return graphs.minimum_vertex_cover(derive.thin_supply(spark, sf)).agg(F.count("*").alias("size"))
+    """A least set of vertices that touches all arcs, and the arcs it leaves uncovered."""
+    g = derive.successions(spark, sf).stored()
+    cover = graphs.minimum_vertex_cover(g)
+    open_ = g.drop_vertices(cover).cells.agg(F.count("*").alias("uncovered"))
+    return cover.agg(F.count("*").alias("size")).join(open_)  # one row each
 
 
 @query(
@@ -564,33 +594,61 @@ def betweenness(spark, sf):
 
 # --- flows
 
-# every set of event types that holds the first one and not the last, with what leaves it
-CUTS = f"""{EVENTS}, n AS (SELECT count(*) AS n FROM names), sides AS (SELECT range AS mask, n FROM n, range(1 << 16) WHERE range < (1 << CAST(n AS INTEGER)) AND range % 2 = 1 AND range < (1 << CAST(n - 1 AS INTEGER))),
+# every set of regions that a cut may leave on the source's side: a part goes where it costs less
+CUTS = """sold AS (
+  SELECT l_partkey AS part, CAST(n_regionkey AS BIGINT) AS region, CAST(sum(l_quantity) AS BIGINT) AS val
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+leaving AS (SELECT part, CAST(sum(val) // 2 AS BIGINT) AS cap FROM sold GROUP BY 1),
+entering AS (SELECT CAST(r_regionkey AS BIGINT) AS region, CAST((SELECT sum(val) FROM sold) * (r_regionkey + 1) // 25 AS BIGINT) AS cap FROM region),
+sides AS (SELECT range AS mask FROM range(CAST(1 << (SELECT count(*) FROM region) AS BIGINT))),
+inner_ AS (SELECT mask, part, coalesce(sum(val) FILTER ((mask >> CAST(region AS INTEGER)) % 2 = 0), 0) AS out FROM sides, sold GROUP BY 1, 2),
+parted AS (SELECT mask, sum(least(cap, out)) AS cut, count(*) FILTER (out < cap) AS near FROM inner_ JOIN leaving USING (part) GROUP BY 1),
 cuts AS (
-  SELECT mask, bit_count(mask) AS size, sum(val) FILTER ((mask >> CAST(src AS INTEGER)) % 2 = 1 AND (mask >> CAST(dst AS INTEGER)) % 2 = 0) AS capacity FROM sides, moves GROUP BY 1)"""
-
-
-def event_flow(spark, sf) -> tuple[Matrix, Matrix, Matrix, int]:
-    """Capacities (how often one event type follows another), flow and residual from the first type to the last."""
-    capacity = derive.transitions(spark, sf).stored()
-    last = capacity.n_rows() - 1
-    return (capacity, *graphs.maximum_flow(capacity, 0, last), last)
+  SELECT mask, near + bit_count(mask) + 1 AS size, cut + (SELECT coalesce(sum(cap) FILTER ((mask >> CAST(region AS INTEGER)) % 2 = 1), 0) FROM entering) AS capacity FROM parted)"""
+
+
+def checked_flow(capacity: Matrix) -> tuple[Matrix, Matrix, DataFrame]:
+    """Flow, residual and one row: val (what leaves the source), unbalanced (inner vertices where more or less leaves than
+    enters) and over (arcs that carry more than their capacity)."""
+    capacity = capacity.stored()
+    flow, residual = graphs.maximum_flow(capacity, derive.SOURCE, derive.SINK)
+    flow = flow.stored()
+    net = graphs.balance(flow)
+    ends = net.agg(
+        F.coalesce(F.max(F.when(F.col("key") == derive.SOURCE, F.col("val"))), F.lit(0)).alias("val"),
+        F.count_if((F.col("val") != 0) & ~F.col("key").isin(derive.SOURCE, derive.SINK)).alias("unbalanced"),
+    )
+    over = flow.cells.join(capacity.cells.withColumnRenamed("val", "most"), ["src", "dst"], "left").agg(F.count_if(F.col("val") > F.coalesce("most", F.lit(0))).alias("over"))
+    return flow, residual, ends.join(over)  # one row each
 
 
-@query(f"WITH {CUTS} SELECT CAST(min(capacity) AS BIGINT) AS val FROM cuts")
+@query(f"WITH {CUTS} SELECT CAST(min(capacity) AS BIGINT) AS val, CAST(0 AS BIGINT) AS unbalanced, CAST(0 AS BIGINT) AS over FROM cuts")
 def flow_value(spark, sf):
-    """A maximum flow is worth the least cut, which the SQL finds among all cuts."""
-    _, flow, _, _ = event_flow(spark, sf)
-    return graphs.balance(flow).where("key = 0").select("val")
+    """A maximum flow from parts to regions is worth the least cut, which the SQL finds among all sets of regions."""
+    return checked_flow(derive.sales_network(spark, sf))[2]
 
 
 @query(f"WITH {CUTS} SELECT CAST(capacity AS BIGINT) AS val, CAST(size AS BIGINT) AS side FROM cuts WHERE capacity = (SELECT min(capacity) FROM cuts) ORDER BY size LIMIT 1")
 def cut_capacity(spark, sf):
-    capacity, _, residual, _ = event_flow(spark, sf)
-    side = graphs.minimum_cut(residual, 0)
+    capacity = derive.sales_network(spark, sf).stored()
+    _, residual = graphs.maximum_flow(capacity, derive.SOURCE, derive.SINK)
+    side = graphs.minimum_cut(residual, derive.SOURCE)
     return graphs.cut_capacity(capacity, side).select("val", F.lit(side.count()).cast("bigint").alias("side"))
 
 
+@query(
+    f"""WITH {SUPPLY}, s AS (SELECT sum(val) // 2 AS cap FROM supply GROUP BY src), p AS (SELECT sum(val) * 3 // 5 AS cap FROM supply GROUP BY dst)
+SELECT (SELECT count(*) FROM supply) + (SELECT count(*) FROM s) + (SELECT count(*) FROM p) AS arcs, true AS tight, CAST(0 AS BIGINT) AS unbalanced, CAST(0 AS BIGINT) AS over"""
+)
+def supply_flow(spark, sf):
+    """Suppliers to parts: the flow is valid and worth the cut found beside it, so both are best (a proof, whatever the value)."""
+    capacity = derive.supply_network(spark, sf).stored()
+    _, residual, row = checked_flow(capacity)
+    cut = graphs.cut_capacity(capacity, graphs.minimum_cut(residual, derive.SOURCE)).withColumnRenamed("val", "cut")
+    arcs = capacity.cells.agg(F.count("*").alias("arcs"))
+    return row.join(cut).join(arcs).select("arcs", (F.col("val") == F.col("cut")).alias("tight"), "unbalanced", "over")  # one row each
+
+
 @query(f"WITH {TRADE} SELECT key, sum(val)::BIGINT AS val FROM (SELECT src AS key, val FROM trade UNION ALL SELECT dst, -val FROM trade) GROUP BY 1")
 def balance(spark, sf):
     return graphs.balance(derive.nation_trade(spark, sf))
@@ -1056,13 +1114,12 @@ def paths_by_strategy(spark, sf):
 
 
 @query(
-    f"""WITH RECURSIVE {THIN}, label(key, root) AS (SELECT DISTINCT src, src FROM thin UNION SELECT thin.dst, root FROM label JOIN thin ON label.key = thin.src WHERE thin.dst > root),
-roots AS (SELECT key, min(root) AS root FROM label GROUP BY key)
+    f"""WITH {HALF}, {least_labels('joined')}
 SELECT root, count(*) FILTER ((key + root) % 2 = 0) AS near, count(*) FILTER ((key + root) % 2 = 1) AS far FROM roots GROUP BY 1"""
 )
 def componentwise(spark, sf):
     """A function applied to each component: how many vertices lie on even and on odd levels of its search."""
-    found = graphs.componentwise(derive.thin_supply(spark, sf), lambda start, g, within: levels.distance(start, g, within))
+    found = graphs.componentwise(derive.supply_graph(spark, sf), lambda start, g, within: levels.distance(start, g, within))
     return found.groupBy("root").agg(F.count_if(F.col("level") % 2 == 0).alias("near"), F.count_if(F.col("level") % 2 == 1).alias("far"))
 
 

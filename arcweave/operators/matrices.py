@@ -226,6 +226,12 @@ class Matrix:
     def restrict_columns(self, keys: Vec) -> Matrix:
         return self.like(self.cells.join(keys.df.select(F.col("key").alias("dst")), "dst", "left_semi"))
 
+    def drop_vertices(self, keys: DataFrame) -> Matrix:
+        """Without the vertices (column key) and their arcs."""
+        gone = keys.select("key")
+        cells = self.cells.join(gone.withColumnRenamed("key", "src"), "src", "left_anti").join(gone.withColumnRenamed("key", "dst"), "dst", "left_anti")
+        return self.like(cells, rows=self.rows.join(gone, F.col("id") == F.col("key"), "left_anti"))
+
     def intersect(self, other: Matrix, op: Op) -> Matrix:
         return self.like(setops.intersect(self.cells, other.cells, op, CELL))
 

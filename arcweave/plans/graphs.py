@@ -18,6 +18,7 @@ from arcweave.operators.vectors import Vec
 from arcweave.plans import levels
 from arcweave.plans.closure import star_closure
 from arcweave.plans.components import components
+from arcweave.plans.flows import maximum_flow
 from arcweave.plans.shared import written
 
 # --- components
@@ -158,25 +159,30 @@ def maximum_matching(g: Matrix) -> tuple[Matrix, Matrix]:
     return levels.improve((g.emptied().stored(), g), step)
 
 
-def augmenting_paths(m: Matrix, rest: Matrix) -> DataFrame:
-    """(path_id, path): a maximal set of disjoint shortest augmenting paths.
+def augmenting_paths(m: Matrix, rest: Matrix, left: DataFrame | None = None) -> DataFrame:
+    """(path_id, path): a maximal set of disjoint shortest augmenting paths; with ``left`` (key) those from there.
 
     The first step, from unmatched vertices over rest, is part of the forest, so that paths begin where they should.
     """
     free = m.without_successors()
-    first = written(products.predecessor_arcs(free, rest).select("vertex", "pred"), "first")
+    starts, ends = (free, free) if left is None else (free.keep(Vec(left)), free.drop(Vec(left)))
+    first = written(products.predecessor_arcs(starts, rest).select("vertex", "pred"), "first")
     start = Vec(first.select(F.col("vertex").alias("key")).distinct().withColumn("val", F.lit(True)))
     within = m.rows.select(F.col("id").alias("key"))
-    found = levels.forest(start, [m, rest], free, first, within)
-    return levels.prune(found, free.df)
+    found = levels.forest(start, [m, rest], ends, first, within)
+    return levels.prune(found, ends.df)
 
 
-def maximum_matching_by_phases(g: Matrix) -> tuple[Matrix, Matrix]:
-    """(matching, the other arcs), all disjoint shortest augmenting paths per round: few rounds. For bipartite graphs."""
+def maximum_matching_by_phases(g: Matrix, left: DataFrame | None = None) -> tuple[Matrix, Matrix]:
+    """(matching, the other arcs), all disjoint shortest augmenting paths per round: few rounds. For bipartite graphs.
+
+    With ``left`` (key), the vertices of one side, paths are only sought from there, which halves the work.
+    """
     g = g.units().stored()
+    left = None if left is None else written(left.select("key"), "left")
 
     def step(state):
-        paths = written(augmenting_paths(*state), "paths")
+        paths = written(augmenting_paths(*state, left), "paths")
         return None if paths.isEmpty() else _flip(*state, _arcs_of_paths(paths))
 
     return levels.improve((g.emptied().stored(), g), step)
@@ -200,7 +206,7 @@ def minimum_vertex_cover(g: Matrix) -> DataFrame | None:
         return None
     left = Vec(side.where("side = 0").select("key", F.lit(True).alias("val")))
     right = Vec(side.where("side = 1").select("key", F.lit(True).alias("val")))
-    m, rest = maximum_matching_by_phases(g)
+    m, rest = maximum_matching_by_phases(g, left.df)
     r = alternating_reachable(m, rest, left)
     r = r.like(written(r.df, "reached"))
     return left.drop(r).union(right.keep(r)).df.select("key")
@@ -242,8 +248,8 @@ def augmenting_flow_path(residual: Matrix, source: int, sink: int) -> tuple[list
     return None if row is None else ([*row.val.path, row.key], row.val.width)
 
 
-def maximum_flow(capacity: Matrix, source: int, sink: int) -> tuple[Matrix, Matrix]:
-    """(flow, residual): shortest augmenting paths until the sink is out of reach. Source and sink must differ.
+def maximum_flow_by_paths(capacity: Matrix, source: int, sink: int) -> tuple[Matrix, Matrix]:
+    """(flow, residual): shortest augmenting paths until the sink is out of reach, one a round. Source and sink must differ.
 
     A path takes its bottleneck from the residual of its arcs and gives it to the opposite ones. Flow is what the residual
     lacks of the capacity, so that of two opposite arcs of the network only one carries the difference.

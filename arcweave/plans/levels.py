@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.operators import products
@@ -138,6 +138,123 @@ def improve(state, step, max_rounds: int = MAX_ROUNDS):
 
 # --- disjoint paths
 
+#: Levels that a walk passes in one plan, and rounds that may pass without a path before the rest is searched one by one.
+PLAN_LEVELS, STALLS = 8, 3
+
+
+def layered(found: DataFrame, target: DataFrame) -> tuple[DataFrame, dict[int, DataFrame], int] | None:
+    """A forest's vertices and arcs by depth, as far as they lie on the way to a target of the first depth that meets one:
+    roots (vertex), arcs (vertex, pred) of depths 1 to n, and n; None if no target is met. A step through several graphs
+    counts a depth for each of them."""
+    goal = target.select(F.col("key").alias("vertex"))
+    n_graphs = (found.agg(F.max("at")).first()[0] or 0) + 1
+    flat = found.withColumn("depth", F.when(F.col("pred").isNull() & (F.col("level") == 0), 0).otherwise(F.col("level") * n_graphs - (n_graphs - 1) + F.col("at")))
+    # only where a step ends a vertex is reached; roots are, unless arcs lead into them from before
+    led = not found.where("level = 0 and pred is not null").isEmpty()
+    flat = flat.withColumn("depth", F.col("depth") + 1 if not led else F.when(F.col("level") == 0, 1).otherwise(F.col("depth") + 1))
+    meets = flat.where((F.col("level") == 0) | (F.col("at") == n_graphs - 1)).join(goal, "vertex", "left_semi").agg(F.min("depth")).first()[0]
+    flat = flat.select("depth", "vertex", "pred")
+    if led:
+        before = flat.where("depth = 1").select(F.lit(0).alias("depth"), F.col("pred").alias("vertex"), F.lit(None).cast("bigint").alias("pred"))
+        flat = flat.unionByName(before.distinct())
+    if meets is None:
+        return None
+    bottom, keep, arcs = 0 if led else 1, goal, {}
+    for d in range(meets, bottom - 1, -1):
+        layer = written(flat.where(F.col("depth") == d).join(keep.select("vertex"), "vertex", "left_semi").select("vertex", "pred").distinct(), "layer")
+        arcs[d - bottom] = layer
+        keep = layer.where("pred is not null").select(F.col("pred").alias("vertex")).distinct()
+    return arcs.pop(0).select("vertex"), arcs, meets - bottom
+
+
+def _walked(tokens: DataFrame, arcs: dict[int, DataFrame], depth: int, salt: int, share_start: bool) -> DataFrame:
+    """(token, at, path) of the tokens that get from ``depth`` down to the roots. At each level a token picks its least
+    predecessor (in later rounds, salt 2 and up, one by a hash, so that tokens spread), and a predecessor takes the least
+    token that picks it; others stay behind."""
+    for d in range(depth, 0, -1):
+        step = tokens.join(arcs[d].withColumnRenamed("vertex", "at"), "at")
+        pick = F.min(F.struct((F.lit(0) if salt == 1 else F.xxhash64(F.lit(salt), "token", "pred")).alias("h"), "pred", "path"))
+        step = step.groupBy("token").agg(pick.alias("p")).select("token", F.col("p.pred").alias("at"), F.concat(F.array("p.pred"), "p.path").alias("path"))
+        if d > 1 or not share_start:
+            step = step.groupBy("at").agg(F.min(F.struct("token", "path")).alias("t")).select("t.token", "at", "t.path")
+        tokens = written(step, "tokens") if (depth - d + 1) % PLAN_LEVELS == 0 else step
+    return tokens
+
+
+def _exclusive(path: Column, share_start: bool, share_end: bool) -> Column:
+    """The vertices of a path that no other path may hold."""
+    return F.slice(path, 2 if share_start else 1, F.greatest(F.size(path) - int(share_start) - int(share_end), F.lit(0)))
+
+
+def prune(found: DataFrame, target: DataFrame, share_start: bool = False, share_end: bool = False) -> DataFrame:
+    """path_id, path: a maximal set of disjoint paths of a forest from level 0 to the targets of its last level.
+
+    Vertices may be shared at the start or end if so asked. In each round tokens walk from all targets that are left down
+    the levels at once; of tokens that want one vertex the least goes on, and of paths that meet at different levels the one
+    of the least token stays, so a round finds a path at least and mostly a good part of all. Then the vertices of
+    the new paths go, and with them, level by level from the roots, what is no longer connected to a root. It ends when no
+    target is. Where steps lead through several graphs walks may come back to a vertex; if rounds find no others, the rest
+    is searched in one task.
+    """
+    spark, schema = found.sparkSession, "path_id bigint, path array<bigint>"
+    known = layered(found, target)
+    if known is None:
+        return spark.createDataFrame([], schema)
+    roots, arcs, depth = known
+    if depth == 0:
+        return roots.distinct().select(F.col("vertex").alias("path_id"), F.array("vertex").alias("path"))
+    chosen: list[DataFrame] = []
+    stalls, salt = 0, 0
+    while stalls < STALLS:
+        salt += 1
+        if share_end:
+            tokens = arcs[depth].groupBy(F.col("pred").alias("token")).agg(F.min("vertex").alias("end")).select("token", F.col("token").alias("at"), F.array("token", "end").alias("path"))
+            walked = _walked(tokens, arcs, depth - 1, salt, share_start)
+        else:
+            tokens = arcs[depth].select(F.col("vertex").alias("token")).distinct().select("token", F.col("token").alias("at"), F.array("token").alias("path"))
+            walked = _walked(tokens, arcs, depth, salt, share_start)
+        walked = written(walked.withColumn("own", _exclusive(F.col("path"), share_start, share_end)), "walked")
+        if walked.isEmpty():
+            break
+        simple = walked.where(F.size(F.array_distinct("own")) == F.size("own"))
+        met = simple.select("token", F.explode("own").alias("vertex"))
+        least = met.groupBy("vertex").agg(F.min("token").alias("least"))
+        beaten = met.join(least, "vertex").where("token <> least").select("token").distinct()
+        new = written(simple.join(beaten, "token", "left_anti").select("token", "path", "own"), "paths")
+        if new.isEmpty():
+            stalls += 1
+            continue
+        stalls = 0
+        chosen.append(new.select(F.col("token").alias("path_id"), "path"))
+        used = new.select(F.explode("own").alias("vertex"))
+        roots = written(roots.join(used, "vertex", "left_anti"), "roots")
+        alive = roots
+        for d in range(1, depth + 1):
+            left = arcs[d] if share_end and d == depth else arcs[d].join(used, "vertex", "left_anti")
+            arcs[d] = written(left.join(alive.select(F.col("vertex").alias("pred")), "pred", "left_semi").select("vertex", "pred"), "layer")
+            alive = arcs[d].select("vertex").distinct()
+    else:
+        chosen.append(_searched(roots, arcs, depth, share_start, share_end))
+    return reduce(DataFrame.unionByName, chosen) if chosen else spark.createDataFrame([], schema)
+
+
+def _searched(roots: DataFrame, arcs: dict[int, DataFrame], depth: int, share_start: bool, share_end: bool) -> DataFrame:
+    """The same in one task, depth first, for the rest whose walks come back to a vertex."""
+    parts = [roots.select(F.lit(0).alias("depth"), "vertex", F.lit(None).cast("bigint").alias("pred"))]
+    parts += [arcs[d].select(F.lit(d).alias("depth"), "vertex", "pred") for d in arcs]
+
+    def choose(pdf):
+        import pandas as pd
+
+        steps: dict[tuple[int, int], list[int]] = {}
+        for d, v, p in sorted(pdf.dropna(subset=["pred"])[["depth", "vertex", "pred"]].itertuples(index=False)):
+            steps.setdefault((int(d), int(v)), []).append(int(p))
+        ends = sorted({int(v) for v in pdf.loc[pdf.depth == depth, "vertex"]})
+        paths = _greedy(steps, ends, depth, share_start, share_end)
+        return pd.DataFrame({"path_id": [p[-2] if share_end else p[-1] for p in paths], "path": paths})
+
+    return reduce(DataFrame.unionByName, parts).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(choose, "path_id bigint, path array<bigint>")
+
 
 def _greedy(arcs, ends: list[int], depth: int, share_start: bool, share_end: bool) -> list[list[int]]:
     """Paths from level 0 to the ends, chosen one after the other by ascending vertex; each vertex is used once."""
@@ -171,60 +288,14 @@ def _greedy(arcs, ends: list[int], depth: int, share_start: bool, share_end: boo
             found = search(e, depth)
             if found:
                 paths.append(found[::-1])
-        elif depth:
+        else:
             for p in arcs.get((depth, e), ()):
                 found = search(p, depth - 1)
                 if found:
                     paths.append(found[::-1] + [e])
-        else:
-            paths.append([e])
     return paths
 
 
-def prune(found: DataFrame, target: DataFrame, share_start: bool = False, share_end: bool = False) -> DataFrame:
-    """path_id, path: a maximal set of disjoint paths of a forest from level 0 to the targets of its last level.
-
-    Vertices may be shared at the start or end if so asked. The choice is sequential by definition (each path blocks the
-    later ones), so one task takes the arcs between the levels that lie on some path to a target, not the graph: they are
-    cut down to these by backward semi-joins first.
-    """
-    goal = target.select(F.col("key").alias("vertex"))
-    n_graphs = (found.agg(F.max("at")).first()[0] or 0) + 1
-    flat = found.withColumn("depth", F.when(F.col("pred").isNull() & (F.col("level") == 0), 0).otherwise(F.col("level") * n_graphs - (n_graphs - 1) + F.col("at")))
-    # only where a step ends a vertex is reached; roots are, unless arcs lead into them from before
-    led = not found.where("level = 0 and pred is not null").isEmpty()
-    flat = flat.withColumn("depth", F.col("depth") + 1 if not led else F.when(F.col("level") == 0, 1).otherwise(F.col("depth") + 1))
-    meets = flat.where((F.col("level") == 0) | (F.col("at") == n_graphs - 1)).join(goal, "vertex", "left_semi").agg(F.min("depth")).first()[0]
-    flat = flat.select("depth", "vertex", "pred")
-    if led:
-        before = flat.where("depth = 1").select(F.lit(0).alias("depth"), F.col("pred").alias("vertex"), F.lit(None).cast("bigint").alias("pred"))
-        flat = flat.unionByName(before.distinct())
-    bottom = 0 if led else 1
-    spark = found.sparkSession
-    schema = "path_id bigint, path array<bigint>"
-    if meets is None:
-        return spark.createDataFrame([], schema)
-    keep, parts = goal, []
-    for d in range(meets, bottom - 1, -1):
-        layer = flat.where(F.col("depth") == d).join(keep.select("vertex"), "vertex", "left_semi").select(F.lit(d - bottom).alias("depth"), "vertex", "pred").distinct()
-        layer = written(layer, "layer")
-        parts.append(layer)
-        keep = layer.where("pred is not null").select(F.col("pred").alias("vertex")).distinct()
-    needed = reduce(DataFrame.unionByName, parts)
-
-    def choose(pdf):
-        import pandas as pd
-
-        arcs: dict[tuple[int, int], list[int]] = {}
-        for d, v, p in sorted(pdf.dropna(subset=["pred"])[["depth", "vertex", "pred"]].itertuples(index=False)):
-            arcs.setdefault((int(d), int(v)), []).append(int(p))
-        ends = sorted({int(v) for v in pdf.loc[pdf.depth == meets - bottom, "vertex"]})
-        paths = _greedy(arcs, ends, meets - bottom, share_start, share_end)
-        return pd.DataFrame({"path_id": range(len(paths)), "path": paths})
-
-    return needed.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(choose, schema)
-
-
 Strategy = Callable[[DataFrame, DataFrame], DataFrame]
 
 

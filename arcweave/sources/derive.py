@@ -48,10 +48,36 @@ def order_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.transform("lines", lambda x: x["l_partkey"].cast("bigint")).alias("path"))
 
 
+def both_ways(cells: DataFrame) -> Matrix:
+    """Arcs (src, dst) and their turned ones. Rows: ends of arcs."""
+    return Matrix.of(cells.unionByName(cells.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), UNIT)
+
+
+def supply_graph(spark: SparkSession, sf_dir: str) -> Matrix:
+    """Suppliers (2k) and parts (2k + 1), joined both ways where the one supplies the other."""
+    lines = table(spark, sf_dir, "lineitem").select((2 * F.col("l_suppkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst"))
+    return both_ways(lines.distinct())
+
+
 def thin_supply(spark: SparkSession, sf_dir: str) -> Matrix:
-    """Suppliers (2k) and parts (2k + 1) joined both ways where a line has the quantity 50. Rows: ends of arcs."""
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") == 50).select((2 * F.col("l_suppkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst")).distinct()
-    return Matrix.of(lines.unionByName(lines.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), UNIT)
+    """The part of ``supply_graph`` with a line of quantity 50: sparse, for work that goes pick by pick."""
+    lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") == 50).select((2 * F.col("l_suppkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst"))
+    return both_ways(lines.distinct())
+
+
+def suppliers_of(spark: SparkSession, sf_dir: str, region: int) -> Vec:
+    """The suppliers of a region, as vertices of ``supply_graph``."""
+    at = table(spark, sf_dir, "nation").where(F.col("n_regionkey") == region)
+    found = table(spark, sf_dir, "supplier").join(at, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
+    return Vec(found.select((2 * F.col("s_suppkey")).alias("key"), F.lit(True).alias("val")))
+
+
+def successions(spark: SparkSession, sf_dir: str) -> Matrix:
+    """Parts as they come (2k) and as they follow (2k + 1), joined both ways where an order has the one on the line behind
+    the other. A matching covers the parts by chains and rings."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    behind = lines.withColumn("next", F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))).where("next is not null")
+    return both_ways(behind.select((2 * F.col("l_partkey")).alias("src"), (2 * F.col("next") + 1).alias("dst")).distinct())
 
 
 def trade_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,3 +129,32 @@ def size_chains(spark: SparkSession, sf_dir: str) -> Matrix:
     parts = table(spark, sf_dir, "part").select("p_partkey", F.lead("p_partkey").over(Window.partitionBy("p_size").orderBy("p_partkey")).alias("next"))
     cells = parts.where("next is not null").select(F.col("p_partkey").alias("src"), F.col("next").alias("dst"))
     return Matrix.of(cells, UNIT, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))
+
+
+#: Vertices of the networks: source, sink, and what the other kinds of vertices begin with.
+SOURCE, SINK, REGIONS, PARTS = 0, 1, 2, 100
+
+
+def sales_network(spark: SparkSession, sf_dir: str) -> Matrix:
+    """From a source through all parts and the customers' regions to a sink: half of what is sold of a part may leave the
+    source, to a region goes no more than was sold to it, and region r lets through r + 1 parts in 25 of all that was sold."""
+    nations_, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    cust = table(spark, sf_dir, "customer").join(nations_, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").cast("bigint").alias("region"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(cust, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "region")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    sold = lines.groupBy("l_partkey", "region").agg(F.sum("l_quantity").cast("bigint").alias("val"))
+    part, region = F.col("l_partkey") + PARTS, F.col("region") + REGIONS
+    leaving = sold.groupBy("l_partkey").agg(F.expr("sum(val) div 2").alias("val")).select(F.lit(SOURCE).alias("src"), part.alias("dst"), "val")
+    through = sold.agg(F.sum("val").alias("all")).join(regions.select(F.col("r_regionkey").cast("bigint").alias("region")))  # a row for each region
+    entering = through.select(region.alias("src"), F.lit(SINK).alias("dst"), F.expr("`all` * (region + 1) div 25").alias("val"))
+    return Matrix.of(leaving.unionByName(sold.select(part.alias("src"), region.alias("dst"), "val")).unionByName(entering).where("val > 0"), NUMBER)
+
+
+def supply_network(spark: SparkSession, sf_dir: str) -> Matrix:
+    """From a source through all suppliers (2k + 2) and parts (2k + 3) to a sink: half of what a supplier delivers may leave
+    the source, on to parts as delivered, and three fifths of what is delivered of a part reach the sink."""
+    cells = supply(spark, sf_dir).cells
+    src, dst = 2 * F.col("src") + 2, 2 * F.col("dst") + 3
+    leaving = cells.groupBy("src").agg(F.expr("sum(val) div 2").alias("val")).select(F.lit(SOURCE).alias("src"), src.alias("dst"), "val")
+    entering = cells.groupBy("dst").agg(F.expr("sum(val) * 3 div 5").alias("val")).select(dst.alias("src"), F.lit(SINK).alias("dst"), "val")
+    return Matrix.of(leaving.unionByName(cells.select(src.alias("src"), dst.alias("dst"), "val")).unionByName(entering).where("val > 0"), NUMBER)
