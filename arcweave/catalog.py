@@ -575,21 +575,29 @@ def clustering_candidate(spark, sf):
     return social.clustering_candidate(derive.signed_trade(spark, sf))
 
 
-@query(
-    f"""WITH RECURSIVE {TRADE},
-hops(src, dst, len) AS (SELECT src, dst, 1 FROM trade UNION SELECT hops.src, trade.dst, len + 1 FROM hops JOIN trade ON hops.dst = trade.src WHERE len < 25),
+TRAITS = """of AS (SELECT 3 * s_suppkey AS src, 3 * CAST(s_nationkey AS BIGINT) + 1 AS n, 3 * CAST(floor(s_acctbal / 1000) AS BIGINT) + 5 AS b FROM supplier),
+pairs AS (SELECT src, n AS dst FROM of UNION ALL SELECT src, b FROM of), traits AS (SELECT src, dst FROM pairs UNION ALL SELECT dst, src FROM pairs)"""
+SHORTEST = """hops(src, dst, len) AS (SELECT src, dst, 1 FROM traits UNION SELECT hops.src, traits.dst, len + 1 FROM hops JOIN traits ON hops.dst = traits.src WHERE len < 12),
 far AS (SELECT src, dst, min(len) AS len FROM hops GROUP BY 1, 2),
 walks(src, dst, len) AS (
-  SELECT src, dst, 1 FROM trade
-  UNION ALL SELECT walks.src, trade.dst, walks.len + 1 FROM walks JOIN trade ON walks.dst = trade.src JOIN far ON far.src = walks.src AND far.dst = trade.dst AND far.len = walks.len + 1),
-d AS (SELECT src, dst, len, count(*) AS cnt FROM walks GROUP BY 1, 2, 3),
-through AS (
-  SELECT a.dst AS id, sum(a.cnt * b.cnt / w.cnt) AS val
-  FROM d a JOIN d b ON a.dst = b.src JOIN d w ON w.src = a.src AND w.dst = b.dst AND a.len + b.len = w.len WHERE a.src <> a.dst AND b.src <> b.dst GROUP BY 1)
-SELECT ids.id, round(coalesce(val, 0), 4) AS val FROM ids LEFT JOIN through ON ids.id = through.id"""
+  SELECT src, dst, 1 FROM traits
+  UNION ALL SELECT walks.src, traits.dst, walks.len + 1 FROM walks JOIN traits ON walks.dst = traits.src JOIN far ON far.src = walks.src AND far.dst = traits.dst AND far.len = walks.len + 1),
+d AS (SELECT src, dst, len, count(*) AS cnt FROM walks GROUP BY 1, 2, 3)"""
+
+
+@query(
+    f"""WITH RECURSIVE {TRAITS}, {SHORTEST},
+shares AS (
+  SELECT a.dst AS id, CAST(w.cnt AS HUGEINT) AS den, CAST(sum(a.cnt * b.cnt) AS HUGEINT) AS num
+  FROM d a JOIN d b ON a.dst = b.src JOIN d w ON w.src = a.src AND w.dst = b.dst AND a.len + b.len = w.len WHERE a.src <> a.dst AND b.src <> b.dst GROUP BY 1, 2),
+common AS (SELECT id, list_reduce(list(den), lambda x, y: lcm(x, y)) AS m FROM shares GROUP BY 1),
+sums AS (SELECT id, any_value(m) AS den, CAST(sum(num * (m // den)) AS HUGEINT) AS num FROM shares JOIN common USING (id) GROUP BY 1)
+SELECT v.id, CAST(coalesce(num // gcd(num, den), 0) AS VARCHAR) AS num, CAST(coalesce(den // gcd(num, den), 1) AS VARCHAR) AS den, round(coalesce(num / den, 0), 4) AS val
+FROM (SELECT DISTINCT src AS id FROM traits) v LEFT JOIN sums USING (id)"""
 )
 def betweenness(spark, sf):
-    return social.betweenness(derive.nation_trade(spark, sf)).select("id", F.round("val", 4).alias("val"))
+    """Suppliers, their nations and the thousands of their balances: exact shares of shortest walks."""
+    return social.betweenness(derive.supplier_traits(spark, sf)).select("id", "num", "den", F.round("val", 4).alias("val"))
 
 
 # --- flows
@@ -666,17 +674,9 @@ def random_graph_count(spark, sf):
 # --- further operators
 
 
-@query(
-    f"""WITH RECURSIVE {TRADE},
-hops(src, dst, len) AS (SELECT src, dst, 1 FROM trade UNION SELECT hops.src, trade.dst, len + 1 FROM hops JOIN trade ON hops.dst = trade.src WHERE len < 25),
-far AS (SELECT src, dst, min(len) AS len FROM hops GROUP BY 1, 2),
-walks(src, dst, len) AS (
-  SELECT src, dst, 1 FROM trade
-  UNION ALL SELECT walks.src, trade.dst, walks.len + 1 FROM walks JOIN trade ON walks.dst = trade.src JOIN far ON far.src = walks.src AND far.dst = trade.dst AND far.len = walks.len + 1)
-SELECT src, dst, len, count(*) AS cnt FROM walks GROUP BY 1, 2, 3"""
-)
+@query(f"WITH RECURSIVE {TRAITS}, {SHORTEST} SELECT src, dst, len, cnt FROM d")
 def geodesics(spark, sf):
-    return closure.geodesics(derive.nation_trade(spark, sf)).select("src", "dst", "len", F.col("cnt").cast("bigint").alias("cnt"))
+    return closure.geodesics(derive.supplier_traits(spark, sf)).select("src", "dst", "len", F.col("cnt").cast("bigint").alias("cnt"))
 
 
 @query(

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import gcd
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.functions.algebra import BALANCED, CLUSTERED, sign_to_balanced, sign_to_clustered
 from arcweave.operators.matrices import Matrix
-from arcweave.plans.closure import diagonal_is_one, geodesics, symmetric_star_closure
+from arcweave.plans.closure import diagonal_is_one, geodesic_levels, symmetric_star_closure
 from arcweave.plans.components import components
 from arcweave.plans.graphs import weak_components
 from arcweave.plans.shared import written
@@ -64,28 +65,31 @@ def is_balanced_by_walks(g: Matrix) -> bool:
     return diagonal_is_one(g.map(sign_to_balanced, BALANCED).symmetric())
 
 
-def betweenness(g: Matrix, closed_walks: bool = True) -> DataFrame:
+#: Pairs of vertices whose shortest walks are counted at once; more are taken in blocks of sources.
+PAIRS = 2_000_000_000
+
+
+def betweenness(g: Matrix, closed_walks: bool = True, pairs: int = PAIRS) -> DataFrame:
     """(id, num, den, val): for each vertex t the sum over ordered pairs (v, w), v and w other than t, of the share of
     shortest walks from v to w that pass t; as an exact fraction in lowest terms and as a double.
 
-    Pairs with v = w count if v lies on a cycle, unless closed_walks is off. Shares of one pair have one denominator, so they
-    are summed per denominator first; fractions with different denominators meet in one task per vertex.
+    Pairs with v = w count if v lies on a cycle, unless closed_walks is off. Sources are taken in blocks, all of a block at
+    once: forward, level by level, their shortest walks are counted; backward every vertex hands to its predecessors, for
+    each number of walks c, how many of its continuations end at a vertex with c of them. So a level is one join of the
+    frontier with the arcs, and what is summed are whole numbers of c-ths; fractions are added at the very end, for each
+    vertex a row for each c.
     """
     g = g.stored()
-    d = written(geodesics(g), "geodesics")
-    first = d.select(F.col("src").alias("v"), F.col("dst").alias("t"), F.col("len").alias("d1"), F.col("cnt").alias("c1"))
-    last = d.select(F.col("src").alias("t"), F.col("dst").alias("w"), F.col("len").alias("d2"), F.col("cnt").alias("c2"))
-    whole = d.select(F.col("src").alias("v"), F.col("dst").alias("w"), "len", "cnt")
-    through = first.where("v <> t").join(last.where("t <> w"), "t").join(whole, ["v", "w"]).where("d1 + d2 = len")
-    if not closed_walks:
-        through = through.where("v <> w")
-    per_count = through.groupBy("t", "cnt").agg(F.sum((F.col("c1") * F.col("c2")).cast("decimal(38,0)")).alias("num"))
+    n = g.n_rows()
+    blocks = max(1, -(-n * n // pairs))
+    parts = [_dependencies(g, None if blocks == 1 else F.pmod(F.xxhash64("src"), F.lit(blocks)) == b, closed_walks) for b in range(blocks)]
+    per_count = reduce(DataFrame.unionByName, parts).groupBy("t", "den").agg(F.sum("num").alias("num"))
 
     def added(pdf):
         import pandas as pd
 
         num, den = 0, 1
-        for n, c in zip(pdf.num, pdf.cnt):
+        for n, c in zip(pdf.num, pdf.den):
             num, den = num * int(c) + int(n) * den, den * int(c)
             k = gcd(num, den)
             num, den = num // k, den // k
@@ -93,3 +97,21 @@ def betweenness(g: Matrix, closed_walks: bool = True) -> DataFrame:
 
     sums = per_count.groupBy("t").applyInPandas(added, "id bigint, num string, den string, val double")
     return g.rows.join(sums, "id", "left").select("id", F.coalesce("num", F.lit("0")).alias("num"), F.coalesce("den", F.lit("1")).alias("den"), F.coalesce("val", F.lit(0.0)).alias("val"))
+
+
+def _dependencies(g: Matrix, sources: Column | None, closed_walks: bool) -> DataFrame:
+    """(t, den, num): over the sources, walks through t on shortest walks between pairs that have den of them, in whole
+    numbers (num / den is the share)."""
+    found = geodesic_levels(g, sources)
+    arcs = g.cells.select(F.col("src").alias("t"), "dst")
+    empty = g.spark.createDataFrame([], "t bigint, den decimal(38,0), num decimal(38,0)")
+    sums, handed = [empty], None
+    for k in range(len(found), 1, -1):
+        own = found[k - 1].select("src", "dst", F.col("cnt").alias("den"), F.lit(1).cast("decimal(38,0)").alias("num"))
+        ends = own if closed_walks else own.where("src <> dst")
+        both = ends if handed is None else ends.unionByName(handed.select("src", F.col("t").alias("dst"), "den", "num"))
+        at = found[k - 2].select("src", F.col("dst").alias("t"), "cnt")
+        step = both.join(arcs, "dst").join(at, ["src", "t"]).groupBy("src", "t", "cnt", "den").agg(F.sum("num").cast("decimal(38,0)").alias("num"))
+        handed = written(step, "handed")
+        sums.append(handed.groupBy("t", "den").agg(F.sum((F.col("cnt") * F.col("num")).cast("decimal(38,0)")).cast("decimal(38,0)").alias("num")))
+    return written(reduce(DataFrame.unionByName, sums).groupBy("t", "den").agg(F.sum("num").cast("decimal(38,0)").alias("num")), "dependencies")

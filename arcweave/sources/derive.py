@@ -72,6 +72,12 @@ def suppliers_of(spark: SparkSession, sf_dir: str, region: int) -> Vec:
     return Vec(found.select((2 * F.col("s_suppkey")).alias("key"), F.lit(True).alias("val")))
 
 
+def supplier_traits(spark: SparkSession, sf_dir: str) -> Matrix:
+    """Suppliers (3k) joined both ways to their nation (3k + 1) and to the thousands of their balance (3k + 5, from -1 up)."""
+    of = table(spark, sf_dir, "supplier").select((3 * F.col("s_suppkey")).alias("src"), F.col("s_nationkey").cast("bigint").alias("n"), F.floor(F.col("s_acctbal") / 1000).cast("bigint").alias("b"))
+    return both_ways(of.select("src", F.explode(F.array(3 * F.col("n") + 1, 3 * F.col("b") + 5)).alias("dst")))
+
+
 def successions(spark: SparkSession, sf_dir: str) -> Matrix:
     """Parts as they come (2k) and as they follow (2k + 1), joined both ways where an order has the one on the line behind
     the other. A matching covers the parts by chains and rings."""
