@@ -202,6 +202,17 @@ def mat_mat_number(spark, sf):
     return cells(products.mat_mat(m, m))
 
 
+@query(
+    """WITH a AS (SELECT o_custkey AS src, ascii(l_returnflag) AS via, CAST(sum(l_quantity) AS BIGINT) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+b AS (SELECT ascii(l_returnflag) AS via, CAST(s_nationkey AS BIGINT) AS dst, count(*) AS y FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)
+SELECT src, dst, CAST(sum(x * y) AS BIGINT) AS val FROM a JOIN b USING (via) GROUP BY 1, 2"""
+)
+def mat_mat_hubs(spark, sf):
+    """A product whose every pair meets at one of three vertices (return flags), each dealt to tasks in parts."""
+    a, b = derive.by_return_flag(spark, sf)
+    return cells(products.mat_mat(a, b, heavy=200))
+
+
 @query(f"WITH {TRADE} SELECT a.src, b.dst, min(a.val + b.val) AS val FROM trade a JOIN trade b ON a.dst = b.src GROUP BY 1, 2")
 def mat_mat_tropical(spark, sf):
     m = derive.nation_trade(spark, sf).map(alg.finite, alg.TROPICAL)
@@ -838,7 +849,7 @@ def regular_closure(spark, sf):
     m = derive.transitions(spark, sf).stored()
     name = lambda s, d: F.char(F.lit(97) + 5 * s + d)
     closed = closure.closure(m.map_with_keys(lambda s, d, v: alg.letter(name(s, d)), alg.REGULAR)).cells
-    closed = closed.select("src", "dst", F.concat(F.lit("^(?:"), F.regexp_replace(F.regexp_replace(alg.show_regular(F.col("val")), "⊕", "|"), "⊛", ""), F.lit(")$")).alias("e"))
+    closed = closed.select("src", "dst", F.concat(F.lit("^(?:"), F.regexp_replace(F.regexp_replace(alg.show_regular(F.col("val")), "⊕", "|"), "[⊛ε]", ""), F.lit(")$")).alias("e"))
     one = m.cells.select(F.col("src").alias("first"), F.col("dst").alias("last"), name(F.col("src"), F.col("dst")).alias("w"), F.lit(True).alias("walk"))
     next_ = one.select(F.col("first").alias("via"), F.col("last").alias("to"), F.col("w").alias("v"))
     # all pairs of arcs, walks or not: the graph has as many vertices as there are event types
@@ -909,6 +920,28 @@ def random_shapes(spark, sf):
     return spark.createDataFrame([found], "relation bigint, diagonal bigint, triangle bigint")
 
 
+@query(
+    """WITH RECURSIVE behind AS (
+  SELECT l_partkey AS src, p_size AS size, lead(l_partkey) OVER w AS dst, lead(p_size) OVER w AS next FROM lineitem JOIN part ON l_partkey = p_partkey
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)),
+arcs AS (SELECT DISTINCT src, dst FROM behind WHERE size = next),
+walk(root, key, level) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION SELECT root, dst, level + 1 FROM walk JOIN arcs ON key = src WHERE level < 40),
+least AS (SELECT key, min(root) AS root FROM walk GROUP BY 1)
+SELECT least.root, least.key, min(level) AS level FROM walk JOIN least ON walk.key = least.key AND walk.root = least.root GROUP BY 1, 2"""
+)
+def directed_components(spark, sf):
+    """From the least part not yet reached along arcs, again and again: roots, and levels of what each is the first to reach."""
+    return graphs.per_root(derive.size_successions(spark, sf))
+
+
+@query(f"WITH RECURSIVE {TRAITS}, {SHORTEST} SELECT src, dst, CAST(len AS BIGINT) AS len, cnt FROM d")
+def geodesic_closure(spark, sf):
+    """The same counts as ``geodesics``, as a closure under the algebra of lengths and numbers of shortest walks, by blocks."""
+    one = F.struct(alg.finite(F.lit(1)).alias("len"), alg.finite(F.lit(1)).alias("cnt"))
+    closed = closure.closure(derive.supplier_traits(spark, sf).constant(one, alg.GEODESIC)).cells
+    return closed.select("src", "dst", alg.weight_of(F.col("val.len")).alias("len"), alg.weight_of(F.col("val.cnt")).alias("cnt"))
+
+
 # --- vectors and matrices, further
 
 
@@ -952,12 +985,23 @@ def vector_reading(spark, sf):
     return one
 
 
-@query(f"WITH {TWO} SELECT list_reduce(list_prepend(1::BIGINT, list((val % 10 + 1) ORDER BY key)), lambda x, y: (x * y) % 1009) AS val FROM a")
+@query(f"WITH {TWO} SELECT list_reduce(list_prepend(1::BIGINT, list((val % 10 + 1) ORDER BY key)), lambda x, y: (x * y) % 1009) AS val FROM b")
 def vector_product(spark, sf):
     """A product of all labels under numbers modulo a prime."""
-    a, _ = two_vectors(spark, sf)
+    _, b = two_vectors(spark, sf)
     modular = replace(alg.NUMBER, times=lambda x, y: (x * y) % 1009)
-    return Vec(a.map(lambda v: v % 10 + 1).df, modular).product()
+    return Vec(b.map(lambda v: v % 10 + 1).df, modular).product()
+
+
+@query(f"WITH {TWO} SELECT list_reduce(list_prepend(0::BIGINT, list(key + val ORDER BY key DESC)), lambda rest, x: (rest * 31 + x) % 1000003) AS val FROM b")
+def ordered_product(spark, sf):
+    """The fold of ``ordered_fold`` over all orders, as a product of maps x -> scale * x + shift, which does not commute."""
+    _, b = two_vectors(spark, sf)
+    one = lambda a, c: F.struct(a.cast("bigint").alias("scale"), c.cast("bigint").alias("shift"))
+    after = lambda f, g: one(f["scale"] * g["scale"] % 1000003, (f["scale"] * g["shift"] + f["shift"]) % 1000003)
+    maps = alg.Algebra("maps", "struct<scale:bigint,shift:bigint>", None, lambda: one(F.lit(1), F.lit(0)), None, after, None)
+    found = Vec(b.map_with_key(lambda k, v: one(F.lit(31), k + v)).df, maps).product()
+    return found.select(F.col("val.shift").alias("val"))
 
 
 @query(f"WITH {TRADE}, turned AS (SELECT dst AS src, src AS dst, val FROM trade) SELECT coalesce(a.src, b.src) AS src, coalesce(a.dst, b.dst) AS dst, CASE WHEN a.val IS NULL THEN b.val WHEN b.val IS NULL THEN a.val ELSE a.val - b.val END AS val FROM trade a FULL JOIN turned b ON a.src = b.src AND a.dst = b.dst")

@@ -18,22 +18,43 @@ from arcweave.operators.vectors import Vec
 Scalar = Callable[[Column, Column, Column, Column], Column]
 
 
-def met(v: Vec, m: Matrix) -> DataFrame:
+def spread(left: DataFrame, right: DataFrame, on: str, heavy: int) -> DataFrame:
+    """left joined to right on one column, with no more than about ``heavy`` rows of the larger side at one join key.
+
+    Values of more rows are cut into parts: the larger side's rows are dealt to parts, the other side's repeated for each.
+    Counting is combined before its shuffle, and the table of heavy values has a row for each ``heavy`` rows at most.
+    """
+    sizes = left.groupBy(on).agg(F.count("*").alias("n")).join(right.groupBy(on).agg(F.count("*").alias("m")), on).where((F.col("n") > heavy) | (F.col("m") > heavy))
+    heavies = sizes.select(on, F.ceil(F.greatest("n", "m") / heavy).cast("int").alias("parts"), (F.col("n") >= F.col("m")).alias("cut_left"))
+    own = lambda df: F.pmod(F.xxhash64(*[c for c in df.columns if c != on]), F.col("parts")).cast("int")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+
+    def dealt(df: DataFrame, is_left: bool) -> DataFrame:
+        cut = F.col("cut_left") if is_left else ~F.col("cut_left")
+        parts = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(cut, F.array(own(df))).otherwise(every)
+        return df.join(heavies, on, "left").withColumn("part", F.explode(parts)).select(*df.columns, "part")
+
+    return dealt(left, True).join(dealt(right, False), [on, "part"]).drop("part")
+
+
+def met(v: Vec, m: Matrix, heavy: int | None = None) -> DataFrame:
     """src, x (the vector's label), dst, y (the cell's label) of every cell whose row is in the vector."""
-    return v.df.select(F.col("key").alias("src"), F.col("val").alias("x")).join(m.cells.withColumnRenamed("val", "y"), "src")
+    left, right = v.df.select(F.col("key").alias("src"), F.col("val").alias("x")), m.cells.withColumnRenamed("val", "y")
+    return left.join(right, "src") if heavy is None else spread(left, right, "src", heavy)
 
 
-def vec_mat_with(v: Vec, m: Matrix, scalar: Scalar, total: Callable[[Column, Column], Column], algebra: Algebra) -> Vec:
-    """The general product: scalar(src, x, dst, y) per pair, total(value, src) per target."""
+def vec_mat_with(v: Vec, m: Matrix, scalar: Scalar, total: Callable[[Column, Column], Column], algebra: Algebra, heavy: int | None = None) -> Vec:
+    """The general product: scalar(src, x, dst, y) per pair, total(value, src) per target. With ``heavy`` rows of more cells
+    than that are dealt to tasks in parts (see ``spread``)."""
     part = scalar(F.col("src"), F.col("x"), F.col("dst"), F.col("y"))
-    rows = met(v, m).select("src", F.col("dst").alias("key"), part.alias("p"))
+    rows = met(v, m, heavy).select("src", F.col("dst").alias("key"), part.alias("p"))
     return Vec(rows.groupBy("key").agg(total(F.col("p"), F.col("src")).alias("val")), algebra)
 
 
-def vec_mat(v: Vec, m: Matrix, drop_zeros: bool = False) -> Vec:
+def vec_mat(v: Vec, m: Matrix, drop_zeros: bool = False, heavy: int | None = None) -> Vec:
     """v · m under m's algebra."""
     a = m.algebra
-    out = vec_mat_with(v, m, lambda s, x, d, y: a.times(x, y), a.total, a)
+    out = vec_mat_with(v, m, lambda s, x, d, y: a.times(x, y), a.total, a, heavy)
     return out.without_zeros() if drop_zeros else out
 
 
@@ -88,12 +109,14 @@ def least_predecessor(v: Vec, m: Matrix) -> Vec:
     return vec_mat_with(v, m, lambda s, x, d, y: s, lambda p, s: F.min(p), number())
 
 
-def mat_mat(a: Matrix, b: Matrix, drop_zeros: bool = False) -> Matrix:
-    """a · b under b's algebra; rows are a's."""
+def mat_mat(a: Matrix, b: Matrix, drop_zeros: bool = False, heavy: int | None = None) -> Matrix:
+    """a · b under b's algebra; rows are a's. With ``heavy`` vertices between of more arcs than that are dealt to tasks in
+    parts (see ``spread``); sums over the vertices between are combined before they are shuffled."""
     g = b.algebra
     left = a.cells.select("src", F.col("dst").alias("via"), F.col("val").alias("x"))
     right = b.cells.select(F.col("src").alias("via"), "dst", F.col("val").alias("y"))
-    part = left.join(right, "via").select("src", "dst", "via", g.times(F.col("x"), F.col("y")).alias("p"))
+    pairs = left.join(right, "via") if heavy is None else spread(left, right, "via", heavy)
+    part = pairs.select("src", "dst", "via", g.times(F.col("x"), F.col("y")).alias("p"))
     out = a.like(part.groupBy("src", "dst").agg(g.total(F.col("p"), F.col("via")).alias("val")), g)
     return out.without_zeros() if drop_zeros else out
 

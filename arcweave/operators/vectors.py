@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from arcweave.functions.algebra import UNIT, Algebra
 from arcweave.operators import setops
+from arcweave.plans.shared import written
 
 
 @dataclass(frozen=True)
@@ -98,7 +99,10 @@ class Vec:
         return self.df.orderBy(by(F.col("val")), "key").limit(1)
 
     def fold(self, merge: Callable[[Column, Column, Column], Column], start: Column, right: bool = True) -> DataFrame:
-        """One row val: merge(key, value, rest) from the highest key down (right fold) or from the lowest up."""
+        """One row val: merge(key, value, rest) from the highest key down (right fold) or from the lowest up.
+
+        Sequential by definition, as nothing is known of merge: one task and one array. Associative ones have ``reduced``.
+        """
         xs = F.array_sort(F.collect_list(F.struct("key", "val")))
         return self.df.agg(F.aggregate(F.reverse(xs) if right else xs, start, lambda acc, s: merge(s["key"], s["val"], acc)).alias("val"))
 
@@ -177,9 +181,25 @@ class Vec:
         """One row val: the ⊕ of all labels, zero of none."""
         return self.df.agg(self.algebra.total_or_zero(F.col("val"), F.col("key")).alias("val"))
 
+    def reduced(self, merge: Callable[[Column, Column], Column], width: int = 1024) -> DataFrame:
+        """One row val: all labels merged by ascending key, null of none. For associative merges, commutative or not.
+
+        Keys are dealt by range and sorted within; every ``width`` neighbours (a power of two) become one partial label at
+        the place of their least key, until so few are left that one row holds them. No array is longer than ``width``.
+        """
+        joined = lambda xs: F.aggregate(F.slice(xs, F.lit(2), F.size(xs)), F.get(xs, F.lit(0))["val"], lambda acc, s: merge(acc, s["val"]))
+        listed = F.array_sort(F.collect_list(F.struct("key", "val"))).alias("xs")
+        rows = self.df.select("key", F.col("val").cast(self.algebra.kind).alias("val"))
+        while rows.count() > width:
+            dealt = rows.repartitionByRange("key").sortWithinPartitions("key").withColumn("at", F.shiftright(F.monotonically_increasing_id(), width.bit_length() - 1))
+            parts = dealt.groupBy("at").agg(listed)
+            rows = written(parts.select(F.get("xs", F.lit(0))["key"].alias("key"), joined(F.col("xs")).alias("val")), "partial")
+        return rows.agg(listed).select(F.when(F.size("xs") > 0, joined(F.col("xs"))).alias("val"))
+
     def product(self) -> DataFrame:
         """One row val: the ⊗ of all labels by ascending key, one of none."""
-        return self.fold(lambda k, v, acc: self.algebra.times(v, acc).cast(self.algebra.kind), self.algebra.one().cast(self.algebra.kind))
+        kind, times = self.algebra.kind, self.algebra.times
+        return self.reduced(lambda a, b: times(a, b).cast(kind)).select(F.coalesce("val", self.algebra.one().cast(kind)).alias("val"))
 
     def greatest(self) -> DataFrame:
         """One row val: the greatest number, at least 0."""

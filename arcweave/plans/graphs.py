@@ -40,20 +40,43 @@ def per_root(g: Matrix, mult=products.first_vector_label) -> DataFrame:
     return found.select("root", "level", "key")
 
 
-def componentwise(g: Matrix, f: Callable[[Vec, Matrix, DataFrame | None], DataFrame]) -> DataFrame:
+def least_ancestors(g: Matrix) -> DataFrame:
+    """(id, root): the least vertex from which arcs lead to each vertex, itself included.
+
+    Smaller roots are passed on along arcs; a round looks only at vertices whose root the last one changed.
+    """
+    g = g.stored()
+    arcs = g.cells.select("src", F.col("dst").alias("id")).join(g.rows, "id", "left_semi")
+    found = changed = written(g.rows.select("id", F.col("id").alias("root")), "ancestors")
+    while not changed.isEmpty():
+        offers = changed.select(F.col("id").alias("src"), "root").join(arcs, "src").groupBy("id").agg(F.min("root").alias("offer"))
+        changed = written(offers.join(found, "id").where("offer < root").select("id", F.col("offer").alias("root")), "changed")
+        new = changed.withColumnRenamed("root", "new")
+        found = written(found.join(new, "id", "left").select("id", F.coalesce("new", "root").alias("root")), "ancestors")
+    return found
+
+
+def componentwise(g: Matrix, f: Callable[[Vec, Matrix, DataFrame | None], DataFrame], whole: bool = True) -> DataFrame:
     """root and the columns of f: f(start, graph, candidates) applied to each component, from its least vertex.
 
-    f returns rows with a column key, the vertex a row speaks of; what it returns counts as the component. On graphs whose
-    arcs go both ways f gets the least vertices of all components at once, and its rows are dealt to components by key. On
-    others what a root reaches depends on the order of the roots by definition; they are taken one by one, each among the
-    vertices left.
+    f returns rows with a column key, the vertex a row speaks of; what it returns counts as the component. If f speaks of
+    all that its start reaches (``whole``), it gets the roots of all components at once, and its rows are dealt to components by
+    key. On graphs whose arcs do not all go both ways roots come in ascending order and what one reaches is lost to later
+    ones. The first to reach a vertex is then its least ancestor: no smaller root could have taken it, or anything
+    on the way to it. So vertices are labelled with that, and arcs between different labels go. Other functions are
+    applied root by root, each among the vertices left.
     """
     g = g.stored()
-    turned = g.cells.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    if g.cells.join(turned, ["src", "dst"], "left_anti").isEmpty():
-        root = written(weak_components(g), "roots")
+    if whole:
+        turned = g.cells.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        both_ways = g.cells.join(turned, ["src", "dst"], "left_anti").isEmpty()
+        root = written(weak_components(g) if both_ways else least_ancestors(g), "roots")
+        inside = g
+        if not both_ways:
+            a, b = root.withColumnsRenamed({"id": "src", "root": "a"}), root.withColumnsRenamed({"id": "dst", "root": "b"})
+            inside = g.like(g.cells.join(a, "src").join(b, "dst").where("a = b")).stored()
         start = Vec(root.where("id = root").select(F.col("id").alias("key"), F.lit(True).alias("val")))
-        found = f(start, g, None)
+        found = f(start, inside, None)
         return found.join(root, F.col("key") == F.col("id")).select("root", *found.columns)
     left, out = written(g.rows.select(F.col("id").alias("key")), "left"), []
     while True:

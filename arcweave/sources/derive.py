@@ -86,6 +86,25 @@ def successions(spark: SparkSession, sf_dir: str) -> Matrix:
     return both_ways(behind.select((2 * F.col("l_partkey")).alias("src"), (2 * F.col("next") + 1).alias("dst")).distinct())
 
 
+def by_return_flag(spark: SparkSession, sf_dir: str) -> tuple[Matrix, Matrix]:
+    """Customer to return flag (its code point) with the quantity bought, and return flag to supplier's nation with the number
+    of lines: few vertices in the middle, with a large share of all arcs each."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", F.ascii("l_returnflag").cast("bigint").alias("flag"))
+    orders, supp = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("bigint").alias("nation"))
+    bought = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("src"), F.col("flag").alias("dst")).agg(F.sum("l_quantity").cast("bigint").alias("val"))
+    sent = lines.join(supp, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("flag").alias("src"), F.col("nation").alias("dst")).agg(F.count("*").alias("val"))
+    return Matrix.of(bought, NUMBER), Matrix.of(sent, NUMBER)
+
+
+def size_successions(spark: SparkSession, sf_dir: str) -> Matrix:
+    """Part to part, where an order has a part of the same size on the next line. All parts are rows."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    behind = lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), F.col("p_size"), F.lead("p_size").over(order).alias("size")).where("size = p_size")
+    return Matrix.of(behind.select("src", "dst").distinct(), UNIT, part.select(F.col("p_partkey").alias("id")))
+
+
 def trade_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n1, n2, n: lines that customers of nation n1 bought from suppliers of nation n2; n1 <> n2, top arcs of each n1.
 
