@@ -128,26 +128,48 @@ def labelled_features(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_RO
     return np.array([r.x for r in rows], float).reshape(-1, width), np.array([r.y for r in rows], int)
 
 
-def ranked(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **kw) -> tuple[Model, DataFrame]:
-    """The model, and (id, raw) of every document: what the weights make of it, before scores are placed.
-
-    Raw values are written once; their quantile over all labelled documents is a mergeable sketch, exact up to
-    ``RANK_STEPS`` rows and within one in ``RANK_STEPS`` of the ranks beyond.
-    """
-    model = fit(*labelled_features(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, **kw))
+def valued(docs: DataFrame, model: Model, text_col: str, **columns: Column) -> DataFrame:
+    """The given columns and ``raw``, what the weights make of each text, before scores are placed; written."""
 
     @F.arrow_udf("double")
     def raw(texts: pa.Array) -> pa.Array:
         return pa.array(in_parts(model.raw, texts), pa.float64())
 
-    values = written(docs.select(F.col(id_col).alias("id"), raw(F.col(text_col)).alias("raw")), "quality")
-    known = values.join(marks(labels, id_col, label_col), "id").select("raw", "y")
+    return written(docs.select(*[c.alias(k) for k, c in columns.items()], raw(F.col(text_col)).alias("raw")), "quality")
+
+
+def cut_at(model: Model, values: DataFrame, marked: DataFrame) -> Model:
+    """The model with its cut at the quantile of the rejected share; values: (id, raw), marked: (id, y).
+
+    The quantile over all labelled documents is a mergeable sketch, exact up to ``RANK_STEPS`` rows and within one in
+    ``RANK_STEPS`` of the ranks beyond.
+    """
+    known = values.select("id", "raw").join(marked, "id").select("raw", "y")
     n, rejected, spread = known.agg(F.count("*"), F.sum(1 - F.col("y")), F.stddev_pop("raw")).first()
-    if n and 0 < rejected < n:
-        # half way between the highest of the rejected share and the lowest above it
-        low, high = known.agg(F.percentile_approx("raw", F.array(F.lit((rejected - 0.5) / n), F.lit((rejected + 0.5) / n)), RANK_STEPS)).first()[0]
-        model = replace(model, at=(low + high) / 2, spread=max(spread / 2, 1e-6))
-    return model, values
+    if not n or not 0 < rejected < n:
+        return model
+    # half way between the highest of the rejected share and the lowest above it
+    low, high = known.agg(F.percentile_approx("raw", F.array(F.lit((rejected - 0.5) / n), F.lit((rejected + 0.5) / n)), RANK_STEPS)).first()[0]
+    return replace(model, at=(low + high) / 2, spread=max(spread / 2, 1e-6))
+
+
+def ranked(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **kw) -> tuple[Model, DataFrame]:
+    """The model, and (id, raw) of every document."""
+    model = fit(*labelled_features(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, **kw))
+    values = valued(docs, model, text_col, id=F.col(id_col))
+    return cut_at(model, values, marks(labels, id_col, label_col)), values
+
+
+def good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **kw) -> DataFrame:
+    """The documents that score at least the cut of a model fitted on the labels, unchanged.
+
+    Rows are written once with their raw values, so that features are made once; the cut, which looks at all labelled
+    documents, is known after that and filters what was written.
+    """
+    model = fit(*labelled_features(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, **kw))
+    rows = valued(docs, model, text_col, id=F.col(id_col), row=F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    model = cut_at(model, rows, marks(labels, id_col, label_col))
+    return rows.where(placed(model, F.col("raw")) >= model.cut).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def train(docs: DataFrame, labels: DataFrame, **kw) -> Model:
