@@ -14,7 +14,8 @@ document if some stretch of the text is within floor(L * EDIT_SHARE) insertions,
    items), all windows are candidates.
 4. Candidates are verified by their exact edit distance.
 
-Items of under ``MIN_CHARS`` characters are sought as they are, as whole words (in scripts without blanks anywhere). Null
+Items of under ``MIN_CHARS`` characters are sought as whole words (in scripts without blanks anywhere), by the same rule: up
+to a tenth of their characters edited, so one from 10 characters on, none below. Their windows are all verified. Null
 and empty texts hold nothing, and null and empty items are held by nothing. Repeated
 rows and repeated items give repeated findings. Ids, of items of any type, are carried through unchanged, null ones too. Without items, or documents, nothing is
 found. Other columns, whatever their names, pass through the stage form.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -174,6 +176,36 @@ def whole_word(text: str, start: int, end: int) -> bool:
     return not (start and inside(text[start - 1], text[start])) and not (end < len(text) and inside(text[end - 1], text[end]))
 
 
+def distance_of(a: str, b: str) -> int:
+    """The edit distance of two short strings."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(last + (x != y), row[j] + 1, row[j + 1] + 1)
+    return row[-1]
+
+
+def nearest_words(item: str, text: str, first: int, last: int, most: int) -> tuple[int, int, int] | None:
+    """(distance, start, length) of the nearest stretch of whole words that starts at first to last; None beyond ``most``."""
+    best = None
+    for start in range(max(0, first), min(last, len(text) - 1) + 1):
+        for end in range(start + max(1, len(item) - most), min(start + len(item) + most, len(text)) + 1):
+            if whole_word(text, start, end):
+                distance = distance_of(item, text[start:end])
+                if distance <= most and (best is None or distance < best[0]):
+                    best = (distance, start, end - start)
+    return best
+
+
+@dataclass(frozen=True)
+class Verified:
+    """A class of items without tables: all its windows are verified."""
+
+    items: list[tuple[int, str]]
+    exact: bool = True
+
+
 class Finder:
     """Items, the automaton of their pieces and the tables of each class of lengths."""
 
@@ -185,18 +217,21 @@ class Finder:
         self.short: ahocorasick.Automaton | None = None
         brief: dict[str, list[int]] = defaultdict(list)
         for i, s in items:
-            if len(s) < MIN_CHARS:
+            if not allowed(len(s), share) and len(s) < MIN_CHARS:
                 brief[s].append(i)
         if brief:
             self.short = ahocorasick.Automaton()
             for s, ids in brief.items():
                 self.short.add_word(s, (s, tuple(ids)))
             self.short.make_automaton()
+        words = [(i, s) for i, s in items if allowed(len(s), share) and len(s) < MIN_CHARS]
         items = [(i, s) for i, s in items if len(s) >= MIN_CHARS]
         classes: dict[int, list[tuple[int, str]]] = defaultdict(list)
         for i, s in items:
             classes[int(np.log(len(s)) / np.log(1.3))].append((i, s))
-        self.tables = [Tables(c, share, target) for _, c in sorted(classes.items())]
+        self.tables: list[Tables | Verified] = [Tables(c, share, target) for _, c in sorted(classes.items())]
+        if words:
+            self.tables.append(Verified(words))
         places: dict[str, set[tuple[int, int, int]]] = defaultdict(set)
         for k, t in enumerate(self.tables):
             for item, (_, s) in enumerate(t.items):
@@ -262,6 +297,11 @@ class Finder:
         if found.get(i, (0, 0, 1))[2] == 0:
             return
         most = allowed(len(s), self.share)
+        if len(s) < MIN_CHARS:
+            near = nearest_words(s, text, start - most, last + most, most)
+            if near and (i not in found or near[0] < found[i][2]):
+                found[i] = (near[1], near[2], near[0])
+            return
         lo = max(0, start - 2 * most)
         part = text[lo : last + len(s) + 2 * most]
         at = part.find(s)

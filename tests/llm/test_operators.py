@@ -626,6 +626,27 @@ def test_short_items(spark):
     assert sorted(r.doc_id for r in decontaminate.without_leaks(documents(spark, docs), bench).collect()) == [1, 5, 6, 7]
 
 
+def plain_words(item, text, most):
+    """The least distance of a stretch of whole words, by trying them all."""
+    bounds = [(a, b) for a in range(len(text)) for b in range(a + 1, min(len(text), a + len(item) + most) + 1) if decontaminate.whole_word(text, a, b)]
+    return min((decontaminate.distance_of(item, text[a:b]) for a, b in bounds), default=99)
+
+
+def test_items_of_ten_to_nineteen_characters():
+    """One edit is allowed from 10 characters on, below 10 none; whole words either way."""
+    rng = random.Random(12)
+    items = ["quantum entangled", "ninechars", "ten chars!", "a b c d e f", "nineteen characters", "漢字漢字漢字漢字漢字"]
+    texts = ["the quantum entangled pair", "the quantum entangeld pair", "a quentum entangled pair", "quantum entangleds", "xquantum entangled", "quantumentangled", "quantum entangled",
+             "ninechars", "nine chars", "ten chars", "ten charz!", "x a b c d f f y", "a b d e f", "nineteen charaters", "nineteen xcharacterz", "字漢字漢字漢字漢X漢字漢", ""]
+    texts += [decontaminate.normal("so " + decontaminate.edited(rng.choice(items), rng.randrange(3), np.random.default_rng(k)) + " it") for k in range(150)]
+    found = decontaminate.Finder(tuple(enumerate(items)), 0.1, 0.98).find(texts)
+    for text, rows in zip(texts, found):
+        got = {i: distance for i, _, _, distance in rows}
+        want = {i: plain_words(s, text, len(s) // 10) for i, s in enumerate(items)}
+        assert got == {i: d for i, d in want.items() if d <= len(items[i]) // 10}, text
+        assert all(decontaminate.distance_of(items[i], text[a : a + n]) == d for i, a, n, d in rows)
+
+
 def test_items_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (200,))
     rng = random.Random(9)
