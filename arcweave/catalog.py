@@ -17,6 +17,7 @@ from arcweave.operators.vectors import Vec
 from arcweave.plans import closure, graphs, levels, social, voting
 from arcweave.plans.shared import work_folder
 from arcweave.sources import build, derive, random_graphs
+from arcweave.streaming import edges
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,8 +50,7 @@ TRADE = """counts AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   GROUP BY 1, 2),
 shares AS (SELECT *, CAST(n * 1000000 // sum(n) OVER (PARTITION BY n2) AS BIGINT) AS share FROM counts),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY n1 ORDER BY share DESC, n2) AS rank FROM shares WHERE n1 <> n2),
-trade AS (SELECT n1 AS src, n2 AS dst, n, share AS val FROM ranked WHERE rank <= 3),
+trade AS (SELECT n1 AS src, n2 AS dst, n, share AS val FROM shares WHERE n1 <> n2 AND share * (SELECT count(*) FROM nation) > 1000000),
 ids AS (SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation)"""
 SIGNED = TRADE + """,
 signed AS (SELECT src, dst, CASE WHEN n * (SELECT count(*) FROM trade) > (SELECT sum(n) FROM trade) THEN '+' ELSE '-' END AS val FROM trade)"""
@@ -84,7 +84,7 @@ def least_labels(base: str, rounds: int = 8) -> str:
 
 
 LEVELS = """walk(key, level) AS (
-  SELECT CAST(0 AS BIGINT), 0 UNION SELECT trade.dst, level + 1 FROM walk JOIN trade ON walk.key = trade.src WHERE level < 25),
+  SELECT CAST(0 AS BIGINT), 0 UNION SELECT joined.dst, level + 1 FROM walk JOIN joined ON walk.key = joined.src WHERE level < 6),
 lvl AS (SELECT key, min(level) AS level FROM walk GROUP BY key)"""
 
 
@@ -400,43 +400,43 @@ def arc_count(spark, sf):
 # --- levels
 
 
-@query(f"WITH RECURSIVE {TRADE}, {LEVELS} SELECT level, key FROM lvl")
+@query(f"WITH RECURSIVE {HALF}, {LEVELS} SELECT level, key FROM lvl")
 def bfs_levels(spark, sf):
-    return levels.distance(origin(spark), derive.nation_trade(spark, sf))
+    return levels.distance(origin(spark), derive.supply_graph(spark, sf))
 
 
-@query(f"WITH RECURSIVE {TRADE}, {LEVELS} SELECT key, true AS val FROM lvl")
+@query(f"WITH RECURSIVE {HALF}, {LEVELS} SELECT key, true AS val FROM lvl")
 def reachable(spark, sf):
-    return levels.reachable(origin(spark), derive.nation_trade(spark, sf), products.reached).df
+    return levels.reachable(origin(spark), derive.supply_graph(spark, sf), products.reached).df
 
 
-@query(f"WITH RECURSIVE {TRADE}, {LEVELS} SELECT key, true AS val FROM lvl WHERE key % 8 = 7 AND level = (SELECT min(level) FROM lvl WHERE key % 8 = 7)")
+@query(f"WITH RECURSIVE {HALF}, {LEVELS} SELECT key, true AS val FROM lvl WHERE key % 8 = 6 AND level = (SELECT min(level) FROM lvl WHERE key % 8 = 6)")
 def shortest_level(spark, sf):
-    m = derive.nation_trade(spark, sf)
-    return levels.shortest(origin(spark), m.vertices().filter_with_key(lambda k, v: k % 8 == 7), m, products.reached).df
+    m = derive.supply_graph(spark, sf)
+    return levels.shortest(origin(spark), m.vertices().filter_with_key(lambda k, v: k % 8 == 6), m, products.reached).df
 
 
 @query(
-    f"""WITH RECURSIVE {TRADE}, {LEVELS},
-step AS (SELECT b.key, min(a.key) AS pred FROM lvl a JOIN trade ON a.key = trade.src JOIN lvl b ON b.key = trade.dst AND b.level = a.level + 1 GROUP BY 1),
+    f"""WITH RECURSIVE {HALF}, {LEVELS},
+step AS (SELECT b.key, min(a.key) AS pred FROM lvl a JOIN joined ON a.key = joined.src JOIN lvl b ON b.key = joined.dst AND b.level = a.level + 1 GROUP BY 1),
 path(key, spot, trail) AS (
   SELECT key, key, CAST('' AS VARCHAR) FROM lvl
   UNION ALL SELECT path.key, step.pred, step.pred || CASE WHEN trail = '' THEN '' ELSE ' ' END || trail FROM path JOIN step ON path.spot = step.key)
 SELECT key, trail AS path FROM path WHERE spot = 0"""
 )
 def bfs_path(spark, sf):
-    """For each reached nation the path before it, by least predecessors."""
+    """For each reached supplier or part the path before it, by least predecessors."""
     start = origin(spark).constant(paths.empty_path(), alg.free("bigint"))
-    found = levels.reachable(start, derive.nation_trade(spark, sf), products.extended_path)
+    found = levels.reachable(start, derive.supply_graph(spark, sf), products.extended_path)
     return found.df.select("key", F.array_join(F.col("val").cast("array<string>"), " ").alias("path"))
 
 
 @query(
-    f"""WITH RECURSIVE {TRADE}, {LEVELS}
-SELECT b.level, b.key AS vertex, a.key AS pred FROM lvl a JOIN trade ON a.key = trade.src JOIN lvl b ON b.key = trade.dst AND b.level = a.level + 1"""
+    f"""WITH RECURSIVE {HALF}, {LEVELS}
+SELECT b.level, b.key AS vertex, a.key AS pred FROM lvl a JOIN joined ON a.key = joined.src JOIN lvl b ON b.key = joined.dst AND b.level = a.level + 1"""
 )
 def predecessor_forest(spark, sf):
-    found = levels.forest(origin(spark), derive.nation_trade(spark, sf))
+    found = levels.forest(origin(spark), derive.supply_graph(spark, sf))
     return found.where("pred is not null").select("level", "vertex", "pred")
 
 
@@ -735,9 +735,9 @@ def common_arcs(spark, sf):
     return cells(m.common_arcs(m.transposed()))
 
 
-@query(f"WITH {TRADE} SELECT id, (SELECT sum(val)::BIGINT FROM trade WHERE src = id) AS val FROM ids")
+@query(f"WITH {TRADE} SELECT id, coalesce((SELECT sum(val)::BIGINT FROM trade WHERE src = id), 0) AS val FROM ids")
 def per_vertex_sum(spark, sf):
-    return derive.nation_trade(spark, sf).per_vertex(F.sum("val"))
+    return derive.nation_trade(spark, sf).per_vertex(F.sum("val")).select("id", F.coalesce("val", F.lit(0)).alias("val"))
 
 
 @query(f"WITH {SUPPLY} SELECT src, dst, val FROM supply WHERE src IN (SELECT src FROM supply GROUP BY src HAVING count(*) % 2 = 0)")
@@ -825,13 +825,13 @@ def subset_sizes(spark, sf):
 
 
 @query(
-    "SELECT range AS key, range * 5 AS fivefold, range * range * range AS cube, CASE WHEN range % 3 = 0 THEN 'Min' WHEN range % 3 = 1 THEN CAST(range AS VARCHAR) ELSE 'Max' END AS shown FROM range(30)"
+    "SELECT p_partkey AS key, p_partkey * 5 AS fivefold, p_partkey * p_partkey * p_partkey AS cube, CASE p_size % 3 WHEN 0 THEN 'Min' WHEN 1 THEN CAST(p_size AS VARCHAR) ELSE 'Max' END AS shown FROM part"
 )
 def scalar_functions(spark, sf):
-    """Multiples, powers and text of labels."""
-    k = F.col("id")
-    t = F.when(k % 3 == 0, alg.TROPICAL.one()).when(k % 3 == 1, alg.finite(k)).otherwise(alg.TROPICAL.zero())
-    return spark.range(30).select(k.alias("key"), alg.NUMBER.multiple(5, k).alias("fivefold"), alg.NUMBER.power(k, 3).alias("cube"), alg.show_tropical(t).alias("shown"))
+    """Multiples and powers of part keys, and part sizes as tropical numbers shown as text."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    t = F.when(size % 3 == 0, alg.TROPICAL.one()).when(size % 3 == 1, alg.finite(size)).otherwise(alg.TROPICAL.zero())
+    return derive.table(spark, sf, "part").select(k.alias("key"), alg.NUMBER.multiple(5, k).alias("fivefold"), alg.NUMBER.power(k, 3).alias("cube"), alg.show_tropical(t).alias("shown"))
 
 
 @query(f"WITH {TRADE} SELECT id, coalesce((SELECT string_agg(dst || ':' || val, ' ' ORDER BY dst) FROM trade WHERE src = id), '') AS line FROM ids")
@@ -862,16 +862,25 @@ def regular_closure(spark, sf):
 # --- sources
 
 
-@query("SELECT * FROM (VALUES (0, 1, 5), (0, 2, 7), (2, 0, 1), (2, 2, 4)) t(src, dst, val)")
+def nation_rows(spark, sf) -> list[list[tuple[int, int]]]:
+    """The nations of each region with the length of their names, as Python values (regions are few and numbered from 0)."""
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for r in derive.table(spark, sf, "nation").collect():
+        rows.setdefault(r.n_regionkey, []).append((r.n_nationkey, len(r.n_name)))
+    return [sorted(rows.get(k, [])) for k in range(max(rows) + 1)]
+
+
+@query("SELECT CAST(n_regionkey AS BIGINT) AS src, CAST(n_nationkey AS BIGINT) AS dst, CAST(length(n_name) AS BIGINT) AS val FROM nation")
 def from_rows(spark, sf):
-    return cells(build.from_rows(spark, [[(1, 5), (2, 7)], [], [(0, 1), (2, 4)]], alg.NUMBER))
+    return cells(build.from_rows(spark, nation_rows(spark, sf), alg.NUMBER))
 
 
-@query("SELECT * FROM (VALUES (0, '1:5 2:7'), (1, ''), (2, '0:1')) t(id, line)")
+@query("SELECT CAST(n_regionkey AS BIGINT) AS id, string_agg(n_nationkey || ':' || length(n_name), ' ' ORDER BY n_nationkey) AS line FROM nation GROUP BY 1")
 def from_mat(spark, sf):
     """A checked matrix and mappings give the same rows."""
-    a = build.from_mat(spark, [(0, [(1, 5), (2, 7)]), (1, []), (2, [(0, 1)])], alg.NUMBER, validate=True).validated()
-    b = build.from_mappings(spark, [{2: 7, 1: 5}, {}, {0: 1}], alg.NUMBER)
+    rows = nation_rows(spark, sf)
+    a = build.from_mat(spark, list(enumerate(rows)), alg.NUMBER, validate=True).validated()
+    b = build.from_mappings(spark, [dict(reversed(r)) for r in rows], alg.NUMBER)
     return a.union(b).show_rows()
 
 
@@ -882,11 +891,12 @@ def adjacency_column(spark, sf):
     return cells(build.from_adjacency_column(orders, "id", F.col("parts")))
 
 
-@query("SELECT * FROM (VALUES (0, 1, true), (0, 2, true), (2, 0, true)) t(src, dst, val)")
+@query("SELECT CAST(n_regionkey AS BIGINT) AS src, CAST(n_nationkey AS BIGINT) AS dst, true AS val FROM nation")
 def matrix_column(spark, sf):
-    """One row with an array of arrays, and lists of Python, are the same graph."""
-    one = spark.createDataFrame([([[1, 2], [], [0]],)], "m array<array<bigint>>")
-    return cells(build.from_matrix_column(one, F.col("m")).keep(build.from_adjacencies(spark, [[1, 2], [], [0]])))
+    """One row with an array of arrays, and lists of Python, are the same graph: the nations of each region."""
+    per = derive.table(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.col("n_nationkey").cast("bigint"))).alias("row"))
+    one = per.agg(F.transform(F.array_sort(F.collect_list(F.struct("n_regionkey", "row"))), lambda r: r["row"]).alias("m"))
+    return cells(build.from_matrix_column(one, F.col("m")).keep(build.from_adjacencies(spark, [[n for n, _ in row] for row in nation_rows(spark, sf)])))
 
 
 @query(f"WITH {SUPPLY} SELECT src, dst, val FROM supply")
@@ -897,12 +907,18 @@ def edges_round_trip(spark, sf):
     return cells(build.read_edges(spark, folder, algebra=alg.NUMBER, val="val"))
 
 
-@query("SELECT * FROM (VALUES ('first', 3, 1), ('last', 3, 2), ('one', 3, 1), ('keys', 0, 9), ('keys', 1, 9)) t(made, key, val)")
+@query(
+    """WITH n AS (SELECT CAST(n_regionkey AS BIGINT) AS key, CAST(n_nationkey AS BIGINT) AS nation FROM nation)
+SELECT 'first' AS made, key, min(nation) AS val FROM n GROUP BY 2 UNION ALL SELECT 'last', key, max(nation) FROM n GROUP BY 2
+UNION ALL SELECT 'one', max(key), 1 FROM n UNION ALL SELECT 'keys', p_partkey, 9 FROM part UNION ALL SELECT 'rows', c_custkey, CAST(c_nationkey AS BIGINT) FROM customer"""
+)
 def vector_sources(spark, sf):
-    pairs = [(3, 1), (3, 2)]
+    """Vectors from pairs that repeat keys, of one entry, of the first keys, and from a table."""
+    pairs = [(k, n) for k, row in enumerate(nation_rows(spark, sf)) for n, _ in row]
+    customers = derive.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("bigint").alias("val"))
     made = {
-        "first": Vec.of(spark, pairs, alg.NUMBER), "last": Vec.of(spark, pairs, alg.NUMBER, "last"), "one": Vec.unit(spark, 3, alg.NUMBER),
-        "keys": Vec.first_keys(spark, 2, F.lit(9), alg.NUMBER),
+        "first": Vec.of(spark, pairs, alg.NUMBER), "last": Vec.of(spark, pairs, alg.NUMBER, "last"), "one": Vec.unit(spark, pairs[-1][0], alg.NUMBER),
+        "keys": Vec.first_keys(spark, derive.table(spark, sf, "part").count(), F.lit(9), alg.NUMBER), "rows": Vec(customers, alg.NUMBER),
     }
     return reduce(DataFrame.unionByName, [v.df.select(F.lit(k).alias("made"), "key", "val") for k, v in made.items()])
 
@@ -1099,18 +1115,32 @@ def all_paths(spark, sf):
     return found.df.select("key", F.array_join(F.transform("val", lambda p: F.array_join(p.cast("array<string>"), "-")), " ").alias("paths"))
 
 
-@query("SELECT range AS key, CASE WHEN range = 0 THEN 'Min' ELSE CAST(range - 1 AS VARCHAR) END AS low, greatest(range - 1, 0) AS weight, CASE WHEN range = 0 THEN '3' ELSE CAST(range + 2 AS VARCHAR) END AS plus, CASE WHEN range = 0 THEN 'Min' ELSE CAST(3 * (range - 1) AS VARCHAR) END AS times, range * 6 AS product, range + 6 AS total, range % 2 = 1 AS one FROM range(20)")
+@query("WITH q AS (SELECT p_partkey AS key, CAST(p_size % 20 AS BIGINT) AS range FROM part) SELECT key, CASE WHEN range = 0 THEN 'Min' ELSE CAST(range - 1 AS VARCHAR) END AS low, greatest(range - 1, 0) AS weight, CASE WHEN range = 0 THEN '3' ELSE CAST(range + 2 AS VARCHAR) END AS plus, CASE WHEN range = 0 THEN 'Min' ELSE CAST(3 * (range - 1) AS VARCHAR) END AS times, range * 6 AS product, range + 6 AS total, range % 2 = 1 AS one FROM q")
 def scalar_conversions(spark, sf):
-    """Tropical numbers from and to numbers, their sums and products as numbers, and folds of labels."""
-    k = F.col("id")
+    """Part sizes as tropical numbers and back, their sums and products as numbers, and folds of labels."""
+    k = (F.col("p_size") % 20).cast("bigint")
     low, three = alg.finite_or_low(k - 1), alg.finite(F.lit(3))
-    return spark.range(20).select(
-        k.alias("key"), alg.show_tropical(low).alias("low"), alg.weight_or_zero(low).alias("weight"), alg.show_tropical(alg.add_tropical(low, three)).alias("plus"),
+    return derive.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("key"), alg.show_tropical(low).alias("low"), alg.weight_or_zero(low).alias("weight"), alg.show_tropical(alg.add_tropical(low, three)).alias("plus"),
         alg.show_tropical(alg.multiply_tropical(low, three)).alias("times"), alg.NUMBER.product_of([k, F.lit(2).cast("bigint"), F.lit(3).cast("bigint")]).alias("product"),
         alg.NUMBER.sum_of([k, F.lit(2).cast("bigint"), F.lit(4).cast("bigint")]).alias("total"), (~alg.NUMBER.is_not_one(k % 2)).alias("one"),
     )
 
 
+@query(f"WITH {TWO} SELECT key, CAST(sum(val) AS BIGINT) AS val FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1")
+def sum_labels(spark, sf):
+    """Numbers under addition alone."""
+    a, b = two_vectors(spark, sf)
+    return Vec(a.df, alg.sums()).plus(Vec(b.df, alg.sums())).df
+
+
+@query(f"WITH {SUPPLY} SELECT src AS key, count(*) AS arcs, true AS near FROM supply GROUP BY 1")
+def out_degrees(spark, sf):
+    """Arcs of each supplier as a stream would count them, and whether the estimate of different parts is within a tenth."""
+    found = edges.degrees(derive.supply(spark, sf).cells)
+    return found.select("key", "arcs", (F.abs(F.col("successors") - F.col("arcs")) <= F.greatest(F.col("arcs") * 0.1, F.lit(2))).alias("near"))
+
+
 @query(f"WITH {CHAINS} SELECT id, '-1->' || array_to_string(path, '->') AS stepped, len(path) + 1 AS n, array_to_string(list_filter(path, lambda x, i: i % 2 = 1), ' ') AS evens, array_to_string(list_filter(path, lambda x, i: i % 2 = 0), ' ') AS odds, path[1] AS start, CAST(len(path) AS INTEGER) AS steps, len(path) AS third FROM chains")
 def path_steps(spark, sf):
     """Steps to either side, labelled paths taken apart and put together, and every second vertex."""
@@ -1130,30 +1160,31 @@ def path_steps(spark, sf):
 
 
 @query(
-    f"""WITH RECURSIVE {TRADE}, walk(key, level) AS (
-  SELECT CAST(0 AS BIGINT), 0 UNION SELECT back.src, level + 1 FROM walk JOIN trade ON walk.key = trade.src JOIN trade back ON back.dst = trade.dst WHERE level < 25)
+    f"""WITH RECURSIVE {SUPPLY}, pairs AS (SELECT DISTINCT a.src, b.src AS dst FROM supply a JOIN supply b ON a.dst = b.dst),
+walk(key, level) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT pairs.dst, level + 1 FROM walk JOIN pairs ON walk.key = pairs.src WHERE level < 6)
 SELECT min(level) AS level, key FROM walk GROUP BY key"""
 )
 def two_graph_levels(spark, sf):
-    """A step passes along an arc and then back along another: a list of graphs."""
-    m = derive.nation_trade(spark, sf)
-    return levels.distance(origin(spark), [m, m.transposed()])
+    """A step passes from a supplier to its parts and back to their suppliers: a list of graphs."""
+    m = derive.supply(spark, sf)
+    return levels.distance(origin(spark), [m, m.transposed()], m.rows.select(F.col("id").alias("key")))
 
 
 @query(
-    f"""WITH RECURSIVE {TRADE}, walk(key, level) AS (
-  SELECT id, 0 FROM ids WHERE id < 3 UNION SELECT trade.dst, level + 1 FROM walk JOIN trade ON walk.key = trade.src WHERE level < 25),
+    f"""WITH RECURSIVE {HALF}, {REGION_SUPPLIERS}, walk(key, level) AS (
+  SELECT 2 * s_suppkey, 0 FROM ours WHERE region = 0 UNION SELECT joined.dst, level + 1 FROM walk JOIN joined ON walk.key = joined.src WHERE level < 4),
 lvl AS (SELECT key, min(level) AS level FROM walk GROUP BY key),
-step AS (SELECT b.key, min(a.key) AS pred FROM lvl a JOIN trade ON a.key = trade.src JOIN lvl b ON b.key = trade.dst AND b.level = a.level + 1 GROUP BY 1),
-path(key, spot, trail) AS (
-  SELECT key, key, CAST(key AS VARCHAR) FROM lvl WHERE key >= 15 AND level = (SELECT min(level) FROM lvl WHERE key >= 15)
-  UNION ALL SELECT path.key, step.pred, step.pred || ' ' || trail FROM path JOIN step ON path.spot = step.key)
-SELECT key AS path_id, trail AS path FROM path WHERE spot < 3"""
+goal AS (SELECT key, level FROM lvl WHERE key IN (SELECT 2 * s_suppkey FROM ours WHERE region = 1)),
+step AS (SELECT b.key, min(a.key) AS pred FROM lvl a JOIN joined ON a.key = joined.src JOIN lvl b ON b.key = joined.dst AND b.level = a.level + 1 GROUP BY 1),
+path(key, spot, level, trail) AS (
+  SELECT key, key, level, CAST(key AS VARCHAR) FROM goal WHERE level = (SELECT min(level) FROM goal)
+  UNION ALL SELECT path.key, step.pred, level - 1, step.pred || ' ' || trail FROM path JOIN step ON path.spot = step.key WHERE level > 0)
+SELECT key AS path_id, trail AS path FROM path WHERE level = 0"""
 )
 def paths_by_strategy(spark, sf):
-    """Shortest paths picked by a strategy of the caller's choice, here least predecessors."""
-    m = derive.nation_trade(spark, sf)
-    found = levels.paths_by(levels.least_paths, origin(spark, 0, 1, 2), m.vertices().filter_with_key(lambda k, v: k >= 15), m)
+    """Shortest paths between the suppliers of two regions, picked by a strategy of the caller's choice, here least predecessors."""
+    start, target = derive.suppliers_of(spark, sf, 0), derive.suppliers_of(spark, sf, 1)
+    found = levels.paths_by(levels.least_paths, start, target, derive.supply_graph(spark, sf))
     return found.select("path_id", F.array_join(F.col("path").cast("array<string>"), " ").alias("path"))
 
 
