@@ -14,7 +14,7 @@ from arcweave.functions import paths
 from arcweave.operators import products, setops
 from arcweave.operators.matrices import Matrix
 from arcweave.operators.vectors import Vec
-from arcweave.plans import closure, graphs, levels, social, voting
+from arcweave.plans import closure, flows, graphs, levels, social, voting
 from arcweave.plans.shared import work_folder
 from arcweave.sources import build, derive, random_graphs
 from arcweave.streaming import edges
@@ -630,7 +630,7 @@ def checked_flow(capacity: Matrix) -> tuple[Matrix, Matrix, DataFrame]:
     """Flow, residual and one row: val (what leaves the source), unbalanced (inner vertices where more or less leaves than
     enters) and over (arcs that carry more than their capacity)."""
     capacity = capacity.stored()
-    flow, residual = graphs.maximum_flow(capacity, derive.SOURCE, derive.SINK)
+    flow, residual = flows.maximum_flow(capacity, derive.SOURCE, derive.SINK)
     flow = flow.stored()
     net = graphs.balance(flow)
     ends = net.agg(
@@ -650,7 +650,7 @@ def flow_value(spark, sf):
 @query(f"WITH {CUTS} SELECT CAST(capacity AS BIGINT) AS val, CAST(size AS BIGINT) AS side FROM cuts WHERE capacity = (SELECT min(capacity) FROM cuts) ORDER BY size LIMIT 1")
 def cut_capacity(spark, sf):
     capacity = derive.sales_network(spark, sf).stored()
-    _, residual = graphs.maximum_flow(capacity, derive.SOURCE, derive.SINK)
+    _, residual = flows.maximum_flow(capacity, derive.SOURCE, derive.SINK)
     side = graphs.minimum_cut(residual, derive.SOURCE)
     return graphs.cut_capacity(capacity, side).select("val", F.lit(side.count()).cast("bigint").alias("side"))
 

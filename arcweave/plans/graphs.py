@@ -18,7 +18,6 @@ from arcweave.operators.vectors import Vec
 from arcweave.plans import levels
 from arcweave.plans.closure import star_closure
 from arcweave.plans.components import components
-from arcweave.plans.flows import maximum_flow
 from arcweave.plans.shared import written
 
 # --- components
@@ -271,8 +270,9 @@ def augmenting_flow_path(residual: Matrix, source: int, sink: int) -> tuple[list
     return None if row is None else ([*row.val.path, row.key], row.val.width)
 
 
-def maximum_flow_by_paths(capacity: Matrix, source: int, sink: int) -> tuple[Matrix, Matrix]:
-    """(flow, residual): shortest augmenting paths until the sink is out of reach, one a round. Source and sink must differ.
+def maximum_flow(capacity: Matrix, source: int, sink: int) -> tuple[Matrix, Matrix]:
+    """(flow, residual): shortest augmenting paths until the sink is out of reach, one a round, each of least predecessors.
+    Source and sink must differ. ``flows.maximum_flow`` sends many paths in a round; its flow has the same value.
 
     A path takes its bottleneck from the residual of its arcs and gives it to the opposite ones. Flow is what the residual
     lacks of the capacity, so that of two opposite arcs of the network only one carries the difference.

@@ -1,33 +1,42 @@
-"""Seeded random matrices with an exact number of cells: floor(density * cells of the shape)."""
+"""Seeded random matrices with an exact number of cells: floor(density * cells of the shape).
+
+Cells are numbered; which are filled is drawn among the numbers, so the work grows with the cells drawn, not with the shape.
+"""
 
 from __future__ import annotations
 
-from math import sqrt
+from math import log1p, sqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.functions.algebra import NUMBER, UNIT, Algebra
 from arcweave.operators.matrices import Matrix
+from arcweave.plans.shared import written
 
 
-def _drawn(cells: DataFrame, total: int, density: float, seed: int) -> DataFrame:
-    """The floor(total * density) cells of least random rank. The rank is a hash of the cell, so that a draw does not
-    depend on how the cells are dealt to tasks.
+def drawn(spark: SparkSession, total: int, n: int, seed: int) -> DataFrame:
+    """(at): n different numbers below ``total``, any such set as likely as another, and the same for the same seed.
 
-    Ranks are uniform, so the cut lies close to the density: all cells well below it are taken by a filter, and only those
-    within six deviations of it, which are few, are sorted for the remainder.
+    Numbers are drawn with repetitions, the k-th draw by a hash of k, and the first n different ones are kept: of the draws
+    that can be among them all but the last few are by a filter, and only those are sorted. Where more than half of all
+    numbers are wanted those left out are drawn.
     """
-    n = int(total * density)
-    if n >= total or n == 0:
-        return cells if n else cells.where(F.lit(False))
-    rank, near = F.xxhash64(F.lit(seed), "src", "dst"), 6 * sqrt(density * (1 - density) / total)
-    low, high = (F.lit(min(int(min(max(q, 0.0), 1.0) * 2**64), 2**64 - 1) - 2**63) for q in (density - near, density + near))
-    sure, close = rank < low, (rank >= low) & (rank <= high)
-    below, among = cells.agg(F.count_if(sure), F.count_if(close)).first()
-    if not below <= n <= below + among:  # not to be expected; then all are sorted
-        return cells.orderBy(rank, "src", "dst").limit(n)
-    return cells.where(sure).unionByName(cells.where(close).orderBy(rank, "src", "dst").limit(n - below))
+    if n <= 0 or n >= total:
+        return spark.range(total if n > 0 else 0).toDF("at")
+    few = min(n, total - n)
+    reach, slack = -total * log1p(-few / total), 12 * sqrt(few) + 40
+    while True:
+        draws = spark.range(int(reach + slack) + 1).select(F.col("id").alias("turn"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)).alias("at"))
+        firsts = written(draws.groupBy("at").agg(F.min("turn").alias("turn")), "drawn")
+        low = max(0, int(reach - slack))
+        sure, found = firsts.agg(F.count_if(F.col("turn") < low), F.count("*")).first()
+        if sure <= few <= found:
+            break
+        slack *= 4  # not to be expected
+    rest = firsts.where(F.col("turn") >= low).orderBy("turn").limit(few - sure)
+    chosen = firsts.where(F.col("turn") < low).unionByName(rest).select("at")
+    return chosen if few == n else spark.range(total).toDF("at").join(chosen, "at", "left_anti")
 
 
 def _valued(cells: DataFrame, low: int, high: int, seed: int, algebra: Algebra) -> DataFrame:
@@ -37,8 +46,9 @@ def _valued(cells: DataFrame, low: int, high: int, seed: int, algebra: Algebra)
 
 
 def random_matrix(spark: SparkSession, rows: int, cols: int, density: float, bounds: tuple[int, int] = (0, 100), seed: int = 0, algebra: Algebra = NUMBER) -> Matrix:
-    cells = spark.range(rows * cols).select(F.floor(F.col("id") / cols).cast("bigint").alias("src"), (F.col("id") % cols).alias("dst"))
-    return Matrix(_valued(_drawn(cells, rows * cols, density, seed), *bounds, seed, algebra), spark.range(rows), algebra)
+    at = drawn(spark, rows * cols, int(rows * cols * density), seed)
+    cells = at.select(F.expr(f"at div {max(cols, 1)}").alias("src"), (F.col("at") % max(cols, 1)).alias("dst"))
+    return Matrix(_valued(cells, *bounds, seed, algebra), spark.range(rows), algebra)
 
 
 def random_graph(spark: SparkSession, n: int, density: float, bounds: tuple[int, int] = (0, 100), seed: int = 0, algebra: Algebra = NUMBER) -> Matrix:
@@ -50,14 +60,17 @@ def random_relation(spark: SparkSession, rows: int, cols: int, density: float, s
 
 
 def random_diagonal(spark: SparkSession, n: int, density: float, bounds: tuple[int, int] = (0, 100), seed: int = 0, algebra: Algebra = NUMBER) -> Matrix:
-    cells = spark.range(n).select(F.col("id").alias("src"), F.col("id").alias("dst"))
-    return Matrix(_valued(_drawn(cells, n, density, seed), *bounds, seed, algebra), spark.range(n), algebra)
+    cells = drawn(spark, n, int(n * density), seed).select(F.col("at").alias("src"), F.col("at").alias("dst"))
+    return Matrix(_valued(cells, *bounds, seed, algebra), spark.range(n), algebra)
 
 
 def random_triangle(spark: SparkSession, n: int, density: float, bounds: tuple[int, int] = (0, 100), seed: int = 0, algebra: Algebra = NUMBER, strict: bool = False) -> Matrix:
     """Lower triangle, with the diagonal or (strict) without it."""
-    width = F.col("src") if strict else F.col("src") + 1
-    rows = spark.range(n).withColumnRenamed("id", "src").where(width > 0)
-    cells = rows.select("src", F.explode(F.sequence(F.lit(0).cast("bigint"), width - 1)).alias("dst"))
     total = n * (n - 1) // 2 if strict else n * (n + 1) // 2
-    return Matrix(_valued(_drawn(cells, total, density, seed), *bounds, seed, algebra), spark.range(n), algebra)
+    at = F.col("at")
+    begins = lambda row: F.expr(f"({row}) * (({row}) + 1) div 2")  # noqa: E731  cells above a row
+    # the root may be off by one where numbers are large; the row is put right in whole numbers
+    near = drawn(spark, total, int(total * density), seed).withColumn("row", F.floor((F.sqrt(8.0 * at + 1) - 1) / 2))
+    row = F.when(begins("row") > at, F.col("row") - 1).when(begins("row + 1") <= at, F.col("row") + 1).otherwise(F.col("row"))
+    cells = near.withColumn("row", row).select((F.col("row") + int(strict)).alias("src"), (at - begins("row")).alias("dst"))
+    return Matrix(_valued(cells, *bounds, seed, algebra), spark.range(n), algebra)

@@ -11,7 +11,7 @@ LOOPS = {
     "bfs_levels", "reachable", "shortest_level", "bfs_path", "predecessor_forest", "components", "component_count", "closure_bool", "closure_tropical", "star_tropical", "closure_pair",
     "bipartite_flag", "bipartition", "balanced_flag", "clustered_flag", "clustering_candidate", "betweenness", "geodesics", "symmetric_star_closure", "closure_balanced",
     "closure_clustered", "voting_removal", "approximate_cover", "subset_sizes", "two_graph_levels", "paths_by_strategy", "componentwise", "bipartite_by_walks",
-    "flow_value", "cut_capacity", "matching_size", "cover_size",
+    "flow_value", "cut_capacity", "matching_size", "cover_size", "supply_flow", "disjoint_paths", "directed_components", "geodesic_closure",
 }
 
 

@@ -281,8 +281,18 @@ def test_componentwise_on_directed_graphs(spark):
 
 
 def test_random_draw_is_exact(spark):
-    """The filtered draw has the cells that sorting all would give."""
-    cells = spark.range(2000).select(F.col("id").alias("src"), (F.col("id") % 7).alias("dst"))
-    for density in (0.0, 0.001, 0.3, 0.999, 1.0):
-        want = {tuple(r) for r in cells.orderBy(F.xxhash64(F.lit(4), "src", "dst"), "src", "dst").limit(int(2000 * density)).collect()}
-        assert {tuple(r) for r in random_graphs._drawn(cells, 2000, density, 4).collect()} == want
+    """So many different numbers, the first of a long row of draws, whatever the tasks; work by the numbers drawn."""
+    for total, n in ((2000, 0), (2000, 3), (2000, 700), (2000, 1000), (2000, 1995), (2000, 2000), (10**12, 50_000)):
+        got = [r["at"] for r in random_graphs.drawn(spark, total, n, 4).collect()]
+        assert len(got) == len(set(got)) == n and all(0 <= x < total for x in got)
+        if total == 2000 and n <= 1000:
+            turns = spark.range(4 * n + 1).select(F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(total)).alias("at")).collect()
+            assert set(got) == set(list(dict.fromkeys(r["at"] for r in turns))[:n])
+    halves = [random_graphs.drawn(spark, 100, 20, seed).where("at < 50").count() for seed in range(8)]
+    assert 50 < sum(halves) < 110
+    for strict in (False, True):
+        every = cells(random_graphs.random_triangle(spark, 9, 1.0, strict=strict))
+        assert set(every) == {(a, b) for a in range(9) for b in range(a + (not strict))}
+    wide = random_graphs.random_matrix(spark, 10**6, 10**6, 1e-8, seed=2)
+    assert wide.n_arcs() == 10_000 and wide.cells.select("src", "dst").distinct().count() == 10_000
+
