@@ -15,6 +15,7 @@ from arcweave.operators import products
 from arcweave.operators.matrices import Matrix
 from arcweave.operators.vectors import Vec
 from arcweave.plans import closure, flows, graphs, levels, social
+from arcweave.plans.components import components
 from tests.test_graphs import cells, matrix
 
 
@@ -159,6 +160,23 @@ def test_betweenness(spark, closed, pairs):
     assert got == plain_betweenness(16, arcs, closed) and any(x.denominator > 1 for x in got.values())
 
 
+@pytest.mark.parametrize("arcs", [random_arcs(1, 60, 40), random_arcs(2, 60, 90), [(k, k + 1) for k in range(40)], [(9, 0), (9, 1), (0, 0)], []])
+def test_components_against_search(spark, arcs):
+    """Loops and repeated links count for nothing; a long chain takes several rounds, stars none, an empty table gives no rows."""
+    near = successors(arcs + [(b, a) for a, b in arcs])
+    want = {}
+    for root in sorted({x for a, b in arcs if a != b for x in (a, b)}):
+        queue = deque([root] if root not in want else [])
+        while queue:
+            x = queue.popleft()
+            if x not in want:
+                want[x] = root
+                queue.extend(near[x])
+    links = spark.createDataFrame(arcs + arcs[:3], "a bigint, b bigint")
+    found = components(links).collect()
+    assert {r.node: r.root for r in found} == want and len(found) == len(want)
+
+
 def test_directed_components(spark):
     """Least ancestors give what root after root finds."""
     arcs = random_arcs(6, 30, 34)
