@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from arcweave.functions.algebra import BALANCED, CLUSTERED, sign_to_balanced, sign_to_clustered
 from arcweave.operators.matrices import Matrix
+from arcweave.plans import twins
 from arcweave.plans.closure import diagonal_is_one, geodesic_levels, symmetric_star_closure
 from arcweave.plans.components import components
 from arcweave.plans.graphs import weak_components
@@ -77,12 +78,13 @@ def betweenness(g: Matrix, closed_walks: bool = True, pairs: int = PAIRS) -> Dat
     once: forward, level by level, their shortest walks are counted; backward every vertex hands to its predecessors, for
     each number of walks c, how many of its continuations end at a vertex with c of them. So a level is one join of the
     frontier with the arcs, and what is summed are whole numbers of c-ths; fractions are added at the very end, for each
-    vertex a row for each c.
+    vertex a row for each c. All that is done for one vertex of each kind (see ``twins``): no shortest walk passes through a
+    twin of its first or last vertex in between, so what holds for one holds for all.
     """
-    g = g.stored()
-    n = g.n_rows()
+    q = twins.quotient(g)
+    n = q.matrix.n_rows()
     blocks = max(1, -(-n * n // pairs))
-    parts = [_dependencies(g, None if blocks == 1 else F.pmod(F.xxhash64("src"), F.lit(blocks)) == b, closed_walks) for b in range(blocks)]
+    parts = [_dependencies(q, None if blocks == 1 else F.pmod(F.xxhash64("src"), F.lit(blocks)) == b, closed_walks) for b in range(blocks)]
     per_count = reduce(DataFrame.unionByName, parts).groupBy("t", "den").agg(F.sum("num").alias("num"))
 
     def added(pdf):
@@ -93,25 +95,30 @@ def betweenness(g: Matrix, closed_walks: bool = True, pairs: int = PAIRS) -> Dat
             num, den = num * int(c) + int(n) * den, den * int(c)
             k = gcd(num, den)
             num, den = num // k, den // k
-        return pd.DataFrame({"id": [int(pdf.t.iloc[0])], "num": [str(num)], "den": [str(den)], "val": [num / den]})
+        return pd.DataFrame({"kind": [int(pdf.t.iloc[0])], "num": [str(num)], "den": [str(den)], "val": [num / den]})
 
-    sums = per_count.groupBy("t").applyInPandas(added, "id bigint, num string, den string, val double")
+    sums = per_count.groupBy("t").applyInPandas(added, "kind bigint, num string, den string, val double").join(q.of, "kind").drop("kind")
     return g.rows.join(sums, "id", "left").select("id", F.coalesce("num", F.lit("0")).alias("num"), F.coalesce("den", F.lit("1")).alias("den"), F.coalesce("val", F.lit(0.0)).alias("val"))
 
 
-def _dependencies(g: Matrix, sources: Column | None, closed_walks: bool) -> DataFrame:
+def _dependencies(q: twins.Quotient, sources: Column | None, closed_walks: bool) -> DataFrame:
     """(t, den, num): over the sources, walks through t on shortest walks between pairs that have den of them, in whole
-    numbers (num / den is the share)."""
-    found = geodesic_levels(g, sources)
-    arcs = g.cells.select(F.col("src").alias("t"), "dst")
+    numbers (num / den is the share). A source and a vertex that a walk goes on to count once for each of their twins."""
+    g, times = q.matrix, q.sizes.withColumnRenamed("times", "n")
+    found = geodesic_levels(g, sources, sizes=q.sizes)
+    arcs = written(g.cells.select(F.col("src").alias("t"), "dst").join(times.withColumnRenamed("id", "dst"), "dst"), "arcs")
     empty = g.spark.createDataFrame([], "t bigint, den decimal(38,0), num decimal(38,0)")
     sums, handed = [empty], None
+    total = lambda c: F.sum(c.cast("decimal(38,0)")).cast("decimal(38,0)").alias("num")
     for k in range(len(found), 1, -1):
-        own = found[k - 1].select("src", "dst", F.col("cnt").alias("den"), F.lit(1).cast("decimal(38,0)").alias("num"))
-        ends = own if closed_walks else own.where("src <> dst")
-        both = ends if handed is None else ends.unionByName(handed.select("src", F.col("t").alias("dst"), "den", "num"))
+        # walks that end here: of one that starts at a twin of its end, or closes, only the former counts without closed walks
+        least = F.when(F.col("src") == F.col("dst"), F.lit(0 if closed_walks else 1)).otherwise(F.lit(0))
+        both = found[k - 1].select("src", "dst", F.col("cnt").alias("den"), F.lit(1).cast("decimal(38,0)").alias("num"), least.alias("less"))
+        if handed is not None:
+            both = both.unionByName(handed.select("src", F.col("t").alias("dst"), "den", "num", F.lit(0).alias("less")))
         at = found[k - 2].select("src", F.col("dst").alias("t"), "cnt")
-        step = both.join(arcs, "dst").join(at, ["src", "t"]).groupBy("src", "t", "cnt", "den").agg(F.sum("num").cast("decimal(38,0)").alias("num"))
+        step = both.join(arcs, "dst").where("n > less").join(at, ["src", "t"]).groupBy("src", "t", "cnt", "den").agg(total(F.col("num") * (F.col("n") - F.col("less"))))
         handed = written(step, "handed")
-        sums.append(handed.groupBy("t", "den").agg(F.sum((F.col("cnt") * F.col("num")).cast("decimal(38,0)")).cast("decimal(38,0)").alias("num")))
+        of_all = F.col("n") * F.col("cnt") * F.col("num")
+        sums.append(handed.join(times.withColumnRenamed("id", "src"), "src").groupBy("t", "den").agg(total(of_all)))
     return written(reduce(DataFrame.unionByName, sums).groupBy("t", "den").agg(F.sum("num").cast("decimal(38,0)").alias("num")), "dependencies")

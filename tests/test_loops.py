@@ -250,3 +250,32 @@ def test_degrees(spark):
 
     got = edges.degrees(spark.createDataFrame([(1, 2), (1, 2), (1, 3), (2, 1)], "src bigint, dst bigint")).collect()
     assert {(r.key, r.arcs, r.successors) for r in got} == {(1, 3, 2), (2, 1, 1)}
+
+
+def spokes(spark, n):
+    """n vertices joined both ways to one of two hubs each, and to a third that all share."""
+    arcs = [(10 + k, hub) for k in range(n) for hub in (k % 2, 2)]
+    return joined_both_ways(spark, arcs)
+
+
+def joined_both_ways(spark, arcs):
+    return Matrix.of(spark.createDataFrame([*arcs, *[(b, a) for a, b in arcs]], "src bigint, dst bigint"), A.UNIT)
+
+
+def test_twins_are_one(spark):
+    """Rounds run over the kinds of vertices: hubs and two kinds of spokes, however many spokes there are."""
+    from arcweave.plans import twins
+
+    q = twins.quotient(spokes(spark, 60))
+    assert {(r.id, r.times) for r in q.sizes.collect()} == {(0, 1), (1, 1), (2, 1), (10, 30), (11, 30)}
+    assert {(r.src, r.dst) for r in q.matrix.cells.collect()} == {(a, b) for x, y in ((10, 0), (11, 1), (10, 2), (11, 2)) for a, b in ((x, y), (y, x))}
+
+
+@pytest.mark.parametrize("closed", [True, False])
+def test_betweenness_of_twins(spark, closed):
+    arcs = {(10 + k, hub) for k in range(9) for hub in (k % 2, 2)} | {(20, 0), (20, 20)}
+    g = joined_both_ways(spark, sorted(arcs)).cells.distinct()
+    index = {v: k for k, v in enumerate(sorted({v for a in arcs for v in a}))}
+    plain = {(index[r.src], index[r.dst]) for r in g.collect()}
+    got = {index[r.id]: Fraction(int(r.num), int(r.den)) for r in social.betweenness(Matrix.of(g, A.UNIT), closed).collect()}
+    assert got == plain_betweenness(len(index), plain, closed)
