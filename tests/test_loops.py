@@ -279,3 +279,11 @@ def test_betweenness_of_twins(spark, closed):
     plain = {(index[r.src], index[r.dst]) for r in g.collect()}
     got = {index[r.id]: Fraction(int(r.num), int(r.den)) for r in social.betweenness(Matrix.of(g, A.UNIT), closed).collect()}
     assert got == plain_betweenness(len(index), plain, closed)
+
+
+def test_geodesics_and_closure_of_twins(spark):
+    one = F.struct(A.finite(F.lit(1)).alias("len"), A.finite(F.lit(1)).alias("cnt"))
+    g = spokes(spark, 7)
+    plain = {(r.src, r.dst): (r.l, r.c) for r in closure.closure(g.constant(one, A.GEODESIC)).cells.select("src", "dst", A.weight_of(F.col("val.len")).alias("l"), A.weight_of(F.col("val.cnt")).alias("c")).collect()}
+    kinds = {(r.src, r.dst): (r.l, r.c) for r in closure.closure_by_kinds(g.constant(one, A.GEODESIC)).cells.select("src", "dst", A.weight_of(F.col("val.len")).alias("l"), A.weight_of(F.col("val.cnt")).alias("c")).collect()}
+    assert len(plain) == 100 and kinds == plain and {(r.src, r.dst): (r.len, int(r.cnt)) for r in closure.geodesics(g).collect()} == plain
