@@ -12,6 +12,9 @@ throughout, so copies cost nothing here.
 So every pair that shares a bucket is compared, already in one group, or under the limit by exact bounds: no candidate is
 dropped, and a large group of near copies costs a comparison per member and head, not per pair.
 
+The stage of the pipeline (``fingerprints``) links by SimHash as ``simhash`` does, all documents whose fingerprints differ in
+``simhash.MAX_BITS`` bits or fewer, and joins these components with the groups above, which its bits do not reach.
+
 A comparison is exact: the similarity of the whole sets. Texts without words have the empty set and are equal to each
 other. Null text counts as empty. Null ids and repeated ids are documents like any other. An empty table gives no rows.
 Other columns, whatever their names, pass through the stage form.
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcweave.llm.common import components, keyed, one_per_root, same, written
-from arcweave.llm.simhash import shingle_hashes
+from arcweave.llm.simhash import fingerprint_roots, majority, shingle_hashes
 
 SIMILAR = 0.8
 BANDS, BAND_ROWS, SEED = 32, 5, 17
@@ -63,13 +66,16 @@ def buckets(hashes: np.ndarray) -> np.ndarray:
 
 
 def entries(text: Column, shingle: int) -> Column:
-    """(node, buckets) of every text."""
-    kind = pa.struct([("node", pa.binary()), ("buckets", pa.list_(pa.int64()))])
+    """(node, buckets, fp) of every text; fp: the fingerprint of ``simhash``."""
+    kind = pa.struct([("node", pa.binary()), ("buckets", pa.list_(pa.int64())), ("fp", pa.int64())])
+
+    def entry(hashes: np.ndarray) -> dict:
+        own = np.unique(hashes)
+        return {"node": set_name(own), "buckets": buckets(own), "fp": int(np.uint64(majority(hashes)).view(np.int64))}
 
-    @F.arrow_udf("struct<node:binary,buckets:array<long>>")
+    @F.arrow_udf("struct<node:binary,buckets:array<long>,fp:long>")
     def made(texts: pa.Array) -> pa.Array:
-        sets = (shingle_set(t.as_py(), shingle) for t in texts)
-        return pa.array([{"node": set_name(s), "buckets": buckets(s)} for s in sets], kind)
+        return pa.array([entry(shingle_hashes(t.as_py() or "", shingle)) for t in texts], kind)
 
     return made(text)
 
@@ -167,11 +173,30 @@ def open_pairs(members: DataFrame) -> DataFrame:
     return sharing.select(*pair("p", "q")).unionByName(shorter.select(*pair("p", "q"))).distinct()
 
 
-def groups(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, th (content hash) and root of every row: equal roots are near copies, directly or through others."""
+def joined_by_fingerprint(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """found (id, th, node, root) with the roots of groups that hold linked fingerprints made one; rows: node, fp."""
+    prints = rows.select("node", "fp").distinct()
+    linked = fingerprint_roots(prints.select("fp").distinct()).withColumnsRenamed({"node": "fp", "root": "fp_root"})
+    of = found.select("node", "root").distinct().join(prints, "node").join(linked, "fp", "left").select("root", F.coalesce("fp_root", "fp").alias("fp_root")).distinct()
+    of = written(of, "fingerprint_groups")
+    least = of.groupBy("fp_root").agg(F.min("root").alias("b"), F.count("*").alias("n")).where("n > 1").select("fp_root", "b")
+    merged = of.join(least, "fp_root").where("root <> b").select(F.col("root").alias("a"), "b")
+    last = components(merged).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    return found.join(last, "root", "left").select("id", "th", "node", F.coalesce("last", "root").alias("root"))
+
+
+def groups(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text", fingerprints: bool = False) -> DataFrame:
+    """id, th (content hash) and root of every row: equal roots are near copies, directly or through others. With
+    ``fingerprints`` SimHash links count as well."""
     texts = keyed(docs, id_col, text_col)
-    read = texts.select("id", "th", entries(F.col("text"), shingle).alias("e")).select("id", "th", "e.node", "e.buckets")
+    read = texts.select("id", "th", entries(F.col("text"), shingle).alias("e")).select("id", "th", "e.node", "e.buckets", "e.fp")
     rows = written(read, "minhash")
+    found = written(_similar(rows, texts, shingle), "similar") if fingerprints else _similar(rows, texts, shingle)
+    return (joined_by_fingerprint(found, rows) if fingerprints else found).select("id", "th", "root")
+
+
+def _similar(rows: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """id, th, node and root of every row (id, th, node, buckets): equal roots are similar sets, directly or through others."""
     # a node's copies become one row, then its buckets are dealt out
     nodes = rows.groupBy("node").agg(F.min(F.struct("id", "th")).alias("k"), F.first("buckets").alias("buckets"))
     firsts = nodes.select("node", "k.id", "k.th")
@@ -190,16 +215,16 @@ def groups(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str
     mixed = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     open_rows = named.join(mixed.join(heads, "bucket"), "bucket").where("node <> head").select("head", "node", "root").distinct()
     left = written(open_pairs(profiles(open_rows, sets)).join(starred, ["a", "b"], "left_anti"), "pairs")
-    found = rows.select("id", "th", "node").join(roots, "node", "left").select("id", "th", F.coalesce("root", "node").alias("root"))
+    found = rows.select("id", "th", "node").join(roots, "node", "left").select("id", "th", "node", F.coalesce("root", "node").alias("root"))
     if left.isEmpty():
         return found
     # links that came to light now join whole groups: only these groups' roots are linked further
     a, b = (roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b"))
     merged = alike(left, sets).join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     last = components(merged).select(F.col("node").alias("root"), F.col("root").alias("last"))
-    return found.join(last, "root", "left").select("id", "th", F.coalesce("last", "root").alias("root"))
+    return found.join(last, "root", "left").select("id", "th", "node", F.coalesce("last", "root").alias("root"))
 
 
-def one_of_each(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text", fingerprints: bool = False) -> DataFrame:
     """docs, whole rows, with one document of each group: see ``one_per_root``."""
-    return one_per_root(docs, written(groups(docs, shingle, id_col, text_col), "groups"), id_col, text_col)
+    return one_per_root(docs, written(groups(docs, shingle, id_col, text_col, fingerprints), "groups"), id_col, text_col)

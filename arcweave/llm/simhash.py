@@ -112,6 +112,11 @@ def links(prints: DataFrame, dense: int = DENSE) -> DataFrame:
     return calm.unionByName(tight)
 
 
+def fingerprint_roots(prints: DataFrame) -> DataFrame:
+    """(node, root) of the fingerprints (column fp, distinct) that link to others, directly or through others."""
+    return components(links(prints))
+
+
 def clusters(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, th (content hash), fp, root and component_id of every row.
 
@@ -121,7 +126,7 @@ def clusters(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: st
     texts = keyed(docs, id_col, text_col)
     rows = written(texts.select("id", "th", fingerprint_column(F.col("text"), shingle).alias("fp")), "simhash")
     firsts = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    groups = components(links(rows.select("fp").distinct()))
+    groups = fingerprint_roots(rows.select("fp").distinct())
     named = firsts.join(groups, firsts.fp == groups.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = written(named, "roots")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))

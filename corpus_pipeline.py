@@ -34,8 +34,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: Jaccard similarity of 0.8 or more over shingles of five words."""
-    return near_copies.one_of_each(docs, SHINGLE)
+    """One document of each group of near copies over shingles of five words: SimHash fingerprints three bits apart or less, and,
+    beyond what these reach, a Jaccard similarity of 0.8 or more."""
+    return near_copies.one_of_each(docs, SHINGLE, fingerprints=True)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,17 @@ def test_stages_keep_columns_and_take_anything(spark, docs):
             assert out.columns == odd.columns, name
             out.collect()
         corpus_pipeline.STAGES[-1][1](spark, table, SF).collect()
+
+
+def test_near_copies_go_by_fingerprint(spark):
+    """Texts whose fingerprints differ in three bits or less are one group, also where their sets are less similar."""
+    from arcweave.llm import near_copies, simhash
+
+    # repeats weigh in a fingerprint, not in a set: a text of one shingle over and over has the set's fingerprint bits of it
+    said = " ".join(["a b c d e"] * 200)
+    more = said + " " + " ".join(f"y{j}" for j in range(60))
+    h = [near_copies.shingle_set(t, corpus_pipeline.SHINGLE) for t in (said, more)]
+    apart = (simhash.majority(simhash.shingle_hashes(said, corpus_pipeline.SHINGLE)) ^ simhash.majority(simhash.shingle_hashes(more, corpus_pipeline.SHINGLE))).bit_count()
+    assert apart <= simhash.MAX_BITS and near_copies.similarity(*h) < near_copies.SIMILAR
+    docs = spark.createDataFrame([(1, said), (2, more), (3, "one two three four five six seven")], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).orderBy("doc_id").collect()] == [1, 3]
