@@ -36,9 +36,9 @@ ODD = "[^\\t\\n\\r -~¡-¨«-±´¶-¸»¿-ÿĀ-įĲ-ńŊ-ž]"
 #: are words, of which there are fewer than of words with their endings.
 ENDINGS = r"([\p{L}\p{N}])([.,])([ \t\r\n]|\z)", r"\1 \2\3"
 #: Entries of a worker's cache of blank-delimited chunks.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 #: Bytes of text that are encoded together.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 4 << 20
 #: Bytes of text to a range, and so to a file, unless the session asks for more shuffle partitions.
 RANGE_BYTES = 256 << 20
 
