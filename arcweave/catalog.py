@@ -947,7 +947,7 @@ SELECT least.root, least.key, min(level) AS level FROM walk JOIN least ON walk.k
 )
 def directed_components(spark, sf):
     """From the least part not yet reached along arcs, again and again: roots, and levels of what each is the first to reach."""
-    return graphs.per_root(derive.size_successions(spark, sf))
+    return graphs.per_root(derive.size_successions(spark, sf), merge=True)
 
 
 @query(f"WITH RECURSIVE {TRAITS}, {SHORTEST} SELECT src, dst, CAST(len AS BIGINT) AS len, cnt FROM d")

@@ -33,24 +33,26 @@ def component_count(g: Matrix) -> DataFrame:
     return weak_components(g).agg(F.countDistinct("root").alias("n"))
 
 
-def per_root(g: Matrix, mult=products.first_vector_label) -> DataFrame:
-    """(root, level, key): for the least vertex not yet reached, the levels from it along arcs, again and again."""
-    found = componentwise(g, lambda start, graph, within: levels.steps(start, graph, mult, candidates=within).select("key", "level"))
+def per_root(g: Matrix, mult=products.first_vector_label, merge: bool = False) -> DataFrame:
+    """(root, level, key): for the least vertex not yet reached, the levels from it along arcs, again and again; merge: see
+    ``levels.steps``."""
+    found = componentwise(g, lambda start, graph, within: levels.steps(start, graph, mult, candidates=within, merge=merge).select("key", "level"))
     return found.select("root", "level", "key")
 
 
 def least_ancestors(g: Matrix) -> DataFrame:
     """(id, root): the least vertex from which arcs lead to each vertex, itself included.
 
-    Smaller roots are passed on along arcs; a round looks only at vertices whose root the last one changed.
+    Smaller roots are passed on along arcs; a round looks only at vertices whose root the last one changed. Rounds may be many,
+    so their joins merge: broadcasts of every round would add up on the driver.
     """
     g = g.stored()
-    arcs = g.cells.select("src", F.col("dst").alias("id")).join(g.rows, "id", "left_semi")
+    arcs = g.cells.select("src", F.col("dst").alias("id")).join(g.rows.hint("merge"), "id", "left_semi")
     found = changed = written(g.rows.select("id", F.col("id").alias("root")), "ancestors")
     while not changed.isEmpty():
-        offers = changed.select(F.col("id").alias("src"), "root").join(arcs, "src").groupBy("id").agg(F.min("root").alias("offer"))
-        changed = written(offers.join(found, "id").where("offer < root").select("id", F.col("offer").alias("root")), "changed")
-        new = changed.withColumnRenamed("root", "new")
+        offers = changed.select(F.col("id").alias("src"), "root").hint("merge").join(arcs, "src").groupBy("id").agg(F.min("root").alias("offer"))
+        changed = written(offers.hint("merge").join(found, "id").where("offer < root").select("id", F.col("offer").alias("root")), "changed")
+        new = changed.withColumnRenamed("root", "new").hint("merge")
         found = written(found.join(new, "id", "left").select("id", F.coalesce("new", "root").alias("root")), "ancestors")
     return found
 
@@ -73,7 +75,7 @@ def componentwise(g: Matrix, f: Callable[[Vec, Matrix, DataFrame | None], DataFr
         inside = g
         if not both_ways:
             a, b = root.withColumnsRenamed({"id": "src", "root": "a"}), root.withColumnsRenamed({"id": "dst", "root": "b"})
-            inside = g.like(g.cells.join(a, "src").join(b, "dst").where("a = b")).stored()
+            inside = g.like(g.cells.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where("a = b")).stored()
         start = Vec(root.where("id = root").select(F.col("id").alias("key"), F.lit(True).alias("val")))
         found = f(start, inside, None)
         return found.join(root, F.col("key") == F.col("id")).select("root", *found.columns)

@@ -40,13 +40,15 @@ def _ends(current: DataFrame, target: DataFrame | None) -> bool:
     return n == 0 or hits > 0
 
 
-def steps(start: Vec, graphs: Matrix | list[Matrix], mults: Step | list[Step] = products.first_vector_label, candidates: DataFrame | None = None, target: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def steps(start: Vec, graphs: Matrix | list[Matrix], mults: Step | list[Step] = products.first_vector_label, candidates: DataFrame | None = None, target: DataFrame | None = None, max_rounds: int = MAX_ROUNDS, merge: bool = False) -> DataFrame:
     """Levels (level, key, val) from the start vector, which is level 0.
 
     One step passes through all graphs in turn; only where it ends counts as seen. New vertices must be among the
     candidates (column key; default: the rows of the first graph). With a target (column key) the loop ends at the first
-    level that meets it.
+    level that meets it. With ``merge`` nothing is broadcast, so that levels, be they many, send no tables through the driver;
+    without it small levels spare a shuffle of the graphs.
     """
+    held = (lambda df: df.hint("merge")) if merge else (lambda df: df)
     gs = [g.stored() for g in _as_list(graphs, 1)]
     ms = _as_list(mults, len(gs))
     within = gs[0].rows.select(F.col("id").alias("key")) if candidates is None and gs else candidates
@@ -58,9 +60,9 @@ def steps(start: Vec, graphs: Matrix | list[Matrix], mults: Step | list[Step] =
             break
         v = start.like(current)
         for m, g in zip(ms, gs):
-            v = m(v, g)
-        new = v.df.select("key", "val").join(within.select("key"), "key", "left_semi")
-        new = new.join(reduce(DataFrame.union, seen), "key", "left_anti")
+            v = m(v.like(held(v.df)), g)
+        new = v.df.select("key", "val").join(held(within.select("key")), "key", "left_semi")
+        new = new.join(held(reduce(DataFrame.union, seen)), "key", "left_anti")
         current = written(new, "level")
         levels.append(current.select(F.lit(k).alias("level"), "key", "val"))
         seen.append(current.select("key"))

@@ -294,3 +294,20 @@ def test_out_degrees_of_a_table_are_exact(spark):
 
     found = edges.degrees(spark.range(120_000).selectExpr("id % 40 AS src", "id AS dst")).collect()
     assert len(found) == 40 and all(r.arcs == r.successors == 3_000 for r in found)
+
+
+def test_rounds_of_directed_components_broadcast_nothing(spark, monkeypatch):
+    plans = {}
+
+    def noted(df, label):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, label)
+
+    kept = graphs.written
+    for module in (graphs, levels):
+        monkeypatch.setattr(module, "written", noted)
+    arcs = random_arcs(5, 12, 14)
+    cells = spark.createDataFrame(arcs, "src bigint, dst bigint")
+    merged = {tuple(r) for r in graphs.per_root(Matrix.of(cells, A.UNIT), merge=True).collect()}
+    assert all("BroadcastHashJoin" not in p for k in ("ancestors", "changed", "level") for p in plans[k])
+    assert merged == {tuple(r) for r in graphs.per_root(Matrix.of(cells, A.UNIT)).collect()}
