@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.plans.shared import written
 
+#: Links that a task looks at together.
+BLOCK = 1_000_000
+
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): rows (node, root), root the smallest node reachable.
@@ -46,3 +53,48 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         rounds += 1
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+
+
+def hung_on_least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of a few links, and the least that each is joined to: roots go under smaller ones they meet, then all nodes
+    under their root, in a number of rounds that grows with the logarithm of the nodes."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        ru, rv = root[u], root[v]
+        apart = ru != rv
+        if not apart.any():
+            return nodes, nodes[root]
+        u, v, ru, rv = u[apart], v[apart], ru[apart], rv[apart]
+        np.minimum.at(root, np.maximum(ru, rv), np.minimum(ru, rv))
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
+def components_by_pieces(edges: DataFrame, block: int = BLOCK) -> DataFrame:
+    """As ``components``, for nodes that are bigints: tasks first join what hangs together within blocks of links that are neighbours
+    by key, then ``components`` joins these pieces where a node is in several. What is left for its rounds are the pieces, not
+    the links: few, where links are between near keys, and no more than nodes at worst."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            nodes, least = hung_on_least(*(np.concatenate([r.column(k).to_numpy() for r in held]) for k in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], names=["node", "piece"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= block:
+                yield joined(held)
+                held, n = [], 0
+        if n:
+            yield joined(held)
+
+    links = edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = links.repartitionByRange("a", "b").mapInArrow(pieces, "node bigint, piece bigint")
+    # a node is in no more pieces than there are blocks
+    of = written(found.groupBy("node").agg(F.collect_set("piece").alias("pieces")).withColumn("piece", F.array_min("pieces")), "pieces")
+    root = components(of.where("size(pieces) > 1").select(F.explode("pieces").alias("a"), F.col("piece").alias("b")))
+    return of.select("node", "piece").join(root.withColumnRenamed("node", "piece"), "piece", "left").select("node", F.coalesce("root", "piece").alias("root"))

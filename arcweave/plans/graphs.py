@@ -17,7 +17,7 @@ from arcweave.operators.matrices import Matrix
 from arcweave.operators.vectors import Vec
 from arcweave.plans import levels
 from arcweave.plans.closure import star_closure
-from arcweave.plans.components import components
+from arcweave.plans.components import components_by_pieces
 from arcweave.plans.shared import written
 
 # --- components
@@ -25,7 +25,8 @@ from arcweave.plans.shared import written
 
 def weak_components(g: Matrix) -> DataFrame:
     """(id, root): the connected components of the graph without directions; root is the least vertex of each."""
-    found = components(g.cells.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    cells = g.cells.where("src < dst") if g.both_ways else g.cells
+    found = components_by_pieces(cells.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     return g.rows.join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
@@ -33,7 +34,7 @@ def component_count(g: Matrix) -> DataFrame:
     return weak_components(g).agg(F.countDistinct("root").alias("n"))
 
 
-def per_root(g: Matrix, mult=products.first_vector_label, merge: bool = False) -> DataFrame:
+def per_root(g: Matrix, mult=products.reached, merge: bool = False) -> DataFrame:
     """(root, level, key): for the least vertex not yet reached, the levels from it along arcs, again and again; merge: see
     ``levels.steps``."""
     found = componentwise(g, lambda start, graph, within: levels.steps(start, graph, mult, candidates=within, merge=merge).select("key", "level"))
@@ -70,7 +71,7 @@ def componentwise(g: Matrix, f: Callable[[Vec, Matrix, DataFrame | None], DataFr
     g = g.stored()
     if whole:
         turned = g.cells.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        both_ways = g.cells.join(turned, ["src", "dst"], "left_anti").isEmpty()
+        both_ways = g.both_ways or g.cells.join(turned, ["src", "dst"], "left_anti").isEmpty()
         root = written(weak_components(g) if both_ways else least_ancestors(g), "roots")
         inside = g
         if not both_ways:
