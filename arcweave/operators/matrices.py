@@ -21,6 +21,10 @@ from arcweave.plans.shared import written
 Op = Callable[[Column, Column], Column]
 
 
+def ends_of(cells: DataFrame) -> DataFrame:
+    return cells.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+
+
 @dataclass(frozen=True)
 class Matrix:
     cells: DataFrame
@@ -29,6 +33,8 @@ class Matrix:
     kept: bool = False
     #: Known to hold every arc both ways; False where that is not known.
     both_ways: bool = False
+    #: Rows are the ends of these arcs, no table of their own.
+    ends: bool = False
 
     @staticmethod
     def of(cells: DataFrame, algebra: Algebra = UNIT, rows: DataFrame | None = None) -> Matrix:
@@ -36,18 +42,19 @@ class Matrix:
         if "val" not in cells.columns:
             cells = cells.withColumn("val", F.lit(True))
         cells = cells.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), "val")
-        if rows is None:
-            rows = cells.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        return Matrix(cells, rows, algebra)
+        return Matrix(cells, ends_of(cells) if rows is None else rows, algebra, ends=rows is None)
 
     def like(self, cells: DataFrame, algebra: Algebra | None = None, rows: DataFrame | None = None) -> Matrix:
-        return replace(self, cells=cells.select("src", "dst", "val"), algebra=algebra or self.algebra, rows=self.rows if rows is None else rows, kept=False, both_ways=False)
+        return replace(self, cells=cells.select("src", "dst", "val"), algebra=algebra or self.algebra, rows=self.rows if rows is None else rows, kept=False, both_ways=False, ends=False)
 
     def stored(self) -> Matrix:
         """The same matrix as tables in the shared folder, for loops that read it in every round; once is enough."""
         if self.kept:
             return self
-        return replace(self, cells=written(self.cells, "cells"), rows=written(self.rows, "rows"), kept=True)
+        cells = written(self.cells, "cells")
+        # ends are those of the written arcs: what arcs are made from is not gone through again
+        rows = self.rows if not self.ends else cells.select(F.col("src").alias("id")).distinct() if self.both_ways else ends_of(cells)
+        return replace(self, cells=cells, rows=written(rows, "rows"), kept=True)
 
     @property
     def spark(self) -> SparkSession:

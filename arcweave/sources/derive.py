@@ -57,7 +57,8 @@ def order_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def both_ways(cells: DataFrame) -> Matrix:
     """Arcs (src, dst) and their turned ones. Rows: ends of arcs."""
-    return replace(Matrix.of(cells.unionByName(cells.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), UNIT), both_ways=True)
+    turned = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return replace(Matrix.of(cells.select(F.inline(F.array(F.struct("src", "dst"), turned))), UNIT), both_ways=True)
 
 
 def supply_graph(spark: SparkSession, sf_dir: str) -> Matrix:

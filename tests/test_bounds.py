@@ -69,3 +69,16 @@ def test_session_follows_the_rows(spark):
     finally:
         for n, x in before.items():
             spark.conf.set(n, x)
+
+
+def test_stored_arcs_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        made.add(1)
+        return x
+
+    arcs = spark.range(10).select(counted("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    g = Matrix.of(arcs).stored()
+    assert made.value == 10 and g.rows.count() == 11
