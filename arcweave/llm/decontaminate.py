@@ -314,7 +314,7 @@ class Finder:
             found[i] = (lo + end - size, size, distance)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)  # a worker outlives the tables it was made for
 def finder(items: tuple[tuple[int, str], ...], share: float, target: float) -> Finder:
     return Finder(items, share, target)
 

@@ -182,6 +182,7 @@ def in_parts(of: Callable[[np.ndarray], np.ndarray], texts: pa.Array) -> np.ndar
     for at in range(0, len(texts), 256):
         part = texts.slice(at, 256)
         out[at : at + len(part)] = of(np.stack([features(t.as_py() or "") for t in part]))
+    pa.default_memory_pool().release_unused()  # the next batch may be another stage's, in a worker that stays
     return out
 
 

@@ -21,10 +21,20 @@ from arcweave.llm.queries import BYTE_RANKS, training_labels
 
 #: Words of a shingle in the near-duplicate stage.
 SHINGLE = 5
+#: Rows that a Python worker is handed at once: an executor holds a batch several times over, in the JVM, outside its heap and in
+#: each worker.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.7 or more; fitted on the labels of documents outside the held-out quarter."""
+    small_batches(spark)
     return quality.good(docs, training_labels(table(spark, sf_dir, "labels")))
 
 
@@ -36,16 +46,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies over shingles of five words: SimHash fingerprints three bits apart or less, and,
     beyond what these reach, a Jaccard similarity of 0.8 or more."""
+    small_batches(spark)
     return near_copies.one_of_each(docs, SHINGLE, fingerprints=True)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian 32-bit integers) and the SHA-256 of the bytes they decode to."""
+    small_batches(spark)
     done = byte_bpe.encode_decode(docs, BYTE_RANKS, public_tokenizers.PATTERN)
     return done.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -73,3 +73,17 @@ def test_near_copies_go_by_fingerprint(spark):
     assert apart <= simhash.MAX_BITS and near_copies.similarity(*h) < near_copies.SIMILAR
     docs = spark.createDataFrame([(1, said), (2, more), (3, "one two three four five six seven")], "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).orderBy("doc_id").collect()] == [1, 3]
+
+
+def test_batches_of_python_workers_are_small(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+        corpus_pipeline.to_tokens(spark, docs, "")
+        assert int(spark.conf.get(name)) == corpus_pipeline.BATCH_ROWS
+        spark.conf.set(name, 10)
+        corpus_pipeline.to_tokens(spark, docs, "")
+        assert spark.conf.get(name) == "10"
+    finally:
+        spark.conf.set(name, before)
