@@ -14,8 +14,8 @@ from arcweave.functions import paths
 from arcweave.operators import products, setops
 from arcweave.operators.matrices import Matrix
 from arcweave.operators.vectors import Vec
-from arcweave.plans import closure, flows, graphs, levels, social, voting
-from arcweave.plans.shared import work_folder
+from arcweave.plans import closure, flows, graphs, levels, matchings, social, voting
+from arcweave.plans.shared import work_folder, written
 from arcweave.sources import build, derive, random_graphs
 from arcweave.streaming import edges
 
@@ -528,18 +528,18 @@ steps AS (SELECT DISTINCT src, dst FROM behind WHERE dst IS NOT NULL)"""
 @query(f"WITH {NEXT_PARTS} SELECT least(count(DISTINCT src), count(DISTINCT dst)) AS size, CAST(0 AS BIGINT) AS twice FROM steps")
 def matching_size(spark, sf):
     """Parts matched to the parts behind them, by phases of longer and longer alternating paths; twice: vertices matched twice."""
-    g = derive.successions(spark, sf).stored()
-    m, _ = graphs.maximum_matching_by_phases(g, g.rows.where("id % 2 = 0").toDF("key"))
-    twice = m.cells.groupBy("src").count().agg(F.count_if(F.col("count") > 1).alias("twice"))
-    return m.keep(g).cells.agg((F.count("*") / 2).cast("bigint").alias("size")).join(twice)  # one row each
+    arcs = matchings.stored(derive.next_parts(spark, sf))
+    pairs, _ = matchings.matched(arcs, kept=True)
+    twice = pairs.select(F.explode(F.array("src", "dst")).alias("v")).groupBy("v").count().agg(F.count_if(F.col("count") > 1).alias("twice"))
+    return arcs.join(pairs, ["src", "dst"], "left_semi").agg(F.count("*").alias("size")).join(twice)  # one row each
 
 
 @query(f"WITH {NEXT_PARTS} SELECT least(count(DISTINCT src), count(DISTINCT dst)) AS size, CAST(0 AS BIGINT) AS uncovered FROM steps")
 def cover_size(spark, sf):
     """A least set of vertices that touches all arcs, and the arcs it leaves uncovered."""
     g = derive.successions(spark, sf).stored()
-    cover = graphs.minimum_vertex_cover(g)
-    open_ = g.drop_vertices(cover).cells.agg(F.count("*").alias("uncovered"))
+    cover = written(graphs.minimum_vertex_cover(g), "cover")
+    open_ = replace(g, cells=g.cells.where("src < dst")).drop_vertices(cover).cells.agg(F.count("*").alias("uncovered"))
     return cover.agg(F.count("*").alias("size")).join(open_)  # one row each
 
 

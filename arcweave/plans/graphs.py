@@ -15,9 +15,9 @@ from arcweave.functions.paths import empty_path
 from arcweave.operators import products
 from arcweave.operators.matrices import Matrix
 from arcweave.operators.vectors import Vec
-from arcweave.plans import levels
+from arcweave.plans import levels, matchings
 from arcweave.plans.closure import star_closure
-from arcweave.plans.components import components_by_pieces
+from arcweave.plans.components import components_by_pieces, sides_by_pieces
 from arcweave.plans.shared import written
 
 # --- components
@@ -115,8 +115,13 @@ def is_weak_bipartition(g: Matrix, side: DataFrame) -> bool:
 
 
 def bipartition(g: Matrix) -> DataFrame | None:
-    """(key, side), or None if the graph has none."""
+    """(key, side), or None if the graph has none. Side 0 is that of the least vertex of each component."""
     g = g.stored()
+    if g.both_ways:
+        found = written(sides_by_pieces(g.cells.where("src <= dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))), "sides")
+        if not found.where("odd").isEmpty():
+            return None
+        return g.rows.join(found, F.col("id") == F.col("node"), "left").select(F.col("id").alias("key"), F.coalesce("side", F.lit(0)).alias("side"))
     side = written(sides(g), "sides")
     return side if is_weak_bipartition(g, side) else None
 
@@ -201,13 +206,17 @@ def augmenting_paths(m: Matrix, rest: Matrix, left: DataFrame | None = None) ->
 def maximum_matching_by_phases(g: Matrix, left: DataFrame | None = None) -> tuple[Matrix, Matrix]:
     """(matching, the other arcs), all disjoint shortest augmenting paths per round: few rounds. For bipartite graphs.
 
-    With ``left`` (key), the vertices of one side, paths are only sought from there, which halves the work.
+    With ``left`` (key), the vertices of one side, ``matchings.matched`` does it over arcs in one direction.
     """
     g = g.units().stored()
-    left = None if left is None else written(left.select("key"), "left")
+    if left is not None:
+        pairs, _ = matchings.matched(g.cells.join(left.select(F.col("key").alias("src")), "src", "left_semi").select("src", "dst"))
+        both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        m = g.like(both.withColumn("val", F.lit(True))).stored()
+        return m, g.drop(m)
 
     def step(state):
-        paths = written(augmenting_paths(*state, left), "paths")
+        paths = written(augmenting_paths(*state), "paths")
         return None if paths.isEmpty() else _flip(*state, _arcs_of_paths(paths))
 
     return levels.improve((g.emptied().stored(), g), step)
@@ -224,17 +233,16 @@ def alternating_reachable(m: Matrix, rest: Matrix, within: Vec) -> Vec:
 
 
 def minimum_vertex_cover(g: Matrix) -> DataFrame | None:
-    """(key): a least set of vertices that touches every arc of a bipartite graph; None for other graphs."""
+    """(key): a least set of vertices that touches every arc of a bipartite graph; None for other graphs. It has one end of each pair
+    of a maximum matching: the right one where alternating paths from unmatched vertices of the left lead there."""
     g = g.stored()
     side = bipartition(g)
     if side is None:
         return None
-    left = Vec(side.where("side = 0").select("key", F.lit(True).alias("val")))
-    right = Vec(side.where("side = 1").select("key", F.lit(True).alias("val")))
-    m, rest = maximum_matching_by_phases(g, left.df)
-    r = alternating_reachable(m, rest, left)
-    r = r.like(written(r.df, "reached"))
-    return left.drop(r).union(right.keep(r)).df.select("key")
+    left = side.where("side = 0").select(F.col("key").alias("src"))
+    pairs, reached = matchings.matched(g.cells.join(left, "src", "left_semi").select("src", "dst"))
+    met = reached.select("dst", F.lit(True).alias("met"))
+    return pairs.join(met, "dst", "left").select(F.when(F.col("met"), F.col("dst")).otherwise(F.col("src")).alias("key"))
 
 
 def approximate_vertex_cover(g: Matrix) -> DataFrame:

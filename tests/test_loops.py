@@ -14,7 +14,7 @@ from arcweave.functions import algebra as A
 from arcweave.operators import products
 from arcweave.operators.matrices import Matrix
 from arcweave.operators.vectors import Vec
-from arcweave.plans import closure, flows, graphs, levels, social
+from arcweave.plans import closure, flows, graphs, levels, matchings, social
 from arcweave.plans.components import components
 from tests.test_graphs import cells, matrix
 
@@ -311,3 +311,48 @@ def test_rounds_of_directed_components_broadcast_nothing(spark, monkeypatch):
     merged = {tuple(r) for r in graphs.per_root(Matrix.of(cells, A.UNIT), merge=True).collect()}
     assert all("BroadcastHashJoin" not in p for k in ("ancestors", "changed", "level") for p in plans[k])
     assert merged == {tuple(r) for r in graphs.per_root(Matrix.of(cells, A.UNIT)).collect()}
+
+
+def most_pairs(arcs):
+    out, mate = successors(arcs), {}
+
+    def found(a, seen):
+        for b in out[a]:
+            if b not in seen:
+                seen.add(b)
+                if b not in mate or found(mate[b], seen):
+                    mate[b] = a
+                    return True
+        return False
+
+    return sum(found(a, set()) for a in sorted(out))
+
+
+@pytest.mark.parametrize("arcs", [[(rng.randrange(n), rng.randrange(m)) for _ in range(k)] for rng, n, m, k in ((random.Random(11), 60, 60, 90), (random.Random(12), 70, 30, 110), (random.Random(13), 25, 60, 90))] + [[(k, k) for k in range(9)] + [(k + 1, k) for k in range(8)], []])
+def test_matching_and_cover_from_pairs(spark, monkeypatch, arcs):
+    """Proposals, then trees: as many pairs as a plain search finds and as many vertices of a cover. The arcs are written once."""
+    labels = []
+    monkeypatch.setattr(matchings, "written", lambda df, label, kept=matchings.written: labels.append(label) or kept(df, label))
+    pairs, right = matchings.matched(spark.createDataFrame(arcs, "src bigint, dst bigint"))
+    got, met = [tuple(r) for r in pairs.select("src", "dst").collect()], {r.dst for r in right.collect()}
+    assert len({a for a, _ in got}) == len({b for _, b in got}) == len(got) == most_pairs(sorted(set(arcs))) and set(got) <= set(arcs)
+    cover = {(1, b) if b in met else (0, a) for a, b in got}
+    assert len(cover) == len(got) and all((0, a) in cover or (1, b) in cover for a, b in arcs) and labels.count("arcs") == 1
+
+
+@pytest.mark.parametrize("block", [1, 7, 10**6])
+def test_sides_by_pieces(spark, block):
+    """Sides are those of a search from the least vertex, whatever the blocks; rings of odd length and loops are told."""
+    from arcweave.plans.components import sides_by_pieces
+
+    rng = random.Random(14)
+    arcs = [(2 * rng.randrange(30), 2 * rng.randrange(30) + 1) for _ in range(45)]
+    near = successors(arcs + [(b, a) for a, b in arcs])
+    want = {}
+    for root in sorted(near):
+        if root not in want:
+            want |= {v: k % 2 for v, k in distances(near, root).items()}
+    sides = lambda links: sides_by_pieces(spark.createDataFrame(links, "a bigint, b bigint"), block).collect()
+    assert {r.node: (r.side, r.odd) for r in sides(arcs)} == {v: (s, False) for v, s in want.items()}
+    odd = [(100 + k, 100 + (k + 1) % 9) for k in range(9)]
+    assert any(r.odd for r in sides(arcs + odd)) and any(r.odd for r in sides([*arcs, (3, 3)])) and not any(r.odd for r in sides(odd[:-1]))
