@@ -1,19 +1,21 @@
 """Maximum flows by many paths at once.
 
-A phase labels vertices with their distance to the sink over arcs with residual capacity, keeps the arcs that lead one step
-closer, and sends flow through them in two sweeps. Forward, level by level from the source, each vertex proposes what it was
-offered to its successors, in proportion to what these can take. Backward from the sink, each vertex accepts of the offers
-made to it as much as its own proposals were accepted, in the same proportion. What is accepted is a flow; it takes at
-least one path's worth and, as vertices of a level act at the same time, usually that of a great many. A phase costs a few
-jobs a level, whatever the number of paths; labels are made anew until the source has none.
+A phase labels vertices with their distance to the sink over arcs with residual capacity, level by level, and keeps the arcs that
+it meets there, which lead one step closer. It sends flow through them in two sweeps. Forward, level by level from the
+source, each vertex proposes what it was offered to its successors, in proportion to what these can take. Backward from the
+sink, each vertex accepts of the offers made to it as much as its own proposals were accepted, in the same proportion. What is
+accepted is a flow; it takes at least one path's worth and, as vertices of a level act at the same time, usually that of a
+great many. A phase costs a few jobs a level, whatever the number of paths; labels are made anew until the source has none.
 
 Whole capacities stay whole: shares are differences of rounded running sums. Running sums of a vertex are made in two
-steps, by buckets of its arcs, where there are hubs, so that a hub's arcs are not one task's. All other kinds are filled arc by arc.
+steps, by buckets of its arcs, where it is a hub, and what hubs are joined to is broadcast, so that a hub's arcs are not one task's. All other kinds are filled arc by arc.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,24 +33,34 @@ def whole_kind(kind: str) -> bool:
     return kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal") and kind.endswith(",0)")
 
 
-def apportioned(arcs: DataFrame, totals: DataFrame, at: str, by: str, kind: str, hubs: bool = False) -> DataFrame:
+def met(arcs: DataFrame, table: DataFrame, on: str, hubs: Sequence[int] = (), how: str = "inner") -> DataFrame:
+    """arcs joined to a table that has a vertex once; the rows of hubs, whose arcs would come to one task each, are broadcast."""
+    if not hubs:
+        return arcs.join(table, on, how)
+    is_hub = F.col(on).isin(list(hubs))
+    return arcs.where(~is_hub).join(table.where(~is_hub), on, how).unionByName(arcs.where(is_hub).join(F.broadcast(table.where(is_hub)), on, how))
+
+
+def apportioned(arcs: DataFrame, totals: DataFrame, at: str, by: str, kind: str, hubs: Sequence[int] = ()) -> DataFrame:
     """arcs with ``part``: of the total of its vertex (totals: at, total; null: without end) what goes to each arc, at most its
     weight. at names the column that the arcs of one vertex share, by the one that tells them apart.
 
-    Where the total is below the sum of weights, whole kinds share in proportion, other kinds by ascending ``by``. With
-    ``hubs`` sums and running sums are made by buckets of a vertex's arcs first.
+    Where the total is below the sum of weights, whole kinds share in proportion, other kinds by ascending ``by``. Sums and running
+    sums of ``hubs`` are made by buckets of a vertex's arcs first.
     """
-    rows = arcs.join(totals, at)
     if hubs:
+        is_hub = F.col(at).isin(list(hubs))
+        rest = apportioned(arcs.where(~is_hub), totals.where(~is_hub), at, by, kind)
+        rows = arcs.where(is_hub).join(F.broadcast(totals.where(is_hub)), at)
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(BUCKETS)))
         held = rows.groupBy(at, "bucket").agg(F.sum("weight").alias("held"))
         whole = Window.partitionBy(at)
         heads = held.select(at, "bucket", F.sum("held").over(whole).alias("sum"), F.coalesce(F.sum("held").over(whole.orderBy("bucket").rowsBetween(*ABOVE)), F.lit(0)).alias("ahead"))
-        rows = rows.join(heads, [at, "bucket"])
+        rows = rows.join(F.broadcast(heads), [at, "bucket"])  # a row for each bucket of a hub
         within = Window.partitionBy(at, "bucket")
     else:
         within = Window.partitionBy(at)
-        rows = rows.withColumns({"sum": F.sum("weight").over(within), "ahead": F.lit(0)})
+        rows = arcs.join(totals, at).withColumns({"sum": F.sum("weight").over(within), "ahead": F.lit(0)})
     rows = rows.withColumn("before", F.col("ahead") + F.coalesce(F.sum("weight").over(within.orderBy(by).rowsBetween(*ABOVE)), F.lit(0)))
     if whole_kind(kind):
         wide = lambda c: c.cast("decimal(19,0)")
@@ -56,48 +68,43 @@ def apportioned(arcs: DataFrame, totals: DataFrame, at: str, by: str, kind: str,
         share = upto(F.col("before") + F.col("weight")) - upto(F.col("before"))
     else:
         share = F.greatest(F.least(F.col("weight"), F.col("total") - F.col("before")), F.lit(0))
-    return rows.withColumn("part", F.when(F.col("total") < F.col("sum"), share).otherwise(F.col("weight")).cast(kind)).select(*arcs.columns, "part")
-
-
-def sweep(open_: DataFrame, depth: int, source: int, kind: str, hubs: bool = False) -> DataFrame:
-    """(src, dst, val): a flow from the source, ``depth`` levels away, to the sink; open_: (src, dst, val, level), the arcs
-    that lead from a level to the next lower one."""
-    spark = open_.sparkSession
-    offered = spark.range(source, source + 1).select(F.col("id").alias("src"), F.lit(None).cast(kind).alias("total"))
-    proposals = []
-    # no vertex is offered more on an arc than its own arcs could carry on
-    out = open_.groupBy(F.col("src").alias("dst")).agg(F.sum("val").alias("room"))
-    bounded = written(open_.join(out, "dst", "left").select("src", "dst", "level", F.least("val", "room").alias("weight")), "open")
-    for level in range(depth, 0, -1):
-        arcs = bounded.where(F.col("level") == level).select("src", "dst", "weight")
-        made = apportioned(arcs, offered, "src", "dst", kind, hubs).where("part > 0").select("src", "dst", F.col("part").alias("weight"))
-        proposals.append(written(made, "proposals"))
+    rows = rows.withColumn("part", F.when(F.col("total") < F.col("sum"), share).otherwise(F.col("weight")).cast(kind)).select(*arcs.columns, "part")
+    return rows.unionByName(rest) if hubs else rows
+
+
+def sweep(open_: list[DataFrame], source: int, kind: str, hubs: Sequence[int] = ()) -> DataFrame:
+    """(src, dst, val): a flow from the source to the sink; open_: (src, dst, weight), the arcs from each level to the next lower
+    one, those into the sink first. The source is in the last level and the sink the only vertex of the lowest."""
+    # what leaves the source is not limited, so that its arcs are not shared out, nor are, backward, those into the sink
+    proposals = [written(open_[-1].where(F.col("src") == source).select("src", "dst", "weight"), "proposals")]
+    for arcs in reversed(open_[:-1]):
         offered = proposals[-1].groupBy(F.col("dst").alias("src")).agg(F.sum("weight").alias("total"))
+        made = apportioned(arcs.select("src", "dst", "weight"), offered, "src", "dst", kind, hubs).where("part > 0").select("src", "dst", F.col("part").alias("weight"))
+        proposals.append(written(made, "proposals"))
     accepted = [proposals[-1].withColumnRenamed("weight", "val")]
     for made in reversed(proposals[:-1]):
         taken = accepted[-1].groupBy(F.col("src").alias("dst")).agg(F.sum("val").alias("total"))
         accepted.append(written(apportioned(made, taken, "dst", "src", kind, hubs).where("part > 0").select("src", "dst", F.col("part").alias("val")), "accepted"))
-    whole = accepted[0]
-    for part in accepted[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    return reduce(DataFrame.unionByName, accepted)
 
 
-def distances_to(residual: DataFrame, source: int, sink: int) -> tuple[DataFrame, int] | None:
-    """(key, level) of the vertices from which arcs lead to the sink, up to the level of the source, and that level; None if
-    the source is not among them."""
-    level = residual.sparkSession.range(sink, sink + 1).toDF("key")
-    arcs, found, depth = residual.select("src", "dst"), level.withColumn("level", F.lit(0)), 0
+def open_arcs(residual: DataFrame, source: int, sink: int, kind: str, hubs: Sequence[int] = ()) -> list[DataFrame] | None:
+    """For each level of distance to the sink, up to that of the source, the arcs (src, dst, weight) that lead from it to the next lower
+    one; None if the source is not among the vertices that reach the sink. No weight is more than the arcs of its target
+    could carry on, all the way down."""
+    spark = residual.sparkSession
+    level = spark.range(sink, sink + 1).select(F.col("id").alias("dst"), F.lit(None).cast(kind).alias("room"))
+    seen, out = level.select("dst"), []
     while True:
-        depth += 1
-        new = arcs.join(level.withColumnRenamed("key", "dst"), "dst").select(F.col("src").alias("key")).distinct().join(found, "key", "left_anti")
-        level = written(new, "distances")
-        n, met = level.agg(F.count("*"), F.max(F.col("key") == source)).first()
-        found = found.unionByName(level.withColumn("level", F.lit(depth)))
-        if met:
-            return found, depth
+        new = met(met(residual, level, "dst", hubs), seen.withColumnRenamed("dst", "src"), "src", hubs, "left_anti")
+        out.append(written(new.select("src", "dst", F.least("val", "room").cast(kind).alias("weight")), "open"))
+        level = written(out[-1].groupBy(F.col("src").alias("dst")).agg(F.sum("weight").alias("room")), "distances")
+        n, at_source = level.agg(F.count("*"), F.max(F.col("dst") == source)).first()
+        if at_source:
+            return out
         if not n:
             return None
+        seen = seen.union(level.select("dst"))
 
 
 def maximum_flow(capacity: Matrix, source: int, sink: int) -> tuple[Matrix, Matrix]:
@@ -106,17 +113,17 @@ def maximum_flow(capacity: Matrix, source: int, sink: int) -> tuple[Matrix, Matr
     if source == sink:
         raise ValueError("source and sink are the same vertex")
     capacity = capacity.stored()
-    degree = capacity.cells.select(F.explode(F.array("src", "dst")).alias("v")).groupBy("v").count().agg(F.max("count")).first()[0] or 0
+    # few: no more than twice the arcs by HUB
+    ends = capacity.cells.select(F.explode(F.array("src", "dst")).alias("v")).groupBy("v").count()
+    hubs = sorted({source, sink, *(r.v for r in ends.where(F.col("count") > HUB).collect())})
 
     def step(residual: Matrix) -> Matrix | None:
-        known = distances_to(residual.cells, source, sink)
-        if known is None:
+        open_ = open_arcs(residual.cells, source, sink, capacity.algebra.kind, hubs)
+        if open_ is None:
             return None
-        found, depth = known
-        below = found.select(F.col("key").alias("dst"), F.col("level").alias("below"))
-        open_ = residual.cells.join(found.withColumnRenamed("key", "src"), "src").join(below, "dst").where("level = below + 1").select("src", "dst", "val", "level")
-        along = residual.like(sweep(open_, depth, source, capacity.algebra.kind, degree > HUB))
-        changed = residual.minus(along).plus(along.transposed(), drop_zeros=True)
+        along = residual.like(sweep(open_, source, capacity.algebra.kind, hubs))
+        both_ways = along.negated().cells.unionByName(along.transposed().cells)  # one aggregation of the residual for both
+        changed = residual.plus(residual.like(both_ways), drop_zeros=True)
         return replace(capacity, cells=written(changed.cells, "residual"), kept=True)
 
     residual = levels.improve(capacity.without_zeros(), step)

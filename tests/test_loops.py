@@ -356,3 +356,24 @@ def test_sides_by_pieces(spark, block):
     assert {r.node: (r.side, r.odd) for r in sides(arcs)} == {v: (s, False) for v, s in want.items()}
     odd = [(100 + k, 100 + (k + 1) % 9) for k in range(9)]
     assert any(r.odd for r in sides(arcs + odd)) and any(r.odd for r in sides([*arcs, (3, 3)])) and not any(r.odd for r in sides(odd[:-1]))
+
+
+def test_arcs_of_hubs_are_not_one_tasks(spark, monkeypatch):
+    """What hubs are joined to is broadcast: no shuffle brings all arcs of the source or the sink to one task."""
+    rng = random.Random(15)
+    arcs = [(0, k, 9) for k in range(2, 10)] + [(k, 10 + rng.randrange(8), rng.randrange(1, 9)) for k in range(2, 10) for _ in range(3)] + [(k, 1, 7) for k in range(10, 18)]
+    arcs = [(a, b, c) for (a, b), c in {(a, b): c for a, b, c in arcs}.items()]
+    plans = []
+
+    def noted(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return kept(df, label)
+
+    kept = flows.written
+    monkeypatch.setattr(flows, "written", noted)
+    flow, _ = flows.maximum_flow(matrix(spark, 18, arcs), 0, 1)
+    value = sum(x for (a, _), x in cells(flow).items() if a == 0)
+    assert value == best_flow(arcs, 0, 1) > 0
+    assert all("BroadcastHashJoin" in p for label, p in plans if label == "open") and "proposals" in {label for label, _ in plans}
+    split = flows.met(spark.createDataFrame([(0, 1), (0, 2), (3, 1)], "src bigint, dst bigint"), spark.range(4).toDF("src"), "src", [0], "left_anti")
+    assert split.isEmpty()
