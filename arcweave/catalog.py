@@ -536,10 +536,11 @@ def matching_size(spark, sf):
 
 @query(f"WITH {NEXT_PARTS} SELECT least(count(DISTINCT src), count(DISTINCT dst)) AS size, CAST(0 AS BIGINT) AS uncovered FROM steps")
 def cover_size(spark, sf):
-    """A least set of vertices that touches all arcs, and the arcs it leaves uncovered."""
-    g = derive.successions(spark, sf).stored()
-    cover = written(graphs.minimum_vertex_cover(g), "cover")
-    open_ = replace(g, cells=g.cells.where("src < dst")).drop_vertices(cover).cells.agg(F.count("*").alias("uncovered"))
+    """A least set of vertices that touches all arcs, and the arcs it leaves uncovered. The sides are known: no search for them, and
+    arcs in one direction."""
+    arcs = matchings.stored(derive.next_parts(spark, sf))
+    cover = written(matchings.least_cover(arcs, kept=True), "cover")
+    open_ = matchings.uncovered(arcs, cover).agg(F.count("*").alias("uncovered"))
     return cover.agg(F.count("*").alias("size")).join(open_)  # one row each
 
 

@@ -233,16 +233,14 @@ def alternating_reachable(m: Matrix, rest: Matrix, within: Vec) -> Vec:
 
 
 def minimum_vertex_cover(g: Matrix) -> DataFrame | None:
-    """(key): a least set of vertices that touches every arc of a bipartite graph; None for other graphs. It has one end of each pair
-    of a maximum matching: the right one where alternating paths from unmatched vertices of the left lead there."""
+    """(key): a least set of vertices that touches every arc of a bipartite graph; None for other graphs. Where the sides are known,
+    ``matchings.least_cover`` does it over arcs in one direction."""
     g = g.stored()
     side = bipartition(g)
     if side is None:
         return None
     left = side.where("side = 0").select(F.col("key").alias("src"))
-    pairs, reached = matchings.matched(g.cells.join(left, "src", "left_semi").select("src", "dst"))
-    met = reached.select("dst", F.lit(True).alias("met"))
-    return pairs.join(met, "dst", "left").select(F.when(F.col("met"), F.col("dst")).otherwise(F.col("src")).alias("key"))
+    return matchings.least_cover(g.cells.join(left, "src", "left_semi").select("src", "dst"))
 
 
 def approximate_vertex_cover(g: Matrix) -> DataFrame:

@@ -25,8 +25,8 @@ def proposed(arcs: DataFrame) -> DataFrame:
     pairs, total, salt, left = [], 0, 0, arcs
     while True:
         salt += 1
-        asked = left.groupBy("src").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "src", "dst").alias("h"), "dst")).alias("p")).select("src", "p.dst")
-        new = written(asked.groupBy("dst").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "src").alias("h"), "src")).alias("p")).select("p.src", "dst"), "pairs")
+        asked = left.groupBy("src").agg(F.min_by("dst", F.xxhash64(F.lit(salt), "src", "dst")).alias("dst"))
+        new = written(asked.groupBy("dst").agg(F.min_by("src", F.xxhash64(F.lit(salt), "src")).alias("src")).select("src", "dst"), "pairs")
         pairs.append(new)
         n = new.count()
         total += n
@@ -38,11 +38,10 @@ def proposed(arcs: DataFrame) -> DataFrame:
 def grown(arcs: DataFrame, pairs: DataFrame, free: DataFrame, salt: int) -> tuple[list[DataFrame], DataFrame | None]:
     """Trees from the free vertices (src): for each level the table (dst, src, root) of what joins them, src the vertex before; and
     (root, dst, level), for each tree that gets to free vertices one of those on its first level that has any."""
-    mate = pairs.withColumnRenamed("src", "mate")
+    mate, turn = pairs.withColumnRenamed("src", "mate"), F.xxhash64(F.lit(salt), "src", "dst")
     ends, trees, hits = free.select("src", F.col("src").alias("root")), [], []
     while True:
-        pick = F.min(F.struct(F.xxhash64(F.lit(salt), "src", "dst").alias("h"), "src", "root")).alias("p")
-        new = arcs.join(ends, "src").groupBy("dst").agg(pick).select("dst", "p.src", "p.root")
+        new = arcs.join(ends, "src").groupBy("dst").agg(*(F.min_by(k, turn).alias(k) for k in ("src", "root")))
         if trees:
             new = new.join(reduce(DataFrame.union, [t.select("dst") for t in trees]), "dst", "left_anti")
         new = written(new.join(mate, "dst", "left").select("dst", "src", "root", "mate"), "trees")
@@ -75,8 +74,8 @@ def changed(pairs: DataFrame, trees: list[DataFrame], hits: DataFrame) -> DataFr
 
 
 def stored(arcs: DataFrame) -> DataFrame:
-    """The arcs (src, dst) in the shared folder, by the left, so that what is combined by it is combined where it is read."""
-    return written(arcs.select("src", "dst").where("src is not null and dst is not null").repartition("src"), "arcs")
+    """The arcs (src, dst), each once, in the shared folder, by the left, so that what is combined by it is combined where it is read."""
+    return written(arcs.select("src", "dst").where("src is not null and dst is not null").repartition("src").distinct(), "arcs")
 
 
 def matched(arcs: DataFrame, kept: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -97,3 +96,16 @@ def matched(arcs: DataFrame, kept: bool = False) -> tuple[DataFrame, DataFrame]:
         if hits is None:
             return pairs, reduce(DataFrame.unionByName, [t.select("dst") for t in trees])
         pairs = changed(pairs, trees, hits)
+
+
+def least_cover(arcs: DataFrame, kept: bool = False) -> DataFrame:
+    """(key): a least set of vertices that touches all arcs (src, dst), whose sides share no vertex. It has one end of each pair of a maximum
+    matching: the right one where alternating paths from free vertices of the left lead there."""
+    pairs, reached = matched(arcs, kept)
+    met = reached.select("dst", F.lit(True).alias("met"))
+    return pairs.join(met, "dst", "left").select(F.when(F.col("met"), F.col("dst")).otherwise(F.col("src")).alias("key"))
+
+
+def uncovered(arcs: DataFrame, cover: DataFrame) -> DataFrame:
+    """(src, dst): the arcs that no vertex (key) of the cover touches."""
+    return arcs.join(cover.select(F.col("key").alias("src")), "src", "left_anti").join(cover.select(F.col("key").alias("dst")), "dst", "left_anti")

@@ -87,15 +87,16 @@ def supplier_traits(spark: SparkSession, sf_dir: str) -> Matrix:
 
 
 def next_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst): parts as they come (2k) and as they follow (2k + 1), where an order has the one on the line behind the other."""
+    """(src, dst), repeats included: parts as they come (2k) and as they follow (2k + 1), where an order has the one on the line behind
+    the other."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     behind = lines.withColumn("next", F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))).where("next is not null")
-    return behind.select((2 * F.col("l_partkey")).alias("src"), (2 * F.col("next") + 1).alias("dst")).distinct()
+    return behind.select((2 * F.col("l_partkey")).alias("src"), (2 * F.col("next") + 1).alias("dst"))
 
 
 def successions(spark: SparkSession, sf_dir: str) -> Matrix:
     """``next_parts`` joined both ways. A matching covers the parts by chains and rings."""
-    return both_ways(next_parts(spark, sf_dir))
+    return both_ways(next_parts(spark, sf_dir).distinct())
 
 
 def by_return_flag(spark: SparkSession, sf_dir: str) -> tuple[Matrix, Matrix]:

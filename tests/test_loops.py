@@ -10,12 +10,14 @@ from itertools import product as words_of
 import pytest
 from pyspark.sql import functions as F
 
+from arcweave import catalog
 from arcweave.functions import algebra as A
 from arcweave.operators import products
 from arcweave.operators.matrices import Matrix
 from arcweave.operators.vectors import Vec
 from arcweave.plans import closure, flows, graphs, levels, matchings, social
 from arcweave.plans.components import components
+from arcweave.sources import derive
 from tests.test_graphs import cells, matrix
 
 
@@ -340,6 +342,31 @@ def test_matching_and_cover_from_pairs(spark, monkeypatch, arcs):
     assert len(cover) == len(got) and all((0, a) in cover or (1, b) in cover for a, b in arcs) and labels.count("arcs") == 1
 
 
+def test_cover_query_knows_its_sides(spark, monkeypatch):
+    """Arcs are written once, in one direction, without a search for sides; what trees and proposals pick is picked without sorts."""
+    labels, plans = [], []
+
+    def seen(df, label, kept=matchings.written):
+        labels.append(label)
+        if label in ("trees", "pairs"):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, label)
+
+    monkeypatch.setattr(matchings, "written", seen)
+    monkeypatch.setattr(graphs, "bipartition", lambda g: pytest.fail("sides are known"))
+    got = catalog.cover_size(spark, "/root/testdata/sf0.001").first()
+    sides = derive.next_parts(spark, "/root/testdata/sf0.001").agg(F.countDistinct("src"), F.countDistinct("dst")).first()
+    assert (got.size, got.uncovered) == (min(sides), 0) and labels.count("arcs") == 1
+    assert plans and not any("SortAggregate" in p for p in plans)
+
+
+def test_uncovered_arcs_are_told(spark):
+    arcs = spark.createDataFrame([(0, 1), (0, 3), (2, 1), (2, 5), (2, 5)], "src bigint, dst bigint")
+    cover = {r.key for r in matchings.least_cover(arcs).collect()}
+    assert len(cover) == 2 and all(a in cover or b in cover for a, b in ((0, 1), (0, 3), (2, 1), (2, 5)))
+    assert matchings.uncovered(arcs, spark.createDataFrame([(0,)], "key bigint")).distinct().count() == 2
+
+
 @pytest.mark.parametrize("block", [1, 7, 10**6])
 def test_sides_by_pieces(spark, block):
     """Sides are those of a search from the least vertex, whatever the blocks; rings of odd length and loops are told."""
