@@ -452,15 +452,16 @@ def disjoint_paths(spark, sf):
     (no larger one is possible), and whether they are paths of the graph, disjoint, and leave no further one."""
     g = derive.supply_graph(spark, sf).stored()
     start, target = derive.suppliers_of(spark, sf, 0), derive.suppliers_of(spark, sf, 1)
-    found = levels.disjoint_paths(start, target, g)
+    found = written(levels.disjoint_paths(start, target, g), "paths")
     steps = found.select("path_id", F.explode(F.zip_with(F.expr("slice(path, 1, size(path) - 1)"), F.expr("slice(path, 2, size(path) - 1)"), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))).alias("s")).select("s.src", "s.dst")
-    strays = steps.join(g.cells, ["src", "dst"], "left_anti").agg(F.count("*").alias("strays"))
+    # the arcs of paths are few: all arcs are filtered by them, not shuffled
+    strays = steps.join(g.cells.select("src", "dst").join(steps, ["src", "dst"], "left_semi"), ["src", "dst"], "left_anti").agg(F.count("*").alias("strays"))
     ends = found.select(F.get("path", F.lit(0)).alias("key")).join(start.df, "key", "left_anti").unionByName(found.select(F.element_at("path", -1).alias("key")).join(target.df, "key", "left_anti"))
     used = found.select(F.explode("path").alias("key"))
     shared = used.groupBy("key").count().agg(F.count_if(F.col("count") > 1).alias("shared"))
     # one more path of two arcs without the used vertices
-    free = g.drop_vertices(used)
-    more = products.reached(products.reached(start.drop(Vec(used)), free), free).keep(target).df.agg(F.count("*").alias("more"))
+    held = Vec(used)
+    more = products.reached(products.reached(start.drop(held), g).drop(held), g).drop(held).keep(target).df.agg(F.count("*").alias("more"))
     sums = found.agg(F.count("*").alias("paths"), F.max(F.size("path")).alias("vertices"), (F.min(F.size("path")) == F.max(F.size("path"))).alias("even"))
     one = sums.join(strays).join(ends.agg(F.count("*").alias("wrong"))).join(shared).join(more)  # one row each
     return one.select("paths", "vertices", F.expr("strays = 0 and wrong = 0 and even").alias("valid"), F.expr("shared = 0").alias("disjoint"), F.expr("more = 0").alias("maximal"))

@@ -99,13 +99,16 @@ def distance(start: Vec, graphs, candidates: DataFrame | None = None) -> DataFra
     return steps(start.units(), graphs, products.reached, candidates).select("level", "key")
 
 
-def forest(start: Vec, graphs, target: Vec | None = None, first: DataFrame | None = None, candidates: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def forest(start: Vec, graphs, target: Vec | None = None, first: DataFrame | None = None, candidates: DataFrame | None = None, max_rounds: int = MAX_ROUNDS, goal_only: bool = False) -> DataFrame:
     """Predecessor arcs (level, at, vertex, pred, label) that lead from level to level, up to the first level that meets
     the target. ``at`` numbers the graphs of a step. Roots have level 0 and no predecessor.
 
-    ``first`` holds arcs (vertex, pred) that lead into the start from before it (level 0, kept in the forest).
+    ``first`` holds arcs (vertex, pred) that lead into the start from before it (level 0, kept in the forest). With ``goal_only`` the
+    level that meets the target has the arcs to it alone: these are looked for first, before the level's others, often the most of
+    all, are joined and written.
     """
     gs = [g.stored() for g in _as_list(graphs, 1)]
+    bound = candidates is not None or len(gs) > 1 or not gs[0].ends  # else arcs lead to rows anyway
     within = gs[0].rows.select(F.col("id").alias("key")) if candidates is None else candidates
     goal = None if target is None else target.df.select("key")
     current = written(start.df.select("key"), "level")
@@ -120,10 +123,17 @@ def forest(start: Vec, graphs, target: Vec | None = None, first: DataFrame | Non
         keys, arcs = current, []
         for at, g in enumerate(gs):
             step = products.predecessor_arcs(Vec(keys.withColumn("val", F.lit(True))), g)
-            step = step.select(F.lit(k).alias("level"), F.lit(at).alias("at"), "vertex", "pred", F.col("label").cast("string").alias("label"))
+            columns = F.lit(k).alias("level"), F.lit(at).alias("at"), "vertex", "pred", F.col("label").cast("string").alias("label")
             if at + 1 == len(gs):
-                step = step.join(seen.select(F.col("key").alias("vertex")), "vertex", "left_anti").join(within.select(F.col("key").alias("vertex")), "vertex", "left_semi")
-            step = written(step.select("level", "at", "vertex", "pred", "label"), "arcs")
+                if bound:
+                    step = step.join(within.select(F.col("key").alias("vertex")), "vertex", "left_semi")
+                if goal_only and goal is not None:
+                    # no target was seen yet, or the loop had ended
+                    met = written(step.join(goal.select(F.col("key").alias("vertex")), "vertex", "left_semi").select(*columns), "arcs")
+                    if not met.isEmpty():
+                        return reduce(DataFrame.unionByName, [*out, *arcs, met])
+                step = step.join(seen.select(F.col("key").alias("vertex")), "vertex", "left_anti")
+            step = written(step.select(*columns), "arcs")
             arcs.append(step)
             keys = step.select(F.col("vertex").alias("key")).distinct()
         out += arcs
@@ -180,11 +190,13 @@ def _walked(tokens: DataFrame, arcs: dict[int, DataFrame], depth: int, salt: int
     predecessor (in later rounds, salt 2 and up, one by a hash, so that tokens spread), and a predecessor takes the least
     token that picks it; others stay behind."""
     for d in range(depth, 0, -1):
-        step = tokens.join(arcs[d].withColumnRenamed("vertex", "at"), "at")
-        pick = F.min(F.struct((F.lit(0) if salt == 1 else F.xxhash64(F.lit(salt), "token", "pred")).alias("h"), "pred", "path"))
-        step = step.groupBy("token").agg(pick.alias("p")).select("token", F.col("p.pred").alias("at"), F.concat(F.array("p.pred"), "p.path").alias("path"))
+        step = tokens.select("token", "at").join(arcs[d].withColumnRenamed("vertex", "at"), "at")
+        pick = F.min("pred") if salt == 1 else F.min_by("pred", F.xxhash64(F.lit(salt), "token", "pred"))
+        step = step.groupBy("token").agg(pick.alias("pred"))
         if d > 1 or not share_start:
-            step = step.groupBy("at").agg(F.min(F.struct("token", "path")).alias("t")).select("t.token", "at", "t.path")
+            step = step.groupBy("pred").agg(F.min("token").alias("token"))
+        # paths stay out of the aggregations, which then need no sorts
+        step = step.join(tokens, "token").select("token", F.col("pred").alias("at"), F.concat(F.array("pred"), "path").alias("path"))
         tokens = written(step, "tokens") if (depth - d + 1) % PLAN_LEVELS == 0 else step
     return tokens
 
@@ -328,4 +340,4 @@ def paths_by(strategy: Strategy, start: Vec, target: Vec, graphs, first: DataFra
 
 def disjoint_paths(start: Vec, target: Vec, graphs, share_start: bool = False, share_end: bool = False, first: DataFrame | None = None) -> DataFrame:
     """Shortest paths from start to target that are disjoint (up to their ends, if so asked)."""
-    return paths_by(lambda f, t: prune(f, t, share_start, share_end), start, target, graphs, first)
+    return prune(forest(start, graphs, target, first, goal_only=True), target.df, share_start, share_end)

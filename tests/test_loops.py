@@ -119,6 +119,28 @@ def test_disjoint_paths_are_maximal(spark, share):
     assert not reach
 
 
+@pytest.mark.parametrize("ends", [True, False])
+def test_disjoint_paths_leave_other_arcs_out(spark, monkeypatch, ends):
+    """Of the level that meets the targets only the arcs to them are written, and tokens pick without sorts."""
+    arcs = [(0, 1), (0, 2), (7, 2), (1, 3), (2, 4)] + [(k, 10 + j) for k in (1, 2) for j in range(100)]
+    df, rows, sorts = spark.createDataFrame(arcs, "src bigint, dst bigint"), [], []
+
+    def seen(df, label, kept=levels.written):
+        got = kept(df, label)
+        if label == "arcs":
+            rows.append(got.count())
+        if label == "walked":
+            sorts.append("SortAggregate" in df._jdf.queryExecution().executedPlan().toString())
+        return got
+
+    monkeypatch.setattr(levels, "written", seen)
+    g = Matrix.of(df, rows=None if ends else spark.range(200).select("id"))
+    found = levels.disjoint_paths(Vec.keys_of(spark, [0, 7]), Vec.keys_of(spark, [3, 4]), g)
+    got = {tuple(r.path) for r in found.collect()}
+    assert got == {(0, 1, 3), (7, 2, 4)} or got in ({(0, 1, 3)}, {(0, 2, 4)})
+    assert sum(rows) == 5 and sorts and not any(sorts)
+
+
 def test_matching_of_long_paths(spark):
     """A chain whose least choices leave both ends open, so that every arc has to change places."""
     pairs = [(k, k + 1) for k in range(1, 10)] + [(0, 2), (9, 11)]
