@@ -229,6 +229,23 @@ def test_closure_by_blocks(spark):
     assert cells(closure.block_closure(weights, 4)) == cells(closure.closure(weights))
 
 
+@pytest.mark.parametrize("size", [1, 16])
+def test_counts_of_walks_that_a_shorter_one_beats_may_be_too_large(spark, size):
+    """From 1 by 2 and 3 to 4 there are more walks than a bigint holds, and one arc from 1 to 4."""
+    label = F.struct(A.finite(F.lit(1)).alias("len"), A.finite(F.col("val")).alias("cnt"))
+    arcs = [(1, 2, 3_000_000_000), (2, 3, 3_000_000_000), (3, 4, 3_000_000_000), (1, 4, 5)]
+    g = matrix(spark, 5, arcs)
+    g = g.like(g.cells.select("src", "dst", label.alias("val")), A.GEODESIC)
+    for close in (lambda m: closure.block_closure(m, size, drop_zeros=True), lambda m: closure.closure_by_kinds(m, drop_zeros=True)):
+        read = close(g).cells.select("src", "dst", A.weight_of(F.col("val.len")).alias("len"), A.weight_of(F.col("val.cnt")).alias("cnt"))
+        assert {tuple(r) for r in read.collect()} == {(a, b, 1, n) for a, b, n in arcs} | {(1, 3, 2, 9 * 10**18), (2, 4, 2, 9 * 10**18)}
+    # without that arc those walks are the shortest: their number is asked for and cannot be given
+    few = g.like(g.cells.where("src <> 1 or dst <> 4"), A.GEODESIC)
+    beyond = closure.block_closure(few, size, drop_zeros=True).cells.where("src = 1 and dst = 4").select(A.weight_of(F.col("val.cnt")).alias("cnt"))
+    with pytest.raises(Exception, match="not a finite value"):
+        beyond.collect()
+
+
 @pytest.mark.parametrize("size", [2, 16])
 def test_regular_closure_by_blocks(spark, size):
     """Each expression matches the words of the walks between its vertices, and no others, up to four letters."""
