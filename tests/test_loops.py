@@ -330,6 +330,36 @@ def test_geodesics_and_closure_of_twins(spark):
     assert len(plain) == 100 and kinds == plain and {(r.src, r.dst): (r.len, int(r.cnt)) for r in closure.geodesics(g).collect()} == plain
 
 
+def rows_shuffled(spark, df):
+    """Rows that the stages of one run of df write to shuffles, and the rows of df."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def stages():
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return [found.apply(k) for k in range(found.size())]
+
+    seen = max((s.stageId() for s in stages()), default=-1)
+    rows = df.collect()
+    return sum(s.shuffleWriteRecords() for s in stages() if s.stageId() > seen), rows
+
+
+def test_pairs_of_twins_are_made_after_the_shuffle(spark, monkeypatch):
+    """What is dealt to tasks is a row for each pair of blocks of vertices, not for each vertex and kind."""
+    from arcweave.plans import twins
+
+    for sources, targets in ((twins.SOURCES, twins.TARGETS), (50, 7)):
+        monkeypatch.setattr(twins, "SOURCES", sources)
+        monkeypatch.setattr(twins, "TARGETS", targets)
+        q = twins.quotient(spokes(spark, 400))
+        vertices = {r.id: r.kind for r in q.of.collect()}
+        pairs = q.sizes.select(F.col("id").alias("src")).crossJoin(q.sizes.select(F.col("id").alias("dst"))).withColumn("x", F.col("src") * 1000 + F.col("dst"))
+        pairs = spark.createDataFrame(pairs.collect(), pairs.schema).coalesce(1)
+        shuffled, rows = rows_shuffled(spark, q.expanded(pairs))
+        assert sorted((r.src, r.dst, r.x) for r in rows) == sorted((v, w, 1000 * a + b) for v, a in vertices.items() for w, b in vertices.items())
+        blocks = [sum(-(-n // size) for n in (200, 200, 1, 1, 1)) for size in (sources, targets)]
+        assert shuffled <= blocks[0] * blocks[1] and (sources < 1024 or shuffled == 25)
+
+
 def test_out_degrees_of_a_table_are_exact(spark):
     from arcweave.streaming import edges
 
